@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import decontaminate, pii, secrets, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
+    "op4_wordpiece_counts": wordpiece.query,
+    "op8_toxicity": toxicity.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_pii": pii.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.SQL,
+}
