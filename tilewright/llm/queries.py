@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, secrets, sstable, toxicity, wordpiece
+from . import decontaminate, pii, secrets, simhash, sstable, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op2_sstable_shards": sstable.query,
     "op4_wordpiece_counts": wordpiece.query,
+    "op7_simhash_near_duplicates": simhash.query,
     "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
     "op10_pii": pii.query,
