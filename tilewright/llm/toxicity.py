@@ -54,9 +54,11 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def select_words(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> list[bytes]:
+def select_words(positive: list[bytes], unlabelled: list[bytes]) -> list[bytes]:
     """Words whose share among positives is above that among the unlabelled by the most standard errors."""
-    p, u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
+    p = Counter(w for d in positive for w in d.split())
+    p = Counter({w: k for w, k in p.items() if k >= MIN_DOCS})
+    u = Counter(w for d in unlabelled for w in d.split() if w in p)
     n, m = max(len(positive), 1), max(len(unlabelled), 1)
 
     def lift(w: bytes) -> float:
@@ -64,12 +66,15 @@ def select_words(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> li
         both = (p[w] + u[w]) / (n + m)
         return (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
 
-    some = [(lift(w), w) for w, k in p.items() if k >= MIN_DOCS]
+    some = [(lift(w), w) for w in p]
     return [w for z, w in sorted(some, key=lambda x: (-x[0], x[1]))[:MAX_WORDS] if z > 3]
 
 
-def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, rounds: int = 60, rate: float = 0.05, l1: float = 2e-3, batch: int = 2_048, seed: int = 3) -> Classifier:
-    """nnPU with the logistic loss on word presence; Adam over batches that mix both samples, with a falling rate; the last third is averaged."""
+def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: int = 60, rate: float = 0.05, l1: float = 2e-3, batch: int = 2_048, seed: int = 3) -> Classifier:
+    """nnPU with the logistic loss on word presence; Adam over batches that mix both samples, with a falling rate; the last third is averaged.
+
+    Documents come as their distinct words joined by spaces, and are split one at a time.
+    """
     prior = min(max(prior, 1e-4), 0.9)
     base = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
@@ -78,7 +83,7 @@ def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float
     if not names:
         return Classifier({}, base)
     index = {w: i for i, w in enumerate(names)}
-    docs = [np.array(sorted(index[w] for w in d if w in index), np.int64) for d in (*positive, *unlabelled)]
+    docs = [np.array(sorted(index[w] for w in d.split() if w in index), np.int64) for d in (*positive, *unlabelled)]
     n, m = len(positive), len(unlabelled)
     r = np.random.default_rng(seed)
     w = np.zeros(len(names) + 1)
@@ -120,8 +125,8 @@ def train(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float
     return Classifier({x: float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
 
 
-def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[set[bytes]]:
-    """Word sets of the documents whose ids are in ``ids`` (bounded by its limit), made on the executors."""
+def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[bytes]:
+    """Distinct words, joined, of the documents whose ids are in ``ids`` (bounded by its limit), made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +138,7 @@ def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows = slim.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id", "left_semi")
-    return [set(bytes(x[1]).split()) for x in sorted(rows.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, words binary").collect(), key=lambda x: (str(x[0]), bytes(x[1])))]
+    return [bytes(x[1]) for x in sorted(rows.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, words binary").collect(), key=lambda x: (str(x[0]), bytes(x[1])))]
 
 
 def learnable(id_column) -> F.Column:
