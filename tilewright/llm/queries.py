@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, secrets, simhash, sstable, toxicity, wordpiece
+from . import decontaminate, pii, quality, secrets, simhash, sstable, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op2_sstable_shards": sstable.query,
+    "op3_quality_cascade": quality.query,
     "op4_wordpiece_counts": wordpiece.query,
     "op7_simhash_near_duplicates": simhash.query,
     "op8_toxicity": toxicity.query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_quality_cascade": quality.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
