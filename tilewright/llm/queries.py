@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, secrets, simhash, sstable, toxicity, wordpiece
+from . import decontaminate, licenses, mixing, pii, quality, secrets, simhash, sstable, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_cascade": quality.query,
     "op4_wordpiece_counts": wordpiece.query,
     "op5_mixing": mixing.query,
+    "op6_license_scan": licenses.query,
     "op7_simhash_near_duplicates": simhash.query,
     "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
