@@ -203,9 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(own.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
     roots = components(links(classes, radius, bucket))
     rooted = materialise(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    linked = rooted.where("root <> fp").select("root").distinct()
-    lows = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least"))
-    labels = rooted.join(lows, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    # Written out, so that the join below has an exchange of its own on either side and a hot root can be split.
+    lows = materialise(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    labels = materialise(rooted.join(lows, "root").select("fp", "component_id"), "labels")
     return own.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
