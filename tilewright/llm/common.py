@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest serialised object that an operator ships to every task (models, query sets, vocabularies).
 BROADCAST_LIMIT_BYTES = 64 << 20
@@ -35,6 +36,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df`` (written out, narrow rows) marked for broadcast while its counted rows stay under a bound; beyond it the join shuffles."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

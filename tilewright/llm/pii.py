@@ -83,7 +83,7 @@ def accept(text: str, span: spans.Span) -> bool:
     return n >= need and len(value) >= 6
 
 
-def labelled_rows(seed: int = 5, n: int = 600) -> list[tuple[list[str], list[str], list[str]]]:
+def labelled_rows(seed: int = 5, n: int = 900) -> list[tuple[list[str], list[str], list[str]]]:
     """The small labelled table: invented sentences with and without personal data, as (words, tags, file features)."""
     r = random.Random(seed)
     low, dig, up = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,7 +131,7 @@ def labelled_rows(seed: int = 5, n: int = 600) -> list[tuple[list[str], list[str
 
 @lru_cache(maxsize=1)
 def default_model() -> crf.Model:
-    return crf.train(labelled_rows(), LABELS, rounds=80)
+    return crf.train(labelled_rows(), LABELS, rounds=60)
 
 
 def fit(labelled: DataFrame) -> crf.Model:

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, space_words, table
+from .common import materialise, small_or_not, space_words, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared with each other.
 PAIRS = 256
-#: Members of a bucket that are gathered for one task.
-BUCKET = 1 << 16
+#: Members of a bucket that are gathered for one task, and the least that a caller may ask for.
+BUCKET, LEAST_BUCKET = 1 << 16, 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -140,6 +140,7 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     """(src, dst), src > dst as unsigned numbers is not implied: a forest per bucket of links between distinct ``fp``."""
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
     at = ["group", "t", "key"]
+    bucket = max(bucket, LEAST_BUCKET)
     members, out, seed = classes.select(F.lit(0).cast("long").alias("group"), "fp"), None, 7
     while True:
         keyed = _keyed(members, seed, radius)
@@ -210,13 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` of which none with a smaller id is in the same component; of rows with equal ids one stays.
+    """One row of ``docs`` for each near-duplicate group: that with the smallest id; of rows with equal ids one stays.
 
-    Rows without an id are all kept when their component has no id, else dropped with it.
+    Rows without an id cannot be told apart by it, and all stay. Texts move only where ids repeat.
     """
-    firsts = near_duplicates(docs, id_col, text_col, **how).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_kept"]), "left_semi")
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    found = materialise(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"), "groups").where("_id is not null")
+    dropped = small_or_not(materialise(found.where("component_id <> _id").select("_id").distinct(), "dropped"))
+    kept = docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
+    again = materialise(found.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[id_col] == again["_id"], "left_anti")
+    return once.unionByName(kept.join(again, kept[id_col] == again["_id"], "left_semi").dropDuplicates([id_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,8 +241,7 @@ class Encoder:
         memory, pieces = self.memory, self.split(text)
         if len(memory) > PIECE_CACHE:
             memory.clear()
-        if missing := set(pieces) - memory.keys():
-            missing = list(missing)
+        if missing := [p for p in set(pieces) if p not in memory]:
             for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
                 memory[p] = np.array(e.ids, "<u4").tobytes()
         return np.frombuffer(b"".join([memory[p] for p in pieces]), "<u4")
