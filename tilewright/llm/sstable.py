@@ -36,7 +36,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
 #: Distinct pieces whose ids are remembered per worker; the memory is emptied beyond it, which costs time only.
-PIECE_CACHE = 400_000
+PIECE_CACHE = 700_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 
