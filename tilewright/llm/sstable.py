@@ -11,8 +11,10 @@ from __future__ import annotations
 import io
 import os
 import posixpath
+import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -27,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, table
+from .common import materialise, new_path, sliced, table
+from .wordpiece import byte_alphabet
 
 MAGIC = b"TSST0001"
 #: Uncompressed bytes after which a block is closed; a larger value has a block of its own.
@@ -35,8 +38,8 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
-#: Distinct pieces whose ids are remembered per worker; the memory is emptied beyond it, which costs time only.
-PIECE_CACHE = 700_000
+#: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
+WORD_CACHE = 200_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 
@@ -212,39 +215,63 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri())
 
 
-#: The split that byte-level vocabularies take before merging; a fixed value of the format.
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on which every Unicode version and both regular-expression engines agree.
-_SETTLED = r"[\t\n\r\x20-\x7e\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027\u20ac]*+"
+#: Characters on which every Unicode version and the usual regular-expression engines agree; of white space only space and line feed.
+_SETTLED = r"[\n\x20-\x7e\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027\u20ac]*+"
 
 
 class Encoder:
-    """The tokenizers library with a memory of pieces.
+    """The tokenizers library with a memory of words.
 
-    A byte-level vocabulary merges within a piece only, so a text's ids are those of its pieces. Texts
+    A byte-level vocabulary splits a text into pieces before it merges, and no piece crosses the place
+    before a space that a visible character follows. Where all spaces of a text are such, its ids are
+    those of its words, each with the space before it, one after the other. Texts with other spaces,
     with characters outside the settled ones or with an added token in them go to the library whole.
+    The memory has two generations: words met again move to the new one, and the old one is let go.
     """
 
     def __init__(self, definition: str):
-        import regex
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.split, self.settled = regex.compile(_PIECES).findall, regex.compile(_SETTLED).fullmatch
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.settled = re.compile(_SETTLED).fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in ".,;:!?"}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.settled(text) or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        memory, pieces = self.memory, self.split(text)
-        if len(memory) > PIECE_CACHE:
-            memory.clear()
-        if missing := [p for p in set(pieces) if p not in memory]:
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                memory[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([memory[p] for p in pieces]), "<u4")
+        if "  " in text or " \n" in text or text[-1:] == " " or not self.settled(text) or any(a in text for a in self.added):
+            return np.frombuffer(self.whole(text), np.uint32)
+        words = text.split(" ")
+        parts = [self.whole(words[0]), *map(self.new.get, words[1:])]
+        if None in parts:
+            new, old = self.new, self.old
+            missing = {w for w, p in zip(words, parts, strict=True) if p is None}
+            for w in [w for w in missing if w in old]:
+                new[w] = old[w]
+                missing.discard(w)
+            # A word of letters is one piece, which the library's model merges, and so is a mark that ends it.
+            for w in [w for w in missing if w.isalpha() or w[-1:] in self.marks and w[:-1].isalpha()]:
+                mark = self.marks.get(w[-1], b"")
+                core = w[:-1] if mark else w
+                if (own := new.get(core) or old.get(core)) is None:
+                    raw = "\u0120" + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))
+                    own = new[core] = array("I", [t.id for t in self.merge(raw)]).tobytes()
+                new[w] = own + mark
+                missing.discard(w)
+            names = list(missing)
+            for w, e in zip(names, self.tokenizer.encode_batch_fast([" " + w for w in names], add_special_tokens=False), strict=True):
+                new[w] = array("I", e.ids).tobytes()
+            parts[1:] = map(new.__getitem__, words[1:])
+            if len(new) > WORD_CACHE:
+                self.old, self.new = new, {}
+        return np.frombuffer(b"".join(parts), np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -270,7 +297,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         task = TaskContext.get()
         name, writer, low, key = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst", None, None, None
         fs, root = filesystem(path)
-        for batch in batches:
+        for batch in sliced(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = encode_key(k)
                 if writer is None:
