@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, alnum_words, materialise, table
+from .common import BROADCAST_LIMIT_BYTES, alnum_words, materialise, sliced, table
 
 WINDOW = 13
 #: Words after which a shard is closed; a longer document is a shard of its own.
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame, terms: Iterable[bytes] | None = None, id_col: s
 
         lookup: dict[bytes, int] = {} if known is None else known
         s, fields = _Shard(), None
-        for batch in batches:
+        for batch in sliced(batches):
             fields = fields or [pa.field("ids", pa.list_(batch.schema.field(0).type)), *(pa.field(n, pa.string() if n == "found" else pa.binary()) for n in ("starts", "sizes", "terms", "cuts", "positions", "cover", "found"))]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = alnum_words(text)
@@ -175,42 +175,48 @@ class Windows:
             self.by_size[int(n)] = (at[sizes == n], np.array([keys[i] for i in at[sizes == n]], np.int64))
 
 
+def _search_row(row: dict, windows: Windows) -> None:
+    """Add the words that the windows cover (cover) and the items found by document (found) to an index row."""
+    lists = _Lists(row, windows.vocabulary)
+    size = int(lists.starts[-1] + lists.sizes[-1])
+    edge = np.zeros(size + 1, np.int32)
+    found: dict[int, set[str]] = {int(k): set(v) for k, v in json.loads(row["found"] or "{}").items()}
+    for n, (numbers, terms) in windows.by_size.items():
+        there = (lists.count[terms] > 0).all(1)
+        for w, t in zip(numbers[there].tolist(), terms[there], strict=True):
+            at = lists.phrase(t)
+            if len(at):
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + n, -1)
+                for d in np.unique(np.searchsorted(lists.starts, at, "right") - 1).tolist():
+                    found.setdefault(d, set()).update(windows.items[w])
+    cover = np.cumsum(edge[:-1]) > 0
+    if row["cover"]:
+        cover |= np.unpackbits(_unpack(row["cover"], np.uint8))[:size].astype(bool)
+    row["cover"] = _pack(np.packbits(cover))
+    row["found"] = json.dumps({k: sorted(v) for k, v in found.items()})
+
+
 def search(index: DataFrame, windows: Windows) -> DataFrame:
-    """Index rows with the words covered by the windows (cover) and the items found by document (found) added to what they held."""
+    """Index rows with what the windows cover and find added to what they held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lists = _Lists(row, windows.vocabulary)
-                size = int(lists.starts[-1] + lists.sizes[-1])
-                edge = np.zeros(size + 1, np.int32)
-                found: dict[int, set[str]] = {int(k): set(v) for k, v in json.loads(row["found"] or "{}").items()}
-                for n, (numbers, terms) in windows.by_size.items():
-                    there = (lists.count[terms] > 0).all(1)
-                    for w, t in zip(numbers[there].tolist(), terms[there], strict=True):
-                        at = lists.phrase(t)
-                        if len(at):
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + n, -1)
-                            for d in np.unique(np.searchsorted(lists.starts, at, "right") - 1).tolist():
-                                found.setdefault(d, set()).update(windows.items[w])
-                cover = np.cumsum(edge[:-1]) > 0
-                if row["cover"]:
-                    cover |= np.unpackbits(_unpack(row["cover"], np.uint8))[:size].astype(bool)
-                row["cover"] = _pack(np.packbits(cover))
-                row["found"] = json.dumps({k: sorted(v) for k, v in found.items()})
+                _search_row(row, windows)
                 yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 
     return index.mapInArrow(run, index.schema)
 
 
-def per_document(searched: DataFrame, id_col: str) -> DataFrame:
-    """A row per document of searched shards: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    key_type = searched.schema["ids"].dataType.elementType.simpleString()
+def per_document(index: DataFrame, id_col: str, windows: Windows) -> DataFrame:
+    """A row per document of the shards, with the windows searched for as well: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
+    key_type = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, row in enumerate(batch.to_pylist()):
+                _search_row(row, windows)
                 starts, sizes = _unpack(row["starts"], np.int64), _unpack(row["sizes"], np.int32).astype(np.int64)
                 found = {int(k): v for k, v in json.loads(row["found"]).items()}
                 total = np.append(0, np.cumsum(np.unpackbits(_unpack(row["cover"], np.uint8)).astype(np.int64)))
@@ -221,7 +227,7 @@ def per_document(searched: DataFrame, id_col: str) -> DataFrame:
                     names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
                 )
 
-    return searched.mapInArrow(run, f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>")
+    return index.mapInArrow(run, f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
@@ -242,12 +248,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if blocks == 1:
         windows = Windows([tuple(x) for x in own.collect()], window)
         index = materialise(build_index(docs, windows.vocabulary, id_col, text_col), "index")
-        return per_document(search(index, windows), id_col)
+        return per_document(index, id_col, windows)
     done = materialise(build_index(docs, None, id_col, text_col), "index")
     for b in range(2 * blocks):
         part = own.where(F.pmod(F.xxhash64("k", "t"), F.lit(2 * blocks)) == b)
         done = materialise(search(done, Windows([tuple(x) for x in part.collect()], window)), "index")
-    return per_document(done, id_col)
+    return per_document(done, id_col, Windows([], window))
 
 
 def phrase_search(index: DataFrame, phrases: Sequence[str], id_col: str = "doc_id") -> DataFrame:

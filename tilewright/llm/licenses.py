@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BROADCAST_LIMIT_BYTES, table
+from .common import BROADCAST_LIMIT_BYTES, sliced, table
 
 # Sentences of public licences and notices, with the identifiers that rules use.
 SENTENCES: tuple[tuple[str, str], ...] = (
@@ -189,7 +189,7 @@ def scan_licenses(docs: DataFrame, book: Book | None = None, id_col: str = "doc_
     slim = docs.select(docs[id_col], docs[text_col].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [scan_text(t or "", book) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([n for _, n, _ in got], pa.int64()), pa.array([",".join(sorted({x[0] for x in m})) for m, _, _ in got], pa.string()),

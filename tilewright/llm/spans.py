@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
+from .common import sliced
 
 Span = tuple[str, int, int]
 
@@ -41,7 +42,7 @@ def scan(
     labels = model.labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tagged = model.decode([(t.split(), file_features(t)) for t in texts])

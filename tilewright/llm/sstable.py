@@ -39,7 +39,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
-WORD_CACHE = 200_000
+WORD_CACHE = 120_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8
+from .common import sliced, table, utf8
 
 #: Bounds of the training sample: confirmed toxic documents and unlabelled ones, the first by a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
@@ -129,7 +129,7 @@ def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     """Distinct words, joined, of the documents whose ids are in ``ids`` (bounded by its limit), made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 own = sorted(words_of(text))
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s = np.array([model.score(t) for t in batch.column(at).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BROADCAST_LIMIT_BYTES, table, utf8
+from .common import BROADCAST_LIMIT_BYTES, sliced, table, utf8
 
 #: Distinct words whose count is remembered per worker; the memory is emptied beyond it, which costs time only.
 WORD_CACHE = 500_000
@@ -116,7 +116,7 @@ def count_pieces(docs: DataFrame, first: Iterable[bytes], rest: Iterable[bytes],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(Automaton(first, rest, -1))
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_pieces, n_unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 words = utf8(text).split() if text else []
