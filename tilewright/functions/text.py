@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def last_level(found: Column, levels: Sequence[str], default: str | None = None) -> Column:
