@@ -1,0 +1,134 @@
+"""Pixel statistics as relational plans, and kernels over encoded tiles, on the stand-in tables."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring
+from ..operators import images, pixels
+from ..registry import query, r6
+from .standins import pixels as tiles
+from .standins import sql, table
+
+
+@query("patch_histogram", sql("SELECT vec_id, v, count(*) AS n FROM pixels GROUP BY 1, 2", "pixels"))
+def patch_histogram(spark, d):
+    return pixels.histogram(tiles(spark, d), "vec_id")
+
+
+_OTSU = """+ h AS (SELECT vec_id, v, count(*) AS n FROM pixels GROUP BY 1, 2), c AS (SELECT vec_id, v, sum(n) OVER up AS w0, sum(n * v) OVER up AS s0, sum(n) OVER al AS w, sum(n * v) OVER al AS s, sum(n * v * v) OVER al AS q FROM h WINDOW up AS (PARTITION BY vec_id ORDER BY v), al AS (PARTITION BY vec_id)),
+ b AS (SELECT *, CASE WHEN w0 < w THEN CAST(w * s0 - w0 * s AS DOUBLE) * CAST(w * s0 - w0 * s AS DOUBLE) / CAST(w0 * (w - w0) AS DOUBLE) ELSE 0 END AS b FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, v) AS k FROM b) """
+
+
+@query("patch_otsu", sql(_OTSU + "SELECT vec_id, v AS threshold FROM t WHERE k = 1", "pixels"))
+def patch_otsu(spark, d):
+    return pixels.otsu(tiles(spark, d), "vec_id").select("vec_id", "threshold")
+
+
+@query("patch_separability", sql(_OTSU + "SELECT vec_id, round_even(CASE WHEN w * q - s * s > 0 THEN b / CAST(w * q - s * s AS DOUBLE) ELSE 0 END, 6) AS eta FROM t WHERE k = 1", "pixels"))
+def patch_separability(spark, d):
+    return pixels.otsu(tiles(spark, d), "vec_id").select("vec_id", r6("eta").alias("eta"))
+
+
+@query("patch_coverage", sql(_OTSU + "SELECT vec_id, CAST(w - w0 AS DOUBLE) / CAST(w AS DOUBLE) AS coverage FROM t WHERE k = 1", "pixels"))
+def patch_coverage(spark, d):
+    return pixels.otsu(tiles(spark, d), "vec_id").select("vec_id", "coverage")
+
+
+@query("patch_glcm", sql("""+ o AS (SELECT * FROM (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1)) t(o, dy, dx)), m AS (SELECT a.vec_id, o, CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) / count(*) AS m FROM pixels a, o, pixels b WHERE a.vec_id = b.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)
+ SELECT vec_id, round_even(sum(m) / 4, 5) AS contrast FROM m GROUP BY 1""", "pixels"))
+def patch_glcm(spark, d):
+    return pixels.glcm_contrast(tiles(spark, d), "vec_id").select("vec_id", F.bround("contrast", 5).alias("contrast"))
+
+
+@query("patch_tile_cv", sql("""+ c AS (SELECT vec_id, CASE WHEN y < 6 THEN y // 3 ELSE 2 END AS r, CASE WHEN x < 6 THEN x // 3 ELSE 2 END AS c, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM pixels GROUP BY 1, 2, 3)
+ SELECT vec_id, round_even(CASE WHEN abs(avg(m)) < 1e-9 THEN 0 ELSE stddev_pop(m) / avg(m) END, 5) AS cv, round_even(CASE WHEN abs(median(m)) < 1e-9 THEN 0 ELSE (max(m) - median(m)) / median(m) END, 5) AS patchiness FROM c GROUP BY 1""", "pixels"))
+def patch_tile_cv(spark, d):
+    return pixels.tile_spread(tiles(spark, d), "vec_id").select("vec_id", F.bround("cv", 5).alias("cv"), F.bround("patchiness", 5).alias("patchiness"))
+
+
+@query("patch_quadrants", sql("""+ q AS (SELECT vec_id, CAST(sum(v) FILTER (y < 4 AND x < 4) AS DOUBLE) / 16 AS tl, CAST(sum(v) FILTER (y < 4 AND x >= 4) AS DOUBLE) / 16 AS tr, CAST(sum(v) FILTER (y >= 4 AND x < 4) AS DOUBLE) / 16 AS bl, CAST(sum(v) FILTER (y >= 4 AND x >= 4) AS DOUBLE) / 16 AS br FROM pixels GROUP BY 1)
+ SELECT *, greatest(tl, tr, bl, br) - least(tl, tr, bl, br) AS spread FROM q""", "pixels"))
+def patch_quadrants(spark, d):
+    return pixels.quadrants(tiles(spark, d), "vec_id")
+
+
+@query("patch_laplacian", sql("""+ n AS (SELECT a.vec_id, a.y, a.x, a.v, abs(a.y + dy) - CASE WHEN a.y + dy > 7 THEN 2 * (a.y + dy - 7) ELSE 0 END AS y2, abs(a.x + dx) - CASE WHEN a.x + dx > 7 THEN 2 * (a.x + dx - 7) ELSE 0 END AS x2 FROM pixels a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)),
+ l AS (SELECT n.vec_id, n.y, n.x, sum(b.v) - 4 * any_value(n.v) AS l FROM n JOIN pixels b ON n.vec_id = b.vec_id AND n.y2 = b.y AND n.x2 = b.x GROUP BY 1, 2, 3)
+ SELECT vec_id, round_even(CAST(count(*) * sum(l * l) - sum(l) * sum(l) AS DOUBLE) / (count(*) * count(*)), 5) AS laplacian_variance FROM l GROUP BY 1""", "pixels"))
+def patch_laplacian(spark, d):
+    return pixels.laplacian_variance(tiles(spark, d), "vec_id").select("vec_id", F.bround("laplacian_variance", 5).alias("laplacian_variance"))
+
+
+@query("touching_pairs", sql("""+ m AS (SELECT vec_id, y, x, v // 32 AS k FROM pixels WHERE v > 96), p AS (SELECT DISTINCT a.vec_id, least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k)
+ SELECT vec_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p""", "pixels"))
+def touching_pairs(spark, d):
+    return pixels.touching(tiles(spark, d), "vec_id", F.floor(F.col("v") / 32).cast("int"), F.col("v") > 96)
+
+
+def tile_bytes(spark, d):
+    """Tiles of 8 x 8 as the raw bytes of their grey values."""
+    px = tiles(spark, d).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("vs"))
+    return px.select("vec_id", F.unhex(F.array_join(F.transform("vs", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content"))
+
+
+def _grid(raw: bytes) -> np.ndarray:
+    """An 8 x 8 tile, each pixel as a block of 8 x 8, so that kernels have room."""
+    return np.kron(np.frombuffer(raw, np.uint8).reshape(8, 8), np.ones((8, 8), np.uint8))
+
+
+@query("field_features")
+def field_features(spark, d):
+    return images.field_signals(tile_bytes(spark, d), decode=_grid, blur_shrink=4, lbp_step=2)
+
+
+@query("focus_features")
+def focus_features(spark, d):
+    return images.focus_signals(tile_bytes(spark, d), decode=_grid)
+
+
+@query("halo_signals")
+def halo_signals(spark, d):
+    return images.halo_signals(tile_bytes(spark, d), decode=_grid)
+
+
+@query("halo_presence")
+def halo_presence(spark, d):
+    """Signals to decisions, the diffuse candidates checked against the two fields before, and the folded verdict."""
+    s = images.halo_signals(tile_bytes(spark, d), decode=_grid).withColumn("slide_id", F.col("vec_id") % 10)
+    c = F.col
+    s = s.withColumn("present", scoring.halo_decision(c("contrast_ratio"), c("anisotropy"), c("radial_rho"), c("r2_over_r1")))
+    near = F.collect_list(F.struct(c("diffuse_radius").alias("radius"), c("diffuse_centroid_x").alias("x"), c("diffuse_centroid_y").alias("y"))).over(Window.partitionBy("slide_id").orderBy("vec_id").rangeBetween(-20, -1))
+    s = s.withColumn("near", near).withColumn("candidate", scoring.diffuse_candidate(c("contrast_ratio"), c("diffuse_radius")))
+    trend = scoring.follows_neighbours(c("diffuse_radius"), c("diffuse_centroid_x"), c("diffuse_centroid_y"), c("near"))
+    s = s.withColumn("diffuse_flag", c("candidate") & ~trend)
+    return s.select("vec_id", "slide_id", "contrast_ratio", "present", r6(scoring.halo_confidence(c("contrast_ratio"), c("present"))).alias("confidence"), "candidate", "diffuse_flag", (c("present") | c("diffuse_flag")).alias("present_folded"))
+
+
+@query("halo_decision", "WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 10 AS ratio, l_discount * 5 AS anis, l_tax * 12 AS rho, l_extendedprice / 200000 AS r2 FROM lineitem), k AS (SELECT *, ratio >= 3 AND (anis <= 0.35 OR (rho > 0.9 AND r2 < 0.44)) AS present FROM s) SELECT present, count(*) AS n, round_even(sum(CASE WHEN ratio >= 3 AND NOT present THEN 0 ELSE least(1, greatest(0, (ratio - 2.1::DOUBLE) / 3.9::DOUBLE)) END), 3) AS confidence, count(CASE WHEN ratio >= 2.3::DOUBLE AND ratio < 3 AND l_partkey >= 50 THEN 1 END) AS candidates FROM k GROUP BY 1")
+def halo_decision(spark, d):
+    """The decision layer on arbitrary signals, each branch of it met."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    s = l.select("l_partkey", (F.col("l_quantity") / 10).alias("ratio"), (F.col("l_discount") * 5).alias("anis"), (F.col("l_tax") * 12).alias("rho"), (F.col("l_extendedprice") / 200000).alias("r2"))
+    s = s.withColumn("present", scoring.halo_decision(F.col("ratio"), F.col("anis"), F.col("rho"), F.col("r2")))
+    cand = scoring.diffuse_candidate(F.col("ratio"), F.col("l_partkey"))
+    return s.groupBy("present").agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum(scoring.halo_confidence(F.col("ratio"), F.col("present"))), 3).alias("confidence"), F.count(F.when(cand, 1)).alias("candidates"))
+
+
+@query("crenation")
+def crenation(spark, d):
+    """Outlined parts to fields: how many, the largest one's band power, and the median."""
+    c = images.cells(tile_bytes(spark, d), decode=_grid, least=16)
+    return c.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_parts"), F.max("area").alias("largest"), F.max_by("band_power", F.struct("area", "cell")).alias("largest_power"), F.median("band_power").alias("median_power"))
+
+
+@query("cell_metrics")
+def cell_metrics(spark, d):
+    """Fragments and merged parts by the upper quartile of areas, and how uneven the rest is."""
+    c = images.cells(tile_bytes(spark, d), decode=_grid, least=16)
+    q = c.groupBy("vec_id").agg(F.percentile("area", F.lit(0.75)).alias("q"))
+    part = c.join(q, "vec_id").withColumn("kind", F.when(F.col("area") < 0.35 * F.col("q"), "fragment").when(F.col("area") > 1.6 * F.col("q"), "merged").otherwise("single"))
+    single = F.col("kind") == "single"
+    return part.groupBy("vec_id").agg(F.count(F.when(F.col("kind") == "fragment", 1)).alias("n_fragments"), F.count(F.when(F.col("kind") == "merged", 1)).alias("n_merged"), F.count(F.when(single, 1)).alias("n_single"), F.median(F.when(single, F.col("area"))).alias("median_area"), F.count(F.when(single & (F.col("solidity") < 0.75), 1)).alias("n_crenated"))
