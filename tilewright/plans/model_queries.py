@@ -1,0 +1,90 @@
+"""Calibration and resampling on the stand-in tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import robust, scoring
+from ..operators import models, relational
+from ..registry import query, r6
+from .quality_queries import RANGES
+from .standins import counts, features, sql, table
+
+NAMES = ("coverage", "edges", "entropy", "contrast")
+LABELS = scoring.DENSITY_LEVELS
+
+
+def labelled(spark, d):
+    """Fields with an ordinal that follows two of the signals and the number of spots."""
+    f = features(spark, d).join(counts(spark, d), ["slide_id", "fov_id"]).where("contrast is not null")
+    level = F.least(F.lit(4), F.greatest(F.lit(0), F.floor((F.col("coverage") - 0.3) * 8 + (F.col("edges") - 0.3) * 3)))
+    return f.withColumn("level", level.cast("int"))
+
+
+@query("ridge_gram", sql("+ x AS (SELECT coverage AS a, edges AS b, n_detected AS y FROM features JOIN counts USING (slide_id, fov_id)) SELECT count(*) AS n, round_even(sum(a * a), 4) AS aa, round_even(sum(a * b), 4) AS ab, round_even(sum(b * b), 4) AS bb, round_even(sum(a * y), 4) AS ay, round_even(sum(b * y), 4) AS \"by\" FROM x", "features", "counts"))
+def ridge_gram(spark, d):
+    x = features(spark, d).join(counts(spark, d), ["slide_id", "fov_id"])
+    a, b, y = F.col("coverage"), F.col("edges"), F.col("n_detected")
+    s = lambda p, q: F.bround(F.sum(p * q), 4)
+    return x.agg(F.count(F.lit(1)).alias("n"), s(a, a).alias("aa"), s(a, b).alias("ab"), s(b, b).alias("bb"), s(a, y).alias("ay"), s(b, y).alias("by"))
+
+
+@query("ridge_fit")
+def ridge_fit(spark, d):
+    m = models.fit_axis(labelled(spark, d), NAMES, "level", LABELS)
+    rows = [(n, m.weights.get(n), *m.ranges.get(n, (None, None)), n in m.dropped) for n in NAMES]
+    return spark.createDataFrame(rows, "feature string, weight double, low double, high double, dropped boolean")
+
+
+@query("pava_thresholds")
+def pava_thresholds(spark, d):
+    rows = labelled(spark, d)
+    score = scoring.weighted({n: F.col(n) for n in NAMES}, dict.fromkeys(NAMES, 0.25), RANGES)
+    cuts, fit, n = models.thresholds(rows, score, "level", 5)
+    return spark.createDataFrame([(k, fit[k], n[k], cuts[k] if k < 4 else None) for k in range(5)], "level int, median double, n long, upper double")
+
+
+@query("cross_validate")
+def cross_validate(spark, d):
+    rows = models.hashed_folds(labelled(spark, d), ["slide_id", "fov_id"], "level", 5, 42)
+    out = models.cross_validate(rows, NAMES, "level", LABELS, range(5))
+    gap = F.abs(F.col("predicted") - F.col("level"))
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg((gap == 0).cast("double")).alias("exact"), F.avg((gap <= 1).cast("double")).alias("within_one"))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, d):
+    rows = labelled(spark, d).withColumn("score", scoring.weighted({n: F.col(n) for n in NAMES}, dict.fromkeys(NAMES, 0.25), RANGES))
+    return models.bootstrap_medians(rows, "score", "level", 200)
+
+
+STATISTICS = ("mean", "median", "std", "mad")
+
+
+def _slides(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slide_id"), F.col("s_acctbal").alias("target"))
+    return robust.baseline(counts(spark, d)).join(s, "slide_id")
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, d):
+    return models.paired_bootstrap(_slides(spark, d), STATISTICS, "target", "mean", 500)
+
+
+@query("permutation_p")
+def permutation_p(spark, d):
+    return models.permutation_p(_slides(spark, d), STATISTICS, "target", 500)
+
+
+@query("grouping_rollup", sql("+ j AS (SELECT slide_id % 5 AS axis, fov_id % 12 AS fold, count(*) AS n, avg(CAST(n_detected % 3 = 0 AS INT)) AS exact FROM counts GROUP BY 1, 2) SELECT axis, sum(n)::BIGINT AS n, round_even(sum(n * exact) / sum(n), 6) AS exact FROM j GROUP BY 1", "counts"))
+def grouping_rollup(spark, d):
+    """Fold results to one figure for each axis, weighted by rows."""
+    j = counts(spark, d).groupBy((F.col("slide_id") % 5).alias("axis"), (F.col("fov_id") % 12).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n_detected") % 3 == 0).cast("int")).alias("exact"))
+    return j.groupBy("axis").agg(F.sum("n").alias("n"), r6(F.sum(F.col("n") * F.col("exact")) / F.sum("n")).alias("exact"))
+
+
+@query("golden_drift", sql("SELECT slide_id, count(*) AS n, round_even(max(abs(coverage - edges)), 6) AS drift, count(CASE WHEN coverage >= 0.5 AND edges < 0.5 THEN 1 END) AS flips FROM features GROUP BY 1", "features"))
+def golden_drift(spark, d):
+    f = features(spark, d)
+    met = relational.must_match(f.select("slide_id", "fov_id", "coverage"), f.select("slide_id", "fov_id", "edges"), ["slide_id", "fov_id"])
+    return met.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("coverage") - F.col("edges")))).alias("drift"), F.count(F.when((F.col("coverage") >= 0.5) & (F.col("edges") < 0.5), 1)).alias("flips"))
