@@ -39,7 +39,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
-WORD_CACHE = 120_000
+WORD_CACHE = 250_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 
@@ -235,10 +235,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.merge = self.tokenizer.model.tokenize
-        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.written = {b: c for c, b in byte_alphabet().items()}
         self.settled = re.compile(_SETTLED).fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {m: self.whole(m) for m in ".,;:!?"}
+        self.feed = self.whole("\n")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -249,30 +250,49 @@ class Encoder:
         if "  " in text or " \n" in text or text[-1:] == " " or not self.settled(text) or any(a in text for a in self.added):
             return np.frombuffer(self.whole(text), np.uint32)
         words = text.split(" ")
-        parts = [self.whole(words[0]), *map(self.new.get, words[1:])]
+        new, old, marks = self.new, self.old, self.marks
+        parts = list(map(new.get, words))
+        parts[0] = self.whole(words[0])  # no space before it
         if None in parts:
-            new, old = self.new, self.old
-            missing = {w for w, p in zip(words, parts, strict=True) if p is None}
-            for w in [w for w in missing if w in old]:
-                new[w] = old[w]
-                missing.discard(w)
-            # A word of letters is one piece, which the library's model merges, and so is a mark that ends it.
-            for w in [w for w in missing if w.isalpha() or w[-1:] in self.marks and w[:-1].isalpha()]:
-                mark = self.marks.get(w[-1], b"")
-                core = w[:-1] if mark else w
-                if (own := new.get(core) or old.get(core)) is None:
-                    raw = "\u0120" + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))
-                    own = new[core] = array("I", [t.id for t in self.merge(raw)]).tobytes()
-                new[w] = own + mark
-                missing.discard(w)
-            names = list(missing)
-            for w, e in zip(names, self.tokenizer.encode_batch_fast([" " + w for w in names], add_special_tokens=False), strict=True):
-                new[w] = array("I", e.ids).tobytes()
-            parts[1:] = map(new.__getitem__, words[1:])
+            hard: list[int] = []
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                w = words[i]
+                # A word of letters is one piece, which the library's model merges, and so is a mark that ends it.
+                if (own := new.get(w) or old.get(w)) is None:
+                    if w.isalpha():
+                        own = self.letters(w)
+                    elif w[-1:] in marks and (core := w[:-1]).isalpha():
+                        own = self.known(core) + marks[w[-1]]
+                    elif w.count("\n") == 1 and (end := w.index("\n")) > 1 and w[end - 1] in marks and w[: end - 1].isalpha() and w[end + 1 :].isalpha():
+                        # Sentence end, line feed, and a word without a space: seen once as a whole, so only its parts are kept.
+                        parts[i] = self.known(w[: end - 1]) + marks[w[end - 1]] + self.feed + self.known(w[end:])
+                        continue
+                    else:
+                        hard.append(i)
+                        continue
+                new[w] = parts[i] = own
+            if hard:
+                names = list({words[i] for i in hard})
+                for w, e in zip(names, self.tokenizer.encode_batch_fast([" " + w for w in names], add_special_tokens=False), strict=True):
+                    new[w] = array("I", e.ids).tobytes()
+                for i in hard:
+                    parts[i] = new[words[i]]
             if len(new) > WORD_CACHE:
                 self.old, self.new = new, {}
         return np.frombuffer(b"".join(parts), np.uint32)
 
+    def known(self, word: str) -> bytes:
+        """Ids of a word of letters from the memory, else merged and kept."""
+        if (own := self.new.get(word)) is None:
+            own = self.new[word] = self.old.get(word) or self.letters(word)
+        return own
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a word of letters and the space before it (none where a line feed stands for it), merged by the library's model as one piece."""
+        word = word[1:] if (bare := word[0] == "\n") else word
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.written)
+        return array("I", [t.id for t in self.merge(raw if bare else "\u0120" + raw)]).tobytes()
+
 
 @lru_cache(maxsize=1)
 def encoder_of(definition: str) -> Encoder:
