@@ -31,10 +31,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+def materialise(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
+
+    ``files`` bounds the number of files of a table that is known to be small.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

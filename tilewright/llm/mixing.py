@@ -22,6 +22,8 @@ WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
 #: Blocks a source has at least, documents a block has at most on average, words of a shard on average.
 MIN_BLOCKS, BLOCK_DOCS, SHARD_WORDS = 128, 1 << 16, 1 << 25
 MIN_SHARDS = 8
+#: Files of a table with a row or few for each block.
+FILES = 8
 
 
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -119,21 +121,21 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     aims = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0.0).cast("int")
     aims = aims.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    aims = materialise(aims, "targets")
+    aims = materialise(aims, "targets", FILES)
     known = by_block.join(aims, by_block["source"].eqNullSafe(aims["source"])).select(by_block["source"], "block", "words", "source_size", "rank", "target", "whole", "rest")
     known = known.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("block")))
     part = F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(F.col("upto") - F.col("words") < F.col("rest"), F.lit(2)).otherwise(F.lit(0))
-    known = materialise(known.withColumn("part", F.when(F.col("whole") >= most, F.lit(0)).otherwise(part)).withColumn("open", F.col("rest") - F.col("upto") + F.col("words")), "known")
+    known = materialise(known.withColumn("part", F.when(F.col("whole") >= most, F.lit(0)).otherwise(part)).withColumn("open", F.col("rest") - F.col("upto") + F.col("words")), "known", FILES)
     # A draw per block and pass: the whole passes, and the partial one where the block has a share in it.
     passes = F.col("whole") + (F.col("part") > 0).cast("int")
     draws = known.where(passes > 0).select("rank", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass"))
     order = Window.partitionBy("rank").orderBy(F.xxhash64("rank", "block", "pass", F.lit(seed)), "pass", "block")
-    draws = materialise(draws.withColumn("k", F.row_number().over(order).cast("long")), "draws")
+    draws = materialise(draws.withColumn("k", F.row_number().over(order).cast("long")), "draws", FILES)
     dealt = splitting_tree(draws.groupBy("rank").agg(F.count("*").alias("q")), shards, seed)
     runs = dealt.withColumn("hi", F.sum("q").over(Window.partitionBy("rank").orderBy("shard"))).where("q > 0")
     slots = runs.select("rank", "shard", F.explode(F.sequence(F.col("hi") - F.col("q") + 1, F.col("hi"))).alias("k"))
     placed = draws.join(slots, ["rank", "k"]).groupBy("rank", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
-    info = materialise(known.join(placed, ["rank", "block"], "left").select("source", "block", "source_size", "target", "whole", "part", "open", "shards"), "plan")
+    info = materialise(known.join(placed, ["rank", "block"], "left").select("source", "block", "source_size", "target", "whole", "part", "open", "shards"), "plan", FILES)
     # In a source's one partly taken block, documents go by their hash while they fit.
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     me = F.struct("u", "id", "size")
@@ -143,7 +145,7 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     cut = small.join(info.where("part = 2").select("s", "b", "open"), same)
     cut = cut.withColumn("upto", F.sum("size").over(inner)).where("upto <= open")
     last = cut.groupBy("source", "block").agg(F.max(me).alias("last"), F.max("upto").alias("got"))
-    edge = materialise(info.join(last, same, "left").drop("source", "block"), "edge")
+    edge = materialise(info.join(last, same, "left").drop("source", "block"), "edge", FILES)
     # One more document of the source, that which best fills what is still open, rides in the same draw.
     gap = F.col("open") - F.coalesce("got", F.lit(0))
     gaps = edge.where("part = 2").select(F.col("s").alias("s2"), gap.alias("gap"), F.element_at("shards", -1).alias("fill_shard"))
@@ -152,7 +154,7 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     left_out = (F.col("part") == 0) | ((F.col("part") == 2) & ~before)
     fits = small.join(edge, same).where(left_out & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
     fill = fits.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), me.alias("me"))).alias("fill"))
-    edge = materialise(edge.join(fill.select(F.col("source").alias("s2"), F.col("fill.me").alias("fill")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "edge")
+    edge = materialise(edge.join(fill.select(F.col("source").alias("s2"), F.col("fill.me").alias("fill")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "edge", FILES)
     base = (rows if carry else slim).withColumn("block", _block(F.col("u"), bits))
     met = base.join(edge, same)
     filler = left_out & F.coalesce(me == F.col("fill"), F.lit(False))

@@ -178,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     smallest one replace the old ones (large star, then small star). Rounds are written to the shared
     folder and end when nothing changes; hubs are aggregated before they are dealt out.
     """
-    now = materialise(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), "edges")
+    now, files = materialise(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), "edges"), None
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -186,11 +186,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src").select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        now = materialise(small, "edges")
+        now = materialise(small, "edges", files)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).head())
         if state == seen:
             return now.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("node"), "root")
-        seen = state
+        seen, files = state, max(8, state[0] // 500_000)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:

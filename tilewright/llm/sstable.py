@@ -38,6 +38,8 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
+#: Bytes of shards that a task reads back on average.
+READ_BYTES = 32 << 20
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
 WORD_CACHE = 250_000
 
@@ -332,7 +334,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             fs.move(posixpath.join(root, f"_{name}"), posixpath.join(root, name))
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": f"{path}/{name}", "n_docs": writer.docs, "n_tokens": writer.tokens, "n_bytes": writer.at, "min_key": low, "max_key": key}], schema=MANIFEST)
 
-    return materialise(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, n_bytes long, min_key binary, max_key binary"), "manifest")
+    # A row per shard, in one file: the tasks themselves write nothing but their shards.
+    return materialise(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long, n_bytes long, min_key binary, max_key binary").repartition(1), "manifest")
 
 
 def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -342,7 +345,8 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("shard", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    shards = based.repartition(max(1, min(manifest.count(), 20_000)))
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).head()
+    shards = based.repartition(max(1, min(n, max(size // READ_BYTES, manifest.sparkSession.sparkContext.defaultParallelism))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
