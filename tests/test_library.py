@@ -191,6 +191,30 @@ def test_halo_and_line():
     assert kernels.halo_signals(np.full((50, 50), 40, np.uint8))["contrast_ratio"] == pytest.approx(1.0)
 
 
+def test_masks_cells_and_crops():
+    m = np.zeros((40, 40), bool)
+    m[5:25, 5:25] = True
+    m[30, 30] = True
+    assert (kernels.clean(m) == (m & (np.arange(40) < 26)[:, None])).all()
+    d = kernels.distance(m)
+    assert d[5, 5] == 1 and d[14, 14] == 10 and d[0, 0] == 0
+    yy, xx = np.nonzero(~np.pad(m, 1))
+    assert d[15, 9] == np.hypot(yy - 16, xx - 10).min()
+    dent = m.copy()
+    dent[30, 30] = False
+    dent[5:15, 12:18] = False
+    assert len(kernels.convexity_depths(dent)) == 1 and 9 <= kernels.convexity_depths(dent)[0] <= 11
+    img = np.zeros((90, 90))
+    y, x = np.mgrid[:90, :90]
+    for cx in (25, 44, 63):
+        img[(y - 45) ** 2 + (x - cx) ** 2 <= 100] = 200
+    got = kernels.cell_signals(img.astype(np.uint8))
+    assert got["n_cells"] == 3 and got["n_inline"] == 1 and got["rouleaux_fraction"] == pytest.approx(1 / 3)
+    assert kernels.cell_signals(np.zeros((30, 30), np.uint8))["n_cells"] == 0
+    assert [n for n, _ in kernels.corner_crops(disc(), (0.5, 0.5))] == ["whole", "tl", "tr", "bl", "br"]
+    assert set(kernels.four_step(disc())) == set(kernels.FOUR_STEP) and kernels.shrunken_lbp_entropy(disc()) >= 0
+
+
 def test_signals_keep_failures_as_rows(spark):
     df = spark.createDataFrame([("good", bytearray(png(disc(40, 20, 20, 6), [0]))), ("bad", bytearray(b"xx")), ("none", None)], "name string, content binary")
     rows = {r.name: r for r in images.halo_signals(df).collect()}
@@ -292,6 +316,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 20
     want = spark.createDataFrame([(1, 10), (2, 9), (3, 1)], "slide_id int, n_expected long")
     assert sorted(r.slide_id for r in sinks.unfinished(want, spark.read.parquet(path)).collect()) == [2, 3]
+    assert sinks.mirror(want, str(tmp_path / "a"), str(tmp_path / "b")) is None and sinks.mirror(want, str(tmp_path / "a"), "nowhere://x")
+    assert sinks.markdown(want.orderBy("slide_id").limit(1), "T") == "## T\n\n| slide_id | n_expected |\n| - | - |\n| 1 | 10 |\n"
     sinks.append_log(want, str(tmp_path / "log"))
     sinks.append_log(want, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 6

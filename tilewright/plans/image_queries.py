@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..kernels import images as kernels
 from ..operators import images, pixels
 from ..registry import query, r6
 from .standins import pixels as tiles
@@ -132,3 +133,13 @@ def cell_metrics(spark, d):
     part = c.join(q, "vec_id").withColumn("kind", F.when(F.col("area") < 0.35 * F.col("q"), "fragment").when(F.col("area") > 1.6 * F.col("q"), "merged").otherwise("single"))
     single = F.col("kind") == "single"
     return part.groupBy("vec_id").agg(F.count(F.when(F.col("kind") == "fragment", 1)).alias("n_fragments"), F.count(F.when(F.col("kind") == "merged", 1)).alias("n_merged"), F.count(F.when(single, 1)).alias("n_single"), F.median(F.when(single, F.col("area"))).alias("median_area"), F.count(F.when(single & (F.col("solidity") < 0.75), 1)).alias("n_crenated"))
+
+
+@query("cell_signals")
+def cell_signals(spark, d):
+    return images.signals(tile_bytes(spark, d), kernels.cell_signals, kernels.CELLS, decode=_grid)
+
+
+@query("four_step")
+def four_step(spark, d):
+    return images.signals(tile_bytes(spark, d), kernels.four_step, kernels.FOUR_STEP, decode=_grid)

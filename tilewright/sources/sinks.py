@@ -33,3 +33,22 @@ def unfinished(wanted: DataFrame, written: DataFrame, slide: str = "slide_id", e
 
 def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def mirror(rows: DataFrame, path: str, second: str) -> str | None:
+    """Write to ``path``, then the same files' rows to ``second``; a failure there is returned, not raised."""
+    rows.write.mode("overwrite").parquet(path)
+    try:
+        rows.sparkSession.read.parquet(path).write.mode("overwrite").parquet(second)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"[:200]
+    return None
+
+
+def markdown(rows: DataFrame, title: str, most: int = 1_000) -> str:
+    """A small aggregate as a Markdown table; more than ``most`` rows are an error, as a report is no export."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([f"## {title}", "", line(rows.columns), line("-" for _ in rows.columns), *map(line, got)]) + "\n"
