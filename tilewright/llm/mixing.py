@@ -168,8 +168,11 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, each as often as the plan takes it, with its columns and shard, shuffled within each shard."""
-    names = docs.columns
+    """The mixed corpus: rows of ``docs``, each as often as the plan takes it, with its columns and shard, shuffled within each shard.
+
+    A column of ``docs`` that is named shard gives way to the mix's own.
+    """
+    names = [c for c in docs.columns if c != "shard"]
     planned = plan(docs, names, id_col=id_col, **how)
     copies = planned.select(*(F.col(f"c_{c}").alias(c) for c in names), F.posexplode("shards").alias("_copy", "shard"))
     mixed = F.xxhash64(F.col(id_col), "_copy", F.lit(how.get("seed", SEED) + 1))

@@ -86,7 +86,7 @@ def default_rules(text_col: str) -> list[Rule]:
     pieces = lambda pattern: F.size(F.split(text, pattern, -1)) - 1
     scan = F.length(text).cast("double")
     return [
-        Rule("symbols", 10 * c("n_symbols") > c("word_chars"), F.lit(1.0)),
+        Rule("symbols", 16 * c("n_symbols") > c("word_chars"), F.lit(1.0)),
         Rule("word_length", (c("word_chars") > 25 * c("n_words")) | (c("word_chars") < 2 * c("n_words")), F.lit(1.0)),
         Rule("repeated_lines", (c("n_lines") >= 4) & (2 * c("n_dup_lines") > c("n_lines")), F.lit(1.0)),
         Rule("exclamations", 4 * pieces("!") > c("n_words"), scan),
@@ -154,7 +154,7 @@ WITH w AS (
   FROM w LEFT JOIN rep USING (doc_id)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
-       NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
+       NOT (base_failed OR 16 * n_symbols > word_chars OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
             OR 4 * (length(t) - length(replace(t, '!', ''))) > n_words OR 2 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > word_chars) AS kept
 FROM f
 """
