@@ -65,12 +65,35 @@ def upper_median(values: Column) -> Column:
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
+def places(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """(value, occurs, before): how often each value occurs, and how many rows have a smaller one; nulls are left out.
+
+    No task sorts the whole column: approximate quantiles, at most ``buckets`` numbers, cut it into
+    ranges, each is ranked by itself, and the ranges' totals (one row each) are added up.
+    """
+    h = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("occurs"))
+    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).head()["q"] or []
+    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    h = h.withColumn("_b", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    inner = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = h.groupBy("_b").agg(F.sum("occurs").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_base"))
+    rows = h.withColumn("_in", F.coalesce(F.sum("occurs").over(inner), F.lit(0))).join(F.broadcast(base), "_b")  # a row per bucket on the right
+    return rows.select(value, "occurs", (F.col("_base") + F.col("_in")).alias("before"))
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the tied average rank of a column over all rows."""
+    r = places(df, value).select(F.col(value).alias("_v"), (F.col("before") + (F.col("occurs") + 1) / 2).alias(name))
+    return df.join(r, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One row: rho_<x>_<y> for each pair of columns, with tied ranks averaged; rows with a null in any column are left out."""
     cols = sorted({c for p in pairs for c in p})
     ranked = df.select(*cols).dropna()
     for c in cols:
-        ranked = ranked.withColumn(f"_r_{c}", tie_rank(c))
+        ranked = average_ranks(ranked, c, f"_r_{c}")
     return ranked.agg(*(F.corr(f"_r_{a}", f"_r_{b}").alias(f"rho_{a}_{b}") for a, b in pairs))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.robust import places
+
 
 def must_match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join that fails, naming a key, when a row of the left side has no partner."""
@@ -95,10 +97,11 @@ def best_per(rows: DataFrame, by: Sequence[str], value: str, key: str) -> DataFr
 
 def nearest_index_edges(values: DataFrame, value: str, k: int) -> DataFrame:
     """(bin, edge): the k - 1 inner edges at the sorted places round(i * n / k), halves to even."""
-    n = values.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
-    want = n.select(F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("bin"), "n").select("bin", (F.bround(F.col("bin") * F.col("n") / k) + 1).cast("long").alias("at"))
-    ranked = values.where(F.col(value).isNotNull()).select(F.col(value).alias("edge"), F.row_number().over(Window.orderBy(value)).alias("at"))
-    return ranked.join(F.broadcast(want), "at").select("bin", "edge")
+    n = values.agg(F.count(value).alias("all"))
+    want = n.select(F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("bin"), "all").select("bin", (F.bround(F.col("bin") * F.col("all") / k) + 1).cast("long").alias("at"))
+    at = places(values, value)
+    hit = (F.col("before") < F.col("at")) & (F.col("at") <= F.col("before") + F.col("occurs"))
+    return at.join(F.broadcast(want), hit).select("bin", F.col(value).alias("edge"))  # k - 1 rows on the right
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

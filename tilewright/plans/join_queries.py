@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import robust, text
 from ..operators import relational
 from ..registry import query, r6
 from .standins import counts, features, month, sql, table
@@ -110,7 +110,9 @@ def topk(spark, d):
 @query("percentile_position", sql("+ s AS (SELECT slide_id, sum(n_detected)::BIGINT AS n FROM counts GROUP BY 1) SELECT slide_id, n, round_even(percent_rank() OVER (ORDER BY n) * 100, 4) AS position FROM s", "counts"))
 def percentile_position(spark, d):
     s = counts(spark, d).groupBy("slide_id").agg(F.sum("n_detected").alias("n"))
-    return s.select("slide_id", "n", F.bround(F.percent_rank().over(Window.orderBy("n")) * 100, 4).alias("position"))
+    at = robust.places(s, "n").select("n", "before")
+    others = F.nullif(F.lit(s.count() - 1), F.lit(0))
+    return s.join(at, "n").select("slide_id", "n", F.bround(F.coalesce(F.col("before") / others, F.lit(0.0)) * 100, 4).alias("position"))
 
 
 @query("rolling_eta", sql("SELECT slide_id, fov_id, round_even(avg(CAST(n_detected AS DOUBLE)) OVER (PARTITION BY slide_id ORDER BY fov_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) * (count(*) OVER (PARTITION BY slide_id) - row_number() OVER (PARTITION BY slide_id ORDER BY fov_id)), 5) AS eta FROM counts", "counts"))
