@@ -17,15 +17,18 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in local tests, a temporary folder is made and set.
+    Only where it is unset, as in local tests, a temporary folder is made, one for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="shared-")
     return path.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
