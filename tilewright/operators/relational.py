@@ -84,8 +84,9 @@ def even_sample(rows: DataFrame, by: Sequence[str], order: Column, k: int) -> Da
 
 
 def seeded_sample(rows: DataFrame, by: Sequence[str], key: Sequence[str], k: int, seed: int) -> DataFrame:
-    """k rows of each group by the smallest hashes of key and seed: the same on every run and partitioning."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    """k rows of each group by the smallest digests of key and seed: the same on every run, partitioning and engine."""
+    mixed = F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
+    w = Window.partitionBy(*by).orderBy(mixed, *key)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

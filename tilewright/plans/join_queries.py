@@ -92,7 +92,7 @@ def stratified_even_sample(spark, d):
     return relational.even_sample(counts(spark, d), ["slide_id"], F.struct("n_detected", "fov_id"), 7)
 
 
-@query("seeded_sample")
+@query("seeded_sample", sql("+ r AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY md5(slide_id || '/' || fov_id || '/42'), slide_id, fov_id) AS k FROM counts) SELECT slide_id, fov_id, n_detected FROM r WHERE k <= 20", "counts"))
 def seeded_sample(spark, d):
     return relational.seeded_sample(counts(spark, d), ["slide_id"], ["slide_id", "fov_id"], 20, 42)
 
