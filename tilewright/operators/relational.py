@@ -122,8 +122,14 @@ def dense_confusion(rows: DataFrame, truth: str, predicted: str, levels: Sequenc
 
 
 def sweep(rows: DataFrame, score: str, truth: str, tiers: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """A row per tier: share of negatives and of positives at or above it; one pass, a condition for each tier."""
-    at = rows.select(*by, truth, score, F.explode(F.array(*map(F.lit, map(float, tiers)))).alias("tier"))
-    hit = F.coalesce(F.col(score) >= F.col("tier"), F.lit(False))
-    n = at.groupBy("tier", *by).agg(F.count(F.when(hit & F.col(truth), 1)).alias("tp"), F.count(F.when(F.col(truth), 1)).alias("p"), F.count(F.when(hit & ~F.col(truth), 1)).alias("fp"), F.count(F.when(~F.col(truth), 1)).alias("n"))
+    """A row per tier: share of negatives and of positives at or above it.
+
+    All tiers are conditions of one aggregate, so a row is read once and none is multiplied; the few
+    sums are turned into rows afterwards.
+    """
+    t = F.col(truth)
+    at = lambda tier: F.coalesce(F.col(score) >= tier, F.lit(False))
+    sums = [F.struct(F.lit(float(x)).alias("tier"), F.count(F.when(at(x) & t, 1)).alias("tp"), F.count(F.when(at(x) & ~t, 1)).alias("fp")) for x in tiers]
+    n = rows.groupBy(*by).agg(F.array(*sums).alias("_t"), F.count(F.when(t, 1)).alias("p"), F.count(F.when(~t, 1)).alias("n"))
+    n = n.select(*by, "p", "n", F.explode("_t").alias("_t")).select(*by, "_t.tier", "_t.tp", "p", "_t.fp", "n")
     return n.withColumn("recall", F.col("tp") / F.nullif(F.col("p"), F.lit(0))).withColumn("false_alarms", F.col("fp") / F.nullif(F.col("n"), F.lit(0)))

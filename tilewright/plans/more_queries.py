@@ -92,9 +92,8 @@ def first_seen(spark, d):
 def group_ranges(spark, d):
     """Range of each group of more than one, and how many lie under the cutoff taken from the reference level."""
     a = axes(spark, d)
-    cut = a.where("first = 5").agg(F.min("cents").alias("cutoff"))
-    g = a.crossJoin(F.broadcast(cut)).groupBy("site", "first")  # one row on the right
-    return g.agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.count(F.when(F.col("cents") < F.col("cutoff") * 2, 1)).alias("below")).where("n > 1")
+    cutoff = a.where("first = 5").agg(F.min("cents")).head()[0]
+    return a.groupBy("site", "first").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"), F.count(F.when(F.col("cents") < F.lit(cutoff) * 2, 1)).alias("below")).where("n > 1")
 
 
 @query("cross_technique_outliers", sql("+ q AS (SELECT slide_id, quantile_cont(coverage, 0.75::DOUBLE) AS a, quantile_cont(edges, 0.75::DOUBLE) AS b, quantile_cont(entropy, 0.75::DOUBLE) AS c FROM features GROUP BY 1) SELECT slide_id, fov_id, CAST(coverage > a AS INT) + CAST(edges > b AS INT) + CAST(entropy > c AS INT) AS n FROM features JOIN q USING (slide_id) WHERE CAST(coverage > a AS INT) + CAST(edges > b AS INT) + CAST(entropy > c AS INT) >= 2", "features"))

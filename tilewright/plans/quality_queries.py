@@ -70,8 +70,8 @@ def threshold_sweep(spark, d):
  SELECT w.slide_id, w.fov_id, f.n_detected, round_even(f.z, 6) AS z, coalesce(f.flags, 'no_data') AS flags FROM w LEFT JOIN f ON w.slide_id = f.slide_id AND w.fov_id = f.fov_id""", "counts"))
 def boundary_rows(spark, d):
     rows = robust.scored(counts(spark, d))
-    ends = counts(spark, d).agg(F.min("fov_id").alias("a"), (F.max("fov_id") + 1).alias("b")).select(F.explode(F.array("a", "b")).alias("fov_id"))
-    want = rows.select("slide_id").distinct().crossJoin(F.broadcast(ends))  # two rows on the right
+    a, b = counts(spark, d).agg(F.min("fov_id"), F.max("fov_id") + 1).head()
+    want = rows.select("slide_id").distinct().withColumn("fov_id", F.explode(F.array(F.lit(a), F.lit(b))))
     return want.join(rows, ["slide_id", "fov_id"], "left").select("slide_id", "fov_id", "n_detected", r6("z").alias("z"), F.coalesce("flags", F.lit("no_data")).alias("flags"))
 
 
@@ -79,9 +79,9 @@ def boundary_rows(spark, d):
  SELECT slide_id, count(*) AS n_missing, string_agg(CAST(fov_id AS VARCHAR), ',' ORDER BY fov_id) AS missing FROM m GROUP BY 1""", "counts"))
 def missing_ids(spark, d):
     c = counts(spark, d)
-    span = c.agg(F.min("fov_id").alias("a"), F.max("fov_id").alias("b"))
-    have = c.groupBy("slide_id").agg(F.collect_set("fov_id").alias("have")).crossJoin(F.broadcast(span))  # one row on the right
-    gone = have.select("slide_id", F.array_except(F.sequence("a", "b"), "have").alias("m"))
+    a, b = c.agg(F.min("fov_id"), F.max("fov_id")).head()
+    have = c.groupBy("slide_id").agg(F.collect_set("fov_id").alias("have"))
+    gone = have.select("slide_id", F.array_except(F.sequence(F.lit(a), F.lit(b)), "have").alias("m"))
     return gone.where(F.size("m") > 0).select("slide_id", F.size("m").cast("long").alias("n_missing"), F.array_join(F.transform(F.sort_array("m"), lambda x: x.cast("string")), ",").alias("missing"))
 
 
