@@ -89,7 +89,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
     w = np.zeros(len(names) + 1)
     w[-1] = base
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    steps = max(1, (n + m) // batch)
+    steps = max(5, (n + m) // batch)  # small samples are gone through in as many steps
     step, mean, taken = 0, np.zeros_like(w), 0
     for k in range(rounds):
         now = rate / (1 + 4 * k / rounds)
@@ -125,20 +125,26 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
     return Classifier({x: float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
 
 
-def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[bytes]:
-    """Distinct words, joined, of the documents whose ids are in ``ids`` (bounded by its limit), made on the executors."""
+def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[list[bytes], list[bytes]]:
+    """Distinct words, joined, of the documents named by ``ids`` (id, positive): those of positives, and the others.
+
+    One pass over the texts; words are made on the executors. ``ids`` is bounded by its limits and so
+    broadcast; where ids repeat, at most twice both bounds come back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = sorted(words_of(text))
                 out.append(b" ".join(own[:: -(-len(own) // LEARN_WORDS) or 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "positive", "words"])
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = slim.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id", "left_semi")
-    return [bytes(x[1]) for x in sorted(rows.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, words binary").collect(), key=lambda x: (str(x[0]), bytes(x[1])))]
+    rows = slim.join(F.broadcast(ids), "id").select("id", "positive", "text")
+    got = rows.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, positive boolean, words binary").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
+    got = sorted((str(i), bytes(w), p) for i, p, w in got)
+    return [w for _, w, p in got if p], [w for _, w, p in got if not p]
 
 
 def learnable(id_column) -> F.Column:
@@ -162,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         prior = 0.01 if got is None else float(got)
     pos = by_id.where("y = 1").orderBy(mixed, id_col).limit(MAX_POSITIVE).select(id_col)
     unl = docs.select(docs[id_col]).where(learnable(F.col(id_col))).orderBy(mixed, id_col).limit(MAX_UNLABELLED).distinct()
-    return train(sample_words(docs, pos, id_col, text_col), sample_words(docs, unl, id_col, text_col), prior)
+    ids = pos.select(F.col(id_col).alias("id"), F.lit(True).alias("positive")).unionByName(unl.select(F.col(id_col).alias("id"), F.lit(False).alias("positive")))
+    return train(*sample_words(docs, ids, id_col, text_col), prior)
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
