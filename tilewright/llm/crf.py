@@ -85,6 +85,7 @@ class Model:
     def reset(self) -> None:
         self.words: dict[str, int] = {}
         self.rows: dict[tuple[str, ...], int] = {}
+        self.plain: dict[str, int] = {}
         self.score = {r: np.zeros((1024, len(self.labels)), np.float64) for r in ROLES}
         self.bound = {r: np.zeros(1024, np.float64) for r in ROLES}
         self.row(())  # row 0 stands for what lies beyond a file's ends
@@ -112,7 +113,16 @@ class Model:
             self.words.clear()
         if len(self.rows) >= WORD_CACHE:
             self.reset()
-        at = self.words[word] = self.row(features(word, self.lexicon))
+        # Most words are plain and not in the lexicon: their features are those of all such words.
+        end = word[-1] if word[-1] in PUNCT else ""
+        core = word[:-1] if end else word
+        if core.isalpha() and (core.islower() or not core.isascii()) and core.lower() not in self.lexicon:
+            at = self.plain.get(end)
+            if at is None:
+                at = self.plain[end] = self.row(("plain", "end=" + end))
+        else:
+            at = self.row(features(word, self.lexicon))
+        self.words[word] = at
         return at
 
     def file_scores(self, names: Iterable[str]) -> np.ndarray:
@@ -139,9 +149,10 @@ class Model:
         epoch = self.rows
         for _, words, _ in chunk:
             starts.append(len(ids))
-            for w in words:
-                at = get(w)
-                ids.append(look(w) if at is None else at)
+            part = list(map(get, words))
+            if None in part:
+                part = [look(w) if p is None else p for w, p in zip(words, part, strict=True)]
+            ids += part
             if self.rows is not epoch:  # tables were emptied on the way: begin again with fresh ones
                 return self._decode(chunk, out)
             ids += (0, 0)
