@@ -149,10 +149,9 @@ class Model:
         epoch = self.rows
         for _, words, _ in chunk:
             starts.append(len(ids))
-            part = list(map(get, words))
-            if None in part:
-                part = [look(w) if p is None else p for w, p in zip(words, part, strict=True)]
-            ids += part
+            for w in words:
+                at = get(w)
+                ids.append(look(w) if at is None else at)
             if self.rows is not epoch:  # tables were emptied on the way: begin again with fresh ones
                 return self._decode(chunk, out)
             ids += (0, 0)
