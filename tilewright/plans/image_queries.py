@@ -70,9 +70,9 @@ def touching_pairs(spark, d):
 
 
 def tile_bytes(spark, d):
-    """Tiles of 8 x 8 as the raw bytes of their grey values."""
+    """Tiles of 8 x 8 as the raw bytes of their grey values, dealt to all cores: kernels cost far more than these bytes suggest."""
     px = tiles(spark, d).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("vs"))
-    return px.select("vec_id", F.unhex(F.array_join(F.transform("vs", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content"))
+    return px.select("vec_id", F.unhex(F.array_join(F.transform("vs", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def _grid(raw: bytes) -> np.ndarray:
