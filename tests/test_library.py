@@ -60,7 +60,7 @@ def test_other_queries_run(spark, name):
 def test_boundaries_of_scores(spark):
     df = spark.createDataFrame([(0.35,), (0.34999,), (0.65,), (None,)], "s double")
     got = [r[0] for r in df.select(scoring.bucket(F.col("s"), (0.35, 0.45, 0.55, 0.65), scoring.DENSITY_LEVELS)).collect()]
-    assert got == ["monolayer", "sparse", "very crowded", None]
+    assert got == ["monolayer", "sparser", "very dense", None]
     f = spark.createDataFrame([(0.1, None), (0.1, 0.1), (0.2, 0.1)], "a double, b double")
     cols = {"a": F.col("a"), "b": F.col("b")}
     assert [r[0] for r in f.select(scoring.gate_fired(cols, {"a": 0.2, "b": 0.2})).collect()] == [False, True, False]
@@ -297,11 +297,11 @@ def test_workbook(spark, tmp_path):
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="Slides" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}"><si><t>Slide</t></si><si><r><t>S</t></r><r><t>1</t></r><rPh><t>no</t></rPh></si><si><t> Good ⚠</t></si></sst>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}"><si><t>Slide</t></si><si><r><t>S</t></r><r><t>1</t></r><rPh><t>no</t></rPh></si><si><t> Annotatable ⚠</t></si></sst>')
         z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{m}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2" t="s"><v>2</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="C3"><v>5</v></c></row></sheetData></worksheet>')
     (tmp_path / "w.xlsx").write_bytes(out.getvalue())
     rows = files.workbook(spark, str(tmp_path / "w.xlsx"), "Slides", "Slide", {"A": "slide_id", "C": "quality"})
-    assert [tuple(x) for x in rows.collect()] == [(2, "S1", " Good ⚠"), (3, "S1", "5")]
+    assert [tuple(x) for x in rows.collect()] == [(2, "S1", " Annotatable ⚠"), (3, "S1", "5")]
     got = files.catalog(rows).collect()
     assert len(got) == 1 and got[0].warned and got[0]["rank"] == 4
 

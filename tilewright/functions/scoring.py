@@ -8,8 +8,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DENSITY_LEVELS = ("sparse", "monolayer", "slightly crowded", "crowded", "very crowded")
-OVERLAP_LEVELS = ("no rouleaux", "few rouleaux", "some rouleaux", "many rouleaux", "severe rouleaux")
+# The ordinal scales of the two axes, lowest first, and what a blank label means.
+DENSITY_LEVELS = ("sparser", "monolayer", "slightly dense", "dense", "very dense")
+OVERLAP_LEVELS = ("no rouleaux", "slight rouleaux", "some rouleaux", "rouleaux", "heavy rouleaux")
+DEFAULT_LABELS = {"density": "monolayer", "overlap": "no rouleaux"}
+# Weights and ranges of the first composite.
+V1_WEIGHTS = {"coverage": 0.2, "edge_density": 0.3, "glcm_contrast": 0.1, "lbp_entropy": 0.4}
+V1_RANGES = {"coverage": (0.0, 1.0), "edge_density": (0.0, 1.0), "glcm_contrast": (0.0, 200.0), "lbp_entropy": (0.0, 6.0)}
 
 
 def unit_range(x: Column, low: float | Column, high: float | Column) -> Column:
@@ -46,8 +51,10 @@ def below_floors(features: Mapping[str, Column], floors: Mapping[str, float]) ->
     return reduce(lambda a, b: a + b, (F.when(F.coalesce(features[n] < float(t), F.lit(False)), 1).otherwise(0) for n, t in floors.items()))
 
 
-def gate_fired(features: Mapping[str, Column], floors: Mapping[str, float], enabled: bool = True) -> Column:
-    """True where every configured feature lies below its floor; a gate that is off or empty never fires."""
+def gate_fired(features: Mapping[str, Column], floors: Mapping[str, float], enabled: bool = True, rule: str = "all_below") -> Column:
+    """True where every configured feature lies below its floor; a gate that is off or empty never fires, another rule is an error."""
+    if rule != "all_below":
+        raise ValueError(f"unknown rule of the gate: {rule}")
     return below_floors(features, floors) == len(floors) if enabled and floors else F.lit(False)
 
 
@@ -80,12 +87,10 @@ def pair_relation(gain: Column) -> Column:
     return F.when(gain >= 0.10, "complementary").when(gain < 0.04, "redundant").when(gain.isNotNull(), "intermediate")
 
 
-def fault_bucket(truth: Column, predicted: Column, contrast: Column, gate: float = 3.0) -> Column:
-    """Kind of a wrong call: missed below or above the contrast gate, or raised by a strong or a weak signal."""
-    return (
-        F.when(truth & ~predicted & (contrast < gate), "A_missed_below_gate").when(truth & ~predicted, "B_missed_above_gate")
-        .when(~truth & predicted & (contrast >= 2 * gate), "C_false_strong").when(~truth & predicted, "D_false_weak")
-    )
+def fault_bucket(truth: Column, base: Column, folded: Column) -> Column:
+    """Kind of a fault of the base rule, or of what folding adds: misses that folding rescues or not, false alarms old and new; null without a fault."""
+    missed = truth & ~base
+    return F.when(missed & folded, "A_rescued").when(missed, "B_still_missed").when(~truth & base, "C_fp_baseline").when(~truth & folded, "D_fp_new")
 
 
 def halo_decision(contrast: Column, anisotropy: Column, radial_rho: Column, r2_over_r1: Column) -> Column:

@@ -19,6 +19,12 @@ def last_level(found: Column, levels: Sequence[str], default: str | None = None)
     return F.coalesce(last, F.lit(default)) if default is not None else last
 
 
+def folded(level: Column, low: Sequence[str] = ("sparser", "sparse"), into: str = "monolayer") -> Column:
+    """The four-level scale: the lowest levels count as the next one."""
+    own = F.lower(F.trim(level))
+    return F.when(own.isin(*low), into).otherwise(own)
+
+
 def slide_by_pattern(name: Column, pattern: str) -> Column:
     """First group of the pattern, the whole name where it does not match."""
     got = F.regexp_extract(name, pattern, 1)

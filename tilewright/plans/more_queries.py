@@ -9,14 +9,10 @@ from ..functions import robust, scoring, text
 from ..registry import query, r6
 from .standins import axes, counts, features, judged, sql, table
 
-#: First composite: fixed weights and ranges.
-V1_WEIGHTS = {"coverage": 0.2, "edges": 0.3, "contrast": 0.1, "entropy": 0.4}
-V1_RANGES = {"coverage": (0.0, 1.0), "edges": (0.0, 1.0), "contrast": (0.0, 2.0), "entropy": (0.0, 2.0)}
-
-
 @query("composite_v1", sql("SELECT slide_id, fov_id, round_even((coverage_n * 0.2::DOUBLE + edges_n * 0.3::DOUBLE + CASE WHEN contrast IS NOT NULL THEN contrast_n * 0.1::DOUBLE ELSE 0 END + entropy_n * 0.4::DOUBLE) / (0.2::DOUBLE + 0.3::DOUBLE + CASE WHEN contrast IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + 0.4::DOUBLE), 5) AS score FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coverage)) AS coverage_n, least(1.0::DOUBLE, greatest(0.0::DOUBLE, edges)) AS edges_n, least(1.0::DOUBLE, contrast / 2) AS contrast_n, least(1.0::DOUBLE, entropy / 2) AS entropy_n FROM features)", "features"))
 def composite_v1(spark, d):
-    s = scoring.weighted({k: F.col(k) for k in V1_WEIGHTS}, V1_WEIGHTS, V1_RANGES)
+    own = {"coverage": F.col("coverage"), "edge_density": F.col("edges"), "glcm_contrast": F.col("contrast") * 100, "lbp_entropy": F.col("entropy") * 3}
+    s = scoring.weighted(own, scoring.V1_WEIGHTS, scoring.V1_RANGES)
     return features(spark, d).select("slide_id", "fov_id", F.bround(s, 5).alias("score"))
 
 
@@ -26,16 +22,14 @@ def mean_z(spark, d):
     return counts(spark, d).select("slide_id", "fov_id", F.bround((F.col("n_detected") - F.avg("n_detected").over(w)) / F.nullif(F.stddev_samp("n_detected").over(w), F.lit(0.0)), 5).alias("z"))
 
 
-FOLDED = {"small": "monolayer", "large": "crowded", "red": "monolayer", "blue": "sparse"}
+LEVELS = ("small", "large", "red", "blue")
 
 
-@query("manual_tags", "SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'monolayer' WHEN 'large' THEN 'crowded' WHEN 'red' THEN 'monolayer' WHEN 'blue' THEN 'sparse' END AS density, split_part(p_name, ' ', 2) = 'ring' AS crenated, upper(p_type[1]) || lower(p_type[2:]) AS shown FROM part")
+@query("manual_tags", "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) IN ('small', 'red') THEN 'large' WHEN split_part(p_name, ' ', 1) IN ('large', 'blue') THEN split_part(p_name, ' ', 1) END AS density, split_part(p_name, ' ', 2) = 'ring' AS crenated, upper(p_type[1]) || lower(p_type[2:]) AS shown FROM part")
 def manual_tags(spark, d):
-    """Five levels folded to four, a flag that is a tag, and a level's name as it is shown."""
+    """The lowest levels folded into the next, a flag that is a tag, and a level's name as it is shown."""
     tags = text.tags(F.replace("p_name", F.lit(" "), F.lit(",")))
-    fold = F.create_map(*[x for k, v in FOLDED.items() for x in (F.lit(k), F.lit(v))])
-    level = text.last_level(tags, tuple(FOLDED))
-    return table(spark, d, "part").select("p_partkey", F.when(level.isNotNull(), F.try_element_at(fold, level)).alias("density"), F.array_contains(tags, "ring").alias("crenated"), F.initcap("p_type").alias("shown"))
+    return table(spark, d, "part").select("p_partkey", text.folded(text.last_level(tags, LEVELS), ("small", "red"), "large").alias("density"), F.array_contains(tags, "ring").alias("crenated"), F.initcap("p_type").alias("shown"))
 
 
 @query("protocol_parse", "WITH p AS (SELECT p_partkey, p_brand || '_' || p_size || 'uL_' || (p_size % 7) || 'min_' || CASE WHEN p_size % 2 = 0 THEN 'DAPI' ELSE 'none' END AS name FROM part) SELECT p_partkey, CAST(regexp_extract(name, '_([0-9]+)uL', 1) AS INTEGER) AS volume, CAST(regexp_extract(name, '_([0-9]+)min', 1) AS INTEGER) AS minutes, name LIKE '%_DAPI' AS dapi, regexp_extract(name, '^(.*)_[0-9]+uL', 1) AS sample FROM p")

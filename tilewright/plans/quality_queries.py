@@ -250,10 +250,10 @@ def flips_vs_baseline(spark, d):
     return met.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(flip, 1)).alias("flips"), r6(F.max(F.abs(F.col("score") - F.col("other")))).alias("drift"))
 
 
-@query("fn_fp_buckets", sql("""+ k AS (SELECT CASE WHEN truth AND NOT predicted AND contrast < 2 THEN 'A_missed_below_gate' WHEN truth AND NOT predicted THEN 'B_missed_above_gate' WHEN NOT truth AND predicted AND contrast >= 4 THEN 'C_false_strong' WHEN NOT truth AND predicted THEN 'D_false_weak' END AS bucket FROM judged)
+@query("fn_fp_buckets", sql("""+ k AS (SELECT CASE WHEN truth AND NOT predicted AND (predicted OR toxic) THEN 'A_rescued' WHEN truth AND NOT predicted THEN 'B_still_missed' WHEN NOT truth AND predicted THEN 'C_fp_baseline' WHEN NOT truth AND NOT predicted AND toxic THEN 'D_fp_new' END AS bucket FROM judged)
  SELECT bucket, count(*) AS n FROM k WHERE bucket IS NOT NULL GROUP BY 1""", "judged"))
 def fn_fp_buckets(spark, d):
-    rows = judged(spark, d).withColumn("bucket", scoring.fault_bucket(F.col("truth"), F.col("predicted"), F.col("contrast"), 2.0))
+    rows = judged(spark, d).withColumn("bucket", scoring.fault_bucket(F.col("truth"), F.col("predicted"), F.col("predicted") | F.col("toxic")))
     return rows.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

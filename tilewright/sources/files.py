@@ -147,7 +147,8 @@ def workbook(spark: SparkSession, path: str, sheet: str, header: str, columns: d
     return raw.mapInArrow(run, "row int, " + ", ".join(f"`{c}` string" for c in columns.values()))
 
 
-RANKS = {"not annotatable": 1, "hard": 2, "fair": 3, "good": 4}
+# How workable a slide is, worst to best.
+RANKS = {"hard": 1, "can spot annotate": 2, "annotatable (hard)": 3, "annotatable": 4}
 
 
 def catalog(rows: DataFrame, slide: str = "slide_id", quality: str = "quality", ranks: dict[str, int] = RANKS) -> DataFrame:
