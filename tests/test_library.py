@@ -353,3 +353,23 @@ def test_nothing_outside_names_the_text_package():
     for p in (root / "tilewright").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", p.read_text()), p
+
+
+def test_published_scores_are_reproduced(spark):
+    """Eight fields with published scores, labels and gates, scored again from their features and the model."""
+    from pathlib import Path
+
+    g = json.loads((Path(__file__).parent / "fixtures" / "scored_fields.json").read_text())
+    cols = [*g["features"], "want_density", "want_overlap", "density_label", "overlap_label", "raw_label", "want_gated"]
+    rows = spark.createDataFrame(g["rows"], ", ".join(f"{c} {'boolean' if c == 'want_gated' else 'string' if c.endswith('label') else 'double'}" for c in cols))
+    f = {n: F.col(n) for n in g["features"]}
+    gated = scoring.gate_fired(f, g["floors"])
+    for axis, bottom in (("density", scoring.DENSITY_LEVELS[0]), ("overlap", scoring.OVERLAP_LEVELS[0])):
+        m = models.AxisModel.from_json(json.dumps({**g["axes"][axis], "dropped": [], "lbp_step": 16, "blur_downsample": 4}))
+        assert m.labels == list(scoring.DENSITY_LEVELS if axis == "density" else scoring.OVERLAP_LEVELS)
+        score = m.score(f)
+        raw = m.label(score)
+        got = rows.select(F.abs(score - F.col(f"want_{axis}")).alias("d"), (scoring.override(raw, F.lit(0.0), None, "", gated, bottom) == F.col(f"{axis}_label")).alias("same"), (gated == F.col("want_gated")).alias("gate"), raw.alias("raw"), "raw_label").collect()
+        assert len(got) == 8 and all(r.d < 1e-12 and r.same and r.gate for r in got)
+        assert axis == "overlap" or all(r.raw == r.raw_label for r in got)
+    assert sum(r[-1] for r in g["rows"]) > 0
