@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import robust, text
 from ..operators import relational
-from ..registry import query, r6
-from .standins import counts, features, month, sql, table
+from ..registry import query
+from .standins import counts, features, sql, table
 
 
 @query("nearest_control", sql("""+ r AS (SELECT slide_id, fov_id, n_detected FROM counts WHERE fov_id % 5 = 0), c AS (SELECT slide_id, fov_id AS control, n_detected AS v FROM counts WHERE fov_id % 5 <> 0),
