@@ -41,7 +41,7 @@ END_ID = 2
 #: Bytes of shards that a task reads back on average.
 READ_BYTES = 32 << 20
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
-WORD_CACHE = 250_000
+WORD_CACHE = 350_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 
