@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, mixing, simhash, sstable, toxicity
-from tilewright.llm.common import materialise, small_or_not, table
+from tilewright.llm.common import digest, materialise, small_or_not, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of linked fingerprints."""
-    return simhash.keep_first(docs)
+    """One document, that with the smallest id, of each group of linked fingerprints; ids may be null or repeat."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in benchmark windows."""
-    bad = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    """Documents of which less than a twentieth of the words lie in benchmark windows.
+
+    The verdict hangs on the text alone and is carried by its digest, so null and repeated ids play no part.
+    """
+    keyed = docs.select(digest(docs["text"]).alias("_key"), "text")
+    bad = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), "_key").where("contaminated").select(F.col("_key").alias("_bad")).distinct()
     bad = small_or_not(materialise(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, digest(docs["text"]) == bad["_bad"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

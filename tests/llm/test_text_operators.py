@@ -492,3 +492,21 @@ def test_pipeline_stages(spark):
     bad = {k for k, t in rows.items() if (n := naive_hits(alnum(t), items)[0]) and 20 * n >= len(alnum(t))}
     kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, SMALL)
     assert {r.doc_id for r in kept.collect()} == rows.keys() - bad
+
+
+def test_pipeline_filters_decide_by_row_where_ids_are_null_or_repeat(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    r = random.Random(12)
+    passage = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("size(split(text, ' ')) > 13").head().text
+    a, b, c, d = (" ".join("%s%d" % (x, r.randrange(10**6)) for _ in range(40)) for x in "abcd")
+    rows = [(None, a), (None, passage), (None, b), (None, None), (7, c), (7, passage + " x"), (7, d), (8, passage)]
+    got = stages["decontamination"](spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, a), (None, b), (None, None), (7, c), (7, d)], key=str)
+    rows = [(None, a), (None, a), (None, b), (3, b), (3, c), (2, c), (3, d), (3, d), (None, None), (None, ""), (None, passage), (9, passage), (9, passage), (9, passage + " ")]
+    got = stages["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL).collect()
+    groups = {naive_fingerprint(t or "") for _, t in rows}
+    assert len(got) == len(groups) == len({naive_fingerprint(x.text or "") for x in got}) == 6
+    assert {(x.doc_id, x.text) for x in got if x.text} - {(9, passage), (9, passage + " ")} == {(None, a), (3, b), (2, c), (3, d)}
+    assert [x.doc_id for x in got if not x.text] == [None]

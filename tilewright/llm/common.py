@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest serialised object that an operator ships to every task (models, query sets, vocabularies).
@@ -49,6 +49,11 @@ def small_or_not(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text where verdicts go by text and not by id; null has none."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

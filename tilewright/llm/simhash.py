@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced, small_or_not, space_words, table
+from .common import digest, materialise, sliced, small_or_not, space_words, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared with each other.
@@ -225,5 +225,30 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once.unionByName(kept.join(again, kept[id_col] == again["_id"], "left_semi").dropDuplicates([id_col]))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, whatever its ids are: that with the smallest id, null ids last.
+
+    Rows are told apart by id and digest of the text, so a row's verdict is that of its own group. Of
+    equal ids in a group the smaller digest stays, and of rows equal in both any one. Texts move only
+    where such rows repeat.
+    """
+    mark = lambda d: F.coalesce(digest(d[text_col]), F.lit(b""))
+    key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), mark(docs).alias("digest"))
+    slim = docs.select(key.alias("_key"), docs[text_col].cast("string").alias("_text"))
+    # With these keys as ids, a group's component_id is the key of the row that stays.
+    found = materialise(near_duplicates(slim, "_key", "_text", **how).select("_key", (F.col("_key") == F.col("component_id")).alias("stays")), "groups")
+    own = [F.col("_key.id").alias("_id"), F.col("_key.digest").alias("_digest")]
+    same = lambda d, k: d[id_col].eqNullSafe(k["_id"]) & (mark(d) == k["_digest"])
+    dropped = small_or_not(materialise(found.where("not stays").select(*own).distinct(), "dropped"))
+    kept = docs.join(dropped, same(docs, dropped), "left_anti")
+    again = materialise(found.where("stays").select(*own).groupBy("_id", "_digest").count().where("count > 1").drop("count"), "repeated")
+    if again.isEmpty():
+        return kept
+    again = small_or_not(again)
+    once = kept.join(again, same(kept, again), "left_anti")
+    more = kept.join(again, same(kept, again), "left_semi")
+    return once.unionByName(more.withColumn("_digest", mark(more)).dropDuplicates([id_col, "_digest"]).drop("_digest"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
