@@ -510,3 +510,33 @@ def test_pipeline_filters_decide_by_row_where_ids_are_null_or_repeat(spark):
     assert len(got) == len(groups) == len({naive_fingerprint(x.text or "") for x in got}) == 6
     assert {(x.doc_id, x.text) for x in got if x.text} - {(9, passage), (9, passage + " ")} == {(None, a), (3, b), (2, c), (3, d)}
     assert [x.doc_id for x in got if not x.text] == [None]
+
+
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_mixing_fills_past_a_dominating_document_and_splits_equal_rows(spark, null_ids):
+    # Source a is wanted 1.5 times: a long document in it must not keep the short ones out.
+    of = lambda s, n, size, at: [(None if null_ids else at + i, s, "w " * size) for i in range(n)]
+    rows = []
+    for k, s in enumerate("abcdef"):
+        rows += of(s, 100, 100, 1000 * k) + of(s, 1, 10_000, 1000 * k + 500)
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    want = {s: 0 for s in "abcdef"}
+    taken = dict(want)
+    for r in got:
+        want[r.source] = r.target
+        taken[r.source] += r.taken
+        assert len(r.shards) == r.copies and r.taken == r.copies * r["size"]
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 100, (s, taken[s], want[s])
+
+
+def test_mixing_misses_no_source_by_more_than_its_least_document_left_out(spark, docs):
+    got = mixing.plan(docs).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        whole = min(3, int(own[0].target / own[0].source_size + 1e-9))
+        # Where the last document added was the only one left, the miss is under its size.
+        out = [r["size"] for r in own if r.copies == whole and r["size"] > 0] or [max(r["size"] for r in own)]
+        miss = abs(sum(r.taken for r in own) - own[0].target)
+        assert miss < min(out) or whole == 3 and miss < 1, s

@@ -95,12 +95,75 @@ def _block(u: Column, bits: int) -> Column:
     return F.shiftrightunsigned(u, 64 - bits)
 
 
+def _gone(picks: Column, me: Column) -> Column:
+    """Whether the picks of a source take all rows equal to ``me``: before an end, or as many at an end as there are."""
+    before = F.exists(picks, lambda p: (F.col("size") <= p["cap"]) & (me < p["low"]))
+    return F.coalesce(before, F.lit(False)) | ((_at_end(picks, me, "t") > 0) & (_at_end(picks, me, "t") >= _at_end(picks, me, "m", F.greatest)))
+
+
+def _at_end(picks: Column, me: Column, field: str, join=lambda a, x: a + x) -> Column:
+    own = F.filter(picks, lambda p: p["low"] == me)
+    return F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda a, p: join(a, p[field])), F.lit(0))
+
+
+def _pick(cap: Column, low: Column, t: Column, m: Column) -> Column:
+    long = lambda x: x.cast("long")
+    return F.struct(long(cap).alias("cap"), low.alias("low"), long(t).alias("t"), long(m).alias("m"))
+
+
+def _run_up(rows: DataFrame, room: Column) -> DataFrame:
+    """(source, block, last, got) of the rows of a block that fit in ``room`` by hash, up to the first that does not; last: me, t of m equal rows."""
+    inner, equal = Window.partitionBy("source", "block").orderBy("u", "id", "size"), Window.partitionBy("source", "block", "u", "id", "size")
+    cut = rows.withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumn("t", F.row_number().over(equal.orderBy("upto"))).withColumn("m", F.count("*").over(equal)).where(F.col("upto") <= room)
+    last = F.struct(F.struct("block", "u", "id", "size").alias("me"), "t", "m")
+    return cut.groupBy("source", "block").agg(F.max(last).alias("last"), F.max("upto").alias("got"))
+
+
+def fill(left: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (s, gap, picks, ...) with picks added until what stays open of a source is less than the smallest row left out.
+
+    Each round takes rows of ``left`` (source, block, u, id, size) of at most half the gap, by block and
+    hash until one does not fit; the gap halves or such rows run out, so rounds are few. Then one row
+    that fills best is added. All sources go through a round at once.
+    """
+    me, mine = F.struct("block", "u", "id", "size"), F.col("source").eqNullSafe(F.col("s"))
+    none = F.lit(None).cast(left.schema["id"].dataType)
+    # Places after all blocks, and before all rows of a block.
+    place = lambda block, u: F.struct(block.cast("long").alias("block"), F.lit(u).cast("long").alias("u"), none.alias("id"), F.lit(0).cast("long").alias("size"))
+    while True:
+        free = left.join(state, mine).where(~_gone(F.col("picks"), me))
+        some = free.where(F.col("size") <= F.col("gap") / 2)
+        sums = materialise(some.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("gap").alias("gap")), "fill", FILES)
+        if sums.isEmpty():
+            break
+        upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("block")))
+        over = F.col("upto") > F.col("gap")
+        edges = upto.groupBy(F.col("source").alias("s1")).agg(F.min(F.when(over, F.col("block"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("before"))
+        edges = materialise(edges, "fill", FILES)
+        inside = some.join(edges, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("edge")))
+        ends = _run_up(inside.select("source", "block", "u", "id", "size", (F.col("gap") - F.col("before")).alias("room")), F.col("room"))
+        ends = ends.select(F.col("source").alias("s2"), "last", "got")
+        low = F.when(F.col("edge").isNull(), place(F.lit(1 << 62), 0)).when(F.col("last").isNull(), place(F.col("edge"), -(1 << 63))).otherwise(F.col("last.me"))
+        pick = _pick(F.floor(F.col("gap") / 2), low, F.coalesce("last.t", F.lit(0)), F.coalesce("last.m", F.lit(0)))
+        now = state.join(edges, F.col("s").eqNullSafe(F.col("s1")), "left").join(ends, F.col("s").eqNullSafe(F.col("s2")), "left")
+        now = now.withColumn("picks", F.when(F.col("before").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(pick))))
+        state = materialise(now.withColumn("gap", F.col("gap") - F.coalesce("before", F.lit(0)) - F.coalesce("got", F.lit(0))).select(state.columns), "fill", FILES)
+    miss = F.abs(F.col("gap") - F.col("size"))
+    best = free.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("d"), me.alias("me"))).alias("best"))
+    best = materialise(best.select(F.col("source").alias("s1"), F.col("best.me").alias("me")), "fill", FILES)
+    equal = left.join(best, F.col("source").eqNullSafe(F.col("s1")) & (me == F.col("me"))).groupBy("s1", "me").agg(F.count("*").alias("m"))
+    now = state.join(equal, F.col("s").eqNullSafe(F.col("s1")), "left")
+    last = F.when(F.col("m").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(_pick(F.lit(-1), F.col("me"), F.lit(1), F.col("m")))))
+    return materialise(now.withColumn("picks", last).select(state.columns), "fill", FILES)
+
+
 def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, most: int = MOST, shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, taken, copies, shards, and the carried columns (as c_<name>).
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the text, 0 for null. copies: how often the mix takes the row, at
     most ``most`` times, 0 where it is left out; shards: the output shard of each copy. A source's taken
-    words miss its target by less than its documents can fill. The choice depends on ids, sizes and the seed only,
+    words miss its target by less than the smallest document left out before the last one was added. The choice depends on ids, sizes and the seed only,
     so reruns agree; rows that repeat in all of these are interchangeable. Null sources are one source,
     the last. An empty table gives an empty plan; sources without words have target 0.
     """
@@ -138,33 +201,41 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     info = materialise(known.join(placed, ["rank", "block"], "left").select("source", "block", "source_size", "target", "whole", "part", "open", "shards"), "plan", FILES)
     # In a source's one partly taken block, documents go by their hash while they fit.
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    me = F.struct("u", "id", "size")
+    me = F.struct("block", "u", "id", "size")
     info = info.withColumnsRenamed({"source": "s", "block": "b"})
     small = slim.withColumn("block", _block(F.col("u"), bits))
-    inner = Window.partitionBy("source", "block").orderBy("u", "id", "size")
-    cut = small.join(info.where("part = 2").select("s", "b", "open"), same)
-    cut = cut.withColumn("upto", F.sum("size").over(inner)).where("upto <= open")
-    last = cut.groupBy("source", "block").agg(F.max(me).alias("last"), F.max("upto").alias("got"))
-    edge = materialise(info.join(last, same, "left").drop("source", "block"), "edge", FILES)
-    # One more document of the source, that which best fills what is still open, rides in the same draw.
-    gap = F.col("open") - F.coalesce("got", F.lit(0))
-    gaps = edge.where("part = 2").select(F.col("s").alias("s2"), gap.alias("gap"), F.element_at("shards", -1).alias("fill_shard"))
-    edge = edge.join(gaps, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
-    before = F.coalesce(me <= F.col("last"), F.lit(False))
-    left_out = (F.col("part") == 0) | ((F.col("part") == 2) & ~before)
-    fits = small.join(edge, same).where(left_out & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    fill = fits.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), me.alias("me"))).alias("fill"))
-    edge = materialise(edge.join(fill.select(F.col("source").alias("s2"), F.col("fill.me").alias("fill")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"), "edge", FILES)
+    edge = info.where("part = 2").select("s", "b", "open", F.element_at("shards", -1).alias("fill_shard"))
+    last = _run_up(small.join(edge, same), F.col("open")).withColumnsRenamed({"source": "s1", "block": "b1"})
+    first = F.when(F.col("last").isNull(), F.array()).otherwise(F.array(_pick(F.lit((1 << 63) - 1), F.col("last.me"), F.col("last.t"), F.col("last.m"))))
+    state = edge.join(last, F.col("s").eqNullSafe(F.col("s1")), "left").select("s", "fill_shard", (F.col("open") - F.coalesce("got", F.lit(0))).alias("gap"), first.alias("picks"))
+    state = materialise(state, "edge", FILES)
+    # What is still open is filled from the rest of the source, past what does not fit; this rides in the same draw.
+    parts = info.where("part <> 1").select(F.col("s").alias("s1"), "b")
+    left = small.join(parts, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b"))).join(state, F.col("source").eqNullSafe(F.col("s")))
+    left = left.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~_gone(F.col("picks"), me)).select("source", "block", "u", "id", "size")
+    state = fill(materialise(left, "left"), state).select(F.col("s").alias("s2"), "fill_shard", "picks")
     base = (rows if carry else slim).withColumn("block", _block(F.col("u"), bits))
-    met = base.join(edge, same)
-    filler = left_out & F.coalesce(me == F.col("fill"), F.lit(False))
-    copies = F.col("whole") + F.when((F.col("part") == 1) | ((F.col("part") == 2) & before) | filler, 1).otherwise(0)
-    own = F.slice(F.coalesce("shards", F.array().cast("array<bigint>")), F.lit(1), F.when(filler, F.col("whole")).otherwise(F.col("copies")))
-    out = met.withColumn("copies", copies)
-    return out.select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
-        F.when(filler, F.concat(own, F.array("fill_shard"))).otherwise(own).alias("shards"), *(f"c_{c}" for c in carry),
-    )
+    met = base.join(info, same).join(state, F.col("source").eqNullSafe(F.col("s2")), "left")
+    gone = (F.col("part") == 1) | _gone(F.col("picks"), me)
+    few = _at_end(F.col("picks"), me, "t")
+
+    def placed_rows(met: DataFrame, taken: Column) -> DataFrame:
+        out = met.withColumn("taken_again", taken.cast("int")).withColumn("copies", F.col("whole") + F.col("taken_again"))
+        own = F.coalesce("shards", F.array().cast("array<bigint>"))
+        rides = (F.col("part") == 0) & (F.col("taken_again") == 1)
+        shards_of = F.when(rides, F.concat(F.slice(own, F.lit(1), F.col("whole")), F.array("fill_shard"))).otherwise(F.slice(own, F.lit(1), F.col("copies")))
+        return out.select(
+            F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
+            shards_of.alias("shards"), *(f"c_{c}" for c in carry),
+        )
+
+    # Equal rows of which some are taken are told apart by a row number; only they are dealt out for it.
+    torn = state.select("s2", F.explode("picks").alias("p")).groupBy("s2", "p.low").agg(F.sum("p.t").alias("t"), F.max("p.m").alias("m")).where("0 < t and t < m")
+    if torn.isEmpty():
+        return placed_rows(met, gone)
+    number = F.row_number().over(Window.partitionBy("source", "block", "u", "id", "size").orderBy("part"))
+    some = (few > 0) & ~gone
+    return placed_rows(met.where(~some), gone).unionByName(placed_rows(met.where(some).withColumn("number", number), F.col("number") <= few))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
