@@ -540,3 +540,21 @@ def test_mixing_misses_no_source_by_more_than_its_least_document_left_out(spark,
         out = [r["size"] for r in own if r.copies == whole and r["size"] > 0] or [max(r["size"] for r in own)]
         miss = abs(sum(r.taken for r in own) - own[0].target)
         assert miss < min(out) or whole == 3 and miss < 1, s
+
+
+@pytest.mark.parametrize("slop", [3, 100])
+def test_proximity_positions_equal_brute_force(spark, slop):
+    r = random.Random(9)
+    docs = [(i, " ".join(r.choice("ab" + "x" * (2 if slop < 9 else 90)) for _ in range(150))) for i in range(40)] + [(90, "b a a"), (91, "a" + " x" * 98 + " b"), (92, "a" + " x" * 99 + " b"), (93, "a"), (94, "b")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    n = {t: sum(d.split().count(t) for _, d in docs) for t in "ab"}
+    rare = min("ab", key=lambda t: (n[t], t))
+    want = set()
+    for i, t in docs:
+        ws = t.split()
+        for p in range(len(ws)):
+            if {"a", "b"} <= set(ws[p : p + slop]):
+                want |= {(i, q) for q in range(p, min(p + slop, len(ws))) if ws[q] == rare}
+    for parts in (1, 7):
+        got = [(x.doc_id, x.position) for x in decontaminate.proximity_search(decontaminate.build_index(table.repartition(parts)), ["a b"], slop).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -134,26 +134,28 @@ class _Lists:
         return at
 
     def near(self, terms: Sequence[int], slop: int) -> np.ndarray:
-        """Ascending positions of the rarest term for which all terms lie within some ``slop`` consecutive words.
+        """Ascending positions of the first term inside some ``slop`` consecutive words of a document that hold all terms.
 
-        Every such stretch begins at an occurrence of some term; for each term as the first one, the
-        nearest later occurrence of all others has to come within the stretch.
+        Every such stretch can begin at an occurrence of some term; for each term as the first one, the
+        nearest later occurrence of all others has to come within the stretch and the document.
         """
         lists = [self.of(t) for t in terms]
         if any(not len(x) for x in lists):
             return np.zeros(0, np.int64)
-        rare = min(lists, key=len)
-        hits = []
+        told = lists[0]
+        inside = np.zeros(len(told) + 1, np.int64)
         for begin in lists:
             last = begin
             for x in lists:
                 i = np.searchsorted(x, begin)
                 nxt = np.where(i < len(x), x[np.minimum(i, len(x) - 1)], np.iinfo(np.int64).max // 2)
                 last = np.maximum(last, nxt)
-            ok = last - begin < slop
-            i = np.searchsorted(rare, begin[ok])
-            hits.append(rare[np.minimum(i, len(rare) - 1)])
-        return np.unique(np.concatenate(hits))
+            d = np.searchsorted(self.starts, begin, "right") - 1
+            end = np.minimum(begin + slop, self.starts[d] + self.sizes[d])
+            ok = last < end
+            np.add.at(inside, np.searchsorted(told, begin[ok]), 1)
+            np.add.at(inside, np.searchsorted(told, end[ok]), -1)
+        return told[np.cumsum(inside[:-1]) > 0]
 
 
 class Windows:
@@ -262,14 +264,30 @@ def phrase_search(index: DataFrame, phrases: Sequence[str], id_col: str = "doc_i
 
 
 def proximity_search(index: DataFrame, queries: Sequence[str], slop: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, phrase, position) of the queries' rarest term where all terms lie within ``slop`` words, in any order."""
-    return _lookup(index, queries, id_col, min(slop, GAP))
+    """(id, phrase, position) of every occurrence of a query's rarest term inside ``slop`` words of a document that hold all terms, in any order.
+
+    The rarest term is that of the whole index, of equally rare ones the first by bytes.
+    """
+    return _lookup(index, queries, id_col, slop)
+
+
+def _counts(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
+    """Occurrences of the terms in the whole index, by term number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = _Lists(row, vocabulary).count
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["term", "n"])
+
+    return {t: int(n) for t, n in index.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
 
 
 def _lookup(index: DataFrame, phrases: Sequence[str], id_col: str, slop: int | None) -> DataFrame:
     words = [alnum_words(p) for p in phrases]
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     key_type = index.schema["ids"].dataType.elementType.simpleString()
+    total = {} if slop is None else _counts(index, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +297,7 @@ def _lookup(index: DataFrame, phrases: Sequence[str], id_col: str, slop: int | N
                     terms = np.array([vocabulary[w] for w in ws], np.int64)
                     if not len(terms):
                         continue
-                    at = lists.phrase(terms) if slop is None else lists.near(sorted(set(terms.tolist())), slop)
+                    at = lists.phrase(terms) if slop is None else lists.near(sorted(set(terms.tolist()), key=lambda t: (total[t], t)), slop)
                     d = np.searchsorted(lists.starts, at, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array([row["ids"][i] for i in d.tolist()], batch.schema.field(0).type.value_type), pa.array([phrase] * len(at), pa.string()), pa.array(at - lists.starts[d])], names=[id_col, "phrase", "position"])
 
