@@ -558,3 +558,19 @@ def test_proximity_positions_equal_brute_force(spark, slop):
     for parts in (1, 7):
         got = [(x.doc_id, x.position) for x in decontaminate.proximity_search(decontaminate.build_index(table.repartition(parts)), ["a b"], slop).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("module", [pii, secrets])
+def test_field_decodes_texts_with_more_distinct_words_than_it_remembers(module, monkeypatch):
+    model = module.default_model()
+    rows = module.labelled_rows(seed=98, n=200)
+    words = [w for i, (ws, _, _) in enumerate(rows) for w in (*ws, f"name{i}x=value")]
+    files = [(words, rows[0][2]), ([], ()), (words[7:300], ())]
+    model.reset()
+    want = model.decode(files)
+    assert len(want[0]) > 50
+    for cache in (3, 10, 64):
+        monkeypatch.setattr(crf, "WORD_CACHE", cache)
+        model.reset()
+        assert model.decode(files) == want
+    model.reset()

@@ -19,7 +19,7 @@ import numpy as np
 OUTSIDE = 0
 PUNCT = "\"'`.,;:!?()[]{}<>"
 ROLES = ("0", "-1", "-2", "+1")
-#: Distinct words whose row is remembered per worker; the memory is emptied beyond it, which costs time only.
+#: Distinct words and rows that are remembered per worker; between pieces of half as many words the memory is emptied, which costs time only.
 WORD_CACHE = 400_000
 
 _RUNS = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_A-Z]+"), "a"))
@@ -83,7 +83,7 @@ class Model:
         self.__init__(*state)
 
     def reset(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[str | None, int] = {None: 0}
         self.rows: dict[tuple[str, ...], int] = {}
         self.plain: dict[str, int] = {}
         self.score = {r: np.zeros((1024, len(self.labels)), np.float64) for r in ROLES}
@@ -111,8 +111,7 @@ class Model:
     def lookup(self, word: str) -> int:
         if len(self.words) >= WORD_CACHE:
             self.words.clear()
-        if len(self.rows) >= WORD_CACHE:
-            self.reset()
+            self.words[None] = 0
         # Most words are plain and not in the lexicon: their features are those of all such words.
         end = word[-1] if word[-1] in PUNCT else ""
         core = word[:-1] if end else word
@@ -143,44 +142,52 @@ class Model:
         return out
 
     def _decode(self, chunk, out) -> None:
-        if len(self.rows) >= WORD_CACHE // 2:
-            self.reset()
-        get, look, ids, starts = self.words.get, self.lookup, [0, 0], []
-        epoch = self.rows
+        flat, starts = [None, None], []  # None stands for what lies beyond a file's ends
         for _, words, _ in chunk:
-            starts.append(len(ids))
-            for w in words:
-                at = get(w)
-                ids.append(look(w) if at is None else at)
-            if self.rows is not epoch:  # tables were emptied on the way: begin again with fresh ones
-                return self._decode(chunk, out)
-            ids += (0, 0)
-        v = np.array(ids, np.int64)
+            starts.append(len(flat))
+            flat += words
+            flat += (None, None)
         starts = np.array(starts)
-        files = np.searchsorted(starts, np.arange(len(v)), "right") - 1
         extra = np.stack([s for _, _, s in chunk])
         most = (extra - extra[:, :1])[:, 1:].max(1)
-        b = self.bound["0"][v]
-        b[1:] += self.bound["-1"][v[:-1]]
-        b[2:] += self.bound["-2"][v[:-2]]
-        b[:-1] += self.bound["+1"][v[1:]]
-        b += np.where(files >= 0, most[files], 0)
-        open_ = np.flatnonzero(b >= -1e-9)
+        size = max(WORD_CACHE // 2, 1)
+        found = [self._open(flat, at, min(at + size, len(flat)), starts, extra, most) for at in range(0, len(flat), size)]
+        open_, e = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(open_):
             return None
-        e = self.score["0"][v[open_]] + self.score["-1"][v[open_ - 1]] + self.score["-2"][v[open_ - 2]]
-        e += self.score["+1"][v[open_ + 1]] + extra[files[open_]]
         first = np.flatnonzero(np.diff(open_, prepend=-9) != 1)
         length = np.diff(first, append=len(open_))
         tags = np.zeros(len(open_), np.int64)
         for n in np.unique(length):
             at = first[length == n][:, None] + np.arange(n)
             tags[at] = viterbi(e[at], self.move)
-        for p, t in zip(open_[tags > 0].tolist(), tags[tags > 0].tolist(), strict=True):
-            f = files[p]
+        at = open_[tags > 0]
+        files = np.searchsorted(starts, at, "right") - 1
+        for p, t, f in zip(at.tolist(), tags[tags > 0].tolist(), files.tolist(), strict=True):
             out[chunk[f][0]].append((p - int(starts[f]), t))
         return None
 
+    def _open(self, flat, low: int, high: int, starts, extra, most) -> tuple[np.ndarray, np.ndarray]:
+        """Positions from ``low`` to ``high`` that may be other than outside, and their emissions; only here tables are emptied."""
+        if len(self.rows) >= WORD_CACHE // 2:
+            self.reset()
+        before = min(low, 2)
+        get, look, ids = self.words.get, self.lookup, []
+        for w in flat[low - before : high + 1]:
+            at = get(w)
+            ids.append(look(w) if at is None else at)
+        v = np.array(ids, np.int64)
+        files = np.searchsorted(starts, np.arange(low - before, low - before + len(v)), "right") - 1
+        b = self.bound["0"][v]
+        b[1:] += self.bound["-1"][v[:-1]]
+        b[2:] += self.bound["-2"][v[:-2]]
+        b[:-1] += self.bound["+1"][v[1:]]
+        b += np.where(files >= 0, most[files], 0)
+        own = np.flatnonzero(b[before : high - low + before] >= -1e-9) + before
+        e = self.score["0"][v[own]] + self.score["-1"][v[own - 1]] + self.score["-2"][v[own - 2]]
+        e += self.score["+1"][v[np.minimum(own + 1, len(v) - 1)]] + extra[files[own]]
+        return own + low - before, e
+
 
 def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Best labels (n, t) for emissions (n, t, k) of pieces that have outside on both sides."""
