@@ -574,3 +574,12 @@ def test_field_decodes_texts_with_more_distinct_words_than_it_remembers(module,
         model.reset()
         assert model.decode(files) == want
     model.reset()
+
+
+def test_secrets_without_digits_or_letters_count_after_a_spoken_cue(spark):
+    rows = [(1, "Authorization: Bearer abcdEFGHijklMNOPqrst next"), (3, "the password is wonderful today")]
+    got = {r.doc_id: [f.value for f in r.found if f.kind == "crf"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["abcdEFGHijklMNOPqrst"], 3: []}
+    for text, ok in (("pwd was 83749201837465", True), ("pwd was once 83749201837465", False), ("83749201837465", False), ("token: \"83749201837465\"", True), ("key 1234567", False)):
+        at = re.search("[0-9]+", text)
+        assert secrets.accept(text, ("crf", at.start(), at.end())) == ok, text

@@ -19,6 +19,8 @@ MAX_LABELLED = 2_000
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUE = re.compile(r"(?ai:passw|secret|token|api_?key)")
+#: Words after which, or one word later, a secret may be spoken of.
+_SPOKEN = re.compile(r"(?ai:passw(or)?d|passphrase|pwd|secret|token|key|credential|bearer)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
@@ -53,10 +55,25 @@ def file_features(text: str) -> list[str]:
     return out
 
 
+def spoken(text: str, start: int) -> bool:
+    """Whether one of the two words before the word at ``start`` holds a cue."""
+    while start and not text[start - 1].isspace():
+        start -= 1
+    for _ in range(2):
+        while start and text[start - 1].isspace():
+            start -= 1
+        end = start
+        while start and not text[start - 1].isspace():
+            start -= 1
+        if _SPOKEN.search(text, start, end):
+            return True
+    return False
+
+
 def accept(text: str, span: spans.Span) -> bool:
     """A secret is a word of eight or more characters with a digit and a letter, or one after a spoken cue."""
     value = text[span[1] : span[2]]
-    return len(value) >= 8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return len(value) >= 8 and (any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or spoken(text, span[1]))
 
 
 def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[str], list[str]]]:
