@@ -583,3 +583,16 @@ def test_secrets_without_digits_or_letters_count_after_a_spoken_cue(spark):
     for text, ok in (("pwd was 83749201837465", True), ("pwd was once 83749201837465", False), ("83749201837465", False), ("token: \"83749201837465\"", True), ("key 1234567", False)):
         at = re.search("[0-9]+", text)
         assert secrets.accept(text, ("crf", at.start(), at.end())) == ok, text
+
+
+def test_sstable_ids_beyond_16_bits_are_kept(spark, docs):
+    import io
+
+    from tokenizers import Tokenizer, models
+
+    manifest = sstable.write_shards(docs.limit(20), sstable.default_tokenizer(), sstable.new_path(spark, "t"), end_id=70_000)
+    assert {r.ids[-1] for r in sstable.read_shards(manifest, with_ids=True).collect()} == {70_000}
+    large = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0")).to_str()
+    assert sstable.needs_wide(large, 2) and not sstable.needs_wide(open(sstable.default_tokenizer(), encoding="utf-8").read(), 2)
+    with pytest.raises(ValueError, match="16 bits"):
+        sstable.Writer(io.BytesIO(), wide=False).add(sstable.encode_key(1), np.array([1 << 16], np.uint32))

@@ -124,6 +124,8 @@ class Writer:
         if not self.entries:
             self.first, self.last, self.before = key, b"", self.tokens
         shared = len(os.path.commonprefix([self.last, key]))
+        if not self.wide and len(ids) and ids.max() > 0xFFFF:
+            raise ValueError("an id does not fit in 16 bits")
         value = ids.astype("<u4" if self.wide else "<u2").tobytes()
         head = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
         self.block += (head, value)
@@ -302,18 +304,27 @@ def encoder_of(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def needs_wide(definition: str, end_id: int) -> bool:
+    """Whether an id of the tokenizer, or ``end_id``, does not fit in 16 bits."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_str(definition).get_vocab().values(), 0) > 0xFFFF
+
+
+def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, wide: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them as shards in key order; returns the manifest, one row per shard.
 
     Documents are dealt by range of their id, nulls first, and sorted within a range, repeated ids by
     text; each task writes one file under a name of its own attempt. Only files that the manifest names
     count, so a task that is run again or twice leaves no trace in the result. A null text is empty;
-    further columns are ignored; an empty table gives an empty manifest.
+    further columns are ignored; an empty table gives an empty manifest. Ids take 32 bits where ``wide``
+    says so or, unless given, where the vocabulary or ``end_id`` goes beyond 16.
     """
     slim = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
     dealt = slim.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", "t")
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
+    wide = needs_wide(definition, end_id) if wide is None else wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
