@@ -33,23 +33,34 @@ def let(value: Column, body) -> Column:
 
 
 def repeated_words(ws: Column) -> Column:
-    """Words that lie in a window of three words found twice or more, the first one included.
+    """Words that lie in a window of three words found twice or more, the first one included; exact at any length.
 
     Each window is a 64-bit hash whose low bits give way to its position (as many as the text's length
-    needs); sorted, equal windows are neighbours, so a text costs n log n. Two different windows of one
-    text are taken for equal with a chance of about n^3 / 2^64.
+    needs); sorted, equal windows are neighbours, so windows that may be repeated are found in n log n.
+    Only these are written out as words, sorted, and compared, so equal hashes of different windows
+    count for nothing.
     """
     n = F.size(ws)
+    none = F.lit(-1).cast("long")
 
-    def body(room: Column) -> Column:
+    def maybe(room: Column) -> Column:
         keys = F.sort_array(F.transform(F.slice(ws, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).bitwiseAND(-room).bitwiseOR(i.cast("long"))))
         same = lambda a, b: F.coalesce(a.bitwiseXOR(b).bitwiseAND(-room) == 0, F.lit(False))
-        starts = lambda k: F.sort_array(F.filter(F.transform(k, lambda x, j: F.when(same(x, F.get(k, j - 1)) | same(x, F.get(k, j + 1)), x.bitwiseAND(room - 1)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0))
+        return let(keys, lambda k: F.filter(F.transform(k, lambda x, j: F.when(same(x, F.get(k, j - 1)) | same(x, F.get(k, j + 1)), x.bitwiseAND(room - 1)).otherwise(none)), lambda x: x >= 0))
+
+    def repeated(found: Column) -> Column:
+        at = lambda p, k: F.get(ws, (p + k).cast("int"))
+        windows = F.sort_array(F.transform(found, lambda p: F.struct(F.concat_ws(" ", at(p, 0), at(p, 1), at(p, 2)).alias("w"), p.alias("p"))))
+        same = lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))
+        return let(windows, lambda k: F.sort_array(F.filter(F.transform(k, lambda x, j: F.when(same(x, F.get(k, j - 1)) | same(x, F.get(k, j + 1)), x["p"]).otherwise(none)), lambda x: x >= 0)))
+
+    def covered(starts: Column) -> Column:
         start = F.struct(F.lit(-3).cast("long").alias("p"), F.lit(0).cast("long").alias("s"))
-        return let(keys, lambda k: F.aggregate(starts(k), start, lambda a, x: F.struct(x.alias("p"), (a["s"] + F.least(F.lit(3).cast("long"), x - a["p"])).alias("s")), lambda a: a["s"]))
+        return F.aggregate(starts, start, lambda a, x: F.struct(x.alias("p"), (a["s"] + F.least(F.lit(3).cast("long"), x - a["p"])).alias("s")), lambda a: a["s"])
 
+    zero = F.lit(0).cast("long")
     room = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")))), F.lit(2.0)).cast("long")
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(room, body))
+    return F.when(n < 3, zero).otherwise(let(room, lambda r: let(maybe(r), lambda c: F.when(F.size(c) == 0, zero).otherwise(covered(repeated(c))))))
 
 
 def measures(text: Column) -> Column:
@@ -122,7 +133,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows. kept: false
     for those, else the cascade's verdict. A null text is an empty one; repeated rows and null ids each
-    give their own row; further columns are ignored, also such as are named like the results.
+    give their own row; further columns are ignored, also such as are named like the results. As the
+    measures are part of the result they are taken of every row; the cascade's order saves work only
+    on rules that look at the text again.
     """
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     measured = slim.withColumn("_m", measures(F.col("_text"))).select("_id", "_text", "_m.*")
