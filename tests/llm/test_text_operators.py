@@ -395,11 +395,54 @@ def test_toxicity_held_out_accuracy_and_inputs(spark, odd):
 
 
 def test_risk_estimator_falls_back_when_it_turns_negative():
-    pos, unl = [b"bad x"] * 40, [b"bad x"] * 10 + [b"fine x"] * 90
-    m = toxicity.train(pos, unl, 0.1)
+    names = [b"bad", b"x", b"fine"]
+    pos, unl = [np.array([0, 1])] * 40, [np.array([0, 1])] * 10 + [np.array([1, 2])] * 90
+    m = toxicity.train(pos, unl, names, 0.1)
     assert m.score("bad") > 0.5 > m.score("fine") and m.score(None) == m.score("")
 
 
+def test_risk_and_its_gradient_are_those_of_the_definition():
+    r = np.random.default_rng(1)
+    for prior in (0.05, 0.3, 0.9):
+        n, m, k = 7, 11, 5
+        x = r.random((n + m, k)) < 0.4
+        at, cols = np.nonzero(x)
+        w = r.normal(size=k + 1)
+
+        def parts(w, x=x, n=n, prior=prior):
+            z = x @ w[:-1] + w[-1]
+            loss = lambda z, y: np.log1p(np.exp(-y * z)).mean()
+            return prior * loss(z[:n], 1), loss(z[n:], -1) - prior * loss(z[:n], -1)
+
+        value, bracket, grad = toxicity.risk(w, cols, at, n, m, prior)
+        plus, want = parts(w)
+        assert bracket == pytest.approx(want) and value == pytest.approx(plus + max(0, want))
+        goal = (lambda w: sum(parts(w))) if bracket >= 0 else (lambda w: -parts(w)[1])
+        for i in range(k + 1):
+            d = np.eye(k + 1)[i] * 1e-6
+            assert grad[i] == pytest.approx((goal(w + d) - goal(w - d)) / 2e-6, abs=1e-6)
+    assert toxicity.risk(np.array([9.0, -3.0]), np.array([0, 0]), np.array([0, 1]), 2, 2, 0.9)[1] < 0
+
+
+def test_toxicity_learns_the_same_where_one_id_repeats(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    first = docs.where(toxicity.learnable(F.col("doc_id"))).orderBy(F.xxhash64(F.lit("draw"), "doc_id")).limit(1)
+    more = docs.unionByName(first.crossJoin(spark.range(20_000)).drop("id"))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(more, labels)
+    assert a.weights == b.weights and a.bias == b.bias and len(a.weights) > 20
+
+
+def test_toxicity_reads_whole_long_texts_and_texts_of_each_id(spark):
+    r = random.Random(3)
+    fill = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    rows = [(i, ("vile " if i % 2 else "") + fill(5)) for i in range(400)] + [(1001, fill(60_000) + " vile"), (1002, "vile " + fill(60_000)), (1003, fill(60_000)), (1004, "")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[1001].predicted == got[1002].predicted == 1 and got[1003].predicted == got[1004].predicted == 0
+    assert got[1001].score == got[1002].score and got[1003].score == got[1004].score
+
+
 def naive_hits(ws, items, size=13):
     hit, found = set(), set()
     for key, it in items.items():

@@ -7,26 +7,25 @@ the bracket falls under zero in a batch, the step goes against it (Kiryo et al.,
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table, utf8
+from .common import digest, materialise, sliced, table, utf8
 
-#: Bounds of the training sample: confirmed toxic documents and unlabelled ones, the first by a hash of the id.
+#: Bounds of the training sample: confirmed toxic documents and unlabelled ones, by a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
+#: Ranges of the hash of which each gives one unlabelled id at most, however often ids repeat.
+DRAW_RANGES = 1 << 16
 #: Bound of the vocabulary: words with the largest lift among those in at least MIN_DOCS positive documents.
-MAX_WORDS, MIN_DOCS = 4_096, 5
-#: Bound of the labelled rows from which the class prior is counted.
-MAX_PRIOR = 200_000
+MAX_WORDS, MIN_DOCS, MIN_LIFT = 4_096, 5, 3.0
+#: Words that a task counts before it hands the counts on.
+COUNT_WORDS = 100_000
 THRESHOLD = 0.3
-#: Most words of a document that count for learning, spread evenly over its whole length; scoring reads all.
-LEARN_WORDS = 20_000
 
 # ASCII letters in lower case, digits and bytes of other scripts stay; all else separates words.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256))
@@ -54,40 +53,49 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def select_words(positive: list[bytes], unlabelled: list[bytes]) -> list[bytes]:
-    """Words whose share among positives is above that among the unlabelled by the most standard errors."""
-    p = Counter(w for d in positive for w in d.split())
-    p = Counter({w: k for w, k in p.items() if k >= MIN_DOCS})
-    u = Counter(w for d in unlabelled for w in d.split() if w in p)
-    n, m = max(len(positive), 1), max(len(unlabelled), 1)
+def risk(w: np.ndarray, cols: np.ndarray, at: np.ndarray, n: int, m: int, prior: float) -> tuple[float, float, np.ndarray]:
+    """(estimate of the risk, the bracket that must not be negative, gradient of the step) for one batch.
 
-    def lift(w: bytes) -> float:
-        a, b = p[w] / n, u[w] / m
-        both = (p[w] + u[w]) / (n + m)
-        return (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
-
-    some = [(lift(w), w) for w in p]
-    return [w for z, w in sorted(some, key=lambda x: (-x[0], x[1]))[:MAX_WORDS] if z > 3]
-
-
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: int = 60, rate: float = 0.05, l1: float = 2e-3, batch: int = 2_048, seed: int = 3) -> Classifier:
-    """nnPU with the logistic loss on word presence; Adam over batches that mix both samples, with a falling rate; the last third is averaged.
-
-    Documents come as their distinct words joined by spaces, and are split one at a time.
+    Rows 0 to n - 1 are positive, the next m unlabelled; row at[i] has word cols[i], and the last weight
+    is the bias. The estimate is prior * R(P, +) + max(0, bracket) with the bracket R(U, -) - prior * R(P, -)
+    and logistic losses. Where the bracket is negative the step goes up its own gradient instead.
+    """
+    z = np.bincount(at, w[cols], n + m) + w[-1]
+    s = 1 / (1 + np.exp(-z))
+    # log(1 + exp(z)) is the loss of calling a document clean, log(1 + exp(-z)) that of calling it toxic.
+    bracket = float(np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean())
+    value = prior * float(np.logaddexp(0, -z[:n]).mean()) + max(0.0, bracket)
+    g = np.zeros(n + m)
+    if bracket >= 0:
+        g[:n] = (prior * (s[:n] - 1) - prior * s[:n]) / n
+        g[n:] = s[n:] / m
+    else:
+        g[:n] = prior * s[:n] / n
+        g[n:] = -s[n:] / m
+    return value, bracket, np.append(np.bincount(cols, g[at], len(w) - 1), g.sum())
+
+
+def train(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], names: Sequence[bytes], prior: float, rounds: int = 60, rate: float = 0.05, l1: float = 2e-3, batch: int = 2_048, seed: int = 3, runs: int = 4) -> Classifier:
+    """nnPU with the logistic loss on word presence: the mean of ``runs`` fits with batches of their own.
+
+    A document is the numbers of its words among ``names``. Each fit goes by Adam over batches that mix
+    both samples, with a falling rate, and averages its last third.
     """
     prior = min(max(prior, 1e-4), 0.9)
     base = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    if not len(positive) or not len(unlabelled) or not len(names):
         return Classifier({}, base)
-    names = select_words(positive, unlabelled)
-    if not names:
-        return Classifier({}, base)
-    index = {w: i for i, w in enumerate(names)}
-    docs = [np.array(sorted(index[w] for w in d.split() if w in index), np.int64) for d in (*positive, *unlabelled)]
-    n, m = len(positive), len(unlabelled)
+    docs = [np.sort(np.asarray(d, np.int64)) for d in (*positive, *unlabelled)]
+    fits = [_descend(docs, len(positive), len(names), prior, rounds, rate, l1, batch, seed + k) for k in range(runs)]
+    w = np.mean(fits, 0)
+    return Classifier({x: float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
+
+
+def _descend(docs: Sequence[np.ndarray], n: int, words: int, prior: float, rounds: int, rate: float, l1: float, batch: int, seed: int) -> np.ndarray:
+    m = len(docs) - n
     r = np.random.default_rng(seed)
-    w = np.zeros(len(names) + 1)
-    w[-1] = base
+    w = np.zeros(words + 1)
+    w[-1] = np.log(prior / (1 - prior))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     steps = max(5, (n + m) // batch)  # small samples are gone through in as many steps
     step, mean, taken = 0, np.zeros_like(w), 0
@@ -99,21 +107,9 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
                 continue
             step += 1
             rows = np.concatenate([a, b])
-            cols = np.concatenate([docs[i] for i in rows] or [np.zeros(0, np.int64)])
+            cols = np.concatenate([docs[i] for i in rows])
             at = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
-            z = np.bincount(at, w[cols], len(rows)) + w[-1]
-            s = 1 / (1 + np.exp(-z))
-            own, rest = s[: len(a)], s[len(a) :]
-            # Means of log(1 + exp(z)), the loss of calling a document clean when it is not.
-            bracket = np.logaddexp(0, z[len(a) :]).mean() - prior * np.logaddexp(0, z[: len(a)]).mean()
-            g = np.zeros(len(rows))
-            if bracket >= 0:
-                g[: len(a)] = (prior * (own - 1) - prior * own) / len(a)
-                g[len(a) :] = rest / len(b)
-            else:
-                g[: len(a)] = prior * own / len(a)
-                g[len(a) :] = -rest / len(b)
-            grad = np.append(np.bincount(cols, g[at], len(names)), g.sum())
+            grad = risk(w, cols, at, len(a), len(b), prior)[2]
             m1 = 0.9 * m1 + 0.1 * grad
             m2 = 0.999 * m2 + 0.001 * grad * grad
             w -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -121,33 +117,73 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
         if 3 * k >= 2 * rounds:
             mean += w
             taken += 1
-    w = mean / taken
-    return Classifier({x: float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
+    return mean / max(taken, 1)
 
 
-def sample_words(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[list[bytes], list[bytes]]:
-    """Distinct words, joined, of the documents named by ``ids`` (id, positive): those of positives, and the others.
+def draw(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(positive, text): the training sample, one text for each drawn id, written out.
 
-    One pass over the texts; words are made on the executors. ``ids`` is bounded by its limits and so
-    broadcast; where ids repeat, at most twice both bounds come back.
+    Drawn are the MAX_POSITIVE first toxic ids by hash, and MAX_UNLABELLED ids that are each the first of
+    one of DRAW_RANGES ranges of another hash, so repeated ids count once and only the ranges' firsts
+    are gathered. Of several texts of an id the one with the least digest counts. Ids go to the tasks
+    as 64-bit hashes: 12,000 of them at most, whatever the type of the ids.
+    """
+    key = F.xxhash64(F.lit("toxicity"), id_col)
+    pos = labels.where("y = 1").select(key.alias("h")).orderBy("h").limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
+    mixed = F.xxhash64(F.lit("draw"), id_col)
+    firsts = docs.select(docs[id_col]).where(learnable(F.col(id_col))).groupBy(F.pmod(mixed, F.lit(DRAW_RANGES)).alias("part")).agg(F.min(F.struct(mixed.alias("m"), key.alias("h"))).alias("x"))
+    unl = firsts.orderBy(F.xxhash64("part"), "part").limit(MAX_UNLABELLED).select("x.h", F.lit(False).alias("positive"))
+    ids = materialise(pos.unionByName(unl), "drawn", 1)
+    slim = docs.select(key.alias("key"), docs[text_col].cast("string").alias("text")).where(learnable(docs[id_col]))
+    rows = slim.join(F.broadcast(ids), F.col("key") == F.col("h"))
+    mark = F.coalesce(digest(F.col("text")), F.lit(b""))
+    one = materialise(rows.groupBy("h", "positive").agg(F.min(F.struct(mark.alias("mark"), "text")).alias("x")).select("h", "positive", "x.text"), "sample")
+    return one
+
+
+def select_words(sample: DataFrame, n: int, m: int) -> list[bytes]:
+    """At most MAX_WORDS words whose share among the n positives is above that among the m unlabelled by the most standard errors.
+
+    Words are counted where the texts are; only counts move, and only the chosen words reach the driver.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, list[int]] = {}
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "p", "u"])
+
+        for batch in sliced(batches):
+            for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in words_of(text):
+                    counts.setdefault(w, [0, 0])[0 if positive else 1] += 1
+                if len(counts) >= COUNT_WORDS:
+                    yield emit()
+                    counts.clear()
+        yield emit()
+
+    n, m = max(n, 1), max(m, 1)
+    found = sample.select("positive", "text").mapInArrow(run, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= MIN_DOCS)
+    both = (F.col("p") + F.col("u")) / F.lit(float(n + m))
+    lift = (F.col("p") / F.lit(float(n)) - F.col("u") / F.lit(float(m))) / F.sqrt(both * (1 - both) * F.lit(1 / n + 1 / m) + F.lit(1e-12))
+    return [bytes(r.word) for r in found.withColumn("lift", lift).where(F.col("lift") > MIN_LIFT).orderBy(F.col("lift").desc(), "word").limit(MAX_WORDS).select("word").collect()]
+
+
+def word_numbers(sample: DataFrame, names: Sequence[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The numbers of the words of each sampled text: positives, and the others; at most 8 KB for a document, of whatever length."""
+    index = {w: i for i, w in enumerate(names)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = []
-            for text in batch.column(2).to_pylist():
-                own = sorted(words_of(text))
-                out.append(b" ".join(own[:: -(-len(own) // LEARN_WORDS) or 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "positive", "words"])
+            out = [np.array(sorted(index[w] for w in words_of(t) & index.keys()), "<u2").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["h", "positive", "at"])
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = slim.join(F.broadcast(ids), "id").select("id", "positive", "text")
-    got = rows.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, positive boolean, words binary").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
-    got = sorted((str(i), bytes(w), p) for i, p, w in got)
-    return [w for _, w, p in got if p], [w for _, w, p in got if not p]
+    got = sorted((h, bytes(at), p) for h, p, at in sample.select("h", "positive", "text").mapInArrow(run, "h long, positive boolean, at binary").collect())
+    own = [(p, np.frombuffer(at, "<u2")) for _, at, p in got]
+    return [x for p, x in own if p], [x for p, x in own if not p]
 
 
-def learnable(id_column) -> F.Column:
+def learnable(id_column: Column) -> Column:
     """Rows whose labels may be learned from: crc32 of the id as text leaves other than 2 by 4."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 != 2, F.lit(False))
 
@@ -155,21 +191,19 @@ def learnable(id_column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None) -> Classifier:
     """Fit from labels of learnable rows only.
 
-    The class prior is the share of toxic rows among MAX_PRIOR learnable labels unless given. Unlabelled
-    text is drawn from all learnable documents without looking at their labels. Both samples are the
-    first by a hash of the id, so reruns agree and the sample is the same at every cluster size.
+    The class prior is the share of toxic ids among all learnable labels unless given. Unlabelled text
+    is drawn from all learnable documents without looking at their labels. Reruns agree and the
+    sample is the same at every cluster size; ids count once however often they repeat.
     """
     some = labels.select(labels[id_col], labels[label_col].alias("y")).where(learnable(F.col(id_col)) & F.col("y").isNotNull())
-    toxic = F.max((F.col("y") == 1).cast("int"))
-    by_id = some.groupBy(id_col).agg(toxic.alias("y"))
-    mixed = F.xxhash64(F.col(id_col), F.lit("toxicity"))
+    by_id = some.groupBy(id_col).agg(F.max((F.col("y") == 1).cast("int")).alias("y"))
     if prior is None:
-        got = by_id.orderBy(mixed, id_col).limit(MAX_PRIOR).agg(F.avg("y")).head()[0]
+        got = by_id.agg(F.avg("y")).head()[0]
         prior = 0.01 if got is None else float(got)
-    pos = by_id.where("y = 1").orderBy(mixed, id_col).limit(MAX_POSITIVE).select(id_col)
-    unl = docs.select(docs[id_col]).where(learnable(F.col(id_col))).orderBy(mixed, id_col).limit(MAX_UNLABELLED).distinct()
-    ids = pos.select(F.col(id_col).alias("id"), F.lit(True).alias("positive")).unionByName(unl.select(F.col(id_col).alias("id"), F.lit(False).alias("positive")))
-    return train(*sample_words(docs, ids, id_col, text_col), prior)
+    sample = draw(docs, by_id, id_col, text_col)
+    counts = dict(sample.groupBy("positive").count().collect())
+    names = select_words(sample, counts.get(True, 0), counts.get(False, 0))
+    return train(*word_numbers(sample, names), names, prior)
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
