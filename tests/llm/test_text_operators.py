@@ -459,8 +459,8 @@ def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 26, 400])
-def test_decontamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 40, 1])
+def test_decontamination_equals_brute_force(spark, block_words):
     r = random.Random(6)
     items = {str(k): " ".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 3, 12, 13, 14, 30]))) for k in range(14)}
     docs = []
@@ -471,7 +471,7 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         docs.append((i, " ".join(parts)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(items.items()), "item_id string, text string")
     split = {k: alnum(t) for k, t in items.items()}
-    rows = {x.doc_id: x for x in decontaminate.decontaminate(d, b, block_bytes=block_bytes).collect()}
+    rows = {x.doc_id: x for x in decontaminate.decontaminate(d, b, block_words=block_words).collect()}
     for i, t in docs:
         ws = alnum(t.replace("É", "É"))
         n, found = naive_hits(ws, split)
@@ -490,6 +490,28 @@ def test_decontamination_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_closes_shards_of_empty_texts_and_takes_long_texts(spark):
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("text")).coalesce(1)
+    index = decontaminate.build_index(rows)
+    assert index.selectExpr("max(size(ids))", "sum(size(ids))").head()[:] == (decontaminate.SHARD_DOCS, 300_000)
+    n = 1_300_000
+    long = spark.range(2).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.concat(F.lit("w"), (x % 1_000_003).cast("string"))), " ").alias("text"))
+    items = spark.createDataFrame([("a", " ".join(f"W{i}" for i in range(300_100, 300_120))), ("b", "w1000002, w0 -- w1"), ("c", " ".join(f"w{i}" for i in range(14, 0, -1)))], "item_id string, text string")
+    got = decontaminate.decontaminate(long, items).collect()
+    assert [(r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got] == [(n, 23, ["a", "b"], False)] * 2
+
+
+def test_decontamination_of_a_hot_passage_and_items_longer_than_a_block(spark):
+    r = random.Random(2)
+    long = [f"x{r.randrange(50)}" for _ in range(300)]
+    items = spark.createDataFrame([("long", " ".join(long))] * 50 + [(f"i{k:03d}", " ".join(long[:20])) for k in range(200)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, "y " + " ".join(long[k : k + 30]) + " z") for k in range(270)], "doc_id long, text string")
+    want = {k: naive_hits(["y", *long[k : k + 30], "z"], {"long": long, "i": long[:20]}) for k in range(270)}
+    for words in (decontaminate.BLOCK_WORDS, 64):
+        got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.decontaminate(docs, items, block_words=words).collect()}
+        assert got == {k: (n, ("long" in f) + 200 * ("i" in f)) for k, (n, f) in want.items()}
+
+
 def test_phrase_and_proximity_search(spark):
     r = random.Random(8)
     docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(60))) for i in range(40)]

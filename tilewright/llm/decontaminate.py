@@ -1,33 +1,43 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: each shard row holds the posting lists (term -> ascending word
-positions) of about a million consecutive words. Positions run through the shard, with a gap between
-documents that no phrase can bridge. A phrase is found by intersecting the offset-adjusted lists of
-its terms, rarest list of the shard first; the result is exact. Building and searching are narrow
-passes: no row of the corpus is shuffled, and no list of a frequent term meets in one task.
+positions) of all words of about a million consecutive ones. Positions run through the shard, with a gap
+between documents that no phrase can bridge. A phrase is found by intersecting the offset-adjusted
+lists of its terms, rarest list of the shard first; the result is exact. Building and searching are
+narrow passes: no row of the corpus is shuffled, and no list of a frequent term meets in one task.
+
+The windows of the benchmark lie in block files of bounded size in the shared folder. A search reads a
+few shards at a time and takes one block after the other, so its memory does not grow with either side.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterable, Iterator, Sequence
+import posixpath
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, alnum_words, materialise, sliced, table
+from .common import alnum_words, filesystem, materialise, new_path, sliced, table
 
 WINDOW = 13
-#: Words after which a shard is closed; a longer document is a shard of its own.
-SHARD_WORDS = 1_000_000
+#: Words, or documents, after which a shard is closed; a longer document ends its shard.
+SHARD_WORDS, SHARD_DOCS = 1_000_000, 1 << 16
 #: Words left free between two documents of a shard.
 GAP = 64
+#: Words of benchmark items in a block file.
+BLOCK_WORDS = 1 << 18
+#: Shards that are searched together, and places of rarest terms that are followed at a time.
+TOGETHER, PLACES = 4, 1 << 20
 
-INDEX = "starts binary, sizes binary, terms binary, cuts binary, positions binary, cover binary, found string"
+INDEX = "starts binary, sizes binary, terms binary, cuts binary, positions binary"
+BLOCK = pa.schema([("terms", pa.binary()), ("tokens", pa.binary()), ("begins", pa.binary()), ("sizes", pa.binary()), ("cuts", pa.binary()), ("owners", pa.binary()), ("keys", pa.list_(pa.string()))])
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -40,98 +50,117 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
 
 class _Shard:
     def __init__(self):
-        self.ids, self.sizes, self.starts, self.terms, self.at, self.end, self.words = [], [], [], [], [], 0, 0
+        self.ids, self.sizes, self.starts, self.terms, self.end, self.words = [], [], [], [], 0, 0
+        self.lookup: dict[bytes, int] = {}
 
-    def add(self, key, terms: np.ndarray, n: int) -> None:
-        """terms: a term number per word, under zero for words that are not indexed."""
-        on = np.flatnonzero(terms >= 0)
+    def add(self, key, words: list[bytes]) -> None:
+        number = self.lookup
+        self.terms.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
         self.ids.append(key)
-        self.sizes.append(n)
+        self.sizes.append(len(words))
         self.starts.append(self.end)
-        self.terms.append(terms[on].astype(np.int32))
-        self.at.append((on + self.end).astype(np.int64))
-        self.end += n + GAP
-        self.words += n
+        self.end += len(words) + GAP
+        self.words += len(words)
+
+    @property
+    def full(self) -> bool:
+        return self.words >= SHARD_WORDS or len(self.ids) >= SHARD_DOCS
 
-    def row(self, names: Sequence[bytes]) -> tuple:
-        t, p = np.concatenate(self.terms), np.concatenate(self.at)
+    def row(self) -> tuple:
+        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        t = np.concatenate(self.terms)
+        p = np.arange(len(t)) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
         order = np.argsort(t, kind="stable")
         t, p = t[order], p[order]
-        first = np.flatnonzero(np.diff(t, prepend=-1))
-        cuts = np.append(first, len(t))
-        words = b"\n".join(names[i] for i in t[first].tolist())
-        return (self.ids, _pack(np.array(self.starts, np.int64)), _pack(np.array(self.sizes, np.int32)), zstandard.compress(words, 1), _pack(cuts.astype(np.int64)), _pack(np.diff(p, prepend=0).astype(np.int32 if self.end < 2**31 else np.int64)), None, None)
+        cuts = np.append(np.flatnonzero(np.diff(t, prepend=-1)), len(t))
+        return (self.ids, _pack(starts), _pack(sizes), zstandard.compress(b"\n".join(self.lookup), 1), _pack(cuts), _pack(np.diff(p, prepend=0).astype(np.int32 if self.end < 2**31 else np.int64)))
 
 
-def build_index(docs: DataFrame, terms: Iterable[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index of the words of all texts, one row per shard; ``terms`` restricts it to the terms of later queries.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Index of all words of all texts, one row per shard.
 
     Every document is in the index, also without words; repeated rows and null ids are documents of their own.
     """
-    known = None if terms is None else {w: i for i, w in enumerate(sorted(terms))}
     slim = docs.select(docs[id_col], docs[text_col].cast("string"))
     key_type = slim.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(s: _Shard) -> pa.RecordBatch:
-            names = list(lookup)
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(s.row(names), fields, strict=True)], schema=pa.schema(fields))
+        s, fields = _Shard(), []
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(s.row(), fields, strict=True)], schema=pa.schema(fields))
 
-        lookup: dict[bytes, int] = {} if known is None else known
-        s, fields = _Shard(), None
         for batch in sliced(batches):
-            fields = fields or [pa.field("ids", pa.list_(batch.schema.field(0).type)), *(pa.field(n, pa.string() if n == "found" else pa.binary()) for n in ("starts", "sizes", "terms", "cuts", "positions", "cover", "found"))]
+            fields = fields or [pa.field("ids", pa.list_(batch.schema.field(0).type)), *(pa.field(n, pa.binary()) for n in ("starts", "sizes", "terms", "cuts", "positions"))]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = alnum_words(text)
-                if known is None:
-                    ids = [lookup.setdefault(w, len(lookup)) for w in words]
-                else:
-                    get = known.get
-                    ids = [get(w, -1) for w in words]
-                s.add(key, np.array(ids, np.int32), len(words))
-                if s.words >= SHARD_WORDS:
-                    yield emit(s)
+                s.add(key, alnum_words(text))
+                if s.full:
+                    yield emit()
                     s = _Shard()
-                    if known is None:
-                        lookup.clear()
         if s.ids:
-            yield emit(s)
+            yield emit()
 
     return slim.mapInArrow(run, f"ids array<{key_type}>, {INDEX}")
 
 
-class _Lists:
-    """Posting lists of a shard for the terms of a query vocabulary."""
+class Postings:
+    """The posting lists of a shard. Lists lie one after the other by term; ``keys`` are term * width + position, ascending."""
 
-    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
+    def __init__(self, row: dict):
         self.starts = _unpack(row["starts"], np.int64)
-        self.sizes = _unpack(row["sizes"], np.int32)
+        self.sizes = _unpack(row["sizes"], np.int64)
+        self.cuts = _unpack(row["cuts"], np.int64)
         raw = zstandard.decompress(row["positions"])
-        cuts = _unpack(row["cuts"], np.int64)
-        kind = np.int64 if len(raw) == 8 * cuts[-1] and cuts[-1] else np.int32
-        self.positions = np.cumsum(np.frombuffer(raw, kind).astype(np.int64))
-        self.first, self.count = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-        if cuts[-1]:
-            for word, a, b in zip(zstandard.decompress(row["terms"]).split(b"\n"), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if (i := vocabulary.get(word)) is not None:
-                    self.first[i], self.count[i] = a, b - a
+        total = int(self.cuts[-1]) if len(self.cuts) else 0
+        self.positions = np.cumsum(np.frombuffer(raw, np.int64 if total and len(raw) == 8 * total else np.int32).astype(np.int64))
+        names = zstandard.decompress(row["terms"])
+        self.terms = {w: i for i, w in enumerate(names.split(b"\n"))} if total else {}
+        self.width = int(self.starts[-1] + self.sizes[-1]) + GAP if len(self.starts) else 1
+        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.cuts)) * self.width + self.positions if total else np.zeros(0, np.int64)
+
+    def numbers(self, names: Sequence[bytes]) -> np.ndarray:
+        """The shard's numbers of the terms, -1 where it lacks one."""
+        get = self.terms.get
+        return np.array([get(w, -1) for w in names], np.int64)
 
     def of(self, term: int) -> np.ndarray:
-        return self.positions[self.first[term] : self.first[term] + self.count[term]]
-
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Start positions of the exact phrase: rarest lists first, each shifted by its offset."""
-        order = np.argsort(self.count[terms], kind="stable")
-        at = self.of(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                break
-            other = self.of(terms[k])
-            want = at + k
-            i = np.searchsorted(other, want)
-            i[i == len(other)] = 0
-            at = at[other[i] == want]
-        return at
+        return self.positions[self.cuts[term] : self.cuts[term + 1]] if term >= 0 else np.zeros(0, np.int64)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def phrases(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, start position) of every occurrence of the phrases: term numbers, a row for each phrase of the same length.
+
+        The places of a phrase's rarest term are shifted to where the phrase would begin and looked up
+        in the lists of its other terms, the rarer first; PLACES of them are followed at a time.
+        """
+        there = np.flatnonzero((terms >= 0).all(1))
+        if not len(there):
+            return
+        length = np.diff(self.cuts)
+        offsets = np.argsort(length[terms[there]], axis=1, kind="stable")
+        sizes = length[np.take_along_axis(terms[there], offsets[:, :1], 1)[:, 0]]
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(there):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PLACES, "right")))
+            n = sizes[low:high]
+            k = np.repeat(np.arange(low, high), n)
+            first = self.cuts[terms[there[low:high], offsets[low:high, 0]]]
+            at = self.positions[np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(len(k))] - offsets[k, 0]
+            k, at = k[at >= 0], at[at >= 0]
+            for step in range(1, terms.shape[1]):
+                if not len(k):
+                    break
+                off = offsets[k, step]
+                want = terms[there[k], off] * self.width + at + off
+                i = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+                ok = self.keys[i] == want
+                k, at = k[ok], at[ok]
+            if len(k):
+                yield there[k], at
+            low = high
 
     def near(self, terms: Sequence[int], slop: int) -> np.ndarray:
         """Ascending positions of the first term inside some ``slop`` consecutive words of a document that hold all terms.
@@ -150,7 +179,7 @@ class _Lists:
                 i = np.searchsorted(x, begin)
                 nxt = np.where(i < len(x), x[np.minimum(i, len(x) - 1)], np.iinfo(np.int64).max // 2)
                 last = np.maximum(last, nxt)
-            d = np.searchsorted(self.starts, begin, "right") - 1
+            d = self.document(begin)
             end = np.minimum(begin + slop, self.starts[d] + self.sizes[d])
             ok = last < end
             np.add.at(inside, np.searchsorted(told, begin[ok]), 1)
@@ -158,104 +187,153 @@ class _Lists:
         return told[np.cumsum(inside[:-1]) > 0]
 
 
-class Windows:
-    """Distinct windows of the items: ``size`` consecutive words, or the whole item where it has fewer."""
-
-    def __init__(self, items: Sequence[tuple[str, str | None]], size: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = {}
-        for key, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in alnum_words(text)]
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                of.setdefault(tuple(w[i : i + size]), set()).add(key)
-        self.items = [sorted(x) for x in of.values()]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        at = np.arange(len(of))
-        sizes = np.array([len(x) for x in of], np.int64)
-        keys = list(of)
+class _Block:
+    """Items, or stretches of items, until they hold BLOCK_WORDS words; then their distinct windows."""
+
+    def __init__(self):
+        self.lookup: dict[bytes, int] = {}
+        self.tokens, self.starts, self.sizes, self.owners, self.keys, self.at = [], [], [], [], {}, 0
+
+    def add(self, key: str, words: list[bytes], window: int) -> None:
+        n = len(words)
+        count = max(1, n - window + 1)
+        self.tokens.append(np.array([self.lookup.setdefault(w, len(self.lookup)) for w in words], np.int32))
+        self.starts.append(self.at + np.arange(count))
+        self.sizes.append(np.full(count, min(n, window)))
+        self.owners.append(np.full(count, self.keys.setdefault(key, len(self.keys))))
+        self.at += n
+
+    def row(self) -> dict:
+        tokens, starts, sizes, owners = map(np.concatenate, (self.tokens, self.starts, self.sizes, self.owners))
+        out, pairs, taken = [], [], 0
         for n in np.unique(sizes):
-            self.by_size[int(n)] = (at[sizes == n], np.array([keys[i] for i in at[sizes == n]], np.int64))
-
-
-def _search_row(row: dict, windows: Windows) -> None:
-    """Add the words that the windows cover (cover) and the items found by document (found) to an index row."""
-    lists = _Lists(row, windows.vocabulary)
-    size = int(lists.starts[-1] + lists.sizes[-1])
-    edge = np.zeros(size + 1, np.int32)
-    found: dict[int, set[str]] = {int(k): set(v) for k, v in json.loads(row["found"] or "{}").items()}
-    for n, (numbers, terms) in windows.by_size.items():
-        there = (lists.count[terms] > 0).all(1)
-        for w, t in zip(numbers[there].tolist(), terms[there], strict=True):
-            at = lists.phrase(t)
-            if len(at):
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + n, -1)
-                for d in np.unique(np.searchsorted(lists.starts, at, "right") - 1).tolist():
-                    found.setdefault(d, set()).update(windows.items[w])
-    cover = np.cumsum(edge[:-1]) > 0
-    if row["cover"]:
-        cover |= np.unpackbits(_unpack(row["cover"], np.uint8))[:size].astype(bool)
-    row["cover"] = _pack(np.packbits(cover))
-    row["found"] = json.dumps({k: sorted(v) for k, v in found.items()})
-
-
-def search(index: DataFrame, windows: Windows) -> DataFrame:
-    """Index rows with what the windows cover and find added to what they held."""
+            own = np.flatnonzero(sizes == n)
+            rows = np.ascontiguousarray(tokens[starts[own][:, None] + np.arange(n)])
+            _, first, which = np.unique(rows.view(np.dtype((np.void, rows.itemsize * int(n)))).ravel(), return_index=True, return_inverse=True)
+            out.append((starts[own[first]], np.full(len(first), n)))
+            pairs.append(np.unique(np.stack([which + taken, owners[own]], 1), axis=0))
+            taken += len(first)
+        pairs = np.concatenate(pairs)
+        begins, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+        cuts = np.searchsorted(pairs[:, 0], np.arange(taken + 1))
+        return {
+            "terms": zstandard.compress(b"\n".join(self.lookup), 1), "tokens": _pack(tokens), "begins": _pack(begins.astype(np.int64)), "sizes": _pack(sizes.astype(np.int64)),
+            "cuts": _pack(cuts.astype(np.int64)), "owners": _pack(pairs[:, 1].astype(np.int64)), "keys": list(self.keys),
+        }
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _search_row(row, windows)
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 
-    return index.mapInArrow(run, index.schema)
+class Windows:
+    """The distinct windows of a block, by size, and the items of each."""
 
+    def __init__(self, row: dict):
+        self.terms = zstandard.decompress(row["terms"]).split(b"\n")
+        tokens, begins, sizes = _unpack(row["tokens"], np.int32), _unpack(row["begins"], np.int64), _unpack(row["sizes"], np.int64)
+        self.by_size = [(int(n), np.flatnonzero(sizes == n), tokens[begins[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)]
+        self.cuts, self.owners, self.keys = _unpack(row["cuts"], np.int64), _unpack(row["owners"], np.int64), row["keys"]
 
-def per_document(index: DataFrame, id_col: str, windows: Windows) -> DataFrame:
-    """A row per document of the shards, with the windows searched for as well: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
+    def items(self, windows: np.ndarray) -> set[str]:
+        return {self.keys[i] for w in windows.tolist() for i in self.owners[self.cuts[w] : self.cuts[w + 1]].tolist()}
+
+
+@lru_cache(maxsize=1)
+def read_block(file: str) -> Windows:
+    """A block of the shared folder; the last one is kept, so a benchmark of one block is read once per worker."""
+    fs, name = filesystem(file)
+    with fs.open_input_file(name) as f:
+        return Windows(pa.ipc.open_file(f).read_all().to_pylist()[0])
+
+
+def write_blocks(items: DataFrame, key_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Block files with the windows of the distinct items (names; a name for each ``block_words`` words, which is all the driver gets).
+
+    An item that is longer than a block goes on in the next one, over window - 1 common words. Only
+    files that a task returns count, so a task that is run again leaves no trace.
+    """
+    path = new_path(items.sparkSession, "windows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, done = _Block(), 0
+        task = TaskContext.get()
+        fs, root = filesystem(path)
+
+        def emit() -> pa.RecordBatch:
+            nonlocal done
+            name = f"block-{task.partitionId():06d}-{task.taskAttemptId()}-{done:06d}.arrow"
+            done += 1
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(posixpath.join(root, name)) as out, pa.ipc.new_file(out, BLOCK) as w:
+                w.write_table(pa.Table.from_pylist([block.row()], BLOCK))
+            return pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], names=["file"])
+
+        for batch in sliced(batches):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                step = max(block_words, window)
+                for low in range(0, max(len(words) - window + 1, 1) if words else 0, step):
+                    block.add(key, words[low : low + step + window - 1], window)
+                    if block.at >= block_words:
+                        yield emit()
+                        block = _Block()
+        if block.at:
+            yield emit()
+
+    own = items.select(F.coalesce(items[key_col].cast("string"), F.lit("")).alias("k"), items[text_col].cast("string").alias("t")).where("t is not null").distinct()
+    files = materialise(own.mapInArrow(run, "file string"), "window-files")
+    return sorted(r.file for r in files.collect())
+
+
+def _search(shards: list[dict], files: Sequence[str]) -> list[tuple[Postings, np.ndarray, dict[int, set[str]]]]:
+    """For each shard its lists, the words that windows cover, and the items found by document."""
+    held = [Postings(row) for row in shards]
+    edges = [np.zeros(p.width + 1, np.int32) for p in held]
+    found: list[dict[int, set[str]]] = [{} for _ in held]
+    for file in files:
+        block = read_block(file)
+        for p, edge, own in zip(held, edges, found, strict=True):
+            number = p.numbers(block.terms)
+            for n, windows, tokens in block.by_size:
+                for k, at in p.phrases(number[tokens]):
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + n, -1)
+                    pairs = np.unique(np.stack([p.document(at), windows[k]], 1), axis=0)
+                    cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+                    for d, part in zip(pairs[cuts, 0].tolist(), np.split(pairs[:, 1], cuts[1:]), strict=True):
+                        own.setdefault(d, set()).update(block.items(part))
+    return [(p, np.cumsum(edge[:-1]) > 0, own) for p, edge, own in zip(held, edges, found, strict=True)]
+
+
+def per_document(index: DataFrame, id_col: str, files: Sequence[str]) -> DataFrame:
+    """A row per document of the shards: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
     key_type = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
-                _search_row(row, windows)
-                starts, sizes = _unpack(row["starts"], np.int64), _unpack(row["sizes"], np.int32).astype(np.int64)
-                found = {int(k): v for k, v in json.loads(row["found"]).items()}
-                total = np.append(0, np.cumsum(np.unpackbits(_unpack(row["cover"], np.uint8)).astype(np.int64)))
-                hit = total[starts + sizes] - total[starts]
-                items = [found.get(d, []) for d in range(len(sizes))]
+        for batch in sliced(batches, TOGETHER):
+            rows = [dict(zip(batch.schema.names[1:], x, strict=True)) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            for i, (p, cover, found) in enumerate(_search(rows, files)):
+                total = np.append(0, np.cumsum(cover, dtype=np.int64))
+                hit = total[p.starts + p.sizes] - total[p.starts]
+                items = [sorted(found.get(d, ())) for d in range(len(p.sizes))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i].values, pa.array(sizes), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array((hit > 0) & (20 * hit >= sizes)), pa.array(items, pa.list_(pa.string()))],
+                    [batch.column(0)[i].values, pa.array(p.sizes), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array((hit > 0) & (20 * hit >= p.sizes)), pa.array(items, pa.list_(pa.string()))],
                     names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
                 )
 
     return index.mapInArrow(run, f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
     A word is hit when it lies in an occurrence of a window (``window`` consecutive words of an item, or
     a whole shorter item); a document is contaminated when at least a twentieth of its words are hit.
-    Items are shipped to the tasks while their texts stay under ``block_bytes``; beyond it the index
-    takes all terms and the items are searched for block by block, each block under that size.
+    The index takes all words of the documents; the items are searched for in blocks of ``block_words``.
     Null or empty texts have no words, on either side; a null item_id counts as the empty string; repeated
     items count once; an empty benchmark hits nothing; further columns are ignored.
     """
     if not 0 < window <= GAP:
         raise ValueError(f"window must be 1 to {GAP}")
-    own = items.select(F.coalesce(items[item_col].cast("string"), F.lit("")).alias("k"), items[item_text_col].cast("string").alias("t"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).head()[0]
-    blocks = -(-size // block_bytes) or 1
-    if blocks == 1:
-        windows = Windows([tuple(x) for x in own.collect()], window)
-        index = materialise(build_index(docs, windows.vocabulary, id_col, text_col), "index")
-        return per_document(index, id_col, windows)
-    done = materialise(build_index(docs, None, id_col, text_col), "index")
-    for b in range(2 * blocks):
-        part = own.where(F.pmod(F.xxhash64("k", "t"), F.lit(2 * blocks)) == b)
-        done = materialise(search(done, Windows([tuple(x) for x in part.collect()], window)), "index")
-    return per_document(done, id_col, Windows([], window))
+    files = write_blocks(items, item_col, item_text_col, window, block_words)
+    return per_document(materialise(build_index(docs, id_col, text_col), "index"), id_col, files)
 
 
 def phrase_search(index: DataFrame, phrases: Sequence[str], id_col: str = "doc_id") -> DataFrame:
@@ -271,35 +349,36 @@ def proximity_search(index: DataFrame, queries: Sequence[str], slop: int, id_col
     return _lookup(index, queries, id_col, slop)
 
 
-def _counts(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
-    """Occurrences of the terms in the whole index, by term number."""
+def _counts(index: DataFrame, names: Sequence[bytes]) -> dict[bytes, int]:
+    """Occurrences of the terms in the whole index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = _Lists(row, vocabulary).count
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["term", "n"])
+        for batch in sliced(batches, 1):
+            p = Postings(batch.to_pylist()[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array([len(p.of(t)) for t in p.numbers(names).tolist()], pa.int64())], names=["term", "n"])
 
-    return {t: int(n) for t, n in index.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
+    return {names[t]: int(n) for t, n in index.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
 
 
 def _lookup(index: DataFrame, phrases: Sequence[str], id_col: str, slop: int | None) -> DataFrame:
     words = [alnum_words(p) for p in phrases]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     key_type = index.schema["ids"].dataType.elementType.simpleString()
-    total = {} if slop is None else _counts(index, vocabulary)
+    total = {} if slop is None else _counts(index, sorted({w for ws in words for w in ws}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lists = _Lists(row, vocabulary)
-                for phrase, ws in zip(phrases, words, strict=True):
-                    terms = np.array([vocabulary[w] for w in ws], np.int64)
-                    if not len(terms):
-                        continue
-                    at = lists.phrase(terms) if slop is None else lists.near(sorted(set(terms.tolist()), key=lambda t: (total[t], t)), slop)
-                    d = np.searchsorted(lists.starts, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([row["ids"][i] for i in d.tolist()], batch.schema.field(0).type.value_type), pa.array([phrase] * len(at), pa.string()), pa.array(at - lists.starts[d])], names=[id_col, "phrase", "position"])
+        for batch in sliced(batches, 1):
+            row = batch.to_pylist()[0]
+            p = Postings(row)
+            for phrase, ws in zip(phrases, words, strict=True):
+                if not ws:
+                    continue
+                if slop is None:
+                    found = [at for _, at in p.phrases(p.numbers(ws)[None])]
+                else:
+                    found = [p.near(p.numbers(sorted(set(ws), key=lambda w: (total.get(w, 0), w))).tolist(), slop)]
+                for at in found:
+                    d = p.document(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["ids"][i] for i in d.tolist()], batch.schema.field(0).type.value_type), pa.array([phrase] * len(at), pa.string()), pa.array(at - p.starts[d])], names=[id_col, "phrase", "position"])
 
     return index.mapInArrow(run, f"`{id_col}` {key_type}, phrase string, position long")
 

@@ -18,18 +18,16 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, sliced, table
+from .common import filesystem, materialise, new_path, sliced, table
 from .wordpiece import byte_alphabet
 
 MAGIC = b"TSST0001"
@@ -215,10 +213,6 @@ class Reader:
         return out
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri())
-
-
 #: Characters on which every Unicode version and the usual regular-expression engines agree; of white space only space and line feed.
 _SETTLED = r"[\n\x20-\x7e\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027\u20ac]*+"
 
