@@ -176,15 +176,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node takes the smallest of its neighbours; links between a node and that
     smallest one replace the old ones (large star, then small star). Rounds are written to the shared
-    folder and end when nothing changes; hubs are aggregated before they are dealt out.
+    folder and end when nothing changes. Each node's smallest neighbour is aggregated before it is dealt
+    out, and written, so that it is broadcast while few, and beyond that a hub's links are split as skew.
     """
     now, files = materialise(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), "edges"), None
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("low"))
+        low = small_or_not(materialise(both.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("low")), "low", files))
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        large = materialise(large, "large-star", files)
+        low = small_or_not(materialise(large.groupBy("src").agg(F.min("dst").alias("low")), "low", files))
         small = large.join(low, "src").select(F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         now = materialise(small, "edges", files)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).head())
