@@ -597,6 +597,56 @@ def test_mixing_fills_past_a_dominating_document_and_splits_equal_rows(spark, nu
         assert abs(taken[s] - want[s]) <= 100, (s, taken[s], want[s])
 
 
+@pytest.mark.parametrize("shape", ["one id", "no id", "one source", "third", "two texts"])
+def test_mixing_takes_repeated_rows_one_by_one(spark, shape):
+    text = lambda n: "w " * n
+    rows = {
+        "one id": [(1, "a", text(10))] * 2000 + [(i, s, text(10)) for s in "bc" for i in range(1000)],
+        "no id": [(None, "a", text(9))] * 2000 + [(None, s, text(9)) for s in "bc" for _ in range(1000)],
+        "one source": [(i % 3, "a", text(1 + i % 7)) for i in range(500)],
+        "third": [(7, None, text(5))] * 700 + [(i % 40, "ab"[i % 2], text(1 + i % 9)) for i in range(1400)],
+        "two texts": [(7, "a", text(5))] * 300 + [(7, "a", text(11))] * 300 + [(8, "b", text(3))] * 300,
+    }[shape]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    got = mixing.plan(docs).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + t.count("w")
+    want = water_fill(sizes)
+    for s in sizes:
+        own = [r for r in got if r.source == s]
+        assert all(r.target == pytest.approx(want[s]) and r.taken == r.copies * r["size"] and len(r.shards) == r.copies <= 3 for r in own)
+        # All rows are short, so what is taken comes within one of them.
+        assert abs(sum(r.taken for r in own) - want[s]) <= max(r["size"] for r in own), (s, sum(r.taken for r in own), want[s])
+        assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    if shape != "third":
+        return
+    cols = lambda rows: sorted((str(r.doc_id), str(r.source), r["size"], r.copies) for r in rows)
+    assert cols(mixing.plan(docs.repartition(3)).collect()) == cols(got)
+    assert mixing.mix(docs).count() == sum(r.copies for r in got)
+
+
+def test_mixing_keeps_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (1 + i % 5), i, -i, "k", i, 2 * i, "x") for i in range(60)], "doc_id long, source string, text string, taken long, size long, key string, copy long, _copy long, shards string")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "shard"]
+    rows = set(map(tuple, docs.collect()))
+    assert {tuple(r)[:-1] for r in out.collect()} <= rows
+    plain = mixing.plan(docs.select("doc_id", "source", "text")).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, mixing.plan(docs).collect()))
+
+
+def test_splitting_tree_deals_many_sources_in_groups(spark):
+    r = random.Random(5)
+    q = {k: r.choice([0, 1, 2, 9]) for k in range(1, 60)}
+    rows = mixing.splitting_tree(spark.createDataFrame(list(q.items()), "rank int, q long"), 8, 3, group=7).collect()
+    assert {k: sum(x.q for x in rows if x["rank"] == k) for k in q} == q
+    per = [sum(x.q for x in rows if x.shard == s) for s in range(8)]
+    assert max(per) - min(per) <= 1 and all(x.q > 0 for x in rows)
+    assert mixing.splitting_tree(spark.createDataFrame([], "rank int, q long"), 8).count() == 0
+
+
 def test_mixing_misses_no_source_by_more_than_its_least_document_left_out(spark, docs):
     got = mixing.plan(docs).collect()
     for s in {r.source for r in got}:

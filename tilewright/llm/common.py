@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -64,6 +64,14 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("string")))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, behind as many underscores as it takes to be none of ``taken`` in any letter case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

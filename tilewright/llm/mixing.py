@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in native expressions.
 
-Documents of a source lie in blocks by a hash of their id. Targets give each source whole passes over
+Documents of a source lie in blocks by a hash of their id and text. Targets give each source whole passes over
 its blocks and a last, partial pass; each pass over a block is one draw, and the source's draws are its
 exact quota. The tree splits the quotas among the output shards: a node deals its draws of every source
 to its two halves as drawing without replacement would, so each shard gets the mixture of a global
@@ -15,13 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .quality import words
+from .common import free_name, materialise, small_or_not, table
+from .quality import let, words
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
 #: Blocks a source has at least, documents a block has at most on average, words of a shard on average.
 MIN_BLOCKS, BLOCK_DOCS, SHARD_WORDS = 128, 1 << 16, 1 << 25
 MIN_SHARDS = 8
+#: Sources that are dealt within one group of a node.
+GROUP = 256
 #: Files of a table with a row or few for each block.
 FILES = 8
 
@@ -47,48 +49,70 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * (2.0**-53)
 
 
-def split_left(counts: Column, node: Column, take: Column, seed: int) -> Column:
-    """How many of each source's draws the left half gets, of ``take`` in all: drawing without replacement, source by source."""
+def _deal(counts: Column, take: Column, *salt: Column) -> Column:
+    """For each (r, c) of an array how many of its c are among ``take`` drawn without replacement from all: an array of longs."""
     long = lambda x: x.cast("long")
     none = F.array().cast("array<long>")
 
-    def source(state: Column, item: Column) -> Column:
+    def one(state: Column, item: Column) -> Column:
         n = item["c"]
         draw = F.aggregate(
             F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(none),
             F.struct(F.lit(0).cast("long").alias("x"), state["n"].alias("n"), state["l"].alias("l")),
-            lambda a, i: F.transform(
-                F.array((_uniform(F.lit(seed), node, item["r"], i) * a["n"].cast("double") < a["l"].cast("double")).cast("long")),
+            lambda a, i: let(
+                (_uniform(*salt, item["r"], i) * a["n"].cast("double") < a["l"].cast("double")).cast("long"),
                 lambda hit: F.struct((a["x"] + hit).alias("x"), (a["n"] - 1).alias("n"), (a["l"] - hit).alias("l")),
-            )[0],
+            ),
         )
-        return F.transform(F.array(draw), lambda d: F.struct(d["n"].alias("n"), d["l"].alias("l"), F.concat(state["out"], F.array(d["x"])).alias("out")))[0]
+        return let(draw, lambda d: F.struct(d["n"].alias("n"), d["l"].alias("l"), F.concat(state["out"], F.array(d["x"])).alias("out")))
 
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    items = F.transform(counts, lambda c, r: F.struct(c.alias("c"), r.alias("r")))
-    return F.aggregate(items, F.struct(long(total).alias("n"), long(take).alias("l"), none.alias("out")), source, lambda s: s["out"])
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    return F.aggregate(counts, F.struct(long(total).alias("n"), long(take).alias("l"), none.alias("out")), one, lambda s: s["out"])
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """(shard, rank, q): exact numbers of draws by shard from (rank, q); ``shards`` is a power of two.
+def split(groups: Column, node: Column, take: Column, seed: int) -> Column:
+    """The two halves of a node: arrays like ``groups`` of (g, c, items of (r, c)), with ``take`` draws in the left one.
 
-    Shards get equal numbers of draws but for rounding. The tree has one row per node; its sums over
-    shards are the quotas, and its joint law is that of cutting a random permutation of all draws.
+    The draws are dealt among the groups first and within each group then, which is the same law. Cells
+    without draws are left out.
     """
-    root = quotas.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "q"))), lambda x: x["q"]).alias("counts"), F.sort_array(F.collect_list("rank")).alias("ranks"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    nodes = root.select("ranks", "counts", total(F.col("counts")).alias("all"), F.lit(0).cast("long").alias("at"), F.lit(shards).cast("long").alias("width"))
+    some = lambda x: F.filter(x, lambda y: y["c"] > 0)
+
+    def inside(g: Column, left: Column) -> Column:
+        def halves(xs: Column) -> Column:
+            mine = F.zip_with(g["items"], xs, lambda i, x: F.struct(i["r"].alias("r"), x.alias("c")))
+            rest = F.zip_with(g["items"], xs, lambda i, x: F.struct(i["r"].alias("r"), (i["c"] - x).alias("c")))
+            own = lambda c, items: F.struct(g["g"].alias("g"), c.alias("c"), some(items).alias("items"))
+            return F.struct(own(left, mine).alias("left"), own(g["c"] - left, rest).alias("right"))
+
+        return let(_deal(g["items"], left, F.lit(seed), node, F.lit(1)), halves)
+
+    totals = F.transform(groups, lambda g: F.struct(g["g"].alias("r"), g["c"].alias("c")))
+    both = let(_deal(totals, take, F.lit(seed), node, F.lit(0)), lambda lefts: F.zip_with(groups, lefts, inside))
+    return let(both, lambda x: F.array(some(F.transform(x, lambda h: h["left"])), some(F.transform(x, lambda h: h["right"]))))
+
+
+def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(shard, rank, q): exact numbers of draws by shard from (rank, q), where any; ``shards`` is a power of two.
+
+    Shards get equal numbers of draws but for rounding. The tree has one row per node with the cells
+    that hold draws; its sums over shards are the quotas, and its joint law is that of cutting a random
+    permutation of all draws.
+    """
+    cells = quotas.where("q > 0").select(F.floor(F.col("rank") / group).alias("g"), F.col("rank").cast("long").alias("r"), F.col("q").cast("long").alias("c"))
+    grouped = cells.groupBy("g").agg(F.sum("c").alias("c"), F.sort_array(F.collect_list(F.struct("r", "c"))).alias("items"))
+    root = grouped.groupBy().agg(F.sort_array(F.collect_list(F.struct("g", "c", "items"))).alias("groups"), F.coalesce(F.sum("c"), F.lit(0)).alias("all"))
+    nodes = root.select("groups", "all", F.lit(0).cast("long").alias("at"))
     edge = lambda s: F.floor(F.col("all") * s / shards).cast("long")
     width = shards
     while width > 1:
         half = width // 2
         take = edge(F.col("at") + half) - edge(F.col("at"))
-        split = nodes.select("ranks", "counts", "all", "at", split_left(F.col("counts"), F.col("at") * 64 + F.lit(width.bit_length()), take, seed).alias("lefts"))
-        two = F.array(F.struct(F.col("at").alias("at"), F.col("lefts").alias("counts")), F.struct((F.col("at") + half).alias("at"), F.zip_with("counts", "lefts", lambda a, b: a - b).alias("counts")))
-        nodes = split.select("ranks", "all", F.explode(two).alias("x")).select("ranks", "all", "x.at", "x.counts")
+        halves = split(F.col("groups"), F.col("at") * 64 + F.lit(width.bit_length()), take, seed)
+        nodes = nodes.select("all", "at", F.posexplode(halves).alias("side", "groups")).select("all", (F.col("at") + F.col("side") * half).alias("at"), "groups")
         width = half
-    cells = nodes.select(F.col("at").alias("shard"), F.explode(F.arrays_zip("ranks", "counts")).alias("x"))
-    return cells.select("shard", F.col("x.ranks").alias("rank"), F.col("x.counts").alias("q"))
+    found = nodes.select(F.col("at").alias("shard"), F.explode("groups").alias("g")).select("shard", F.explode("g.items").alias("x"))
+    return found.select("shard", F.col("x.r").alias("rank"), F.col("x.c").alias("q"))
 
 
 def _block(u: Column, bits: int) -> Column:
@@ -111,13 +135,18 @@ def _pick(cap: Column, low: Column, t: Column, m: Column) -> Column:
     return F.struct(long(cap).alias("cap"), low.alias("low"), long(t).alias("t"), long(m).alias("m"))
 
 
-def _run_up(rows: DataFrame, room: Column) -> DataFrame:
-    """(source, block, last, got) of the rows of a block that fit in ``room`` by hash, up to the first that does not; last: me, t of m equal rows."""
-    inner, equal = Window.partitionBy("source", "block").orderBy("u", "id", "size"), Window.partitionBy("source", "block", "u", "id", "size")
-    cut = rows.withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.withColumn("t", F.row_number().over(equal.orderBy("upto"))).withColumn("m", F.count("*").over(equal)).where(F.col("upto") <= room)
+def _run_up(rows: DataFrame) -> DataFrame:
+    """(source, block, last, got) of the rows of a block that fit in its ``room`` by hash, up to the first that does not; last: me, t of m equal rows.
+
+    Equal rows are counted first, so however often one repeats, the window has it once.
+    """
+    key = ["source", "block", "u", "id", "size"]
+    classes = rows.groupBy(*key, "room").agg(F.count("*").alias("m"))
+    upto = classes.withColumn("before", F.sum(F.col("size") * F.col("m")).over(Window.partitionBy("source", "block").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") * F.col("m"))
+    fits = F.when(F.col("before") > F.col("room"), 0).when(F.col("size") == 0, F.col("m")).otherwise(F.least(F.col("m"), F.floor((F.col("room") - F.col("before")) / F.col("size"))))
+    cut = upto.withColumn("t", fits.cast("long")).where("t > 0")
     last = F.struct(F.struct("block", "u", "id", "size").alias("me"), "t", "m")
-    return cut.groupBy("source", "block").agg(F.max(last).alias("last"), F.max("upto").alias("got"))
+    return cut.groupBy("source", "block").agg(F.max(last).alias("last"), F.max(F.col("before") + F.col("size") * F.col("t")).alias("got"))
 
 
 def fill(left: DataFrame, state: DataFrame) -> DataFrame:
@@ -142,7 +171,7 @@ def fill(left: DataFrame, state: DataFrame) -> DataFrame:
         edges = upto.groupBy(F.col("source").alias("s1")).agg(F.min(F.when(over, F.col("block"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("before"))
         edges = materialise(edges, "fill", FILES)
         inside = some.join(edges, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("edge")))
-        ends = _run_up(inside.select("source", "block", "u", "id", "size", (F.col("gap") - F.col("before")).alias("room")), F.col("room"))
+        ends = _run_up(inside.select("source", "block", "u", "id", "size", (F.col("gap") - F.col("before")).alias("room")))
         ends = ends.select(F.col("source").alias("s2"), "last", "got")
         low = F.when(F.col("edge").isNull(), place(F.lit(1 << 62), 0)).when(F.col("last").isNull(), place(F.col("edge"), -(1 << 63))).otherwise(F.col("last.me"))
         pick = _pick(F.floor(F.col("gap") / 2), low, F.coalesce("last.t", F.lit(0)), F.coalesce("last.m", F.lit(0)))
@@ -163,12 +192,12 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the text, 0 for null. copies: how often the mix takes the row, at
     most ``most`` times, 0 where it is left out; shards: the output shard of each copy. A source's taken
-    words miss its target by less than the smallest document left out before the last one was added. The choice depends on ids, sizes and the seed only,
-    so reruns agree; rows that repeat in all of these are interchangeable. Null sources are one source,
+    words miss its target by less than the smallest document left out before the last one was added. The choice depends on the seed, ids, sizes
+    and texts, so reruns agree; rows equal in id, source and text are interchangeable and are taken one by one. Null sources are one source,
     the last. An empty table gives an empty plan; sources without words have target 0.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(docs[id_col], F.lit(seed)).alias("u"), *(docs[c].alias(f"c_{c}") for c in carry))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(docs[id_col], text, F.lit(seed)).alias("u"), *(docs[c].alias(f"c_{c}") for c in carry))
     slim = materialise(rows.select("id", "source", "size", "u"), "sizes")
     sums = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
     blocks = MIN_BLOCKS
@@ -205,7 +234,7 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     info = info.withColumnsRenamed({"source": "s", "block": "b"})
     small = slim.withColumn("block", _block(F.col("u"), bits))
     edge = info.where("part = 2").select("s", "b", "open", F.element_at("shards", -1).alias("fill_shard"))
-    last = _run_up(small.join(edge, same), F.col("open")).withColumnsRenamed({"source": "s1", "block": "b1"})
+    last = _run_up(small.join(edge, same).select("source", "block", "u", "id", "size", F.col("open").alias("room"))).withColumnsRenamed({"source": "s1", "block": "b1"})
     first = F.when(F.col("last").isNull(), F.array()).otherwise(F.array(_pick(F.lit((1 << 63) - 1), F.col("last.me"), F.col("last.t"), F.col("last.m"))))
     state = edge.join(last, F.col("s").eqNullSafe(F.col("s1")), "left").select("s", "fill_shard", (F.col("open") - F.coalesce("got", F.lit(0))).alias("gap"), first.alias("picks"))
     state = materialise(state, "edge", FILES)
@@ -233,9 +262,27 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     torn = state.select("s2", F.explode("picks").alias("p")).groupBy("s2", "p.low").agg(F.sum("p.t").alias("t"), F.max("p.m").alias("m")).where("0 < t and t < m")
     if torn.isEmpty():
         return placed_rows(met, gone)
-    number = F.row_number().over(Window.partitionBy("source", "block", "u", "id", "size").orderBy("part"))
     some = (few > 0) & ~gone
-    return placed_rows(met.where(~some), gone).unionByName(placed_rows(met.where(some).withColumn("number", number), F.col("number") <= few))
+    held = materialise(met.where(some).withColumn("few", few), "torn")
+    return placed_rows(met.where(~some), gone).unionByName(placed_rows(numbered(held, ["source", "block", "u", "id", "size"]), F.col("number") <= F.col("few")))
+
+
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (written out) with the column number: 1, 2, ... among those with equal keys, nulls equal.
+
+    Rows are numbered within the part of the files they are read from, and parts by their counts, so
+    equal rows never meet in one task.
+    """
+    own = rows.withColumn("part_read", F.spark_partition_id())
+    counts = own.groupBy(*key, "part_read").agg(F.count("*").alias("m"))
+    base = counts.withColumn("base", F.sum("m").over(Window.partitionBy(*key).orderBy("part_read")) - F.col("m"))
+    base = small_or_not(materialise(base.select(*(F.col(k).alias(f"k_{k}") for k in (*key, "part_read")), "base"), "bases"))
+    same = None
+    for k in (*key, "part_read"):
+        one = F.col(k).eqNullSafe(F.col(f"k_{k}"))
+        same = one if same is None else same & one
+    local = F.row_number().over(Window.partitionBy(*key, "part_read").orderBy("part_read"))
+    return own.withColumn("local", local).join(base, same).withColumn("number", F.col("local") + F.col("base"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -245,10 +292,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "shard"]
     planned = plan(docs, names, id_col=id_col, **how)
-    copies = planned.select(*(F.col(f"c_{c}").alias(c) for c in names), F.posexplode("shards").alias("_copy", "shard"))
-    mixed = F.xxhash64(F.col(id_col), "_copy", F.lit(how.get("seed", SEED) + 1))
+    copy, key = free_name("copy", names), free_name("key", names)
+    copies = planned.select(*(F.col(f"c_{c}").alias(c) for c in names), F.posexplode("shards").alias(copy, "shard"))
+    mixed = F.xxhash64(F.col(id_col), copy, F.lit(how.get("seed", SEED) + 1))
     # A shard may span several tasks: ranges of the shuffled order inside it, so no task grows with a shard.
-    return copies.withColumn("_key", mixed).repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key").drop("_copy", "_key")
+    return copies.withColumn(key, mixed).repartitionByRange("shard", key).sortWithinPartitions("shard", key).drop(copy, key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
