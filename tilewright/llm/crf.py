@@ -22,29 +22,37 @@ ROLES = ("0", "-1", "-2", "+1")
 #: Distinct words and rows that are remembered per worker; between pieces of half as many words the memory is emptied, which costs time only.
 WORD_CACHE = 400_000
 
-_RUNS = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_A-Z]+"), "a"))
+#: Marks that are strung to words as noise, and the runs up to which a shape is written out.
+MARKS = "#$%&*|~^"
+SHAPE_RUNS = 16
 
 
 def shape(word: str) -> str:
-    """The word's shape with runs merged: letters A or a, digits 9, other characters as they are."""
+    """The whole word's shape with runs merged: letters A or a, digits 9, other characters as they are; of more than SHAPE_RUNS runs, their kinds."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if "A" <= c <= "Z" else "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:16]
+    return "".join(out) if len(out) <= SHAPE_RUNS else "many:" + "".join(sorted(set(out)))
 
 
 def signature(word: str) -> tuple[str, ...]:
     """Features of a word beside its identity."""
     core = word.strip(PUNCT)
+    end = "end=" + word[-1] if word[-1] in PUNCT else "end="
     if core.isalpha() and (core.islower() or not core.isascii()):
-        return ("plain", "end=" + word[-1] if word[-1] in PUNCT else "end=")
+        return ("plain", end)
+    bare = core.strip(MARKS + PUNCT)
+    if bare != core and (not bare or bare.isalpha() and (bare[1:].islower() or not bare.isascii())):
+        return ("plain", "marked", end)
     digits = sum(c.isdigit() for c in core)
     n = len(core)
     out = ["s=" + shape(core), "full=" + shape(word), f"n={min(n, 8) if n < 8 else 8 + min(n - 8, 32) // 8}"]
     if digits:
         out += ["dig", f"nd={min(digits, 20)}", f"share={4 * digits // n}"]
+    elif bare.isalpha():
+        out.append("title" if bare[1:].islower() else "capitals" if bare.isupper() else "mixed")
     if any(c.isupper() for c in core) and any(c.islower() for c in core) and digits:
         out.append("mix3")
     if n >= 16:
@@ -55,7 +63,7 @@ def signature(word: str) -> tuple[str, ...]:
         out.append("short-number")
     out += ["has=" + c for c in "@=:/\\._-+()" if c in core]
     if "=" in core or ":" in core:
-        out.append("key=" + re.split("[=:]", core, maxsplit=1)[0].lower()[-12:])
+        out.append("key=" + re.split("[=:]", core, maxsplit=1)[0].lower())
     return tuple(out)
 
 
@@ -239,34 +247,12 @@ def train(rows: Sequence[tuple[Sequence[str], Sequence[str], Sequence[str]]], la
     cuts = np.flatnonzero(np.diff(feats[order], prepend=-1))
     token_order = np.argsort(flat, kind="stable")
     token_cuts = np.flatnonzero(np.diff(flat[token_order], prepend=-1))
-    gold_move = np.zeros((k, k))
-    full = np.concatenate([np.zeros((n, 1), int), tags], 1)
-    np.add.at(gold_move, (full[:, :-1][mask], full[:, 1:][mask]), 1)
-    np.add.at(gold_move, (tags[np.arange(n), np.array(lens) - 1], np.zeros(n, int)), 1)
     m = [np.zeros_like(w), np.zeros_like(move)]
     s = [np.zeros_like(w), np.zeros_like(move)]
-    last = np.array(lens) - 1
     for step in range(1, rounds + 1):
         e = np.add.reduceat(w[feats[token_order]], token_cuts)[at]
-        e[~mask] = 0
-        a = np.zeros((n, big, k))
-        a[:, 0] = move[OUTSIDE] + e[:, 0]
-        for t in range(1, big):
-            a[:, t] = _lse(a[:, t - 1][:, :, None] + move, 1) + e[:, t]
-        z = _lse(a[np.arange(n), last] + move[:, OUTSIDE], 1)
-        b = np.zeros((n, big, k))
-        b[np.arange(n), last] = move[:, OUTSIDE]
-        grad_move = np.zeros((k, k))
-        for t in range(big - 2, -1, -1):
-            on = t < last
-            nxt = (b[:, t + 1] + e[:, t + 1])[:, None, :] + move
-            b[:, t] = np.where(on[:, None], _lse(nxt, 2), b[:, t])
-            grad_move += np.exp(a[:, t][:, :, None] + nxt - z[:, None, None])[on].sum(0)
-        p = np.exp(a + b - z[:, None, None])[mask]
-        grad_move[OUTSIDE] += np.exp(a[:, 0] + b[:, 0] - z[:, None]).sum(0)
-        grad_move[:, OUTSIDE] += np.exp(a[np.arange(n), last] + move[:, OUTSIDE] - z[:, None]).sum(0)
-        p[np.arange(len(y)), y] -= 1
-        grads = [np.add.reduceat(p[flat[order]], cuts) + l2 * w, grad_move - gold_move + l2 * move]
+        _, p, grad_move = likelihood(e, mask, tags, move)
+        grads = [np.add.reduceat(p[mask][flat[order]], cuts) + l2 * w, grad_move + l2 * move]
         for i, (x, g) in enumerate(zip((w, move), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.99 * s[i] + 0.01 * g * g
@@ -274,6 +260,41 @@ def train(rows: Sequence[tuple[Sequence[str], Sequence[str], Sequence[str]]], la
     return Model(labels, {f: w[i] for f, i in index.items()}, move, lexicon)
 
 
+def likelihood(e: np.ndarray, mask: np.ndarray, tags: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the log-likelihood of the tags, and its gradients by the emissions (n, t, k) and by the transitions.
+
+    mask marks the tokens of each sequence, which lie at its beginning; sequences begin and end outside.
+    """
+    n, big, k = e.shape
+    e = np.where(mask[:, :, None], e, 0)
+    last = mask.sum(1) - 1
+    rows = np.arange(n)
+    a = np.zeros((n, big, k))
+    a[:, 0] = move[OUTSIDE] + e[:, 0]
+    for t in range(1, big):
+        a[:, t] = _lse(a[:, t - 1][:, :, None] + move, 1) + e[:, t]
+    z = _lse(a[rows, last] + move[:, OUTSIDE], 1)
+    b = np.zeros((n, big, k))
+    b[rows, last] = move[:, OUTSIDE]
+    by_move = np.zeros((k, k))
+    for t in range(big - 2, -1, -1):
+        on = t < last
+        nxt = (b[:, t + 1] + e[:, t + 1])[:, None, :] + move
+        b[:, t] = np.where(on[:, None], _lse(nxt, 2), b[:, t])
+        by_move += np.exp(a[:, t][:, :, None] + nxt - z[:, None, None])[on].sum(0)
+    p = np.where(mask[:, :, None], np.exp(a + b - z[:, None, None]), 0)
+    by_move[OUTSIDE] += p[:, 0].sum(0)
+    by_move[:, OUTSIDE] += p[rows, last].sum(0)
+    full = np.concatenate([np.zeros((n, 1), int), tags], 1)
+    gold = np.zeros((k, k))
+    np.add.at(gold, (full[:, :-1][mask], full[:, 1:][mask]), 1)
+    np.add.at(gold, (tags[rows, last], np.zeros(n, int)), 1)
+    i, t = np.nonzero(mask)
+    own = e[i, t, tags[i, t]].sum() + (gold * move).sum()
+    p[i, t, tags[i, t]] -= 1
+    return float(z.sum() - own), p, by_move - gold
+
+
 def token_spans(text: str, tagged: Sequence[tuple[int, int]], begins: Callable[[int], bool], kind: Callable[[int], str]) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points for runs of tagged words; punctuation around a run is left out."""
     if not tagged:

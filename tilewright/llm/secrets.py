@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import crf, spans
 from .common import table
@@ -19,8 +20,6 @@ MAX_LABELLED = 2_000
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUE = re.compile(r"(?ai:passw|secret|token|api_?key)")
-#: Words after which, or one word later, a secret may be spoken of.
-_SPOKEN = re.compile(r"(?ai:passw(or)?d|passphrase|pwd|secret|token|key|credential|bearer)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
@@ -55,27 +54,6 @@ def file_features(text: str) -> list[str]:
     return out
 
 
-def spoken(text: str, start: int) -> bool:
-    """Whether one of the two words before the word at ``start`` holds a cue."""
-    while start and not text[start - 1].isspace():
-        start -= 1
-    for _ in range(2):
-        while start and text[start - 1].isspace():
-            start -= 1
-        end = start
-        while start and not text[start - 1].isspace():
-            start -= 1
-        if _SPOKEN.search(text, start, end):
-            return True
-    return False
-
-
-def accept(text: str, span: spans.Span) -> bool:
-    """A secret is a word of eight or more characters with a digit and a letter, or one after a spoken cue."""
-    value = text[span[1] : span[2]]
-    return len(value) >= 8 and (any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or spoken(text, span[1]))
-
-
 def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[str], list[str]]]:
     """The small labelled table: invented lines with and without secrets, as (words, tags, file features)."""
     r = random.Random(seed)
@@ -90,6 +68,10 @@ def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[st
             lambda: pick("0123456789abcdef", 32, 64), lambda: pick(b62, 20, 44), lambda: pick(b62 + "+/", 30, 60) + "=",
         ))()
 
+    def phrase() -> str:
+        """A secret of letters only, or of digits only, as it is told after a cue."""
+        return r.choice((lambda: "".join(pick(low, 3, 8).capitalize() for _ in range(r.randint(2, 4))), lambda: pick(low + up, 10, 24), lambda: pick(dig, 8, 16), lambda: "-".join(pick(low, 3, 7) for _ in range(r.randint(3, 5)))))()
+
     def word() -> str:
         w = pick(low, 1, 11)
         return w.capitalize() if r.random() < 0.12 else w + r.choice(("", "", "", ",", "."))
@@ -101,6 +83,7 @@ def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[st
         return r.choice((
             lambda: pick(dig, 1, 6), lambda: f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: pick(low, 3, 9) + r.choice(("", "." + pick(dig, 1, 3))) + "@" + pick(low, 3, 8) + r.choice(("", str(r.randint(1, 9)))) + r.choice((".com", ".example.com")), lambda: "+1", lambda: f"({pick(dig, 3, 3)})", lambda: f"{pick(dig, 3, 3)}-{pick(dig, 4, 4)}",
             lambda: pick(dig, 16, 16), lambda: ".".join(pick(dig, 1, 3) for _ in range(4)), lambda: "https://" + pick(low, 4, 9) + ".org/" + pick(low, 3, 8) + str(r.randint(1, 99)), lambda: pick(low, 3, 8) + "_" + pick(low, 3, 8), lambda: pick(up, 2, 9) + "!!", lambda: "|", lambda: pick(low, 2, 18) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: pick(low, 2, 6).capitalize() + r.choice(("(", "[")) + str(r.randint(1, 99)) + ")",
+            lambda: pick(low, 2, 10).capitalize() + r.choice(("", "s", "'s")), lambda: pick(low, 2, 9) + pick(up, 1, 1) + pick(low, 2, 9),
             lambda: pick(low, 3, 8) + "=" + str(r.randint(0, 999)), lambda: pick(low, 2, 7) + "-" + pick(low, 2, 7), lambda: pick(up, 2, 5) + "-" + str(r.randint(1, 99)), lambda: pick(low, 14, 26), lambda: "4.0", lambda: pick(up, 1, 1) + pick(low, 2, 6) + str(r.randint(1, 9)),
         ))()
 
@@ -111,11 +94,11 @@ def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[st
         words: list[str] = [plain() for _ in range(r.randint(2, 9))]
         tags = ["O"] * len(words)
         if i % 2:
-            form, s = r.randrange(6), secret()
+            form, s = r.randrange(8), secret()
             hard = pick(b62, 6, 10) + pick(dig, 2, 3) + r.choice(("", "x", "Q"))
             new = {
                 0: ([s], ["B"]), 1: ([r.choice(cues), r.choice("=:"), r.choice(("", '"')) + s], ["O", "O", "B"]), 2: ([f"{r.choice(cues)}={s}"], ["B"]),
-                3: ([r.choice(cues), "is", hard], ["O", "O", "B"]), 4: (["Authorization:", "Bearer", s], ["O", "O", "B"]), 5: (["-----BEGIN", "PRIVATE", "KEY-----", s, secret(), secret()], ["O", "O", "O", "B", "I", "I"]),
+                3: ([r.choice(cues), "is", hard], ["O", "O", "B"]), 4: (["Authorization:", "Bearer", s], ["O", "O", "B"]), 6: ([r.choice(cues), "is", phrase()], ["O", "O", "B"]), 7: ([r.choice(cues) + ":", phrase()], ["O", "B"]), 5: (["-----BEGIN", "PRIVATE", "KEY-----", s, secret(), secret()], ["O", "O", "O", "B", "I", "I"]),
             }[form]
             words += new[0]
             tags += [t if t == "O" else f"{t}-crf" for t in new[1]]
@@ -133,8 +116,8 @@ def default_model() -> crf.Model:
 
 
 def fit(labelled: DataFrame) -> crf.Model:
-    """Fit from a table (words array, tags array of O, B-crf, I-crf, files array); at most MAX_LABELLED rows, which is all of a small table."""
-    rows = labelled.select("words", "tags", "files").limit(MAX_LABELLED).collect()
+    """Fit from a table (words array, tags array of O, B-crf, I-crf, files array); at most MAX_LABELLED rows, the first by a hash of the row."""
+    rows = labelled.select("words", "tags", "files").orderBy(F.xxhash64("words", "tags", "files")).limit(MAX_LABELLED).collect()
     return crf.train([(list(w), list(t), list(f or ())) for w, t, f in rows if w], LABELS)
 
 
@@ -150,7 +133,7 @@ def scan_secrets(docs: DataFrame, model: crf.Model | None = None, text_col: str
     null ids each give their own row; further columns of ``docs`` are ignored; an empty table gives
     an empty one; texts of any length are read whole.
     """
-    return spans.scan(docs, base_spans, KINDS, model or default_model(), file_features, in_order, accept, text_col, id_col)
+    return spans.scan(docs, base_spans, KINDS, model or default_model(), file_features, in_order, text_col, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ def scan(
     model: crf.Model,
     file_features: Callable[[str], list[str]],
     order: Callable[[list[Span]], list[Span]],
-    accept: Callable[[str, Span], bool],
     text_col: str,
     id_col: str,
 ) -> DataFrame:
@@ -50,7 +49,7 @@ def scan(
             for text, tags in zip(texts, tagged, strict=True):
                 own = base(text)
                 more = crf.token_spans(text, tags, lambda t: labels[t][0] == "B", lambda t: labels[t][2:])
-                more = uncovered([s for s in more if accept(text, s)], own)
+                more = uncovered(more, own)
                 every = order(own + more)
                 rows.append((
                     *(sum(k == s[0] for s in own) for k in base_kinds),

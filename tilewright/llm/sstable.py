@@ -41,6 +41,7 @@ READ_BYTES = 32 << 20
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
 WORD_CACHE = 250_000
 
+KEY_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary())])
 
 
@@ -311,9 +312,13 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     Documents are dealt by range of their id, nulls first, and sorted within a range, repeated ids by
     text; each task writes one file under a name of its own attempt. Only files that the manifest names
     count, so a task that is run again or twice leaves no trace in the result. A null text is empty;
-    further columns are ignored; an empty table gives an empty manifest. Ids take 32 bits where ``wide``
+    further columns are ignored; an empty table gives an empty manifest; ids of other types than whole
+    numbers and strings are a TypeError. Ids take 32 bits where ``wide``
     says so or, unless given, where the vocabulary or ``end_id`` goes beyond 16.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in KEY_TYPES:
+        raise TypeError(f"keys are whole numbers or strings, not {kind}")
     slim = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
     dealt = slim.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", "t")
     with open(tokenizer, encoding="utf-8") as f:
@@ -368,8 +373,7 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     names = [id_col, "start", "n_tokens", "ids_crc32", "shard"] + ["ids"] * with_ids
-    key = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(id_type, pa.int64())
-    types = [key, pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.list_(pa.int64())] * with_ids
+    types = [KEY_TYPES[id_type], pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.list_(pa.int64())] * with_ids
     return shards.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long, shard int" + ", ids array<bigint>" * with_ids)
 
 
