@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import robust, scoring, text
+from tilewright.kernels import contours
 from tilewright.kernels import images as kernels
 from tilewright.operators import images, models, pixels, relational
 from tilewright.queries import QUERIES, SQL
@@ -139,7 +140,9 @@ def test_kernels_on_plain_images():
     assert kernels.lbp_entropy(flat) < kernels.lbp_entropy(checks) + 5
     assert kernels.laplacian_variance(flat) == 0.0 == kernels.tenengrad(flat)
     soft = np.rint(kernels.gaussian(checks, 9)).astype(np.uint8)
-    assert kernels.laplacian_variance(soft) < kernels.laplacian_variance(checks) and kernels.high_frequency_ratio(soft) < kernels.high_frequency_ratio(checks)
+    assert kernels.laplacian_variance(soft) < kernels.laplacian_variance(checks)
+    noise = np.random.default_rng(1).integers(0, 256, (40, 40)).astype(np.uint8)  # the measure takes the mean off, so a pattern of one frequency would not do
+    assert kernels.high_frequency_ratio(np.rint(kernels.gaussian(noise, 9)).astype(np.uint8)) < kernels.high_frequency_ratio(noise)
     assert kernels.edge_width(flat) is None
     f = kernels.field_features(disc(), 2, 4)
     assert set(f) == set(images.FIELD) and all(np.isfinite(v) for v in f.values())
@@ -174,7 +177,7 @@ def test_components_and_outlines():
     m[20:25, 20:25] = True
     label, n = kernels.components(m)
     assert n == 2 and label[2, 2] == label[9, 19] and label[0, 0] == 0
-    assert kernels.solidity(m & (label == label[22, 22])) == 1.0
+    assert kernels.outline(m & (label == label[22, 22])) == {"area": 16.0, "length": 16.0, "cy": 22.0, "cx": 22.0, "solidity": 1.0}
     assert kernels.touching(np.array([[1, 0, 2], [0, 3, 0]])) == [(1, 3), (2, 3)]
     snake = np.zeros((41, 41), bool)
     snake[::2] = True
@@ -182,6 +185,324 @@ def test_components_and_outlines():
     assert kernels.components(snake)[1] == 1
 
 
+def walked(part):
+    """The outer outline of a part, pixel after pixel: the next set neighbour, looked for from where the last one was come from."""
+    steps = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    p = np.pad(part, 1)
+    start = tuple(int(v) for v in np.argwhere(p)[0])
+    at, way, out = start, 6, []
+    first = None
+    while True:
+        for k in range(8):
+            d = (way + k) % 8
+            to = (at[0] + steps[d][0], at[1] + steps[d][1])
+            if p[to]:
+                break
+        else:
+            return [(at[0] - 1, at[1] - 1)]
+        if first is None:
+            first = (at, to)
+        elif (at, to) == first:
+            return out
+        out.append((at[0] - 1, at[1] - 1))
+        at, way = to, (d + 5) % 8
+
+
+def ring_measures(ring):
+    y, x = np.array(ring, float).T
+    y2, x2 = np.roll(y, -1), np.roll(x, -1)
+    cross = x * y2 - x2 * y
+    area = cross.sum() / 2
+    length = np.hypot(y2 - y, x2 - x).sum()
+    centre = (((y + y2) * cross).sum() / (6 * area), ((x + x2) * cross).sum() / (6 * area)) if abs(area) > 1e-9 else None
+    return abs(area), length, centre
+
+
+def test_outlines_equal_walked_ones():
+    r = np.random.default_rng(11)
+    for k in range(150):
+        m = r.random((14, 17)) < r.uniform(0.25, 0.75)
+        if not m.any():
+            continue
+        part = kernels.largest(m)
+        got = kernels.outline(part)
+        ring = walked(kernels.filled(part))
+        area, length, centre = ring_measures(ring)
+        assert got["area"] == pytest.approx(area) and got["length"] == pytest.approx(length), k
+        if centre:
+            assert (got["cy"], got["cx"]) == pytest.approx(centre)
+        # The hull through all pixels by brute force: no pixel lies outside any of its edges.
+        y, x = np.nonzero(part)
+        ring = contours.hull(np.stack([x, y], 1))
+        if len(ring) > 2:
+            e = np.roll(ring, -1, 0) - ring
+            side = e[:, :1] * (y - ring[:, 1:]) - e[:, 1:] * (x - ring[:, :1])
+            assert (side <= 1e-9).all() or (side >= -1e-9).all()
+
+
+def test_holes_are_those_of_plain_rings():
+    m = np.zeros((60, 60), bool)
+    m[5:40, 5:40] = True
+    m[10:30, 12:30] = False  # 20 x 18 clear pixels: an outline of 21 x 19 through the pixels around them, its four corners cut
+    m[45:55, 45:55] = True
+    m[48:50, 48:50] = False
+    rows = kernels.holes(m, 50)
+    assert [(x["area"], x["cy"], x["cx"], x["solidity"]) for x in rows] == [(21 * 19.0 - 2, 19.5, 20.5, 1.0)]
+    assert len(kernels.holes(m, 1)) == 2 and kernels.holes(m, 50, 0.05) == [] and kernels.holes(~np.pad(np.zeros((4, 4), bool), 20), 1) == []
+    yy, xx = np.mgrid[:200, :200]
+    angle, far = np.arctan2(yy - 100, xx - 100), np.hypot(yy - 100, xx - 100)
+    for waves, high in ((12, True), (3, False)):
+        ring = far > 60 + 6 * np.cos(waves * angle)
+        row = kernels.holes(ring, 50)[0]
+        assert (row["band_power"] > 0.7) == high and row["area"] == pytest.approx(np.pi * (60**2 + 18), rel=0.03)
+    rot = kernels.holes(np.rot90(far > 60 + 6 * np.cos(12 * angle)), 50)[0]
+    assert rot["area"] == pytest.approx(kernels.holes(far > 60 + 6 * np.cos(12 * angle), 50)[0]["area"])
+
+
+def tiff(img, compress=1, bits=8, order="<", predictor=1, tile=None, ink=None, rows=4):
+    h, w = img.shape[:2]
+    n = 1 if img.ndim == 2 else 3
+    rgb = img.reshape(h, w, n)[:, :, ::-1].astype(np.uint16)
+    rgb = rgb * 257 if bits == 16 else rgb
+    pack = {1: bytes, 8: zlib.compress, 5: lzw, 32773: packbits}[compress]
+
+    def body(px):
+        if predictor == 2:
+            px = np.diff(px.astype(np.int64), axis=1, prepend=0) % (1 << bits)
+        return pack(px.astype(np.uint8 if bits == 8 else order + "u2").tobytes())
+
+    if tile:
+        parts = [body(np.pad(rgb[y : y + tile, x : x + tile], ((0, max(0, y + tile - h)), (0, max(0, x + tile - w)), (0, 0)))) for y in range(0, h, tile) for x in range(0, w, tile)]
+    else:
+        parts = [body(rgb[y : y + rows]) for y in range(0, h, rows)]
+    data, at = b"", 8
+    offsets = []
+    for p in parts:
+        offsets.append(at + len(data))
+        data += p
+    end = at + len(data)
+    offs, sizes = struct.pack(f"{order}{len(parts)}I", *offsets), struct.pack(f"{order}{len(parts)}I", *map(len, parts))
+    entries = [(256, 3, [w]), (257, 3, [h]), (258, 3, [bits]), (259, 3, [compress]), (262, 3, [ink if ink is not None else 1 if n == 1 else 2]), (277, 3, [n]), (317, 3, [predictor])]
+    entries += [(322, 3, [tile]), (323, 3, [tile])] if tile else [(278, 3, [rows])]
+    o, s = (324, 325) if tile else (273, 279)
+    out = []
+    for t, k, v in entries:
+        out.append(struct.pack(order + "HHI", t, k, 1) + struct.pack(order + "HH", v[0], 0))
+    where = end
+    for t, raw in ((o, offs), (s, sizes)):
+        out.append(struct.pack(order + "HHI", t, 4, len(parts)) + (raw if len(raw) == 4 else struct.pack(order + "I", where)))
+        where += len(raw)
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", where)
+    return head + data + offs + sizes + struct.pack(order + "H", len(out)) + b"".join(sorted(out, key=lambda e: struct.unpack(order + "H", e[:2])))
+
+
+def packbits(b):
+    out, i = bytearray(), 0
+    while i < len(b):
+        j = i
+        while j < len(b) and b[j] == b[i] and j - i < 128:
+            j += 1
+        if j - i > 1:
+            out += bytes([257 - (j - i), b[i]])
+        else:
+            out += bytes([0, b[i]])
+        i = j
+    return bytes(out)
+
+
+def lzw(b):
+    table, bits, width, last = {bytes([i]): i for i in range(256)}, [], 9, b""
+    put = lambda c: bits.append(format(c, f"0{width}b"))
+    put(256)
+    n = 258
+    for i in range(len(b)):
+        c = b[i : i + 1]
+        if last + c in table:
+            last += c
+            continue
+        put(table[last])
+        table[last + c] = n
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        last = c
+        if n >= 4094:
+            put(table[last])
+            last = b""
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+    if last:
+        put(table[last])
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    put(257)
+    s = "".join(bits)
+    s += "0" * (-len(s) % 8)
+    return bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8))
+
+
+def test_tiff_round_trips():
+    r = np.random.default_rng(12)
+    smooth = np.clip(np.cumsum(r.integers(-3, 4, (67, 90)), 1) + 128, 0, 255).astype(np.uint8)
+    color = np.stack([smooth, smooth[::-1], r.integers(0, 256, smooth.shape).astype(np.uint8)], -1)
+    for img in (smooth, color):
+        for how in ({}, {"compress": 5}, {"compress": 8, "predictor": 2}, {"compress": 32773}, {"bits": 16, "order": ">"}, {"bits": 16, "predictor": 2, "compress": 8}, {"tile": 32}, {"tile": 16, "compress": 5, "predictor": 2, "order": ">"}, {"rows": 200}):
+            assert (kernels.decode(tiff(img, **how)) == img).all(), how
+    assert (kernels.decode(tiff(smooth, ink=0)) == 255 - smooth).all()
+    with pytest.raises(ValueError, match="compression"):
+        kernels.decode(tiff(smooth).replace(struct.pack("<HHIHH", 259, 3, 1, 1, 0), struct.pack("<HHIHH", 259, 3, 1, 4, 0)))
+
+
+def jpeg(img, step=1, restart=0, sub=1):
+    """A plain encoder: one scale for all coefficients, codes of eight bits for all symbols; colour as luma and two chroma planes, the latter thinned by ``sub``."""
+    k, x = np.arange(8)[:, None], np.arange(8)[None]
+    basis = np.cos((2 * x + 1) * k * np.pi / 16) / 2
+    basis[0] /= np.sqrt(2)
+    zig = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+    h, w = img.shape[:2]
+    if img.ndim == 2:
+        planes = [(img.astype(float), 1)]
+    else:
+        b, g, r = np.moveaxis(img.astype(float), 2, 0)
+        y = 0.114 * b + 0.587 * g + 0.299 * r
+        planes = [(y, sub), ((b - y) / 1.772 + 128, 1), ((r - y) / 1.402 + 128, 1)]
+    unit = 8 * (sub if img.ndim == 3 else 1)
+    H, W = -(-h // unit) * unit, -(-w // unit) * unit
+    coded = []
+    for p, f in planes:
+        p = np.pad(p, ((0, H - h), (0, W - w)), mode="edge")
+        if img.ndim == 3 and f == 1 and sub == 2:
+            p = p.reshape(H // 2, 2, W // 2, 2).mean((1, 3))
+        coded.append((np.rint(np.einsum("ky,rycx,lx->rckl", basis, (p - 128).reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8), basis) / step).astype(int), f))
+    bits, out, last, done = [], b"", [0] * len(planes), 0
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush():
+        s = "".join(bits)
+        s += "1" * (-len(s) % 8)
+        bits.clear()
+        return bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8)).replace(b"\xff", b"\xff\x00")
+
+    symbols = sorted({0, 0xF0} | {r << 4 | n for r in range(16) for n in range(1, 11)} | set(range(12)))
+    code = {s: format(i, "08b") for i, s in enumerate(symbols)}
+    for my in range(H // unit):
+        for mx in range(W // unit):
+            if restart and done and done % restart == 0:
+                out += flush() + bytes([0xFF, 0xD0 + (done // restart - 1) % 8])
+                last = [0] * len(planes)
+            for i, (c, f) in enumerate(coded):
+                for y in range(f):
+                    for x in range(f):
+                        z = c[my * f + y, mx * f + x].ravel()[zig]
+                        n, t = number(int(z[0]) - last[i])
+                        last[i] = int(z[0])
+                        bits.append(code[n] + t)
+                        run = 0
+                        top = max(np.flatnonzero(z), default=0)
+                        for v in z[1 : top + 1]:
+                            if not v:
+                                run += 1
+                                continue
+                            while run > 15:
+                                bits.append(code[0xF0])
+                                run -= 16
+                            n, t = number(int(v))
+                            bits.append(code[run << 4 | n] + t)
+                            run = 0
+                        if top < 63:
+                            bits.append(code[0])
+            done += 1
+    out += flush()
+    part = lambda k, b: bytes([0xFF, k]) + struct.pack(">H", len(b) + 2) + b
+    n = len(planes)
+    frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes([i + 1, planes[i][1] << 4 | planes[i][1], 0]) for i in range(n))
+    table = bytes(16 * [0])[:7] + bytes([len(symbols)]) + bytes(8) + bytes(symbols)
+    scan = bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + bytes([0, 63, 0])
+    return b"\xff\xd8" + part(0xDB, bytes([0]) + bytes([step] * 64)) + part(0xC0, frame) + part(0xC4, bytes([0]) + table) + part(0xC4, bytes([16]) + table) + (part(0xDD, struct.pack(">H", restart)) if restart else b"") + part(0xDA, scan) + out + b"\xff\xd9"
+
+
+def test_jpeg_round_trips_within_rounding():
+    r = np.random.default_rng(13)
+    smooth = np.clip(kernels.gaussian(r.integers(0, 256, (45, 70)), 9), 0, 255).astype(np.uint8)
+    for how in ({}, {"restart": 3}, {"step": 2}):
+        assert np.abs(kernels.decode(jpeg(smooth, **how)).astype(int) - smooth).max() <= 1 + 2 * how.get("step", 1)
+    noise = r.integers(0, 256, (16, 16)).astype(np.uint8)
+    assert np.abs(kernels.decode(jpeg(noise)).astype(int) - noise).max() <= 3
+    color = np.stack([smooth, smooth[::-1], smooth[:, ::-1]], -1)
+    assert np.abs(kernels.decode(jpeg(color)).astype(int) - color).max() <= 5
+    assert np.abs(kernels.decode(jpeg(color, sub=2, restart=2)).astype(int) - color).mean() <= 8
+    with pytest.raises(ValueError):
+        kernels.decode(b"\xff\xd8\xff\xd9")
+
+
+def test_blur_gradients_and_spectra_equal_plain_loops():
+    img = np.random.default_rng(14).integers(0, 256, (19, 23)).astype(np.uint8)
+    p = np.pad(img.astype(int), 2, mode="reflect")
+    k = np.array([1, 4, 6, 4, 1])
+    want = np.array([[(int((p[y : y + 5, x : x + 5] * np.outer(k, k)).sum()) + 128) // 256 for x in range(23)] for y in range(19)])
+    assert (kernels.softened(img) == want).all()
+    p = np.pad(img.astype(int), 1, mode="reflect")
+    sx = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+    dx, dy = kernels.sobel(img)
+    assert all(dx[y, x] == (p[y : y + 3, x : x + 3] * sx).sum() and dy[y, x] == (p[y : y + 3, x : x + 3] * sx.T).sum() for y in range(19) for x in range(23))
+    g = (img - img.mean()) * np.outer(np.hanning(19), np.hanning(23))
+    power = np.abs(np.fft.fftshift(np.fft.fft2(g))) ** 2
+    yy, xx = np.mgrid[:19, :23]
+    far = np.hypot(yy - 9, xx - 11) >= 0.25 * 9
+    assert kernels.high_frequency_ratio(img) == pytest.approx(power[far].sum() / power.sum(), rel=1e-4)
+    wide = np.pad(img, 2, mode="edge")
+    assert (kernels._extreme(img, np.maximum) == np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).max((2, 3))).all()
+    ring, angle = np.hypot(yy - 9, xx - 11), np.arctan2(yy - 9, xx - 11)
+    on = (ring >= 3) & (ring <= 7)
+    assert kernels.orientation(img.astype(float)) == pytest.approx(tuple(abs((power[on] * np.exp(1j * n * angle[on])).sum()) / power[on].sum() for n in (2, 4)), rel=1e-6)
+    assert kernels.grey(np.stack([img] * 3, -1)).tolist() == img.tolist()
+    mask = np.random.default_rng(15).random((40, 31)) < 0.9
+    wide = np.pad(mask, 1)
+    cy, cx = np.nonzero(~wide)
+    want = np.array([[0 if not mask[y, x] else np.hypot(cy - y - 1, cx - x - 1).min() for x in range(31)] for y in range(40)])
+    assert np.allclose(kernels.distance(mask), want)
+
+
+def test_canny_equals_a_plain_walk():
+    r = np.random.default_rng(16)
+    for k in range(6):
+        img = np.clip(kernels.gaussian(r.integers(0, 256, (24, 30)), 3) * 2 - 128, 0, 255).astype(np.uint8)
+        dx, dy = (d.astype(int) for d in kernels.sobel(img, "edge"))
+        m = np.pad(np.abs(dx) + np.abs(dy), 1)
+        top = np.zeros(img.shape, bool)
+        for y in range(24):
+            for x in range(30):
+                v, ax, ay = m[y + 1, x + 1], abs(dx[y, x]), abs(dy[y, x])
+                if v <= 50:
+                    continue
+                if ay < ax * np.tan(np.pi / 8):
+                    top[y, x] = v > m[y + 1, x] and v >= m[y + 1, x + 2]
+                elif ay > ax * np.tan(3 * np.pi / 8):
+                    top[y, x] = v > m[y, x + 1] and v >= m[y + 2, x + 1]
+                else:
+                    s = -1 if (dx[y, x] < 0) != (dy[y, x] < 0) else 1
+                    top[y, x] = v > m[y, x + 1 - s] and v > m[y + 2, x + 1 + s]
+        on = top & (m[1:-1, 1:-1] > 150)
+        while True:
+            more = top & kernels.dilate(on)
+            if (more == on).all():
+                break
+            on = more
+        assert (kernels.canny(img) == on).all(), k
+
+
+def test_cells_keep_failures_as_rows(spark):
+    m = np.zeros((60, 60), np.uint8)
+    m[8:50, 8:50] = 200
+    m[20:36, 20:36] = 0
+    df = spark.createDataFrame([("good", bytearray(png(m, [0]))), ("bad", bytearray(b"xx")), ("none", None), ("flat", bytearray(png(m * 0, [0])))], "name string, content binary")
+    rows = images.cells(df, least=20).collect()
+    assert sorted((r.name, r.cell, r.error is None) for r in rows) == [("bad", None, False), ("good", 1, True), ("none", None, False)]
+    assert images.cells(df, kernel=kernels.parts).where("error is not null").count() == 2
+
+
 def test_halo_and_line():
     halo = kernels.halo_signals(disc(size=200, y=100, x=100, r=25, low=10))
     assert halo["contrast_ratio"] >= 3 and halo["anisotropy"] <= 0.35 and halo["solidity"] > 0.9

@@ -53,18 +53,26 @@ def halo_signals(images: DataFrame, **how) -> DataFrame:
     return signals(images, kernels.halo_signals, HALO, **how)
 
 
-def cells(images: DataFrame, content: str = "content", decode: Callable = kernels.decode, least: int = 30) -> DataFrame:
-    """One image to many rows: a row per part with area, band power, solidity, centre and degree (touching parts)."""
+def cells(images: DataFrame, content: str = "content", decode: Callable = kernels.decode, least: int = 30, kernel: Callable = kernels.outlines) -> DataFrame:
+    """One image to many rows: a row per outline that ``kernel`` finds, with area, band power, solidity, centre; error is null.
+
+    An image that cannot be read is one row without an outline, with the error.
+    """
     keep = [c for c in images.columns if c != content]
     at = images.columns.index(content)
+    measures = ("area", "band_power", "solidity", "cy", "cx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = kernels.outlines(decode(batch.column(at)[i].as_py()), least)
+                try:
+                    rows, error = kernel(decode(batch.column(at)[i].as_py()), least), None
+                except Exception as e:  # an image that cannot be read is a row, not a failed task
+                    rows, error = [{}], f"{type(e).__name__}: {e}"[:200]
                 head = [pa.array([batch.column(j)[i].as_py()] * len(rows), batch.column(j).type) for j in range(batch.num_columns) if j != at]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([r["cell"] for r in rows], pa.int64()), pa.array([r["area"] for r in rows], pa.int64()), *(pa.array([r[n] for r in rows], pa.float64()) for n in ("band_power", "solidity", "cy", "cx"))], names=names)
+                found = [pa.array([r.get("cell") for r in rows], pa.int64()), *(pa.array([r.get(n) for r in rows], pa.float64()) for n in measures)]
+                yield pa.RecordBatch.from_arrays([*head, *found, pa.array([error] * len(rows), pa.string())], names=names)
 
-    names = [*keep, "cell", "area", "band_power", "solidity", "cy", "cx"]
-    schema = T.StructType([*(images.schema[c] for c in keep), T.StructField("cell", T.LongType()), T.StructField("area", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("band_power", "solidity", "cy", "cx"))])
+    names = [*keep, "cell", *measures, "error"]
+    schema = T.StructType([*(images.schema[c] for c in keep), T.StructField("cell", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in measures), T.StructField("error", T.StringType())])
     return images.mapInArrow(run, schema)

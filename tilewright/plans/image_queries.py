@@ -120,15 +120,15 @@ def halo_decision(spark, d):
 
 @query("crenation")
 def crenation(spark, d):
-    """Outlined parts to fields: how many, the largest one's band power, and the median."""
+    """Outlined holes to fields: how many, the largest one's band power, and the median."""
     c = images.cells(tile_bytes(spark, d), decode=_grid, least=16)
-    return c.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_parts"), F.max("area").alias("largest"), F.max_by("band_power", F.struct("area", "cell")).alias("largest_power"), F.median("band_power").alias("median_power"))
+    return c.groupBy("vec_id").agg(F.count("cell").alias("n_parts"), F.max("area").alias("largest"), F.max_by("band_power", F.struct("area", "cell")).alias("largest_power"), F.median("band_power").alias("median_power"))
 
 
 @query("cell_metrics")
 def cell_metrics(spark, d):
     """Fragments and merged parts by the upper quartile of areas, and how uneven the rest is."""
-    c = images.cells(tile_bytes(spark, d), decode=_grid, least=16)
+    c = images.cells(tile_bytes(spark, d), decode=_grid, least=16, kernel=kernels.parts)
     q = c.groupBy("vec_id").agg(F.percentile("area", F.lit(0.75)).alias("q"))
     part = c.join(q, "vec_id").withColumn("kind", F.when(F.col("area") < 0.35 * F.col("q"), "fragment").when(F.col("area") > 1.6 * F.col("q"), "merged").otherwise("single"))
     single = F.col("kind") == "single"
