@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tilewright.functions import robust, scoring, text
 from tilewright.kernels import contours
 from tilewright.kernels import images as kernels
-from tilewright.operators import images, models, pixels, relational
+from tilewright.operators import filters, images, models, pixels, relational
 from tilewright.queries import QUERIES, SQL
-from tilewright.sources import files, sinks
+from tilewright.sources import fetch, files, sinks
 from tilewright.streaming import passes
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,10 +82,36 @@ def test_degenerate_baselines(spark):
 
 def test_nearest_equals_all_pairs(spark):
     r = np.random.default_rng(1)
-    a, b = [(int(k), int(v)) for k, v in enumerate(r.integers(0, 40, 60))], [(int(k), int(v)) for k, v in enumerate(r.integers(0, 40, 25))]
-    got = relational.nearest(spark.createDataFrame(a, "k int, v int"), spark.createDataFrame(b, "k int, v int"), "v", "k").collect()
-    want = {k: min((abs(v - v2), k2) for k2, v2 in b) for k, v in a}
+    a, b = [(int(k), int(v), int(v) % 2) for k, v in enumerate(r.integers(0, 40, 60))], [(int(k), int(v), int(k) % 2) for k, v in enumerate(r.integers(0, 40, 25))]
+    got = relational.nearest(spark.createDataFrame(a, "k int, v int, g int"), spark.createDataFrame(b, "k int, v int, g int"), "v", "k", ["g"]).collect()
+    want = {k: min((abs(v - v2), k2) for k2, v2, g2 in b if g2 == g) for k, v, g in a}
     assert {x.k: (x.distance, x.control) for x in got} == want
+    with pytest.raises(ValueError, match="group"):
+        relational.nearest(spark.createDataFrame(a, "k int, v int, g int"), spark.createDataFrame(b, "k int, v int, g int"), "v", "k", [])
+
+
+def test_containing_equals_all_pairs(spark):
+    r = np.random.default_rng(2)
+    word = lambda n: "".join(r.choice(list("abé "), n))
+    rows = [(k, word(r.integers(0, 9))) for k in range(80)] + [(80, None), (81, "abab")]
+    needles = sorted({word(n) for n in (1, 2, 3, 3, 4, 5, 6)}) + ["", None, "ab", "abab", "ab"]
+    got = relational.containing(spark.createDataFrame(rows, "k int, name string"), "name", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle").collect()
+    assert sorted((x.k, x.needle) for x in got) == sorted((k, n) for k, t in rows if t for n in {n for n in needles if n} if n in t)
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([("a", "1.5", None), ("b", "x", 1), ("c", "NaN", 2), (None, "-2", 3), ("d", " inf", 4)], "slide_id string, v string, n int")
+    assert [x.v for x in filters.numeric(rows, ["v"]).collect()] == [1.5, -2.0]
+    assert filters.selected(rows, ["a", "zz"], strict=False).count() == 1
+    with pytest.raises(ValueError, match="unknown: zz"):
+        filters.selected(rows, ["a", "zz"])
+    assert filters.selected(rows, [f"k{i}" for i in range(1500)] + ["a"], strict=False).count() == 1
+    assert filters.excluded(rows, ["a"]).count() == 4 and filters.excluded(rows, []).count() == 5
+    below, rest = filters.partition_by_cutoff(rows, "n", 2)
+    assert (below.count(), rest.count(), filters.missing(rows, "n").count()) == (1, 3, 1)
+    assert filters.in_catalog(rows).count() == 5 and filters.without_errors(rows.withColumn("error", F.when(F.col("n") > 2, "e"))).count() == 3
+    assert filters.disagreements(rows, "n", F.lit(2), 1).count() == 3
+    assert filters.usable_negatives(rows, F.col("n") > 3, F.concat_ws(";", "slide_id", F.lit("x")), ["b"]).count() == 2
 
 
 def test_must_match_names_the_key(spark):
@@ -572,6 +598,42 @@ def test_calibration_recovers_weights(spark):
     assert models.ridge(np.array([[4.0, 2.0], [2.0, 3.0]]), np.array([1.0, 2.0]), 0.0) == pytest.approx(np.linalg.solve([[4, 2], [2, 3]], [1, 2])[1:])
 
 
+def test_scoring_model_goes_through_its_file(spark):
+    axis = lambda top: models.AxisModel({"a": 1.0}, {"a": (0.0, top), "otsu_separability": (0.2, 1.0)}, [0.5], ["low", "high"])
+    density = axis(1.0)
+    assert not models.derive_gate(density).enabled and models.derive_gate(density).floors == {"otsu_separability": 0.2}
+    whole = models.AxisModel({}, {n: (k / 10, 1.0) for k, n in enumerate(models.EMPTY_FIELD_FEATURES, 1)}, [], ["x"])
+    assert models.derive_gate(whole).enabled and models.derive_gate(whole).floors["edge_density_unmasked"] == 0.4
+    model = models.ScoringModel(density, axis(2.0), models.Gate(True, {"otsu_separability": 0.2}), lift_overlap=models.Override(True, "saturation_score", 0.9))
+    again = models.ScoringModel.from_json(model.to_json())
+    assert again == model and again.ranges()["a"] == (0.0, 2.0)
+    rows = spark.createDataFrame([(0.6, 0.5, 0.1), (0.6, 0.1, 0.1), (0.6, 0.5, 0.95)], "a double, otsu_separability double, saturation_score double")
+    got = [r[0] for r in rows.select(model.score({c: F.col(c) for c in rows.columns})).collect()]
+    assert [(r.density_label, r.overlap_label, r.overlap_raw_label, r.gated) for r in got] == [("high", "low", "low", False), ("low", "low", "low", True), ("high", "high", "low", False)]
+    assert models.drift(None, density)[0] == ("weight", "a", None, 1.0, None)
+
+
+def test_fetch_tries_again(spark, tmp_path):
+    calls, waits = [], []
+
+    def shaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise TimeoutError("again")
+        return x * 2
+
+    assert fetch.retrying(shaky, 4, sleep=waits.append) == 8 and len(waits) == 2 and 1 <= waits[0] < 1.5 and 2 <= waits[1] < 2.5
+    with pytest.raises(PermissionError):
+        fetch.retrying(lambda: (_ for _ in ()).throw(PermissionError()), sleep=waits.append)
+    with pytest.raises(FileNotFoundError):
+        fetch.retrying(lambda: (_ for _ in ()).throw(FileNotFoundError()), attempts=2, sleep=waits.append)
+    assert len(waits) == 3
+    (tmp_path / "a").write_bytes(b"abc")
+    rows = spark.createDataFrame([(1, str(tmp_path / "a")), (2, str(tmp_path / "no"))], "k int, path string")
+    got = {r.k: (r.content and bytes(r.content), r.error is None) for r in fetch.fetch(rows, attempts=2, delay=0.01).collect()}
+    assert got == {1: b"abc", 2: None} or got == {1: (b"abc", True), 2: (None, False)}
+
+
 def test_monotone_fit():
     assert models.monotone([1, 3, 2, 4], [1, 1, 3, 1]).tolist() == [1, 2.25, 2.25, 4]
     assert models.monotone([3, 2, 1], [1, 1, 1]).tolist() == [2, 2, 2]

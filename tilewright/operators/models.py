@@ -9,7 +9,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -45,6 +45,85 @@ class AxisModel:
         return cls(**raw | {"ranges": {k: tuple(v) for k, v in raw["ranges"].items()}})
 
 
+# The features that all have to lie below their floors for a field to count as empty.
+EMPTY_FIELD_FEATURES = ("otsu_separability", "lbp_entropy", "glcm_contrast", "edge_density_unmasked")
+
+
+@dataclass
+class Gate:
+    """The empty-field gate: floors by feature, off where a feature it needs was not fitted."""
+
+    enabled: bool
+    floors: dict[str, float]
+    rule: str = "all_below"
+
+    def fired(self, features: Mapping[str, Column]) -> Column:
+        return scoring.gate_fired({n: features[n] for n in self.floors}, self.floors, self.enabled, self.rule)
+
+
+def derive_gate(density: AxisModel, needed: Sequence[str] = EMPTY_FIELD_FEATURES) -> Gate:
+    """Floors at the lower ends of the density axis' ranges. A gate of fewer features would be another, weaker rule, so with one missing it is off."""
+    have = [n for n in needed if n in density.ranges]
+    return Gate(len(have) == len(needed), {n: density.ranges[n][0] for n in have})
+
+
+@dataclass
+class Override:
+    """Lifts a label to the top where the feature reaches the threshold; off as it ships."""
+
+    enabled: bool = False
+    feature: str = "saturation_score"
+    threshold: float | None = None
+
+
+@dataclass
+class ScoringModel:
+    """Everything that scoring a field needs: both axes, the gate, and an override for each axis."""
+
+    density: AxisModel
+    overlap: AxisModel
+    gate: Gate
+    lift_density: Override = field(default_factory=Override)
+    lift_overlap: Override = field(default_factory=Override)
+
+    def ranges(self) -> dict[str, tuple[float, float]]:
+        """Range of every feature of either axis; where both have one, that of the overlap axis."""
+        return {**self.density.ranges, **self.overlap.ranges}
+
+    def score(self, features: Mapping[str, Column]) -> Column:
+        """Struct of both scores, labels after override and gate, raw labels and whether the gate fired."""
+        gated, out = self.gate.fired(features), []
+        for name, axis, lift in (("density", self.density, self.lift_density), ("overlap", self.overlap, self.lift_overlap)):
+            value = axis.score(features)
+            raw = axis.label(value)
+            cut = lift.threshold if lift.enabled else None
+            shown = scoring.override(raw, features.get(lift.feature, F.lit(None).cast("double")), cut, axis.labels[-1], gated, axis.labels[0])
+            out += [value.alias(f"{name}_score"), shown.alias(f"{name}_label"), raw.alias(f"{name}_raw_label")]
+        return F.struct(*out, gated.alias("gated"))
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=1)
+
+    @classmethod
+    def from_json(cls, text: str) -> ScoringModel:
+        raw = json.loads(text)
+        axis = lambda a: AxisModel.from_json(json.dumps(a))
+        lifts = {k: Override(**raw.get(k, {})) for k in ("lift_density", "lift_overlap")}
+        return cls(axis(raw["density"]), axis(raw["overlap"]), Gate(**raw["gate"]), **lifts)
+
+
+def drift(before: AxisModel | None, now: AxisModel) -> list[tuple[str, str, float | None, float | None, float | None]]:
+    """(kind, name, before, now, change) of every weight and threshold of a refit; what one side lacks is null."""
+    out = []
+    for name in dict.fromkeys([*(before.weights if before else {}), *now.weights]):
+        a, b = before.weights.get(name) if before else None, now.weights.get(name)
+        out.append(("weight", name, a, b, None if a is None or b is None else b - a))
+    for k, b in enumerate(now.thresholds):
+        a = before.thresholds[k] if before and k < len(before.thresholds) else None
+        out.append(("threshold", str(k), a, b, None if a is None else b - a))
+    return out
+
+
 def ranges(rows: DataFrame, names: Sequence[str], low: float = 0.02, high: float = 0.98) -> dict[str, tuple[float, float]]:
     """The two percentiles of each feature, the upper one moved by 1e-6 where they are equal."""
     got = rows.agg(*(F.percentile(n, F.array(F.lit(low), F.lit(high))).alias(n) for n in names)).head()
@@ -117,10 +196,9 @@ def fit_axis(rows: DataFrame, names: Sequence[str], target: str, labels: Sequenc
 
 
 def hashed_folds(rows: DataFrame, key: Sequence[str], level: str, k: int, seed: int) -> DataFrame:
-    """Folds that share each level evenly, by the order of a hash of key and seed within the level."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(level).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    """Folds that share each level evenly, by the order of a digest of key and seed within the level."""
+    mixed = F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
+    w = Window.partitionBy(level).orderBy(mixed, *key)
     return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
@@ -163,6 +241,23 @@ def bootstrap_medians(rows: DataFrame, score: str, level: str, replicates: int =
     return meds.groupBy(level).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(level, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def hashed_bootstrap_medians(rows: DataFrame, score: str, level: str, key: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """As ``bootstrap_medians``, with draws by digests of replicate, place and seed, which any engine makes again.
+
+    A level's draw j of replicate b is the row at digest(b, j, seed) modulo the level's size, in the order
+    of the key: an equi-join on the place, without a row leaving the cluster.
+    """
+    place = F.row_number().over(Window.partitionBy(level).orderBy(*key)) - 1
+    own = rows.select(F.col(level).alias("_l"), F.col(score).alias("_s"), place.alias("_at"))
+    sizes = own.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+    draws = sizes.select("_l", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b")).select("_l", "_n", "_b", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_j"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in ("_b", "_j")), F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+    picked = draws.select("_l", "_b", (number % F.col("_n")).cast("int").alias("_at")).join(own, ["_l", "_at"])
+    meds = picked.groupBy("_l", "_b").agg(F.median("_s").alias("m"))
+    q = meds.groupBy("_l").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return q.select(F.col("_l").alias(level), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     return pd.DataFrame(x).rank().to_numpy(np.float64)
 

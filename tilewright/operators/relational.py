@@ -19,6 +19,20 @@ def must_match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return rows.withColumn("_there", F.when(F.col("_there").isNull(), F.raise_error(missing).cast("boolean")).otherwise(F.col("_there"))).where("_there").drop("_there")
 
 
+def containing(rows: DataFrame, name: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Each row with each distinct needle that its name contains (needle, and the columns of ``rows``); blank needles are in nothing.
+
+    An equi-join on pieces: a needle is found by its first three characters, or all of a shorter one,
+    among the distinct pieces of the name, and then compared. A name of n characters has at most 3n
+    pieces, and no row meets a needle that it shares no piece with.
+    """
+    whole = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct().withColumn("_piece", F.substring("_needle", 1, 3))
+    places = F.sequence(F.lit(1), F.length(name))
+    pieces = F.flatten(F.transform(places, lambda i: F.array(*(F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)))))
+    cut = rows.where(F.length(name) > 0).withColumn("_piece", F.explode(F.array_distinct(pieces)))
+    return cut.join(whole, "_piece").where(F.col(name).contains(F.col("_needle"))).drop("_piece").withColumnRenamed("_needle", needle)
+
+
 def patch_column(base: DataFrame, variant: DataFrame, on: Sequence[str], column: str) -> DataFrame:
     """The base rows with one column taken from the variant where it has the key."""
     new = variant.select(*on, F.col(column).alias("_new"))
@@ -47,12 +61,15 @@ def row_neighbours(rows: DataFrame, slide: str, fov: str, value: Sequence[str],
     return rows.withColumn("neighbours", F.collect_list(F.struct(fov, *value)).over(w))
 
 
-def nearest(rows: DataFrame, controls: DataFrame, value: str, key: str, group: Sequence[str] = ()) -> DataFrame:
+def nearest(rows: DataFrame, controls: DataFrame, value: str, key: str, group: Sequence[str]) -> DataFrame:
     """Each row with the control of nearest value (the smaller key of equals) in its group.
 
     No pairs are made: both sides go by value through one window, and the last control before a row and
-    the first one after it are the only two that can be nearest.
+    the first one after it are the only two that can be nearest. A group goes through one task, so there
+    has to be one.
     """
+    if not group:
+        raise ValueError("nearest needs a group: without one all rows would go through one task")
     both = rows.select(*group, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(False).alias("_c")).unionByName(
         controls.select(*group, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(True).alias("_c")))
     pick = F.when(F.col("_c"), F.struct(F.col("_v").alias("v"), F.col("_k").alias("k")))

@@ -36,13 +36,12 @@ def neighbor_row_window(spark, d):
     return n.select("slide_id", "fov_id", F.array_join(F.transform("neighbours", lambda x: x["fov_id"].cast("string")), ",").alias("before"))
 
 
-@query("theta_contains", "WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS needle FROM part WHERE p_partkey % 97 = 0) SELECT needle, count(*) AS n, min(p_partkey) AS low FROM part JOIN w ON contains(p_name, needle) GROUP BY 1")
+@query("theta_contains", "WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS needle FROM part) SELECT needle, count(*) AS n, min(p_partkey) AS low FROM part JOIN w ON contains(p_name, needle) WHERE needle <> '' GROUP BY 1")
 def theta_contains(spark, d):
-    """Folder names that contain a needle: the needles are a handful of distinct words, counted before they are sent out."""
+    """Names that contain a needle, for all needles there are: an equi-join on pieces of the names."""
     p = table(spark, d, "part")
-    w = p.where("p_partkey % 97 = 0").select(F.split("p_name", " ")[1].alias("needle")).distinct()
-    small = F.broadcast(w) if w.count() <= 10_000 else w
-    return p.join(small, F.col("p_name").contains(F.col("needle"))).groupBy("needle").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("low"))
+    met = relational.containing(p, "p_name", p.select(F.split("p_name", " ")[1].alias("needle")), "needle")
+    return met.groupBy("needle").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("low"))
 
 
 @query("fallback_source", """WITH a AS (SELECT doc_id, CAST(quality AS BIGINT) AS value, 'labels' AS source FROM labels), b AS (SELECT doc_id, n_chars AS value, 'measured' AS source FROM documents WHERE n_chars > 500), c AS (SELECT doc_id, CAST(NULL AS BIGINT) AS value, 'none' AS source FROM documents)

@@ -36,20 +36,111 @@ def ridge_fit(spark, d):
     return spark.createDataFrame(rows, "feature string, weight double, low double, high double, dropped boolean")
 
 
-@query("pava_thresholds")
+#: Labelled fields with their level, as the plans above make them.
+_LABELLED = """+ lab AS (SELECT slide_id, fov_id, coverage, edges, entropy, contrast, n_detected, CAST(least(4, greatest(0, floor((coverage - 0.3::DOUBLE) * 8 + (edges - 0.3::DOUBLE) * 3))) AS INTEGER) AS level FROM features JOIN counts USING (slide_id, fov_id) WHERE contrast IS NOT NULL)"""
+
+
+def _unit(x: str, low: str, high: str) -> str:
+    return f"CASE WHEN {high} <= {low} THEN 0 ELSE least(1, greatest(0, ({x} - {low}) / ({high} - {low}))) END"
+
+
+_MEAN_SCORE = "(" + " + ".join(f"0.25::DOUBLE * {_unit(n, f'{lo}::DOUBLE', f'{hi}::DOUBLE')}" for n, (lo, hi) in ((n, RANGES[n]) for n in NAMES)) + ")"
+
+
+def _monotone_sql(levels: str, by: str = "") -> str:
+    """CTEs fit (level, v), full (every level, v) and cuts (level, t) from a view (by, level, m, n) of the levels' medians."""
+    key = f"{by}, " if by else ""
+    same = lambda a, b: f"{a}.{by} = {b}.{by} AND " if by else ""
+    return f""", spans AS (SELECT {'a.' + by + ', ' if by else ''}a.level AS a, b.level AS b, sum(c.m * c.n) / sum(c.n) AS mean FROM {levels} a JOIN {levels} b ON {same('a', 'b')}a.level <= b.level JOIN {levels} c ON {same('a', 'c')}c.level BETWEEN a.level AND b.level GROUP BY ALL),
+ lows AS (SELECT {'i.' + by + ', ' if by else ''}i.level, s.a, min(s.mean) AS low FROM {levels} i JOIN spans s ON {same('i', 's')}s.a <= i.level AND s.b >= i.level GROUP BY ALL), fit AS (SELECT {key}level, max(low) AS v FROM lows GROUP BY ALL),
+ every AS (SELECT {'f.' + by + ', ' if by else ''}k AS level FROM (SELECT DISTINCT {by or '1 AS one'} FROM fit) f, (SELECT unnest(range(5))::INTEGER AS k)),
+ full_ AS (SELECT {'e.' + by + ', ' if by else ''}e.level, coalesce(arg_max(f.v, f.level) FILTER (f.level <= e.level), arg_min(f.v, f.level)) AS v FROM every e JOIN fit f ON {same('e', 'f')}true GROUP BY ALL),
+ cuts AS (SELECT {'a.' + by + ', ' if by else ''}a.level, (a.v + b.v) / 2 AS t FROM full_ a JOIN full_ b ON {same('a', 'b')}b.level = a.level + 1)"""
+
+
+@query("pava_thresholds", sql(_LABELLED + f", lv AS (SELECT level, median({_MEAN_SCORE}) AS m, count(*) AS n FROM lab GROUP BY 1)" + _monotone_sql("lv") + " SELECT f.level, round_even(f.v, 9) AS median, coalesce(lv.n, 0) AS n, round_even(c.t, 9) AS upper FROM full_ f LEFT JOIN lv USING (level) LEFT JOIN cuts c USING (level)", "features", "counts"))
 def pava_thresholds(spark, d):
     rows = labelled(spark, d)
     score = scoring.weighted({n: F.col(n) for n in NAMES}, dict.fromkeys(NAMES, 0.25), RANGES)
     cuts, fit, n = models.thresholds(rows, score, "level", 5)
-    return spark.createDataFrame([(k, fit[k], n[k], cuts[k] if k < 4 else None) for k in range(5)], "level int, median double, n long, upper double")
+    return spark.createDataFrame([(k, round(fit[k], 9), n[k], round(cuts[k], 9) if k < 4 else None) for k in range(5)], "level int, median double, n long, upper double")
+
+
+def _two_sql(rows: str, by: str) -> str:
+    """CTEs w (by, ranges, shares wa and wb) of the two-feature ridge fit, dropped features included, from a view (by, a, b, y)."""
+    return f""", lim AS (SELECT {by}, quantile_cont(a, 0.02::DOUBLE) AS al, quantile_cont(a, 0.98::DOUBLE) AS ah0, quantile_cont(b, 0.02::DOUBLE) AS bl, quantile_cont(b, 0.98::DOUBLE) AS bh0 FROM {rows} GROUP BY 1),
+ lims AS (SELECT {by}, al, CASE WHEN ah0 > al THEN ah0 ELSE ah0 + 1e-6::DOUBLE END AS ah, bl, CASE WHEN bh0 > bl THEN bh0 ELSE bh0 + 1e-6::DOUBLE END AS bh FROM lim),
+ u AS (SELECT {by}, {_unit('a', 'al', 'ah')} AS a, {_unit('b', 'bl', 'bh')} AS b, y::DOUBLE AS y FROM {rows} JOIN lims USING ({by})),
+ s AS (SELECT {by}, count(*) AS n, sum(a * a) - sum(a) * sum(a) / count(*) + 10 AS aa, sum(b * b) - sum(b) * sum(b) / count(*) + 10 AS bb, sum(a * b) - sum(a) * sum(b) / count(*) AS ab, sum(a * y) - sum(a) * sum(y) / count(*) AS ay, sum(b * y) - sum(b) * sum(y) / count(*) AS \"by\" FROM u GROUP BY 1),
+ c AS (SELECT *, (ay * bb - \"by\" * ab) / (aa * bb - ab * ab) AS ca, (\"by\" * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s),
+ k AS (SELECT *, CASE WHEN ca >= 0 AND cb >= 0 THEN ca WHEN ca >= 0 AND cb < 0 AND ay >= 0 THEN ay / aa ELSE 0 END AS ka, CASE WHEN ca >= 0 AND cb >= 0 THEN cb WHEN cb >= 0 AND ca < 0 AND \"by\" >= 0 THEN \"by\" / bb ELSE 0 END AS kb FROM c),
+ w AS (SELECT {by}, n, al, ah, bl, bh, ka / (ka + kb) AS wa, kb / (ka + kb) AS wb FROM k JOIN lims USING ({by}))"""
+
+
+def _score_two(a: str, b: str) -> str:
+    return f"(wa * {_unit(a, 'al', 'ah')} + wb * {_unit(b, 'bl', 'bh')}) / (wa + wb)"
+
 
+@query("ridge_two", sql(_LABELLED + ", r AS (SELECT slide_id % 4 AS part, coverage AS a, edges AS b, level AS y FROM lab)" + _two_sql("r", "part") + " SELECT part, round_even(wa, 6) AS coverage, round_even(wb, 6) AS edges, round_even(al, 6) AS low, round_even(ah, 6) AS high FROM w", "features", "counts"))
+def ridge_two(spark, d):
+    """The fit of two features, for each part of the slides on its own: ranges, ridge, negative weights dropped, shares."""
+    rows, out = labelled(spark, d), []
+    for part in range(4):
+        weights, lims, _ = models.fit_weights(rows.where(F.col("slide_id") % 4 == part), ("coverage", "edges"), "level")
+        own = lims.get("coverage") or models.ranges(rows.where(F.col("slide_id") % 4 == part), ("coverage",))["coverage"]
+        out.append((part, round(weights.get("coverage", 0.0), 6), round(weights.get("edges", 0.0), 6), round(own[0], 6), round(own[1], 6)))
+    return spark.createDataFrame(out, "part long, coverage double, edges double, low double, high double")
 
-@query("cross_validate")
+
+@query("cross_validate", sql(_LABELLED + """, f AS (SELECT *, CAST((row_number() OVER (PARTITION BY level ORDER BY md5(slide_id || '/' || fov_id || '/42'), slide_id, fov_id) - 1) % 5 AS INTEGER) AS own FROM lab), folds AS (SELECT unnest(range(5))::INTEGER AS fold),
+ r AS (SELECT fold, coverage AS a, edges AS b, level AS y FROM f, folds WHERE own <> fold)""" + _two_sql("r", "fold") + f", lv AS (SELECT fold, y AS level, median({_score_two('a', 'b')}) AS m, count(*) AS n FROM r JOIN w USING (fold) GROUP BY 1, 2)" + _monotone_sql("lv", "fold") + f""",
+ held AS (SELECT f.own AS fold, f.slide_id, f.fov_id, f.level, {_score_two('f.coverage', 'f.edges')} AS score FROM f JOIN w ON w.fold = f.own), said AS (SELECT h.fold, h.level, count(CASE WHEN h.score >= c.t THEN 1 END) AS p FROM held h JOIN cuts c ON c.fold = h.fold GROUP BY h.fold, h.slide_id, h.fov_id, h.level)
+ SELECT fold, count(*) AS n, round_even(avg(CASE WHEN p = level THEN 1::DOUBLE ELSE 0 END), 6) AS exact, round_even(avg(CASE WHEN abs(p - level) <= 1 THEN 1::DOUBLE ELSE 0 END), 6) AS within_one FROM said GROUP BY 1""", "features", "counts"))
 def cross_validate(spark, d):
+    """Five folds even in every level; ranges, weights and thresholds are fitted without the fold that they judge."""
     rows = models.hashed_folds(labelled(spark, d), ["slide_id", "fov_id"], "level", 5, 42)
-    out = models.cross_validate(rows, NAMES, "level", LABELS, range(5))
+    out = models.cross_validate(rows, ("coverage", "edges"), "level", LABELS, range(5))
     gap = F.abs(F.col("predicted") - F.col("level"))
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg((gap == 0).cast("double")).alias("exact"), F.avg((gap <= 1).cast("double")).alias("within_one"))
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((gap == 0).cast("double"))).alias("exact"), r6(F.avg((gap <= 1).cast("double"))).alias("within_one"))
+
+
+@query("gate_floors", sql("+ q AS (" + " UNION ALL ".join(f"SELECT '{g}' AS feature, quantile_cont({c}, 0.02::DOUBLE) AS floor FROM features" for g, c in (("otsu_separability", "coverage"), ("lbp_entropy", "entropy"), ("edge_density_unmasked", "edges"))) + ") SELECT feature, round_even(floor, 6) AS floor, false AS enabled FROM q", "features"))
+def gate_floors(spark, d):
+    """Floors of the empty-field gate; one of its four features was not fitted, so it is off."""
+    rows = features(spark, d).select(F.col("coverage").alias("otsu_separability"), F.col("entropy").alias("lbp_entropy"), F.col("edges").alias("edge_density_unmasked"))
+    lims = models.ranges(rows, rows.columns)
+    gate = models.derive_gate(models.AxisModel(dict.fromkeys(lims, 1.0), lims, [], ["all"]))
+    return spark.createDataFrame([(k, v, gate.enabled) for k, v in gate.floors.items()], "feature string, floor double, enabled boolean").withColumn("floor", r6("floor"))
+
+
+@query("axis_union", sql("+ q AS (SELECT 'coverage' AS feature, quantile_cont(coverage, 0.02::DOUBLE) AS low, quantile_cont(coverage, 0.98::DOUBLE) AS high FROM features UNION ALL SELECT 'edges', quantile_cont(edges, 0.1::DOUBLE), quantile_cont(edges, 0.9::DOUBLE) FROM features UNION ALL SELECT 'entropy', quantile_cont(entropy, 0.1::DOUBLE), quantile_cont(entropy, 0.9::DOUBLE) FROM features) SELECT feature, round_even(low, 6) AS low, round_even(high, 6) AS high FROM q", "features"))
+def axis_union(spark, d):
+    """Ranges of the features of either axis; the overlap axis wins where both have one. The model goes through its file."""
+    f = features(spark, d)
+    axis = lambda lims: models.AxisModel(dict.fromkeys(lims, 1.0), lims, [], ["all"])
+    model = models.ScoringModel(axis(models.ranges(f, ("coverage", "edges"))), axis(models.ranges(f, ("edges", "entropy"), 0.1, 0.9)), models.Gate(False, {}))
+    rows = [(k, *v) for k, v in models.ScoringModel.from_json(model.to_json()).ranges().items()]
+    return spark.createDataFrame(rows, "feature string, low double, high double").select("feature", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query("hashed_bootstrap", sql(_LABELLED + f""", o AS (SELECT level, {_MEAN_SCORE} AS s, row_number() OVER (PARTITION BY level ORDER BY slide_id, fov_id) - 1 AS k FROM lab), z AS (SELECT level, count(*) AS n FROM lab GROUP BY 1),
+ dr AS (SELECT level, b, CAST(('0x' || substr(md5(b || '/' || j || '/42'), 1, 12))::BIGINT % n AS BIGINT) AS k FROM (SELECT level, n, b, unnest(range(0, n)) AS j FROM (SELECT level, n, unnest(range(0, 60)) AS b FROM z))),
+ md AS (SELECT level, b, median(s) AS m FROM dr JOIN o USING (level, k) GROUP BY 1, 2) SELECT level, round_even(quantile_cont(m, 0.05::DOUBLE), 6) AS low, round_even(quantile_cont(m, 0.95::DOUBLE), 6) AS high FROM md GROUP BY 1""", "features", "counts"))
+def hashed_bootstrap(spark, d):
+    """Intervals of the levels' medians from draws that any engine makes again."""
+    rows = labelled(spark, d).withColumn("score", scoring.weighted({n: F.col(n) for n in NAMES}, dict.fromkeys(NAMES, 0.25), RANGES))
+    return models.hashed_bootstrap_medians(rows, "score", "level", ["slide_id", "fov_id"], 60).select("level", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query("refit_drift", sql("+ a AS (SELECT quantile_cont(coverage, 0.02::DOUBLE) AS x FROM features WHERE slide_id % 2 = 0), b AS (SELECT quantile_cont(coverage, 0.02::DOUBLE) AS x FROM features) SELECT 'threshold' AS kind, '0' AS name, round_even(a.x, 6) AS before, round_even(b.x, 6) AS now, round_even(b.x - a.x, 6) AS change FROM a, b UNION ALL SELECT 'weight', 'coverage', 0.75::DOUBLE, 0.5::DOUBLE, -0.25::DOUBLE UNION ALL SELECT 'weight', 'edges', NULL, 0.5::DOUBLE, NULL", "features"))
+def refit_drift(spark, d):
+    """What a refit moved: weights and thresholds before and now."""
+    f = features(spark, d)
+    low = lambda rows: models.ranges(rows, ("coverage",))["coverage"][0]
+    before = models.AxisModel({"coverage": 0.75}, {}, [low(f.where("slide_id % 2 = 0"))], ["a", "b"])
+    now = models.AxisModel({"coverage": 0.5, "edges": 0.5}, {}, [low(f)], ["a", "b"])
+    out = spark.createDataFrame(models.drift(before, now), "kind string, name string, before double, now double, change double")
+    return out.select("kind", "name", *(r6(c).alias(c) for c in ("before", "now", "change")))
 
 
 @query("bootstrap_ci")

@@ -66,9 +66,10 @@ DETECTIONS = "fov_id int, n_spots_detected long, n_spots_filtered long, n_positi
 SPOTS = "sample_id string, fov_id int, x double, y double, log_radius double, score double, positive int"
 
 
-def detection_counts(spark: SparkSession, path: str, metric: str = "n_spots_detected") -> DataFrame:
-    """(fov_id, n_detected) of a detection summary."""
-    return spark.read.csv(path, header=True, schema=DETECTIONS, enforceSchema=False).select("fov_id", F.col(metric).alias("n_detected"))
+def detection_counts(spark: SparkSession, path: str, metric: str = "n_spots_detected", with_path: bool = False) -> DataFrame:
+    """(fov_id, n_detected) of detection summaries, with the path of each row's file if asked."""
+    own = [F.input_file_name().alias("path")] if with_path else []
+    return spark.read.option("recursiveFileLookup", "true").csv(path, header=True, schema=DETECTIONS, enforceSchema=False).select(*own, "fov_id", F.col(metric).alias("n_detected"))
 
 
 def spot_counts(spark: SparkSession, path: str, positives: bool = False) -> DataFrame:
