@@ -575,8 +575,14 @@ def test_relational_pixels_equal_kernels(spark):
     o = pixels.otsu(px, "t").head()
     assert (o.threshold, o.coverage) == (kernels.otsu_level(img), float((img > kernels.otsu_level(img)).mean()))
     assert o.eta == pytest.approx(kernels.separability(img, 0))
-    assert pixels.glcm_contrast(px, "t").head().contrast == pytest.approx(kernels.glcm_contrast(img))
-    assert pixels.laplacian_variance(px, "t").head().laplacian_variance == pytest.approx(kernels.laplacian_variance(img))
+    wide = np.random.default_rng(5).integers(0, 256, (5, 9)).astype(np.uint8)
+    for x in (img, wide):
+        grid, v = spark.createDataFrame([(x.ravel().tolist(),)], "vs array<int>"), F.col("vs")
+        row = grid.select(pixels.glcm_contrast(v, *x.shape), pixels.laplacian_variance(v, *x.shape), pixels.tenengrad(v, *x.shape)).head()
+        assert tuple(row) == pytest.approx((kernels.glcm_contrast(x), kernels.laplacian_variance(x), kernels.tenengrad(x)))
+        pairs = grid.select(F.explode(pixels.touching(F.transform(v, lambda x: F.when(x > 90, F.floor(x / 40).cast("int"))), *x.shape)).alias("p")).select("p.*").collect()
+        keys = np.where(x > 90, x // 40, 0).astype(int)
+        assert sorted(map(tuple, pairs)) == kernels.touching(keys)
     cells = kernels.tiles(img, 3, np.mean)
     t = pixels.tile_spread(px, "t").head()
     assert (t.cv, t.patchiness) == pytest.approx((kernels.variation(cells), kernels.patchiness(cells)))

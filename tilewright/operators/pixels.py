@@ -1,4 +1,8 @@
-"""Pixel statistics of small tiles as relational plans over (tile, y, x, v)."""
+"""Pixel statistics of small tiles: histograms over (tile, y, x, v), and neighbourhoods as array expressions.
+
+What looks at a pixel's neighbours works on a tile's whole array of values (row by row) within its row,
+so pixels are neither dealt out nor joined.
+"""
 
 from __future__ import annotations
 
@@ -31,21 +35,27 @@ def otsu(px: DataFrame, tile: str) -> DataFrame:
     return top.select(tile, "threshold", F.when(spread > 0, c("b") / spread).otherwise(0.0).alias("eta"), ((c("w") - c("w0")) / c("w")).alias("coverage"))
 
 
-def shifted(px: DataFrame, tile: str, dy: int, dx: int) -> DataFrame:
-    """Pairs of pixels (v, v2) at the offset; an equi-join on tile and place."""
-    other = px.select(tile, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v").alias("v2"))
-    return px.join(other, [tile, "y", "x"])
+def _places(height: int, width: int, dy: int = 0, dx: int = 0) -> Column:
+    """Places (y * width + x) whose neighbour at the offset lies in the tile."""
+    y, x = (lambda i: F.floor(i / width)), (lambda i: i % width)
+    inside = lambda i: (y(i) + dy >= 0) & (y(i) + dy < height) & (x(i) + dx >= 0) & (x(i) + dx < width)
+    return F.filter(F.sequence(F.lit(0), F.lit(height * width - 1)), inside)
 
 
-def glcm_contrast(px: DataFrame, tile: str) -> DataFrame:
+def glcm_contrast(values: Column, height: int, width: int) -> Column:
     """Mean over the four offsets at distance one of the mean squared difference."""
-    steps = ((0, 1), (-1, 1), (-1, 0), (-1, -1))
-    parts = [shifted(px, tile, dy, dx).select(tile, F.lit(i).alias("o"), ((F.col("v") - F.col("v2")) * (F.col("v") - F.col("v2"))).alias("d")) for i, (dy, dx) in enumerate(steps)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    means = every.groupBy(tile, "o").agg((F.sum("d") / F.count(F.lit(1))).alias("m"))
-    return means.groupBy(tile).agg((F.sum("m") / 4).alias("contrast"))
+    means = []
+    for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1)):
+        means.append(_squares(values, _places(height, width, dy, dx), dy * width + dx) / ((height - abs(dy)) * (width - abs(dx))))
+    return (means[0] + means[1] + means[2] + means[3]) / 4
+
+
+def _squares(values: Column, places: Column, step: int) -> Column:
+    def add(total: Column, i: Column) -> Column:
+        gap = F.get(values, i) - F.get(values, i + step)
+        return total + (gap * gap).cast("long")
+
+    return F.aggregate(places, F.lit(0).cast("long"), add)
 
 
 def cell_of(at: Column, size: int, cells: int) -> Column:
@@ -71,23 +81,49 @@ def quadrants(px: DataFrame, tile: str, height: int = 8, width: int = 8) -> Data
     return out.withColumn("spread", F.greatest("tl", "tr", "bl", "br") - F.least("tl", "tr", "bl", "br"))
 
 
-def laplacian_variance(px: DataFrame, tile: str, height: int = 8, width: int = 8) -> DataFrame:
-    """Population variance of the four-neighbour Laplacian, borders mirrored without repeating the edge, from whole-number sums."""
-    y, x = F.col("y"), F.col("x")
+def _mirrored(values: Column, height: int, width: int, i: Column, dy: int, dx: int) -> Column:
+    """The value at an offset of one at most, borders mirrored without repeating the edge."""
     mirror = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * n - 2 - v).otherwise(v)
-    asks = px.select(tile, "y", "x", "v", F.explode(F.array(*(F.struct(mirror(y + dy, height).alias("y2"), mirror(x + dx, width).alias("x2")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))))).alias("n"))
-    vals = px.select(F.col(tile).alias("t2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("v").alias("v2"))
-    met = asks.join(vals, (asks[tile] == vals["t2"]) & (asks["n.y2"] == vals["y2"]) & (asks["n.x2"] == vals["x2"]))
-    lap = met.groupBy(tile, "y", "x").agg((F.sum("v2") - 4 * F.max("v")).alias("l"))
-    s = lap.groupBy(tile).agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s"), F.sum(F.col("l") * F.col("l")).alias("q"))
-    return s.select(tile, ((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * F.col("n"))).alias("laplacian_variance"))
-
-
-def touching(px: DataFrame, tile: str, key: Column, on: Column) -> DataFrame:
-    """(tile, a, b), a < b: distinct pairs of different keys that lie in neighbouring pixels (eight neighbours) where ``on`` holds."""
-    marked = px.where(on).select(tile, "y", "x", key.alias("v"))
-    parts = [shifted(marked, tile, dy, dx) for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.where("v <> v2").select(tile, F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+    return F.get(values, (mirror(F.floor(i / width) + dy, height) * width + mirror(i % width + dx, width)).cast("int"))
+
+
+def laplacian_variance(values: Column, height: int, width: int) -> Column:
+    """Population variance of the four-neighbour Laplacian, from whole-number sums."""
+
+    def at(i: Column) -> Column:
+        near = [_mirrored(values, height, width, i, dy, dx) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))]
+        return (near[0] + near[1] + near[2] + near[3] - 4 * F.get(values, i)).cast("long")
+
+    long = lambda v: F.lit(v).cast("long")
+    add = lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"))
+    n = height * width
+    return F.aggregate(F.transform(_places(height, width), at), F.struct(long(0).alias("s"), long(0).alias("q")), add, lambda a: (n * a["q"] - a["s"] * a["s"]) / (n * n))
+
+
+def tenengrad(values: Column, height: int, width: int) -> Column:
+    """Mean of the squared gradient by the 3 x 3 Sobel masks, borders mirrored."""
+    long = F.lit(0).cast("long")
+
+    def at(i: Column) -> Column:
+        v = lambda dy, dx: _mirrored(values, height, width, i, dy, dx)
+        gx = v(-1, 1) + 2 * v(0, 1) + v(1, 1) - v(-1, -1) - 2 * v(0, -1) - v(1, -1)
+        gy = v(1, -1) + 2 * v(1, 0) + v(1, 1) - v(-1, -1) - 2 * v(-1, 0) - v(-1, 1)
+        return (gx * gx + gy * gy).cast("long")
+
+    return F.aggregate(F.transform(_places(height, width), at), long, lambda a, x: a + x) / (height * width)
+
+
+def touching(keys: Column, height: int, width: int) -> Column:
+    """Distinct pairs (a, b), a < b, of different keys in neighbouring pixels (eight neighbours); a null key touches nothing."""
+    parts = []
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        parts.append(_pairs(keys, _places(height, width, dy, dx), dy * width + dx))
+    return F.array_distinct(F.flatten(F.array(*parts)))
+
+
+def _pairs(keys: Column, places: Column, step: int) -> Column:
+    def pair(i: Column) -> Column:
+        a, b = F.get(keys, i), F.get(keys, i + step)
+        return F.when(a != b, F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+
+    return F.filter(F.transform(places, pair), lambda p: p.isNotNull())

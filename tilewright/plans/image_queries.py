@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from ..functions import scoring
 from ..kernels import images as kernels
 from ..operators import images, pixels
 from ..registry import query, r6
+from .standins import grids, sql, table
 from .standins import pixels as tiles
-from .standins import sql, table
 
 
 @query("patch_histogram", sql("SELECT vec_id, v, count(*) AS n FROM pixels GROUP BY 1, 2", "pixels"))
@@ -41,7 +42,7 @@ def patch_coverage(spark, d):
 @query("patch_glcm", sql("""+ o AS (SELECT * FROM (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1)) t(o, dy, dx)), m AS (SELECT a.vec_id, o, CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) / count(*) AS m FROM pixels a, o, pixels b WHERE a.vec_id = b.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)
  SELECT vec_id, round_even(sum(m) / 4, 5) AS contrast FROM m GROUP BY 1""", "pixels"))
 def patch_glcm(spark, d):
-    return pixels.glcm_contrast(tiles(spark, d), "vec_id").select("vec_id", F.bround("contrast", 5).alias("contrast"))
+    return grids(spark, d).select("vec_id", F.bround(pixels.glcm_contrast(F.col("vs"), 8, 8), 5).alias("contrast"))
 
 
 @query("patch_tile_cv", sql("""+ c AS (SELECT vec_id, CASE WHEN y < 6 THEN y // 3 ELSE 2 END AS r, CASE WHEN x < 6 THEN x // 3 ELSE 2 END AS c, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM pixels GROUP BY 1, 2, 3)
@@ -60,19 +61,110 @@ def patch_quadrants(spark, d):
  l AS (SELECT n.vec_id, n.y, n.x, sum(b.v) - 4 * any_value(n.v) AS l FROM n JOIN pixels b ON n.vec_id = b.vec_id AND n.y2 = b.y AND n.x2 = b.x GROUP BY 1, 2, 3)
  SELECT vec_id, round_even(CAST(count(*) * sum(l * l) - sum(l) * sum(l) AS DOUBLE) / (count(*) * count(*)), 5) AS laplacian_variance FROM l GROUP BY 1""", "pixels"))
 def patch_laplacian(spark, d):
-    return pixels.laplacian_variance(tiles(spark, d), "vec_id").select("vec_id", F.bround("laplacian_variance", 5).alias("laplacian_variance"))
+    return grids(spark, d).select("vec_id", F.bround(pixels.laplacian_variance(F.col("vs"), 8, 8), 5).alias("laplacian_variance"))
 
 
 @query("touching_pairs", sql("""+ m AS (SELECT vec_id, y, x, v // 32 AS k FROM pixels WHERE v > 96), p AS (SELECT DISTINCT a.vec_id, least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k)
  SELECT vec_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p""", "pixels"))
 def touching_pairs(spark, d):
-    return pixels.touching(tiles(spark, d), "vec_id", F.floor(F.col("v") / 32).cast("int"), F.col("v") > 96)
+    keys = F.transform("vs", lambda v: F.when(v > 96, F.floor(v / 32).cast("int")))
+    return grids(spark, d).select("vec_id", F.explode(pixels.touching(keys, 8, 8)).alias("p")).select("vec_id", "p.a", "p.b")
+
+
+_SOBEL = """+ n AS (SELECT a.vec_id, a.y, a.x, dy, dx, abs(a.y + dy) - CASE WHEN a.y + dy > 7 THEN 2 * (a.y + dy - 7) ELSE 0 END AS y2, abs(a.x + dx) - CASE WHEN a.x + dx > 7 THEN 2 * (a.x + dx - 7) ELSE 0 END AS x2 FROM pixels a, (SELECT unnest(range(-1, 2)) AS dy) t, (SELECT unnest(range(-1, 2)) AS dx) u),
+ g AS (SELECT n.vec_id, n.y, n.x, sum(b.v * dx * (2 - abs(dy))) AS gx, sum(b.v * dy * (2 - abs(dx))) AS gy FROM n JOIN pixels b ON n.vec_id = b.vec_id AND n.y2 = b.y AND n.x2 = b.x GROUP BY 1, 2, 3)
+ SELECT vec_id, round_even(CAST(sum(gx * gx + gy * gy) AS DOUBLE) / count(*), 4) AS tenengrad FROM g GROUP BY 1"""
+
+
+@query("patch_tenengrad", sql(_SOBEL, "pixels"))
+def patch_tenengrad(spark, d):
+    """The squared gradient of a tile as an array expression."""
+    return grids(spark, d).select("vec_id", F.bround(pixels.tenengrad(F.col("vs"), 8, 8), 4).alias("tenengrad"))
+
+
+def _small(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(8, 8)
+
+
+@query("kernel_tenengrad", sql(_SOBEL, "pixels"))
+def kernel_tenengrad(spark, d):
+    """The same by the image kernel."""
+    got = images.signals(tile_bytes(spark, d), lambda x: {"tenengrad": kernels.tenengrad(x)}, ("tenengrad",), decode=_small)
+    return got.select("vec_id", F.bround("tenengrad", 4).alias("tenengrad"))
+
+
+_BLUR = """+ n AS (SELECT a.vec_id, a.y, a.x, dy.k AS ky, dx.k AS kx, abs(a.y + dy.o) - CASE WHEN a.y + dy.o > 7 THEN 2 * (a.y + dy.o - 7) ELSE 0 END AS y2, abs(a.x + dx.o) - CASE WHEN a.x + dx.o > 7 THEN 2 * (a.x + dx.o - 7) ELSE 0 END AS x2
+  FROM pixels a, (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) dy(o, k), (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) dx(o, k)),
+ soft AS (SELECT n.vec_id, n.y, n.x, CAST((sum(b.v * ky * kx) + 128) // 256 AS BIGINT) AS v FROM n JOIN pixels b ON n.vec_id = b.vec_id AND n.y2 = b.y AND n.x2 = b.x GROUP BY 1, 2, 3),
+ h AS (SELECT vec_id, v, count(*) AS n FROM soft GROUP BY 1, 2), c AS (SELECT vec_id, v, sum(n) OVER up AS w0, sum(n * v) OVER up AS s0, sum(n) OVER al AS w, sum(n * v) OVER al AS s FROM h WINDOW up AS (PARTITION BY vec_id ORDER BY v), al AS (PARTITION BY vec_id)),
+ b AS (SELECT *, CASE WHEN w0 < w THEN CAST(w * s0 - w0 * s AS DOUBLE) * CAST(w * s0 - w0 * s AS DOUBLE) / CAST(w0 * (w - w0) AS DOUBLE) ELSE 0 END AS b FROM c), t AS (SELECT vec_id, max(round_even(b, 6)) AS top FROM b GROUP BY 1)"""
+
+
+@query("kernel_mask", sql(_BLUR + " SELECT vec_id, round_even(top / 4096, 3) AS between, CAST(sum(s.v) AS BIGINT) AS soft FROM t JOIN soft s USING (vec_id) GROUP BY 1, top", "pixels"))
+def kernel_mask(spark, d):
+    """Blurred tile and the largest between-class variance that the mask's level reaches, by the image kernel."""
+
+    def kernel(x: np.ndarray) -> dict[str, float]:
+        soft = kernels.softened(x).astype(np.int64)
+        on = soft > kernels.otsu_level(soft.astype(np.uint8))
+        n, low = on.size, int((~on).sum())
+        gap = n * int(soft[~on].sum()) - low * int(soft.sum())
+        return {"between": round(gap * gap / (low * (n - low)), 6) / 4096 if 0 < low < n else 0.0, "soft": float(soft.sum())}
+
+    got = images.signals(tile_bytes(spark, d), kernel, ("between", "soft"), decode=_small)
+    return got.select("vec_id", F.bround("between", 3).alias("between"), F.col("soft").cast("long").alias("soft"))
+
+
+_RING = ", ".join(f"({k}, {float(np.round(-3 * np.sin(2 * np.pi * k / 24), 5))!r}::DOUBLE, {float(np.round(3 * np.cos(2 * np.pi * k / 24), 5))!r}::DOUBLE)" for k in range(24))
+
+
+@query("kernel_lbp", sql(f"""+ o AS (SELECT k, dy, dx FROM (VALUES {_RING}) t(k, dy, dx)), p AS (SELECT a.vec_id, a.y, a.x, a.v, k, CAST(floor(a.y + dy) AS INTEGER) AS fy, CAST(floor(a.x + dx) AS INTEGER) AS fx, a.y + dy - floor(a.y + dy) AS wy, a.x + dx - floor(a.x + dx) AS wx FROM pixels a, o),
+ q AS (SELECT p.*, coalesce(p00.v, 0)::DOUBLE AS a, coalesce(p01.v, 0)::DOUBLE AS b, coalesce(p10.v, 0)::DOUBLE AS c, coalesce(p11.v, 0)::DOUBLE AS e FROM p LEFT JOIN pixels p00 ON p00.vec_id = p.vec_id AND p00.y = fy AND p00.x = fx LEFT JOIN pixels p01 ON p01.vec_id = p.vec_id AND p01.y = fy AND p01.x = fx + 1 LEFT JOIN pixels p10 ON p10.vec_id = p.vec_id AND p10.y = fy + 1 AND p10.x = fx LEFT JOIN pixels p11 ON p11.vec_id = p.vec_id AND p11.y = fy + 1 AND p11.x = fx + 1),
+ bits AS (SELECT vec_id, y, x, k, CAST((1 - wy) * ((1 - wx) * a + wx * b) + wy * ((1 - wx) * c + wx * e) >= v AS INTEGER) AS bit FROM q),
+ turns AS (SELECT *, CASE WHEN k > 0 THEN abs(bit - lag(bit) OVER (PARTITION BY vec_id, y, x ORDER BY k)) ELSE 0 END AS turn FROM bits), codes AS (SELECT vec_id, y, x, CASE WHEN sum(turn) <= 2 THEN sum(bit) ELSE 25 END AS code FROM turns GROUP BY 1, 2, 3),
+ n AS (SELECT vec_id, code, count(*) / 64::DOUBLE AS p FROM codes GROUP BY 1, 2) SELECT vec_id, round_even(-sum(p * log2(p)), 6) AS entropy FROM n GROUP BY 1""", "pixels"))
+def kernel_lbp(spark, d):
+    """Entropy of the tile's uniform patterns by the image kernel."""
+    got = images.signals(tile_bytes(spark, d), lambda x: {"entropy": kernels.lbp_entropy(x)}, ("entropy",), decode=_small)
+    return got.select("vec_id", F.bround("entropy", 6).alias("entropy"))
+
+
+@query("kernel_grid", sql("""+ c AS (SELECT vec_id, CASE WHEN y < 6 THEN y // 3 ELSE 2 END AS r, CASE WHEN x < 6 THEN x // 3 ELSE 2 END AS c, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM pixels GROUP BY 1, 2, 3)
+ SELECT vec_id, round_even(CASE WHEN abs(avg(m)) < 1e-9 THEN 0 ELSE stddev_pop(m) / avg(m) END, 5) AS cv, round_even(CASE WHEN abs(median(m)) < 1e-9 THEN 0 ELSE (max(m) - median(m)) / median(m) END, 5) AS patchiness FROM c GROUP BY 1""", "pixels"))
+def kernel_grid(spark, d):
+    """Spread of the mean values of a tile's nine parts by the image kernel."""
+
+    def kernel(x: np.ndarray) -> dict[str, float]:
+        cells = kernels.tiles(x, 3, np.mean)
+        return {"cv": kernels.variation(cells), "patchiness": kernels.patchiness(cells)}
+
+    got = images.signals(tile_bytes(spark, d), kernel, ("cv", "patchiness"), decode=_small)
+    return got.select("vec_id", F.bround("cv", 5).alias("cv"), F.bround("patchiness", 5).alias("patchiness"))
+
+
+@query("corner_crops", sql("""+ k AS (SELECT vec_id, (vec_id % 7) / 7::DOUBLE AS cy, (vec_id % 5) / 5::DOUBLE AS cx FROM (SELECT DISTINCT vec_id FROM pixels)), b AS (SELECT vec_id, CAST(floor(cy * 64) AS INTEGER) AS y, CAST(floor(cx * 64) AS INTEGER) AS x, 38 AS side FROM k),
+ box AS (SELECT vec_id, n, CASE WHEN n IN ('tl', 'tr') THEN y ELSE y - side END AS top, CASE WHEN n IN ('tl', 'bl') THEN x ELSE x - side END AS "left", side FROM b, (VALUES ('tl'), ('tr'), ('bl'), ('br')) t(n)),
+ cut AS (SELECT vec_id, n, greatest(top, 0) AS y0, least(top + side, 64) AS y1, greatest("left", 0) AS x0, least("left" + side, 64) AS x1 FROM box UNION ALL SELECT vec_id, 'whole', 0, 64, 0, 64 FROM b),
+ part AS (SELECT * FROM cut WHERE least(y1 - y0, x1 - x0) >= 8),
+ s AS (SELECT c.vec_id, c.n, (y1 - y0) * (x1 - x0) AS area, sum(p.v * greatest(0, least(y1, 8 * p.y + 8) - greatest(y0, 8 * p.y)) * greatest(0, least(x1, 8 * p.x + 8) - greatest(x0, 8 * p.x))) AS total FROM part c JOIN pixels p USING (vec_id) GROUP BY ALL)
+ SELECT vec_id, n AS crop, CAST(area AS BIGINT) AS area, round_even(CAST(total AS DOUBLE) / area, 6) AS mean FROM s""", "pixels"))
+def corner_crops(spark, d):
+    """One image to up to five: the whole and the crops that put a point into a corner, with their mean values."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(k, name, crop.size, float(crop.mean())) for name, crop in kernels.corner_crops(_grid(raw), ((k % 7) / 7, (k % 5) / 5))]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["vec_id", "crop", "area", "mean"])
+
+    return tile_bytes(spark, d).mapInArrow(run, "vec_id long, crop string, area long, mean double").withColumn("mean", r6("mean"))
 
 
 def tile_bytes(spark, d):
     """Tiles of 8 x 8 as the raw bytes of their grey values, dealt to all cores: kernels cost far more than these bytes suggest."""
-    px = tiles(spark, d).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("vs"))
-    return px.select("vec_id", F.unhex(F.array_join(F.transform("vs", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content")).repartition(spark.sparkContext.defaultParallelism)
+    return grids(spark, d).select("vec_id", F.unhex(F.array_join(F.transform("vs", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def _grid(raw: bytes) -> np.ndarray:

@@ -48,11 +48,16 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", "lang", "source", "n_chars", (F.col("quality") == 0).alias("truth"), (F.col("n_chars") > 3000).alias("predicted"), (F.col("toxic") == 1).alias("toxic"), (F.col("n_chars") / 1000).alias("contrast"))
 
 
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    """Grey values of a tile of 8 x 8, row by row: (vec_id, vs)."""
+    value = lambda e: F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), e.cast("double") + 0.5))).cast("int")
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", value).alias("vs"))
+
+
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Grey values of a tile of 8 x 8: (vec_id, y, x, v)."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    value = F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("e").cast("double") + 0.5))).cast("int")
-    return rows.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), value.alias("v"))
+    """The same, a row for each pixel: (vec_id, y, x, v)."""
+    rows = grids(spark, d).select("vec_id", F.posexplode("vs").alias("i", "v"))
+    return rows.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), "v")
 
 
 SQL = {
