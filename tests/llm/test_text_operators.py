@@ -835,3 +835,29 @@ def test_columns_with_names_of_the_results_change_nothing(spark, docs):
     assert kept.columns == more.columns and kept.count() == simhash.keep_one(own).count()
     scored = toxicity.score(more, toxicity.Classifier({}, 0.0))
     assert sorted(scored.columns) == sorted(more.columns)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from tilewright.llm.common import shared_dir
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Context:
+        applicationId = "app-test"
+
+        def __init__(self, master):
+            self.master = master
+
+    class Session:
+        conf = Conf()
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    assert shared_dir(Session("local[4]")) == shared_dir(Session("local"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master))

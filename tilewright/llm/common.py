@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import filesystem as filesystem
+from ..storage import new_path as new_path
+from ..storage import shared_dir as shared_dir
+
 #: Largest serialised object that an operator ships to every task (models, query sets, vocabularies).
 BROADCAST_LIMIT_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share (``spark.checkpoint.dir``).
-
-    Where it is unset, a local session, whose driver runs the tasks, gets a temporary folder, one for
-    each application; on a cluster no folder of one machine would do, and that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        path = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="shared-")
-    return path.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
 
@@ -54,11 +31,6 @@ def small_or_not(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path of the shared folder, and the path in it."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri())
-
-
 def digest(text: Column) -> Column:
     """16 bytes that stand for a text where verdicts go by text and not by id; null has none."""
     return F.unhex(F.md5(text.cast("string")))
