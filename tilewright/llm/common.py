@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,29 @@ from ..storage import shared_dir as shared_dir
 BROADCAST_LIMIT_BYTES = 64 << 20
 
 
+_CACHES: list[tuple[str, Callable[[], None]]] = []
+_AT_WORK = [""]
+
+
+def keeps(operator: str, clear: Callable[[], None]) -> None:
+    """State that an operator keeps between tasks of a Python worker, by what empties it."""
+    _CACHES.append((operator, clear))
+
+
+def at_work(operator: str) -> None:
+    """Called by each task: where the worker last worked for another operator, what that one kept is let go and freed memory returned."""
+    if _AT_WORK[0] == operator:
+        return
+    _AT_WORK[0] = operator
+    for other, clear in _CACHES:
+        if other != operator:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
+        trim(0)
+
+
 def materialise(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: each shard row holds the posting lists (term -> ascending word
-positions) of all words of about a million consecutive ones. Positions run through the shard, with a gap
+positions) of all words of about half a million consecutive ones. Positions run through the shard, with a gap
 between documents that no phrase can bridge. A phrase is found by intersecting the offset-adjusted
 lists of its terms, rarest list of the shard first; the result is exact. Building and searching are
 narrow passes: no row of the corpus is shuffled, and no list of a frequent term meets in one task.
@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, filesystem, materialise, new_path, sliced, table
+from .common import alnum_words, at_work, filesystem, keeps, materialise, new_path, sliced, table
 
 WINDOW = 13
 #: Words, or documents, after which a shard is closed; a longer document ends its shard.
-SHARD_WORDS, SHARD_DOCS = 1_000_000, 1 << 16
+SHARD_WORDS, SHARD_DOCS = 1 << 19, 1 << 16
 #: Words left free between two documents of a shard.
 GAP = 64
 #: Words of benchmark items in a block file.
 BLOCK_WORDS = 1 << 18
-#: Shards that are searched together, and places of rarest terms that are followed at a time.
+#: Shards that are searched together where there are several blocks, and places of rarest terms that are followed at a time.
 TOGETHER, PLACES = 4, 1 << 20
 
 INDEX = "starts binary, sizes binary, terms binary, cuts binary, positions binary"
@@ -85,6 +85,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key_type = slim.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         s, fields = _Shard(), []
 
         def emit() -> pa.RecordBatch:
@@ -243,6 +244,9 @@ def read_block(file: str) -> Windows:
         return Windows(pa.ipc.open_file(f).read_all().to_pylist()[0])
 
 
+keeps("decontaminate", read_block.cache_clear)
+
+
 def write_blocks(items: DataFrame, key_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> list[str]:
     """Block files with the windows of the distinct items (names; a name for each ``block_words`` words, which is all the driver gets).
 
@@ -252,6 +256,7 @@ def write_blocks(items: DataFrame, key_col: str, text_col: str, window: int, blo
     path = new_path(items.sparkSession, "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         block, done = _Block(), 0
         task = TaskContext.get()
         fs, root = filesystem(path)
@@ -307,7 +312,8 @@ def per_document(index: DataFrame, id_col: str, files: Sequence[str]) -> DataFra
     key_type = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, TOGETHER):
+        at_work("decontaminate")
+        for batch in sliced(batches, TOGETHER if len(files) > 1 else 1):
             rows = [dict(zip(batch.schema.names[1:], x, strict=True)) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             for i, (p, cover, found) in enumerate(_search(rows, files)):
                 total = np.append(0, np.cumsum(cover, dtype=np.int64))
@@ -353,6 +359,7 @@ def _counts(index: DataFrame, names: Sequence[bytes]) -> dict[bytes, int]:
     """Occurrences of the terms in the whole index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         for batch in sliced(batches, 1):
             p = Postings(batch.to_pylist()[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array([len(p.of(t)) for t in p.numbers(names).tolist()], pa.int64())], names=["term", "n"])
@@ -366,6 +373,7 @@ def _lookup(index: DataFrame, phrases: Sequence[str], id_col: str, slop: int | N
     total = {} if slop is None else _counts(index, sorted({w for ws in words for w in ws}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         for batch in sliced(batches, 1):
             row = batch.to_pylist()[0]
             p = Postings(row)

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BROADCAST_LIMIT_BYTES, sliced, table
+from .common import BROADCAST_LIMIT_BYTES, at_work, sliced, table
 
 # Names under which notices speak of public licences, by the identifier that rules use.
 NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -299,6 +299,7 @@ def scan_licenses(docs: DataFrame, book: Book | None = None, id_col: str = "doc_
     slim = docs.select(docs[id_col], docs[text_col].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("licenses")
         for batch in sliced(batches):
             got = [scan_text(t or "", book) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, materialise, sliced, small_or_not, space_words, table
+from .common import at_work, digest, materialise, sliced, small_or_not, space_words, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared with each other.
@@ -117,6 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(docs[id_col], docs[text_col].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("simhash")
         for batch in sliced(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
@@ -163,6 +164,7 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
 
 def _solved(gathered: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("simhash")
         for batch in batches:
             found = [forest(np.array(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64), radius) for x in batch.column(0)]
             edges = np.concatenate(found).view(np.int64) if found else np.zeros((0, 2), np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import sliced
+from .common import at_work, sliced
 
 Span = tuple[str, int, int]
 
@@ -41,6 +41,7 @@ def scan(
     labels = model.labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("spans")
         for batch in sliced(batches):
             ids = batch.column(0)
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, new_path, sliced, table
+from .common import at_work, filesystem, keeps, materialise, new_path, sliced, table
 from .wordpiece import byte_alphabet
 
 MAGIC = b"TSST0001"
@@ -299,6 +299,9 @@ def encoder_of(definition: str) -> Encoder:
     return Encoder(definition)
 
 
+keeps("sstable", encoder_of.cache_clear)
+
+
 def needs_wide(definition: str, end_id: int) -> bool:
     """Whether an id of the tokenizer, or ``end_id``, does not fit in 16 bits."""
     from tokenizers import Tokenizer
@@ -326,6 +329,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     wide = needs_wide(definition, end_id) if wide is None else wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("sstable")
         task = TaskContext.get()
         name, writer, low, key = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst", None, None, None
         fs, root = filesystem(path)
@@ -359,6 +363,7 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc
     shards = based.repartition(max(1, min(n, max(size // READ_BYTES, manifest.sparkSession.sparkContext.defaultParallelism))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("sstable")
         for batch in batches:
             for row in batch.to_pylist():
                 fs, name = filesystem(row["file"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, materialise, sliced, table, utf8
+from .common import at_work, digest, materialise, sliced, table, utf8
 
 #: Bounds of the training sample: confirmed toxic documents and unlabelled ones, by a hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
@@ -148,6 +148,7 @@ def select_words(sample: DataFrame, n: int, m: int) -> list[bytes]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         counts: dict[bytes, list[int]] = {}
 
         def emit() -> pa.RecordBatch:
@@ -174,6 +175,7 @@ def word_numbers(sample: DataFrame, names: Sequence[bytes]) -> tuple[list[np.nda
     index = {w: i for i, w in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         for batch in sliced(batches):
             out = [np.array(sorted(index[w] for w in words_of(t) & index.keys()), "<u2").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["h", "positive", "at"])
@@ -216,6 +218,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         for batch in sliced(batches):
             s = np.array([model.score(t) for t in batch.column(at).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
