@@ -35,7 +35,13 @@ def at_work(operator: str) -> None:
     for other, clear in _CACHES:
         if other != operator:
             clear()
-    gc.collect()
+    give_back()
+
+
+def give_back(collect: bool = True) -> None:
+    """Return freed memory to the machine: a worker that waits for its next task should not hold what the last one needed."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
         trim(0)
@@ -98,8 +104,18 @@ def space_words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split() if text else []
 
 
+#: Slices after which freed memory goes back within a task.
+SLICES = 16
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Views of at most ``rows`` rows of each batch, so that few texts are Python objects at a time."""
+    """Views of at most ``rows`` rows of each batch, so that few texts are Python objects at a time; freed memory goes back now and then, and at the end."""
+    batch, n = None, 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            n += 1
+            if n % SLICES == 0:
+                give_back(collect=False)
+    del batch
+    give_back()
