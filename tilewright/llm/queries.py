@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, sstable, toxicity, wordpiece
+from . import decontaminate, language, licenses, mixing, pii, quality, secrets, simhash, sstable, toxicity, trie, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
     "op10_pii": pii.query,
+    "op11_prefix_trie": trie.query,
     "op12_language_id": language.query,
 }
 
 SQL: dict[str, str] = {
     "op3_quality_cascade": quality.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_prefix_trie": trie.SQL,
 }
