@@ -7,6 +7,7 @@ the bracket falls under zero in a batch, the step goes against it (Kiryo et al.,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,8 +22,10 @@ from .common import at_work, digest, materialise, sliced, table, utf8
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 #: Ranges of the hash of which each gives one unlabelled id at most, however often ids repeat.
 DRAW_RANGES = 1 << 16
-#: Bound of the vocabulary: words with the largest lift among those in at least MIN_DOCS positive documents.
-MAX_WORDS, MIN_DOCS, MIN_LIFT = 4_096, 5, 3.0
+#: A feature is learned from that two positive documents and this share of them have, and whose lift is above this; it counts for more the larger its lift, up to MOST_LIFT.
+SHARE, MIN_LIFT, MOST_LIFT = 1 / 200, 1.5, 9.5
+#: A stem's words in so many words are its rate.
+RATE_WORDS = 256
 #: Words that a task counts before it hands the counts on.
 COUNT_WORDS = 100_000
 THRESHOLD = 0.3
@@ -32,9 +35,24 @@ _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0
 
 
 def words_of(text: str | None) -> set[bytes]:
-    """The distinct words of a text, and for inflected forms the first five bytes of longer ones, marked by ^."""
-    own = set(utf8(text).translate(_WORDS).split()) if text else set()
-    return own | {b"^" + w[:5] for w in own if len(w) > 5}
+    """The distinct words of a text, and the stems of longer ones (^ and five bytes) with marks of how often they are met.
+
+    A stem that is met again has the mark 2, and a mark r1, r2, ... for each power of two, from 1 on, that
+    its words in RATE_WORDS words of the text reach.
+    """
+    words = utf8(text).translate(_WORDS).split() if text else []
+    own = Counter(words)
+    stems: dict[bytes, int] = {}
+    for w, n in own.items():
+        if len(w) > 5:
+            stems[w[:5]] = stems.get(w[:5], 0) + n
+    out = set(own)
+    for stem, n in stems.items():
+        out.add(b"^" + stem)
+        if n >= 2:
+            out.add(b"^" + stem + b"2")
+            out.update(b"^%sr%d" % (stem, k) for k in range(1, (n * RATE_WORDS // len(words)).bit_length() + 1))
+    return out
 
 
 class Classifier:
@@ -75,26 +93,37 @@ def risk(w: np.ndarray, cols: np.ndarray, at: np.ndarray, n: int, m: int, prior:
     return value, bracket, np.append(np.bincount(cols, g[at], len(w) - 1), g.sum())
 
 
-def train(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], names: Sequence[bytes], prior: float, rounds: int = 60, rate: float = 0.05, l1: float = 2e-3, batch: int = 2_048, seed: int = 3, runs: int = 4) -> Classifier:
-    """nnPU with the logistic loss on word presence: the mean of ``runs`` fits with batches of their own.
+def train(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], names: Sequence[bytes], prior: float, rounds: int = 40, rate: float = 0.05, l2: float = 1e-4, batch: int = 2_048, seed: int = 3, runs: int = 2) -> Classifier:
+    """nnPU with the logistic loss on the presence of features: the mean of ``runs`` fits with batches of their own.
 
-    A document is the numbers of its words among ``names``. Each fit goes by Adam over batches that mix
-    both samples, with a falling rate, and averages its last third.
+    A document is the numbers of its features among ``names``, each scaled by its lift between the two
+    samples, so that the penalty on the weights holds back what is more likely chance. Each fit goes by
+    Adam over batches that mix both samples, with a falling rate, and averages its last third.
     """
     prior = min(max(prior, 1e-4), 0.9)
     base = float(np.log(prior / (1 - prior)))
     if not len(positive) or not len(unlabelled) or not len(names):
         return Classifier({}, base)
     docs = [np.sort(np.asarray(d, np.int64)) for d in (*positive, *unlabelled)]
-    fits = [_descend(docs, len(positive), len(names), prior, rounds, rate, l1, batch, seed + k) for k in range(runs)]
+    n, m = len(positive), len(unlabelled)
+    count = lambda some: np.bincount(np.concatenate(some), minlength=len(names))
+    scale = np.clip(lift(count(docs[:n]), count(docs[n:]), n, m) - MIN_LIFT, 0, MOST_LIFT - MIN_LIFT) / 4
+    fits = [_descend(docs, n, scale, prior, rounds, rate, l2, batch, seed + k) for k in range(runs)]
     w = np.mean(fits, 0)
+    w[:-1] *= scale
     return Classifier({x: float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
 
 
-def _descend(docs: Sequence[np.ndarray], n: int, words: int, prior: float, rounds: int, rate: float, l1: float, batch: int, seed: int) -> np.ndarray:
+def lift(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
+    """By how many standard errors a feature's share of the n positives is above that of the m unlabelled."""
+    both = (p + u) / (n + m)
+    return (p / n - u / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
+
+
+def _descend(docs: Sequence[np.ndarray], n: int, scale: np.ndarray, prior: float, rounds: int, rate: float, l2: float, batch: int, seed: int) -> np.ndarray:
     m = len(docs) - n
     r = np.random.default_rng(seed)
-    w = np.zeros(words + 1)
+    w, scale = np.zeros(len(scale) + 1), np.append(scale, 1.0)
     w[-1] = np.log(prior / (1 - prior))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     steps = max(5, (n + m) // batch)  # small samples are gone through in as many steps
@@ -109,11 +138,11 @@ def _descend(docs: Sequence[np.ndarray], n: int, words: int, prior: float, round
             rows = np.concatenate([a, b])
             cols = np.concatenate([docs[i] for i in rows])
             at = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
-            grad = risk(w, cols, at, len(a), len(b), prior)[2]
+            grad = risk(w * scale, cols, at, len(a), len(b), prior)[2] * scale
+            grad[:-1] += l2 * w[:-1]
             m1 = 0.9 * m1 + 0.1 * grad
             m2 = 0.999 * m2 + 0.001 * grad * grad
             w -= now * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - now * l1, 0)
         if 3 * k >= 2 * rounds:
             mean += w
             taken += 1
@@ -142,9 +171,10 @@ def draw(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Data
 
 
 def select_words(sample: DataFrame, n: int, m: int) -> list[bytes]:
-    """At most MAX_WORDS words whose share among the n positives is above that among the m unlabelled by the most standard errors.
+    """The features with a lift above MIN_LIFT that two positives and a SHARE of them have, in order.
 
-    Words are counted where the texts are; only counts move, and only the chosen words reach the driver.
+    They are counted where the texts are; only counts move, and only the chosen ones reach the driver. No
+    number of them is set: a document adds to at most 1 / SHARE of them for each that it has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +194,24 @@ def select_words(sample: DataFrame, n: int, m: int) -> list[bytes]:
         yield emit()
 
     n, m = max(n, 1), max(m, 1)
-    found = sample.select("positive", "text").mapInArrow(run, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= MIN_DOCS)
+    found = sample.select("positive", "text").mapInArrow(run, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= max(2, n * SHARE))
     both = (F.col("p") + F.col("u")) / F.lit(float(n + m))
-    lift = (F.col("p") / F.lit(float(n)) - F.col("u") / F.lit(float(m))) / F.sqrt(both * (1 - both) * F.lit(1 / n + 1 / m) + F.lit(1e-12))
-    return [bytes(r.word) for r in found.withColumn("lift", lift).where(F.col("lift") > MIN_LIFT).orderBy(F.col("lift").desc(), "word").limit(MAX_WORDS).select("word").collect()]
+    above = (F.col("p") / F.lit(float(n)) - F.col("u") / F.lit(float(m))) / F.sqrt(both * (1 - both) * F.lit(1 / n + 1 / m) + F.lit(1e-12))
+    return sorted(bytes(x.word) for x in found.where(above > MIN_LIFT).select("word").collect())
 
 
 def word_numbers(sample: DataFrame, names: Sequence[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The numbers of the words of each sampled text: positives, and the others; at most 8 KB for a document, of whatever length."""
+    """The numbers of the features of each sampled text: positives, and the others; four bytes for each that it has of ``names``."""
     index = {w: i for i, w in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("toxicity")
         for batch in sliced(batches):
-            out = [np.array(sorted(index[w] for w in words_of(t) & index.keys()), "<u2").tobytes() for t in batch.column(2).to_pylist()]
+            out = [np.array(sorted(index[w] for w in words_of(t) & index.keys()), "<u4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["h", "positive", "at"])
 
     got = sorted((h, bytes(at), p) for h, p, at in sample.select("h", "positive", "text").mapInArrow(run, "h long, positive boolean, at binary").collect())
-    own = [(p, np.frombuffer(at, "<u2")) for _, at, p in got]
+    own = [(p, np.frombuffer(at, "<u4")) for _, at, p in got]
     return [x for p, x in own if p], [x for p, x in own if not p]
 
 
