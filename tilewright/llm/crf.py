@@ -37,6 +37,12 @@ def shape(word: str) -> str:
     return "".join(out) if len(out) <= SHAPE_RUNS else "many:" + "".join(sorted(set(out)))
 
 
+def _last_digit(word: str) -> bool:
+    """Whether the digits of a word pass the check that cards' last digits are made for."""
+    d = [int(c) for c in word if c.isdecimal()]
+    return (sum(d[-1::-2]) + sum(2 * x - 9 * (x > 4) for x in d[-2::-2])) % 10 == 0
+
+
 def signature(word: str) -> tuple[str, ...]:
     """Features of a word beside its identity."""
     core = word.strip(PUNCT)
@@ -61,6 +67,8 @@ def signature(word: str) -> tuple[str, ...]:
             out.append("hex")
     if n <= 3 and digits == n:
         out.append("short-number")
+    if n <= 24 and 13 <= digits <= 19 and not core.strip("0123456789-."):
+        out.append("luhn" if _last_digit(core) else "no-luhn")
     out += ["has=" + c for c in "@=:/\\._-+()" if c in core]
     if "=" in core or ":" in core:
         out.append("key=" + re.split("[=:]", core, maxsplit=1)[0].lower())
@@ -201,7 +209,7 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Best labels (n, t) for emissions (n, t, k) of pieces that have outside on both sides."""
     n, t, _ = e.shape
     best = move[OUTSIDE] + e[:, 0]
-    back = np.zeros((n, t, e.shape[2]), np.int64)
+    back = np.zeros((n, t, e.shape[2]), np.int8 if e.shape[2] < 128 else np.int64)
     for i in range(1, t):
         s = best[:, :, None] + move
         back[:, i] = s.argmax(1)
@@ -295,8 +303,11 @@ def likelihood(e: np.ndarray, mask: np.ndarray, tags: np.ndarray, move: np.ndarr
     return float(z.sum() - own), p, by_move - gold
 
 
+_BEFORE, _AFTER = frozenset((PUNCT + MARKS).replace("(", "")), frozenset(PUNCT + MARKS)
+
+
 def token_spans(text: str, tagged: Sequence[tuple[int, int]], begins: Callable[[int], bool], kind: Callable[[int], str]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points for runs of tagged words; punctuation around a run is left out."""
+    """(kind, start, end) in code points for runs of tagged words; punctuation and marks around a run are left out."""
     if not tagged:
         return []
     want = {p: t for p, t in tagged}
@@ -314,9 +325,9 @@ def token_spans(text: str, tagged: Sequence[tuple[int, int]], begins: Callable[[
             break
     spans = []
     for k, a, b in out:
-        while a < b and text[a] in PUNCT.replace("(", ""):
+        while a < b and text[a] in _BEFORE:
             a += 1
-        while b > a and text[b - 1] in PUNCT:
+        while b > a and text[b - 1] in _AFTER:
             b -= 1
         if b > a:
             spans.append((k, a, b))

@@ -52,6 +52,18 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in even)) % 10 == 0
 
 
+def checked(kind: str, value: str) -> bool:
+    """Whether a span that the field adds passes what its kind can be checked by: a card's last digit, an address' parts, a phone number's length."""
+    digits = _NOT_DIGIT.sub("", value)
+    if kind == "crf_card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "crf_phone":
+        return 7 <= len(digits) <= 15
+    if kind == "crf_ip" and _IP.fullmatch(value):
+        return all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in value.split("."))
+    return True
+
+
 def base_spans(text: str) -> list[spans.Span]:
     """Leftmost non-overlapping matches per kind that pass the kind's own rule; others are dropped, without retries."""
     out: list[spans.Span] = [("email", a, b) for a, b in emails(text)]
@@ -78,6 +90,14 @@ def labelled_rows(seed: int = 5, n: int = 900) -> list[tuple[list[str], list[str
     r = random.Random(seed)
     low, dig, up = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     pick = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randint(lo, hi)))
+    bare = lambda n: pick(dig, n, n)
+
+    def card(n: int, good: bool = True) -> str:
+        while luhn(d := bare(n)) != good:
+            pass
+        return d
+
+    fours = lambda d: [d[i : i + 4] for i in range(0, len(d), 4)]
     host = lambda: pick(low, 3, 9) + str(r.randint(1, 9)) * (r.random() < 0.4) + r.choice((".com", ".org", ".example.com", ".de"))
 
     def item() -> tuple[list[str], str]:
@@ -86,7 +106,7 @@ def labelled_rows(seed: int = 5, n: int = 900) -> list[tuple[list[str], list[str
             lambda: ([pick(low, 3, 8), r.choice(("(at)", "[at]", "at")), pick(low, 3, 8), r.choice(("(dot)", "[dot]", "dot")), "com"], "email"),
             lambda: ([".".join(str(r.randint(0, 255)) for _ in range(4))], "ip"),
             lambda: ([":".join(pick("0123456789abcdef", 1, 4) for _ in range(8))], "ip"),
-            lambda: ([pick(dig, 16, 16)], "card"), lambda: ([pick(dig, 4, 4) for _ in range(4)], "card"), lambda: (["-".join(pick(dig, 4, 4) for _ in range(4))], "card"),
+            lambda: ([card(r.choice((13, 15, 16, 16)))], "card"), lambda: (fours(card(16)), "card"), lambda: (["-".join(fours(card(16)))], "card"), lambda: ([".".join(fours(card(16)))], "card"),
             lambda: (["+" + pick(dig, 1, 2), f"({pick(dig, 3, 3)})", f"{pick(dig, 3, 3)}-{pick(dig, 4, 4)}"], "phone"), lambda: ([f"({pick(dig, 3, 3)})", f"{pick(dig, 3, 3)}-{pick(dig, 4, 4)}"], "phone"),
             lambda: ([f"{pick(dig, 3, 3)}-{pick(dig, 3, 3)}-{pick(dig, 4, 4)}"], "phone"), lambda: (["+" + pick(dig, 2, 2), pick(dig, 3, 3), pick(dig, 7, 8)], "phone"),
             lambda: ([f"{pick(dig, 3, 3)}-{pick(dig, 2, 2)}-{pick(dig, 4, 4)}"], "id"), lambda: ([pick(up, 2, 2) + pick(dig, 2, 2), *(pick(dig, 4, 4) for _ in range(4)), pick(dig, 2, 2)], "id"), lambda: ([pick(up, 2, 2) + pick(dig, 20, 20)], "id"),
@@ -99,7 +119,7 @@ def labelled_rows(seed: int = 5, n: int = 900) -> list[tuple[list[str], list[str
             return w.capitalize() if r.random() < 0.12 else w + r.choice(("", "", "", ",", "."))
         return r.choice((
             lambda: pick(dig, 1, 4), lambda: f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", lambda: f"{r.randint(1, 99)},{pick(dig, 3, 3)}.{pick(dig, 2, 2)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)}.0.", lambda: pick("0123456789abcdef", 24, 40), lambda: "AKIA" + pick(up + dig, 16, 16),
-            lambda: "password=" + pick("0123456789abcdef", 18, 18), lambda: "|", lambda: pick(up, 2, 8) + "!!", lambda: pick(low, 2, 8) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: pick(low, 9, 20) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: "at", lambda: "https://" + host() + "/" + pick(low, 2, 8), lambda: pick(low, 2, 7) + "-" + pick(low, 2, 7), lambda: pick(up, 2, 4) + "-" + str(r.randint(1, 99)), lambda: "#" + pick(dig, 1, 6), lambda: r.choice(("=", "-", "*")), lambda: f"({pick(dig, 1, 2)})", lambda: f"{r.randint(1, 999)}%",
+            lambda: card(r.choice((13, 15, 16, 16)), False), lambda: "-".join(fours(card(16, False))), lambda: "password=" + pick("0123456789abcdef", 18, 18), lambda: "|", lambda: pick(up, 2, 8) + "!!", lambda: pick(low, 2, 8) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: pick(low, 9, 20) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: "at", lambda: "https://" + host() + "/" + pick(low, 2, 8), lambda: pick(low, 2, 7) + "-" + pick(low, 2, 7), lambda: pick(up, 2, 4) + "-" + str(r.randint(1, 99)), lambda: "#" + pick(dig, 1, 6), lambda: r.choice(("=", "-", "*")), lambda: f"({pick(dig, 1, 2)})", lambda: f"{r.randint(1, 999)}%",
         ))()
 
     rows = []
@@ -144,11 +164,11 @@ def no_file_features(text: str) -> list[str]:
 def scan_pii(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Personal data of every text: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, found.
 
-    Spans of the fixed patterns stay; the field adds spans of its kinds (crf_...) that no pattern span
-    contains. A null or empty text has no spans. Repeated rows and null ids each give their own row;
+    Spans of the fixed patterns stay; the field adds spans of its kinds (crf_...) that meet no pattern span
+    and that :func:`checked` does not rule out. A null or empty text has no spans. Repeated rows and null ids each give their own row;
     further columns are ignored; an empty table gives an empty one; texts are read whole.
     """
-    return spans.scan(docs, base_spans, KINDS, model or default_model(), no_file_features, in_order, text_col, id_col)
+    return spans.scan(docs, base_spans, KINDS, model or default_model(), no_file_features, in_order, text_col, id_col, checked)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

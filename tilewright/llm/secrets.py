@@ -54,7 +54,7 @@ def file_features(text: str) -> list[str]:
     return out
 
 
-def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[str], list[str]]]:
+def labelled_rows(seed: int = 11, n: int = 1_000) -> list[tuple[list[str], list[str], list[str]]]:
     """The small labelled table: invented lines with and without secrets, as (words, tags, file features)."""
     r = random.Random(seed)
     pick = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randint(lo, hi)))
@@ -70,9 +70,12 @@ def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[st
 
     def phrase() -> str:
         """A secret of letters only, or of digits only, as it is told after a cue."""
-        return r.choice((lambda: "".join(pick(low, 3, 8).capitalize() for _ in range(r.randint(2, 4))), lambda: pick(low + up, 10, 24), lambda: pick(dig, 8, 16), lambda: "-".join(pick(low, 3, 7) for _ in range(r.randint(3, 5)))))()
+        title = lambda: "".join(pick(low, 3, 8).capitalize() for _ in range(r.randint(2, 4)))
+        return r.choice((title, title, lambda: pick(low + up, 10, 24), lambda: pick(dig, 8, 16), lambda: "-".join(pick(low, 3, 7) for _ in range(r.randint(3, 5)))))()
 
     def word() -> str:
+        if r.random() < 0.02:  # a name in a program
+            return "".join(pick(low, 3, 9).capitalize() for _ in range(r.randint(2, 4)))
         w = pick(low, 1, 11)
         return w.capitalize() if r.random() < 0.12 else w + r.choice(("", "", "", ",", "."))
 
@@ -81,10 +84,10 @@ def labelled_rows(seed: int = 11, n: int = 700) -> list[tuple[list[str], list[st
         if x < 0.86:
             return word()
         return r.choice((
-            lambda: pick(dig, 1, 6), lambda: f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: pick(low, 3, 9) + r.choice(("", "." + pick(dig, 1, 3))) + "@" + pick(low, 3, 8) + r.choice(("", str(r.randint(1, 9)))) + r.choice((".com", ".example.com")), lambda: "+1", lambda: f"({pick(dig, 3, 3)})", lambda: f"{pick(dig, 3, 3)}-{pick(dig, 4, 4)}",
+            lambda: pick(dig, 1, 6), lambda: f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: pick(low, 3, 9) + r.choice(("", "." + pick(dig, 1, 3))) + "@" + pick(low, 3, 8) + r.choice(("", str(r.randint(1, 9)))) + r.choice((".com", ".example.com")), lambda: pick(low, 2, 16) + "." + pick(dig, 1, 3) + "@" + pick(low, 3, 8) + pick(dig, 1, 1) + r.choice((".com", ".example.com")), lambda: "+1", lambda: f"({pick(dig, 3, 3)})", lambda: f"{pick(dig, 3, 3)}-{pick(dig, 4, 4)}",
             lambda: pick(dig, 16, 16), lambda: ".".join(pick(dig, 1, 3) for _ in range(4)), lambda: "https://" + pick(low, 4, 9) + ".org/" + pick(low, 3, 8) + str(r.randint(1, 99)), lambda: pick(low, 3, 8) + "_" + pick(low, 3, 8), lambda: pick(up, 2, 9) + "!!", lambda: "|", lambda: pick(low, 2, 18) + r.choice(("", ".", ",")) + r.choice(("###", "$$$", "%%%", "&&&", "***")), lambda: pick(low, 2, 6).capitalize() + r.choice(("(", "[")) + str(r.randint(1, 99)) + ")",
             lambda: pick(low, 2, 10).capitalize() + r.choice(("", "s", "'s")), lambda: pick(low, 2, 9) + pick(up, 1, 1) + pick(low, 2, 9),
-            lambda: pick(low, 3, 8) + "=" + str(r.randint(0, 999)), lambda: pick(low, 2, 7) + "-" + pick(low, 2, 7), lambda: pick(up, 2, 5) + "-" + str(r.randint(1, 99)), lambda: pick(low, 14, 26), lambda: "4.0", lambda: pick(up, 1, 1) + pick(low, 2, 6) + str(r.randint(1, 9)),
+            lambda: pick(low, 3, 8) + "=" + str(r.randint(0, 999)), lambda: pick(low, 2, 7) + "-" + pick(low, 2, 7), lambda: pick(up, 2, 6) + "-" + pick(dig, 1, 6), lambda: pick(low, 14, 26), lambda: "4.0", lambda: pick(up, 1, 1) + pick(low, 2, 6) + str(r.randint(1, 9)),
         ))()
 
     rows = []
@@ -128,7 +131,7 @@ def labelled_table(spark: SparkSession, rows: Sequence | None = None) -> DataFra
 def scan_secrets(docs: DataFrame, model: crf.Model | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Secrets of every text: id, n_assign, n_access, n_hex, base_sha256, spans, n_added, found.
 
-    Spans of the fixed patterns stay; the field adds spans of kind crf that no pattern span contains.
+    Spans of the fixed patterns stay; the field adds spans of kind crf that meet no pattern span.
     A null or empty text has no spans (base_sha256 is that of the empty string). Repeated rows and
     null ids each give their own row; further columns of ``docs`` are ignored; an empty table gives
     an empty one; texts of any length are read whole.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +21,12 @@ def joined(spans: list[Span]) -> str:
 
 
 def uncovered(extra: list[Span], base: list[Span]) -> list[Span]:
-    """The spans of ``extra`` that no single base span contains and that repeat none of its bounds."""
-    return [x for x in extra if not any(a <= x[1] and x[2] <= b for _, a, b in base)]
+    """The spans of ``extra`` that share no character with any of ``base``; by bisection in the sorted starts of ``base``."""
+    spans = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in spans]
+    reach = list(accumulate((b for _, b in spans), max))  # how far the spans up to each one go
+    before = ((x, bisect_left(starts, x[2])) for x in extra)
+    return [x for x, n in before if not n or reach[n - 1] <= x[1]]
 
 
 def scan(
@@ -32,11 +38,13 @@ def scan(
     order: Callable[[list[Span]], list[Span]],
     text_col: str,
     id_col: str,
+    accept: Callable[[str, str], bool] = lambda kind, value: True,
 ) -> DataFrame:
     """One row per row of ``docs``: id, a count for each base kind, base_sha256, spans, n_added, found.
 
     A narrow pass without any shuffle: each Arrow batch is scanned where it was read, so an executor
-    that is lost costs its unfinished batches only.
+    that is lost costs its unfinished batches only. Spans of the field that meet a base span or that
+    ``accept`` (kind, value) rules out are left out.
     """
     labels = model.labels
 
@@ -50,7 +58,7 @@ def scan(
             for text, tags in zip(texts, tagged, strict=True):
                 own = base(text)
                 more = crf.token_spans(text, tags, lambda t: labels[t][0] == "B", lambda t: labels[t][2:])
-                more = uncovered(more, own)
+                more = [x for x in uncovered(more, own) if accept(x[0], text[x[1] : x[2]])]
                 every = order(own + more)
                 rows.append((
                     *(sum(k == s[0] for s in own) for k in base_kinds),
