@@ -24,8 +24,8 @@ MIN_BLOCKS, BLOCK_DOCS, SHARD_WORDS = 128, 1 << 16, 1 << 25
 MIN_SHARDS = 8
 #: Sources that are dealt within one group of a node.
 GROUP = 256
-#: Files of a table with a row or few for each block.
-FILES = 8
+#: Rows of a file of the tables with a row or few for each block, and the files that they have at least.
+FILE_ROWS, MIN_FILES = 500_000, 8
 
 
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -40,7 +40,9 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     room = ranked.withColumn("cap", most * F.col("source_size").cast("double")).withColumn("all", F.sum("source_size").over(Window.partitionBy()).cast("double"))
     by_room = Window.orderBy(F.col("cap") / F.col("w"), "rank")
     left = F.col("all") - F.coalesce(F.sum("cap").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = room.withColumn("level", left / F.sum("w").over(by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # What follows a row is the whole less what comes before it: a frame to the end would be added up anew for each row.
+    rest = F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    level = room.withColumn("level", left / rest)
     final = F.max("level").over(Window.partitionBy())
     return level.select("source", "source_size", "rank", F.least(F.col("cap"), final * F.col("w")).alias("target"))
 
@@ -149,7 +151,7 @@ def _run_up(rows: DataFrame) -> DataFrame:
     return cut.groupBy("source", "block").agg(F.max(last).alias("last"), F.max(F.col("before") + F.col("size") * F.col("t")).alias("got"))
 
 
-def fill(left: DataFrame, state: DataFrame) -> DataFrame:
+def fill(left: DataFrame, state: DataFrame, files: int = MIN_FILES) -> DataFrame:
     """``state`` (s, gap, picks, ...) with picks added until what stays open of a source is less than the smallest row left out.
 
     Each round takes rows of ``left`` (source, block, u, id, size) of at most half the gap, by block and
@@ -163,13 +165,13 @@ def fill(left: DataFrame, state: DataFrame) -> DataFrame:
     while True:
         free = left.join(state, mine).where(~_gone(F.col("picks"), me))
         some = free.where(F.col("size") <= F.col("gap") / 2)
-        sums = materialise(some.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("gap").alias("gap")), "fill", FILES)
-        if sums.isEmpty():
-            break
+        sums = some.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
         upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("block")))
         over = F.col("upto") > F.col("gap")
         edges = upto.groupBy(F.col("source").alias("s1")).agg(F.min(F.when(over, F.col("block"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("before"))
-        edges = materialise(edges, "fill", FILES)
+        edges = materialise(edges, "fill", files)
+        if edges.isEmpty():
+            break
         inside = some.join(edges, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("edge")))
         ends = _run_up(inside.select("source", "block", "u", "id", "size", (F.col("gap") - F.col("before")).alias("room")))
         ends = ends.select(F.col("source").alias("s2"), "last", "got")
@@ -177,14 +179,14 @@ def fill(left: DataFrame, state: DataFrame) -> DataFrame:
         pick = _pick(F.floor(F.col("gap") / 2), low, F.coalesce("last.t", F.lit(0)), F.coalesce("last.m", F.lit(0)))
         now = state.join(edges, F.col("s").eqNullSafe(F.col("s1")), "left").join(ends, F.col("s").eqNullSafe(F.col("s2")), "left")
         now = now.withColumn("picks", F.when(F.col("before").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(pick))))
-        state = materialise(now.withColumn("gap", F.col("gap") - F.coalesce("before", F.lit(0)) - F.coalesce("got", F.lit(0))).select(state.columns), "fill", FILES)
+        state = materialise(now.withColumn("gap", F.col("gap") - F.coalesce("before", F.lit(0)) - F.coalesce("got", F.lit(0))).select(state.columns), "fill", files)
     miss = F.abs(F.col("gap") - F.col("size"))
     best = free.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("d"), me.alias("me"))).alias("best"))
-    best = materialise(best.select(F.col("source").alias("s1"), F.col("best.me").alias("me")), "fill", FILES)
+    best = materialise(best.select(F.col("source").alias("s1"), F.col("best.me").alias("me")), "fill", files)
     equal = left.join(best, F.col("source").eqNullSafe(F.col("s1")) & (me == F.col("me"))).groupBy("s1", "me").agg(F.count("*").alias("m"))
     now = state.join(equal, F.col("s").eqNullSafe(F.col("s1")), "left")
     last = F.when(F.col("m").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(_pick(F.lit(-1), F.col("me"), F.lit(1), F.col("m")))))
-    return materialise(now.withColumn("picks", last).select(state.columns), "fill", FILES)
+    return materialise(now.withColumn("picks", last).select(state.columns), "fill", files)
 
 
 def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, most: int = MOST, shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -196,6 +198,11 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     and texts, so reruns agree; rows equal in id, source and text are interchangeable and are taken one by one. Null sources are one source,
     the last. An empty table gives an empty plan; sources without words have target 0.
     """
+    return _planned(docs, carry, weights, most, shards, seed, id_col, text_col, source_col)[0]
+
+
+def _planned(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, most: int = MOST, shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, int]:
+    """The plan, and the number of output shards."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(docs[id_col], text, F.lit(seed)).alias("u"), *(docs[c].alias(f"c_{c}") for c in carry))
     slim = materialise(rows.select("id", "source", "size", "u"), "sizes")
@@ -210,24 +217,25 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
             shards *= 2
     # Partial aggregation leaves a row per source, block and task of a hot source.
     by_block = materialise(slim.groupBy("source", _block(F.col("u"), bits).alias("block")).agg(F.sum("size").alias("words")), "blocks")
+    files = max(MIN_FILES, by_block.count() // FILE_ROWS)
     aims = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0.0).cast("int")
     aims = aims.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    aims = materialise(aims, "targets", FILES)
+    aims = materialise(aims, "targets", files)
     known = by_block.join(aims, by_block["source"].eqNullSafe(aims["source"])).select(by_block["source"], "block", "words", "source_size", "rank", "target", "whole", "rest")
     known = known.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("block")))
     part = F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(F.col("upto") - F.col("words") < F.col("rest"), F.lit(2)).otherwise(F.lit(0))
-    known = materialise(known.withColumn("part", F.when(F.col("whole") >= most, F.lit(0)).otherwise(part)).withColumn("open", F.col("rest") - F.col("upto") + F.col("words")), "known", FILES)
+    known = materialise(known.withColumn("part", F.when(F.col("whole") >= most, F.lit(0)).otherwise(part)).withColumn("open", F.col("rest") - F.col("upto") + F.col("words")), "known", files)
     # A draw per block and pass: the whole passes, and the partial one where the block has a share in it.
     passes = F.col("whole") + (F.col("part") > 0).cast("int")
     draws = known.where(passes > 0).select("rank", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass"))
     order = Window.partitionBy("rank").orderBy(F.xxhash64("rank", "block", "pass", F.lit(seed)), "pass", "block")
-    draws = materialise(draws.withColumn("k", F.row_number().over(order).cast("long")), "draws", FILES)
+    draws = materialise(draws.withColumn("k", F.row_number().over(order).cast("long")), "draws", files * most)
     dealt = splitting_tree(draws.groupBy("rank").agg(F.count("*").alias("q")), shards, seed)
     runs = dealt.withColumn("hi", F.sum("q").over(Window.partitionBy("rank").orderBy("shard"))).where("q > 0")
     slots = runs.select("rank", "shard", F.explode(F.sequence(F.col("hi") - F.col("q") + 1, F.col("hi"))).alias("k"))
     placed = draws.join(slots, ["rank", "k"]).groupBy("rank", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
-    info = materialise(known.join(placed, ["rank", "block"], "left").select("source", "block", "source_size", "target", "whole", "part", "open", "shards"), "plan", FILES)
+    info = materialise(known.join(placed, ["rank", "block"], "left").select("source", "block", "source_size", "target", "whole", "part", "open", "shards"), "plan", files)
     # In a source's one partly taken block, documents go by their hash while they fit.
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     me = F.struct("block", "u", "id", "size")
@@ -237,12 +245,12 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     last = _run_up(small.join(edge, same).select("source", "block", "u", "id", "size", F.col("open").alias("room"))).withColumnsRenamed({"source": "s1", "block": "b1"})
     first = F.when(F.col("last").isNull(), F.array()).otherwise(F.array(_pick(F.lit((1 << 63) - 1), F.col("last.me"), F.col("last.t"), F.col("last.m"))))
     state = edge.join(last, F.col("s").eqNullSafe(F.col("s1")), "left").select("s", "fill_shard", (F.col("open") - F.coalesce("got", F.lit(0))).alias("gap"), first.alias("picks"))
-    state = materialise(state, "edge", FILES)
+    state = materialise(state, "edge", files)
     # What is still open is filled from the rest of the source, past what does not fit; this rides in the same draw.
     parts = info.where("part <> 1").select(F.col("s").alias("s1"), "b")
     left = small.join(parts, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b"))).join(state, F.col("source").eqNullSafe(F.col("s")))
     left = left.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~_gone(F.col("picks"), me)).select("source", "block", "u", "id", "size")
-    state = fill(materialise(left, "left"), state).select(F.col("s").alias("s2"), "fill_shard", "picks")
+    state = fill(materialise(left, "left"), state, files).select(F.col("s").alias("s2"), "fill_shard", "picks")
     base = (rows if carry else slim).withColumn("block", _block(F.col("u"), bits))
     met = base.join(info, same).join(state, F.col("source").eqNullSafe(F.col("s2")), "left")
     gone = (F.col("part") == 1) | _gone(F.col("picks"), me)
@@ -261,10 +269,10 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] =
     # Equal rows of which some are taken are told apart by a row number; only they are dealt out for it.
     torn = state.select("s2", F.explode("picks").alias("p")).groupBy("s2", "p.low").agg(F.sum("p.t").alias("t"), F.max("p.m").alias("m")).where("0 < t and t < m")
     if torn.isEmpty():
-        return placed_rows(met, gone)
+        return placed_rows(met, gone), shards
     some = (few > 0) & ~gone
     held = materialise(met.where(some).withColumn("few", few), "torn")
-    return placed_rows(met.where(~some), gone).unionByName(placed_rows(numbered(held, ["source", "block", "u", "id", "size"]), F.col("number") <= F.col("few")))
+    return placed_rows(met.where(~some), gone).unionByName(placed_rows(numbered(held, ["source", "block", "u", "id", "size"]), F.col("number") <= F.col("few"))), shards
 
 
 def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -285,18 +293,20 @@ def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
     return own.withColumn("local", local).join(base, same).withColumn("number", F.col("local") + F.col("base"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", shard_col: str = "shard", **how) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as the plan takes it, with its columns and shard, shuffled within each shard.
 
-    A column of ``docs`` that is named shard gives way to the mix's own.
+    A column of ``docs`` that is named like ``shard_col`` gives way to the mix's own. Tasks hold a shard or
+    a part of one: their number is the shards', which follows the words taken, and a shard with many
+    short documents spreads over several tasks by ranges of its shuffled order.
     """
-    names = [c for c in docs.columns if c != "shard"]
-    planned = plan(docs, names, id_col=id_col, **how)
-    copy, key = free_name("copy", names), free_name("key", names)
-    copies = planned.select(*(F.col(f"c_{c}").alias(c) for c in names), F.posexplode("shards").alias(copy, "shard"))
+    names = [c for c in docs.columns if c != shard_col]
+    planned, shards = _planned(docs, names, id_col=id_col, **how)
+    copy, key = free_name("copy", [*names, shard_col]), free_name("key", [*names, shard_col])
+    copies = planned.select(*(F.col(f"c_{c}").alias(c) for c in names), F.posexplode("shards").alias(copy, shard_col))
     mixed = F.xxhash64(F.col(id_col), copy, F.lit(how.get("seed", SEED) + 1))
-    # A shard may span several tasks: ranges of the shuffled order inside it, so no task grows with a shard.
-    return copies.withColumn(key, mixed).repartitionByRange("shard", key).sortWithinPartitions("shard", key).drop(copy, key)
+    tasks = max(shards, copies.sparkSession.sparkContext.defaultParallelism)
+    return copies.withColumn(key, mixed).repartitionByRange(tasks, shard_col, key).sortWithinPartitions(shard_col, key).drop(copy, key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

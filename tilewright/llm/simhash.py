@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at_work, digest, materialise, sliced, small_or_not, space_words, table
+from .common import at_work, digest, free_name, materialise, sliced, small_or_not, space_words, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared with each other.
@@ -251,7 +251,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     again = small_or_not(again)
     once = kept.join(again, same(kept, again), "left_anti")
     more = kept.join(again, same(kept, again), "left_semi")
-    return once.unionByName(more.withColumn("_digest", mark(more)).dropDuplicates([id_col, "_digest"]).drop("_digest"))
+    own_mark = free_name("_digest", docs.columns)
+    return once.unionByName(more.withColumn(own_mark, mark(more)).dropDuplicates([id_col, own_mark]).drop(own_mark))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

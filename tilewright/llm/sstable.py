@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
 #: Bytes of shards that a task reads back on average.
 READ_BYTES = 32 << 20
+#: Bytes of the input that a shard takes, and that a core is put to for the sake of speed alone.
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
 WORD_CACHE = 250_000
 
@@ -309,6 +312,20 @@ def needs_wide(definition: str, end_id: int) -> bool:
     return max(end_id, *Tokenizer.from_str(definition).get_vocab().values(), 0) > 0xFFFF
 
 
+def shard_count(docs: DataFrame, text_col: str = "text") -> int:
+    """How many shards the bytes of ``docs`` make: SHARD_BYTES of its files each, or of its texts where it is no table of files.
+
+    Of small tables every core gets one, while it has LEAST_BYTES to do.
+    """
+    try:
+        sizes = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct().agg(F.sum("size"))
+        size = sizes.head()[0]
+    except AnalysisException:  # not read from files
+        size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).head()[0]
+    cores = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // LEAST_BYTES))
+    return max(1, cores, -(-(size or 0) // SHARD_BYTES))
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, wide: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them as shards in key order; returns the manifest, one row per shard.
 
@@ -322,8 +339,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in KEY_TYPES:
         raise TypeError(f"keys are whole numbers or strings, not {kind}")
-    slim = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    dealt = slim.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", "t")
+    # Equal ids are told apart by text, and rows equal in both by their place in the input, which changes no result.
+    slim = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("salt"))
+    dealt = slim.repartitionByRange(shard_count(docs, text_col), "k", F.xxhash64("t"), "salt").sortWithinPartitions("k", "t").drop("salt")
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     wide = needs_wide(definition, end_id) if wide is None else wide

@@ -238,12 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(*word_numbers(sample, names), names, prior)
 
 
-def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` but those named score and predicted, plus score and predicted; a narrow pass over whole texts.
+def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` but those with one of ``names``, plus score and predicted under these; a narrow pass over whole texts.
 
     Null and empty texts get the score of a text without words.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in names]
     slim = docs.select(*(docs[c] for c in keep))
     at = keep.index(text_col)
 
@@ -251,9 +251,9 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
         at_work("toxicity")
         for batch in sliced(batches):
             s = np.array([model.score(t) for t in batch.column(at).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *names])
 
-    schema = T.StructType([*slim.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*slim.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return slim.mapInArrow(run, schema)
 
 
