@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, mixing, simhash, sstable, toxicity
-from tilewright.llm.common import digest, materialise, small_or_not, table
+from tilewright.llm.common import digest, free_name, materialise, small_or_not, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from the stage's own input."""
+    """Documents that the classifier does not call toxic; it learns from the stage's own input.
+
+    Null and empty texts have no toxic word and stay unless all documents are called toxic; rows are judged one
+    by one, so null and repeated ids and repeated rows each keep their own verdict; an empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    score, predicted = (free_name(c, docs.columns) for c in ("score", "predicted"))
+    return toxicity.score(docs, model, names=(score, predicted)).where(F.col(predicted) == 0).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +41,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus in shard order; a document that the mix takes again is a row again."""
-    return mixing.mix(docs).select(docs.columns)
+    """The mixed corpus in shard order; a document that the mix takes again is a row again.
+
+    A null source is a source; documents without words, null texts among them, are taken with their block;
+    equal rows are taken one by one; an empty table stays empty.
+    """
+    return mixing.mix(docs, shard_col=free_name("shard", docs.columns)).select(docs.columns)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token shards hold, read back: doc_id, start, n_tokens, ids_crc32, shard."""
+    """What the token shards hold, read back: doc_id, start, n_tokens, ids_crc32, shard.
+
+    Null ids come first and repeated ids by text, each row of its own; a null or empty text is the end
+    id alone; further columns are not written; an empty table gives no rows.
+    """
     return sstable.encode_corpus(docs)
 
 
@@ -58,7 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; null ids, texts and sources, repeated rows, further columns and empty tables are as the stages say."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
