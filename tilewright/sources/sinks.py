@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_slides(rows: DataFrame, path: str, slide: str = "slide_id", form: str = "parquet") -> None:
@@ -12,9 +18,86 @@ def write_slides(rows: DataFrame, path: str, slide: str = "slide_id", form: str
     (out.option("header", "true") if form == "csv" else out).format(form).save(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows as JSON lines, with the time of writing."""
-    rows.withColumn("ts", F.unix_timestamp()).write.mode("append").json(path)
+class Committed:
+    """Slides' outputs that count only once the manifest names them.
+
+    Rows go to ``data`` in a folder of the version that wrote them, and when all its files are in place a row for
+    each slide (slide, version, n_rows) is added to ``manifest``. Readers take from each slide the version
+    that the manifest names last, so a writer that is killed before the end leaves the state before it, of two
+    writers of a slide one counts, and a slide never is a mixture. Whether a slide is done is read from the
+    manifest alone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, slide: str = "slide_id"):
+        self.spark, self.path, self.slide = spark, path.rstrip("/"), slide
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def write(self, rows: DataFrame, wanted: DataFrame | None = None) -> str:
+        """Write the rows of whole slides; returns the version. Slides of ``wanted`` without rows are committed with none.
+
+        What the manifest says is counted in the files that were written, not in a plan that might be run
+        again and differ.
+        """
+        version = self.stage(rows)
+        self.commit(version, wanted)
+        return version
+
+    def stage(self, rows: DataFrame) -> str:
+        """The files of a new version, which nothing names yet; later versions have larger names."""
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
+        # A folder for each version: writers of one folder share the files in progress, and the first to end clears them away.
+        rows.select(*cols).hint("rebalance", self.slide).write.parquet(f"{self.path}/data/version={version}")
+        return version
+
+    def commit(self, version: str, wanted: DataFrame | None = None) -> None:
+        n = self._data().where(F.col("version") == version).groupBy(self.slide).agg(F.count(F.lit(1)).alias("n_rows"))
+        if wanted is not None:
+            n = wanted.select(self.slide).distinct().join(n, self.slide, "full")
+        n.select(self.slide, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows")).hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+
+    def manifest(self) -> DataFrame:
+        """(slide, version, n_rows) of the version of each slide that counts."""
+        own = T.StructType([T.StructField(self.slide, self.schema[self.slide].dataType), T.StructField("n_rows", T.LongType()), T.StructField("version", T.StringType())])
+        rows = _read(self.spark, f"{self.path}/manifest", own)
+        return rows.groupBy(self.slide).agg(F.max("version").alias("version"), F.max_by("n_rows", "version").alias("n_rows"))
+
+    def read(self) -> DataFrame:
+        """The rows of every slide's version that counts; files of other versions are not read."""
+        return self._data().join(self.manifest().select(self.slide, "version"), [self.slide, "version"], "left_semi").select(*self.schema.names)
+
+    def unfinished(self, wanted: DataFrame, expected: str = "n_expected") -> DataFrame:
+        """The wanted slides that are not committed with the expected number of rows."""
+        have = self.manifest().select(self.slide, F.col("n_rows").alias(expected))
+        return wanted.join(have, [self.slide, expected], "left_anti")
+
+    def _data(self) -> DataFrame:
+        return _read(self.spark, f"{self.path}/data", T.StructType([*self.schema.fields, T.StructField("version", T.StringType())]))
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The files at ``path``; none where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows as JSON lines, with the time of writing.
+
+    ``batch`` names what is logged: rows logged before under that name are replaced, so a pass that is run
+    again is in the log once. Without a name the rows are added in any case.
+    """
+    named = rows.withColumn("ts", F.unix_timestamp()).withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
+
+
+def read_log(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The log's rows with the given columns ("name type"), ts and batch."""
+    return spark.read.schema(", ".join([*columns, "ts long", "batch string"])).json(path)
 
 
 def split_failed(rows: DataFrame, slide: str = "slide_id", error: str = "error") -> tuple[DataFrame, DataFrame]:
