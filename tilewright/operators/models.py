@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from . import ordered
 
 #: Rows of a labelled table or slide matrix that resampling ships to every task.
 MAX_RESAMPLED = 200_000
@@ -198,8 +199,9 @@ def fit_axis(rows: DataFrame, names: Sequence[str], target: str, labels: Sequenc
 def hashed_folds(rows: DataFrame, key: Sequence[str], level: str, k: int, seed: int) -> DataFrame:
     """Folds that share each level evenly, by the order of a digest of key and seed within the level."""
     mixed = F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
-    w = Window.partitionBy(level).orderBy(mixed, *key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    mixed_rows = rows.withColumn("_mixed", mixed)
+    placed = ordered.numbered(mixed_rows, [level], ["_mixed", *key], "_number")
+    return placed.withColumn("fold", ((F.col("_number") - 1) % k).cast("int")).select(*rows.columns, "fold")
 
 
 def cross_validate(rows: DataFrame, names: Sequence[str], target: str, labels: Sequence[str], folds: Sequence[int], alpha: float = 10.0) -> DataFrame:

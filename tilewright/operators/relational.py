@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.robust import places
+from . import ordered
 
 
 def must_match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -62,25 +63,10 @@ def row_neighbours(rows: DataFrame, slide: str, fov: str, value: Sequence[str],
 
 
 def nearest(rows: DataFrame, controls: DataFrame, value: str, key: str, group: Sequence[str]) -> DataFrame:
-    """Each row with the control of nearest value (the smaller key of equals) in its group.
-
-    No pairs are made: both sides go by value through one window, and the last control before a row and
-    the first one after it are the only two that can be nearest. A group goes through one task, so there
-    has to be one.
-    """
+    """Each row with the control of nearest value (the smaller key of equals) in its group; see :func:`ordered.nearest`, which also takes no group at all."""
     if not group:
-        raise ValueError("nearest needs a group: without one all rows would go through one task")
-    both = rows.select(*group, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(False).alias("_c")).unionByName(
-        controls.select(*group, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.lit(True).alias("_c")))
-    pick = F.when(F.col("_c"), F.struct(F.col("_v").alias("v"), F.col("_k").alias("k")))
-    # Among equal values the smallest key has to come last before, and first after, the row.
-    part = Window.partitionBy(*group)
-    before = part.orderBy(F.col("_v"), F.col("_c").desc(), F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    after = part.orderBy(F.col("_v").desc(), F.col("_c").desc(), F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("_a", F.last(pick, ignorenulls=True).over(before)).withColumn("_b", F.last(pick, ignorenulls=True).over(after)).where(~F.col("_c"))
-    gap = lambda c: F.struct(F.abs(F.col("_v") - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.k").alias("k"))
-    best = F.least(F.when(F.col("_a").isNotNull(), gap("_a")), F.when(F.col("_b").isNotNull(), gap("_b")))
-    return seen.select(*group, F.col("_k").alias(key), best["k"].alias("control"), best["d"].alias("distance"))
+        raise ValueError("nearest needs a group; ordered.nearest does without")
+    return ordered.nearest(rows, controls, value, key, group)
 
 
 def modal(rows: DataFrame, by: Sequence[str], label: str, rank: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import robust, text
-from ..operators import relational
+from ..operators import ordered, relational
 from ..registry import query
 from .standins import counts, features, sql, table
 
@@ -124,7 +124,16 @@ def rolling_eta(spark, d):
 @query("loso_folds", sql("+ s AS (SELECT DISTINCT slide_id FROM counts) SELECT slide_id, CAST(dense_rank() OVER (ORDER BY slide_id) - 1 AS INTEGER) AS fold FROM s", "counts"))
 def loso_folds(spark, d):
     s = counts(spark, d).select("slide_id").distinct()
-    return s.select("slide_id", (F.dense_rank().over(Window.orderBy("slide_id")) - 1).alias("fold"))
+    return ordered.numbered(s, [], ["slide_id"]).select("slide_id", (F.col("number") - 1).cast("int").alias("fold"))
+
+
+@query("nearest_anywhere", """WITH a AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders), r AS (SELECT * FROM a WHERE o_orderkey % 11 = 0), c AS (SELECT v, min(o_orderkey) AS control FROM a WHERE o_orderkey % 11 <> 0 GROUP BY 1),
+ lo AS (SELECT r.o_orderkey, r.v, c.control, r.v - c.v AS d FROM r ASOF LEFT JOIN c ON r.v >= c.v), hi AS (SELECT r.o_orderkey, c.control, c.v - r.v AS d FROM r ASOF LEFT JOIN c ON r.v <= c.v)
+ SELECT o_orderkey, CASE WHEN hi.d IS NULL OR lo.d < hi.d OR (lo.d = hi.d AND lo.control <= hi.control) THEN lo.control ELSE hi.control END AS control, CAST(least(lo.d, hi.d) AS DOUBLE) AS distance FROM lo JOIN hi USING (o_orderkey)""")
+def nearest_anywhere(spark, d):
+    """For every eleventh order the other order of nearest price, among all orders: one group of all rows."""
+    o = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    return ordered.nearest(o.where("o_orderkey % 11 = 0"), o.where("o_orderkey % 11 <> 0"), "v", "o_orderkey").select("o_orderkey", "control", "distance")
 
 
 TYPES = ("ECONOMY", "STANDARD", "PROMO", "LARGE")
