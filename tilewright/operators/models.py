@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from . import ordered
+from . import ordered, quantiles
 
 #: Rows of a labelled table or slide matrix that resampling ships to every task.
 MAX_RESAMPLED = 200_000
@@ -126,9 +126,16 @@ def drift(before: AxisModel | None, now: AxisModel) -> list[tuple[str, str, floa
 
 
 def ranges(rows: DataFrame, names: Sequence[str], low: float = 0.02, high: float = 0.98) -> dict[str, tuple[float, float]]:
-    """The two percentiles of each feature, the upper one moved by 1e-6 where they are equal."""
-    got = rows.agg(*(F.percentile(n, F.array(F.lit(low), F.lit(high))).alias(n) for n in names)).head()
-    return {n: (got[n][0], got[n][1] if got[n][1] > got[n][0] else got[n][0] + 1e-6) for n in names if got[n] is not None}
+    """The two percentiles of each feature, the upper one moved by 1e-6 where they are equal; features without values have none."""
+    got = {r["feature"]: (r["low"], r["high"]) for r in ranges_by(rows, names, (), low, high).collect()}
+    return {n: got[n] for n in names if n in got}
+
+
+def ranges_by(rows: DataFrame, names: Sequence[str], by: Sequence[str] = (), low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(by, feature, low, high): the percentiles of each feature in each group, exact at any size, for all features at once."""
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names))).alias("x")).select(*by, "x.feature", "x.v")
+    q = quantiles.exact(long, [*by, "feature"], "v", {"low": quantiles.share(low), "high": quantiles.share(high)})
+    return q.select(*by, "feature", "low", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1e-6).alias("high"))
 
 
 def gram(rows: DataFrame, columns: Sequence[Column], target: Column) -> tuple[np.ndarray, np.ndarray, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import robust, scoring, text
+from ..operators import quantiles
 from ..registry import query, r6
 from .standins import axes, counts, features, judged, sql, table
 
@@ -120,7 +121,10 @@ def protocol_rollup(spark, d):
 
 @query("class_reference", sql("SELECT round_even(median(coverage), 6) AS coverage, round_even(median(edges), 6) AS edges, round_even(median(entropy), 6) AS entropy FROM features WHERE coverage < 0.45", "features"))
 def class_reference(spark, d):
-    return features(spark, d).where("coverage < 0.45").agg(*(r6(F.median(k)).alias(k) for k in ("coverage", "edges", "entropy")))
+    names = ("coverage", "edges", "entropy")
+    long = features(spark, d).where("coverage < 0.45").select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("v")) for k in names))).alias("x")).select("x.name", "x.v")
+    mid = quantiles.exact(long, ["name"], "v", {"mid": quantiles.share(0.5)})
+    return mid.agg(*(r6(F.max(F.when(F.col("name") == k, F.col("mid")))).alias(k) for k in names))
 
 
 @query("jitter_places", sql("SELECT slide_id, fov_id, (row_number() OVER (PARTITION BY slide_id, n_detected ORDER BY fov_id) - 1) - (count(*) OVER (PARTITION BY slide_id, n_detected) - 1) / CAST(2 AS DOUBLE) AS shift FROM counts", "counts"))

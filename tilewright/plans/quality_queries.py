@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import robust, scoring
-from ..operators import relational
+from ..operators import quantiles, relational
 from ..registry import query, r6
 from .standins import axes, counts, event_counts, features, judged, sql, table
 
@@ -203,7 +203,16 @@ def level_counts(spark, d):
 
 @query("dataset_medians", sql("SELECT slide_id % 4 AS dataset, count(*) AS n, round_even(median(coverage), 6) AS coverage, round_even(median(edges), 6) AS edges, round_even(median(entropy), 6) AS entropy, round_even(median(contrast), 6) AS contrast FROM features GROUP BY 1", "features"))
 def dataset_medians(spark, d):
-    return features(spark, d).groupBy((F.col("slide_id") % 4).alias("dataset")).agg(F.count(F.lit(1)).alias("n"), *(r6(F.median(k)).alias(k) for k in WEIGHTS))
+    f = features(spark, d).withColumn("dataset", F.col("slide_id") % 4)
+    return medians(f, "dataset", list(WEIGHTS))
+
+
+def medians(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """A row for each group with its number of rows and the median of each column, exact at any size; a column without values has none."""
+    long = rows.select(by, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("v")) for k in names))).alias("x")).select(by, "x.name", "x.v")
+    mid = quantiles.exact(long, [by, "name"], "v", {"mid": quantiles.share(0.5)})
+    wide = mid.groupBy(by).agg(*(r6(F.max(F.when(F.col("name") == k, F.col("mid")))).alias(k) for k in names))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(wide, by, "left").select(by, "n", *names)
 
 
 @query("catalog_counters", sql("SELECT CAST(grouping_id(first, site) AS BIGINT) AS level, first, site, count(*) AS n FROM axes GROUP BY GROUPING SETS ((first), (site), ())", "axes"))
@@ -312,19 +321,32 @@ SHARES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80)
 def slide_statistics53(spark, d):
     """Location, spread, percentiles, shares at or above a value, and means of the top shares of each slide."""
     c = counts(spark, d).withColumn("x", F.col("n_detected").cast("double"))
-    a = c.groupBy("slide_id").agg(F.avg("x").alias("mean"), F.median("x").alias("median"), (F.max("x") - F.min("x")).alias("range"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("stdev"),
-        F.percentile("x", F.array(*(F.lit(p / 100) for p in PERCENTILES))).alias("p"), F.sort_array(F.collect_list("x"), asc=False).alias("xs"), *(F.avg(F.when(F.col("x") >= t, 1.0).otherwise(0.0)).alias(f"at_least_{t}") for t in range(5, 13)))
-    mad = c.join(a.select("slide_id", "median"), "slide_id").groupBy("slide_id").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    at = {p: F.col("p")[i] for i, p in enumerate(PERCENTILES)}
-    take = lambda q: F.greatest(F.lit(1), F.bround(F.size("xs") * q / 100).cast("int"))
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-    return a.join(mad, "slide_id").select("slide_id", r6("mean").alias("mean"), "median", "range", F.bround("stdev", 5).alias("stdev"), "mad", r6(at[75] - at[25]).alias("iqr"), *(r6(v).alias(f"p{p}") for p, v in at.items()),
-        *(r6(f"at_least_{t}").alias(f"at_least_{t}") for t in range(5, 13)), *(r6(mean(F.slice("xs", F.lit(1), take(q)))).alias(f"top{q}") for q in SHARES))
+    return statistics53(c, "slide_id", "x")
+
+
+def statistics53(rows: DataFrame, slide: str, value: str) -> DataFrame:
+    """A row for each slide with the 53 statistics of its values, whatever number of them a slide has.
+
+    Percentiles and the bounds of the top shares are exact order statistics; the mean of a top share is the sum
+    of what lies above its bound, and as often the bound as is missing then.
+    """
+    x = F.col(value)
+    places = {"median": quantiles.share(0.5), **{f"p{p}": quantiles.share(p / 100) for p in PERCENTILES}, **{f"b{q}": quantiles.from_top(q) for q in SHARES}, "q1": quantiles.share(0.25), "q3": quantiles.share(0.75)}
+    at = quantiles.exact(rows, [slide], value, places).withColumnRenamed("n", "n_values")
+    met = rows.join(at, slide)
+    above = [F.struct(F.sum(F.when(x > F.col(f"b{q}"), x).otherwise(0.0)).alias("s"), F.count(F.when(x > F.col(f"b{q}"), 1)).alias("n")).alias(f"a{q}") for q in SHARES]
+    sums = met.groupBy(slide).agg(F.avg(x).alias("mean"), (F.max(x) - F.min(x)).alias("range"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev"), *(F.avg(F.when(x >= t, 1.0).otherwise(0.0)).alias(f"at_least_{t}") for t in range(5, 13)), *above)
+    mad = quantiles.exact(met.select(slide, F.abs(x - F.col("median")).alias("off")), [slide], "off", {"mad": quantiles.share(0.5)}).select(slide, "mad")
+    k = lambda q: quantiles.top_count(F.col("n_values"), q)
+    top = lambda q: (F.col(f"a{q}.s") + (k(q) - F.col(f"a{q}.n")) * F.col(f"b{q}")) / k(q)
+    out = at.join(sums, slide).join(mad, slide)
+    return out.select(slide, r6("mean").alias("mean"), "median", "range", F.bround("stdev", 5).alias("stdev"), "mad", r6(F.col("q3") - F.col("q1")).alias("iqr"), *(r6(f"p{p}").alias(f"p{p}") for p in PERCENTILES),
+        *(r6(f"at_least_{t}").alias(f"at_least_{t}") for t in range(5, 13)), *(r6(top(q)).alias(f"top{q}") for q in SHARES))
 
 
 @query("upper_median", sql("SELECT slide_id, list_sort(list(n_detected))[len(list(n_detected)) // 2 + 1] AS upper FROM counts GROUP BY 1", "counts"))
 def upper_median(spark, d):
-    return counts(spark, d).groupBy("slide_id").agg(robust.upper_median(F.collect_list("n_detected")).alias("upper"))
+    return quantiles.exact(counts(spark, d), ["slide_id"], "n_detected", {"upper": quantiles.upper}).select("slide_id", F.col("upper").cast("long").alias("upper"))
 
 
 @query("iqr_fence", sql("""+ q AS (SELECT slide_id, quantile_cont(CAST(n_detected AS DOUBLE), CAST(0.25 AS DOUBLE)) AS a, quantile_cont(CAST(n_detected AS DOUBLE), CAST(0.75 AS DOUBLE)) AS b FROM counts GROUP BY 1)
