@@ -5,19 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState
 
 
 def resumable(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> int:
-    """Take whatever files of ``source`` no earlier call has taken, and write what ``work`` makes of them; returns the rows written.
+    """Take whatever files of ``source`` no earlier call has taken, and write what ``work`` makes of them; returns the rows written, as the output's files count them.
 
     Files already done are known from the checkpoint, so a pass that was cut short goes on where it was.
     """
+    before = _rows(spark, out)
     stream = work(spark.readStream.schema(schema).parquet(source))
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return sum(p["numInputRows"] for p in q.recentProgress)
+    return _rows(spark, out) - before
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of the output so far, none where nothing was written yet."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return 0
 
 
 NEIGHBOURS = "slide_id long, fov_id long, value double, before string, rise double"
