@@ -8,15 +8,11 @@ from dataclasses import asdict, dataclass, field
 from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from . import ordered, quantiles
-
-#: Rows of a labelled table or slide matrix that resampling ships to every task.
-MAX_RESAMPLED = 200_000
+from . import ordered, quantiles, resampling
 
 
 @dataclass
@@ -138,14 +134,20 @@ def ranges_by(rows: DataFrame, names: Sequence[str], by: Sequence[str] = (), low
     return q.select(*by, "feature", "low", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1e-6).alias("high"))
 
 
-def gram(rows: DataFrame, columns: Sequence[Column], target: Column) -> tuple[np.ndarray, np.ndarray, int]:
-    """(X'X, X'y, n) with a leading column of ones, as one aggregate: no row leaves its task."""
+def _products(columns: Sequence[Column], target: Column) -> list[Column]:
     x = [F.lit(1.0), *columns]
     k = len(x)
-    sums = [F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x[i] * target).alias(f"b{i}") for i in range(k)]
-    got = rows.agg(F.count(F.lit(1)).alias("n"), *sums).head()
-    a = np.array([[got[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], np.float64)
-    return a, np.array([got[f"b{i}"] or 0.0 for i in range(k)], np.float64), got["n"]
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(x[i] * target).alias(f"b{i}") for i in range(k))]
+
+
+def _matrices(got: Row, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    a = np.array([[got[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)], np.float64)
+    return a, np.array([got[f"b{i}"] or 0.0 for i in range(k + 1)], np.float64), got["n"]
+
+
+def gram(rows: DataFrame, columns: Sequence[Column], target: Column) -> tuple[np.ndarray, np.ndarray, int]:
+    """(X'X, X'y, n) with a leading column of ones, as one aggregate: no row leaves its task."""
+    return _matrices(rows.agg(*_products(columns, target)).head(), len(columns))
 
 
 def ridge(a: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
@@ -162,6 +164,12 @@ def fit_weights(rows: DataFrame, names: Sequence[str], target: str, alpha: float
     lims = ranges(rows, names)
     names = [n for n in names if n in lims]
     a, b, _ = gram(rows, [scoring.unit_range(F.col(n), *lims[n]) for n in names], F.col(target).cast("double"))
+    shares = shares_of(a, b, names, alpha)
+    return shares, {n: lims[n] for n in shares}, [n for n in names if n not in shares]
+
+
+def shares_of(a: np.ndarray, b: np.ndarray, names: Sequence[str], alpha: float) -> dict[str, float]:
+    """Ridge weights from the products, negative ones left out and the rest fitted again, as shares of their sum."""
     keep = list(range(len(names)))
     while keep:
         at = [0, *(i + 1 for i in keep)]
@@ -172,8 +180,7 @@ def fit_weights(rows: DataFrame, names: Sequence[str], target: str, alpha: float
     w = w if keep else np.zeros(0)
     total = np.abs(w).sum()
     shares = w / total if total > 1e-9 else np.full(len(keep), 1 / max(len(keep), 1))
-    used = [names[i] for i in keep]
-    return dict(zip(used, map(float, shares), strict=True)), {n: lims[n] for n in used}, [n for n in names if n not in used]
+    return dict(zip((names[i] for i in keep), map(float, shares), strict=True))
 
 
 def monotone(values: Sequence[float], weights: Sequence[float]) -> np.ndarray:
@@ -187,7 +194,12 @@ def monotone(values: Sequence[float], weights: Sequence[float]) -> np.ndarray:
 
 def thresholds(rows: DataFrame, score: Column, level: str, n_levels: int) -> tuple[list[float], list[float], list[int]]:
     """Midpoints between the levels' monotone medians; a level without rows takes the value to its left, else to its right."""
-    got = {r["level"]: (r["m"], r["n"]) for r in rows.groupBy(F.col(level).alias("level")).agg(F.median(score).alias("m"), F.count(F.lit(1)).alias("n")).collect() if r["level"] is not None}
+    mids = quantiles.exact(rows.select(F.col(level).alias("level"), score.alias("score")), ["level"], "score", {"m": quantiles.share(0.5)})
+    return cuts_of({r["level"]: (r["m"], r["n"]) for r in mids.collect() if r["level"] is not None}, n_levels)
+
+
+def cuts_of(got: Mapping[int, tuple[float, int]], n_levels: int) -> tuple[list[float], list[float], list[int]]:
+    """The same from the levels' medians and numbers of rows."""
     have = sorted(k for k in got if 0 <= k < n_levels)
     if not have:
         raise ValueError("no labelled rows")
@@ -212,16 +224,41 @@ def hashed_folds(rows: DataFrame, key: Sequence[str], level: str, k: int, seed:
 
 
 def cross_validate(rows: DataFrame, names: Sequence[str], target: str, labels: Sequence[str], folds: Sequence[int], alpha: float = 10.0) -> DataFrame:
-    """Every row with the score and ordinal of a model that was fitted, ranges and thresholds included, without its fold."""
-    parts = []
-    for f in folds:
-        model = fit_axis(rows.where(F.col("fold") != f), names, target, labels, alpha)
-        held = rows.where(F.col("fold") == f).withColumn("score", model.score({n: F.col(n) for n in model.weights}))
-        parts.append(held.withColumn("predicted", scoring.bucket_index(F.col("score"), model.thresholds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every row of ``folds`` with the score and ordinal of a model that was fitted, ranges and thresholds included, without its fold.
+
+    The table is read once, and all folds are fitted at the same time: a row stands in the training set of
+    every fold but its own, and ranges, products and medians are aggregates by training set. What
+    reaches the driver are a few numbers for each fold, level and feature.
+    """
+    folds, names = list(folds), list(names)
+    own = ordered.written(rows.where(F.col("fold").isin(folds)), "folds")
+    others = F.filter(F.array(*map(F.lit, folds)), lambda f: f != F.col("fold"))
+    train = own.select(F.col(target).alias("_y"), *names, F.explode(others).alias("_train"))
+    lims: dict[int, dict[str, tuple[float, float]]] = {f: {} for f in folds}
+    for r in ranges_by(train, names, ["_train"]).collect():
+        lims[r["_train"]][r["feature"]] = (r["low"], r["high"])
+    spark = rows.sparkSession
+    ends = [(f, *(lims[f].get(n, (None, None))[i] for n in names for i in (0, 1))) for f in folds]
+    bounds = spark.createDataFrame(ends, ", ".join(["_train int", *(f"_{e}{i} double" for i in range(len(names)) for e in ("lo", "hi"))]))
+    unit = [scoring.unit_range(F.col(n), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, n in enumerate(names)]
+    ranged = train.join(F.broadcast(bounds), "_train")  # a row for each fold
+    shares = {}
+    for r in ranged.groupBy("_train").agg(*_products(unit, F.col("_y").cast("double"))).collect():
+        a, b, _ = _matrices(r, len(names))
+        used = [i for i, n in enumerate(names) if n in lims[r["_train"]]]
+        at = [0, *(i + 1 for i in used)]
+        shares[r["_train"]] = shares_of(a[np.ix_(at, at)], b[at], [names[i] for i in used], alpha)
+    weights = spark.createDataFrame([(f, *(shares.get(f, {}).get(n) for n in names)) for f in folds], ", ".join(["_fold int", *(f"_w{i} double" for i in range(len(names)))]))
+    there = [F.when(u.isNotNull() & F.col(f"_w{i}").isNotNull(), F.struct((u * F.col(f"_w{i}")).alias("s"), F.col(f"_w{i}").alias("w"))) for i, u in enumerate(unit)]
+    add = lambda field: sum((F.coalesce(t[field], F.lit(0.0)) for t in there), F.lit(0.0))
+    score = F.when(add("w") > 0, add("s") / add("w")).otherwise(0.0)
+    scored = ranged.join(F.broadcast(weights), F.col("_train") == F.col("_fold")).select("_train", "_y", score.alias("_s"))
+    mids: dict[int, dict[int, tuple[float, int]]] = {f: {} for f in folds}
+    for r in quantiles.exact(scored, ["_train", "_y"], "_s", {"m": quantiles.share(0.5)}).where("_y is not null").collect():
+        mids[r["_train"]][int(r["_y"])] = (r["m"], r["n"])
+    cuts = spark.createDataFrame([(f, cuts_of(mids[f], len(labels))[0]) for f in folds if mids[f]], "_cut int, _cuts array<double>")
+    held = own.join(F.broadcast(bounds), F.col("fold") == F.col("_train")).join(F.broadcast(weights), F.col("fold") == F.col("_fold")).join(F.broadcast(cuts), F.col("fold") == F.col("_cut"))
+    return held.withColumn("score", score).withColumn("predicted", F.size(F.filter("_cuts", lambda t: F.col("score") >= t))).select(*rows.columns, "score", "predicted")
 
 
 def binomial_tail(hits: int, n: int) -> float | None:
@@ -229,25 +266,9 @@ def binomial_tail(hits: int, n: int) -> float | None:
     return sum(comb(n, k) for k in range(hits, n + 1)) / 2**n if n else None
 
 
-def _bounded(rows: DataFrame, columns: Sequence[str]) -> pd.DataFrame:
-    got = rows.select(*columns).limit(MAX_RESAMPLED + 1).toPandas()
-    if len(got) > MAX_RESAMPLED:
-        raise ValueError(f"resampling ships its table to every task and takes at most {MAX_RESAMPLED} rows")
-    return got.sort_values(list(columns)).reset_index(drop=True)
-
-
 def bootstrap_medians(rows: DataFrame, score: str, level: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(level, low, high): the 5th and 95th percentile of resampled medians; replicates run in parallel, each with a seed of its own."""
-    own = _bounded(rows, [level, score])
-    groups = {k: g[score].to_numpy(np.float64) for k, g in own.groupby(level)}
-
-    def run(batches):
-        for pdf in batches:
-            out = [(int(k), float(np.median(np.random.default_rng([seed, int(b), int(k)]).choice(v, len(v))))) for b in pdf["id"] for k, v in groups.items()]
-            yield pd.DataFrame(out, columns=[level, "m"])
-
-    meds = rows.sparkSession.range(replicates).mapInPandas(run, f"{level} long, m double")
-    return meds.groupBy(level).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(level, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    """(level, low, high): the 5th and 95th percentile of resampled medians; rows equal in all columns are drawn together."""
+    return resampling.bootstrap_medians(rows, score, level, rows.columns, replicates, seed)
 
 
 def hashed_bootstrap_medians(rows: DataFrame, score: str, level: str, key: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -265,52 +286,3 @@ def hashed_bootstrap_medians(rows: DataFrame, score: str, level: str, key: Seque
     meds = picked.groupBy("_l", "_b").agg(F.median("_s").alias("m"))
     q = meds.groupBy("_l").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     return q.select(F.col("_l").alias(level), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
-def _ranks(x: np.ndarray) -> np.ndarray:
-    return pd.DataFrame(x).rank().to_numpy(np.float64)
-
-
-def _rhos(ranks: np.ndarray, target: np.ndarray) -> np.ndarray:
-    a, b = ranks - ranks.mean(0), target - target.mean()
-    room = np.sqrt((a * a).sum(0) * (b * b).sum())
-    return np.where(room > 0, a.T @ b / np.where(room > 0, room, 1), 0.0)
-
-
-def paired_bootstrap(rows: DataFrame, statistics: Sequence[str], target: str, base: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """(statistic, rho, low, high, delta_low, delta_high, differs): rank correlation with the target, and its size less the base's, on the same resamples."""
-    own = _bounded(rows, [*statistics, target])
-    x, y = own[list(statistics)].to_numpy(np.float64), own[target].to_numpy(np.float64)
-    at = list(statistics).index(base)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                pick = np.random.default_rng([seed, int(b)]).integers(0, len(y), len(y))
-                r = _rhos(_ranks(x[pick]), _ranks(y[pick][:, None])[:, 0])
-                out += [(s, float(v), float(abs(v) - abs(r[at]))) for s, v in zip(statistics, r, strict=True)]
-            yield pd.DataFrame(out, columns=["statistic", "rho", "delta"])
-
-    spark = rows.sparkSession
-    drawn = spark.range(replicates).mapInPandas(run, "statistic string, rho double, delta double")
-    q = F.array(F.lit(0.05), F.lit(0.95))
-    ci = drawn.groupBy("statistic").agg(F.percentile("rho", q).alias("r"), F.percentile("delta", q).alias("d"))
-    whole = spark.createDataFrame([(s, float(v)) for s, v in zip(statistics, _rhos(_ranks(x), _ranks(y[:, None])[:, 0]), strict=True)], "statistic string, rho double")
-    out = whole.join(ci, "statistic").select("statistic", "rho", F.col("r")[0].alias("low"), F.col("r")[1].alias("high"), F.col("d")[0].alias("delta_low"), F.col("d")[1].alias("delta_high"))
-    return out.withColumn("differs", (F.col("delta_low") > 0) | (F.col("delta_high") < 0))
-
-
-def permutation_p(rows: DataFrame, statistics: Sequence[str], target: str, replicates: int = 2000, seed: int = 43) -> DataFrame:
-    """One row: the largest |rho| of the statistics, how many shuffles of the target reach it, and (hits + 1) / (replicates + 1)."""
-    own = _bounded(rows, [*statistics, target])
-    x, y = _ranks(own[list(statistics)].to_numpy(np.float64)), _ranks(own[[target]].to_numpy(np.float64))[:, 0]
-    seen = float(np.abs(_rhos(x, y)).max())
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"top": [float(np.abs(_rhos(x, np.random.default_rng([seed, int(b)]).permutation(y))).max()) for b in pdf["id"]]})
-
-    top = rows.sparkSession.range(replicates).mapInPandas(run, "top double")
-    hits = F.count(F.when(F.col("top") >= seen - 1e-12, 1))
-    return top.agg(F.lit(seen).alias("max_abs_rho"), hits.alias("hits"), ((hits + 1) / (replicates + 1)).alias("p"))

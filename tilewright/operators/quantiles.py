@@ -39,16 +39,19 @@ def top_count(n: Column, percent: float) -> Column:
     return F.greatest(F.lit(1), F.bround(n * percent / 100)).cast("long")
 
 
-def exact(rows: DataFrame, by: Sequence[str], value: str, places: Mapping[str, Place], small: int = SMALL, buckets: int = BUCKETS) -> DataFrame:
+def exact(rows: DataFrame, by: Sequence[str], value: str, places: Mapping[str, Place], small: int = SMALL, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """One row for each group with a value: ``by``, n (its values), and a column for each of ``places``.
 
+    ``weight``, whole numbers, says how often a row's value is there; without it each is there once.
+
     Between two values lies their weighted mean. Nulls are no values; null keys are a group; without ``by``
     all rows are one group, and a table without values gives no row.
     """
-    own = rows.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sizes = written(own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("n > 0"), "sizes")
+    times = F.lit(1) if weight is None else F.col(weight)
+    own = rows.select(*by, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_t")).where(F.col("_v").isNotNull() & (F.col("_t") > 0))
+    sizes = written(own.groupBy(*by).agg(F.sum("_t").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("n > 0"), "sizes")
     few = matched(own, sizes.where(F.col("n") <= small).select(*by, "n"), by) if by else own.crossJoin(F.broadcast(sizes.where(F.col("n") <= small).select("n")))  # one row on the right
-    arrays = few.groupBy(*by).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("_v")).alias("_s")).where("n is not null")
+    arrays = few.groupBy(*by).agg(F.max("n").alias("n"), _sorted().alias("_s")).where("n is not null")
     at = lambda k: F.get(F.col("_s"), k.cast("int"))
     out = arrays.select(*by, "n", *(_between(p(F.col("n")), at).alias(c) for c, p in places.items()))
     large = sizes.where(F.col("n") > small)
@@ -61,6 +64,11 @@ def exact(rows: DataFrame, by: Sequence[str], value: str, places: Mapping[str, P
     return out.unionByName(met.select(*by, "n", *(_between(p(F.col("n")), of).alias(c) for c, p in places.items())))
 
 
+def _sorted() -> Column:
+    """All values of a small group in order, each as often as it is there."""
+    return F.sort_array(F.flatten(F.collect_list(F.array_repeat("_v", F.col("_t").cast("int")))))
+
+
 def _between(place: Column, at: Callable[[Column], Column]) -> Column:
     low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
     a, b = at(low), at(high)
@@ -82,15 +90,15 @@ def _searched(own: DataFrame, by: Sequence[str], large: DataFrame, places: Mappi
         # A row for each group: ranges of ranks that lie in one range are one.
         ranges = wide.groupBy(*by).agg(F.collect_set(F.struct("_lo", "_hi", "_n")).alias("_ranges"))
         met = matched(own, ranges, by) if by else own.crossJoin(F.broadcast(ranges))  # one row on the right
-        inside = met.withColumn("_r", F.get(F.filter("_ranges", lambda x: (x["_lo"] <= F.col("_v")) & (F.col("_v") <= x["_hi"])), F.lit(0))).where("_r is not null").select(*by, "_v", "_r._lo", "_r._hi", "_r._n")
-        short = inside.where(F.col("_n") <= small).groupBy(*by, "_lo").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+        inside = met.withColumn("_r", F.get(F.filter("_ranges", lambda x: (x["_lo"] <= F.col("_v")) & (F.col("_v") <= x["_hi"])), F.lit(0))).where("_r is not null").select(*by, "_v", "_t", "_r._lo", "_r._hi", "_r._n")
+        short = inside.where(F.col("_n") <= small).groupBy(*by, "_lo").agg(_sorted().alias("_s"))
         ends = matched(wide.where(F.col("_n") <= small), short, [*by, "_lo"])
         done.append(written(ends.select(*by, "_rank", F.get("_s", (F.col("_rank") - F.col("_below")).cast("int")).alias("_v")), "ends"))
         # Halves are taken first, so that no difference goes beyond the largest number.
         at = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * buckets
         bucket = F.least(F.lit(buckets - 1), F.floor(at)).cast("int")
-        hist = inside.where(F.col("_n") > small).groupBy(*by, "_lo", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        upto = hist.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by, "_lo").orderBy("_b")) - F.col("_c"))
+        hist = inside.where(F.col("_n") > small).groupBy(*by, "_lo", bucket.alias("_b_")).agg(F.sum("_t").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = hist.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by, "_lo").orderBy("_b_")) - F.col("_c"))
         open_ = wide.where(F.col("_n") > small).select(*by, "_rank", "_lo", "_below")
         hit = matched(open_, upto, [*by, "_lo"]).where((F.col("_below") + F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")))
         bounds = hit.select(*by, "_rank", F.col("_low").alias("_lo"), F.col("_high").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_n"))

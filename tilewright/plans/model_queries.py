@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import robust, scoring
-from ..operators import models, relational
-from ..registry import query, r6
-from .quality_queries import RANGES
+from ..functions import scoring
+from ..operators import models, ordered, relational, resampling
+from ..registry import SQL, query, r6
+from .quality_queries import PERCENTILES, RANGES, SHARES, statistics53
 from .standins import counts, features, sql, table
 
 NAMES = ("coverage", "edges", "entropy", "contrast")
@@ -104,6 +104,15 @@ def cross_validate(spark, d):
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((gap == 0).cast("double"))).alias("exact"), r6(F.avg((gap <= 1).cast("double"))).alias("within_one"))
 
 
+@query("cross_validate_four")
+def cross_validate_four(spark, d):
+    """The same with all four features, and with as many folds as an eighth of the slides: the ridge of four features has no short SQL."""
+    rows = labelled(spark, d).withColumn("fold", (F.col("slide_id") % 8).cast("int"))
+    out = models.cross_validate(rows, NAMES, "level", LABELS, range(8))
+    gap = F.abs(F.col("predicted") - F.col("level"))
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((gap == 0).cast("double"))).alias("exact"), r6(F.avg((gap <= 1).cast("double"))).alias("within_one"))
+
+
 @query("gate_floors", sql("+ q AS (" + " UNION ALL ".join(f"SELECT '{g}' AS feature, quantile_cont({c}, 0.02::DOUBLE) AS floor FROM features" for g, c in (("otsu_separability", "coverage"), ("lbp_entropy", "entropy"), ("edge_density_unmasked", "edges"))) + ") SELECT feature, round_even(floor, 6) AS floor, false AS enabled FROM q", "features"))
 def gate_floors(spark, d):
     """Floors of the empty-field gate; one of its four features was not fitted, so it is off."""
@@ -143,28 +152,57 @@ def refit_drift(spark, d):
     return out.select("kind", "name", *(r6(c).alias(c) for c in ("before", "now", "change")))
 
 
-@query("bootstrap_ci")
+def _draw_sql(key: str, seed: int) -> str:
+    u = f"('0x' || substr(md5({key} || '/' || (b // {resampling.DRAWS}) || '/{seed}'), 1 + 4 * (b % {resampling.DRAWS}), 4))::BIGINT"
+    return " + ".join(f"CAST({u} >= {c} AS INTEGER)" for c in resampling.CUTS)
+
+
+@query("bootstrap_ci", sql(_LABELLED + f""", o AS (SELECT level, {_MEAN_SCORE} AS s, slide_id || '/' || fov_id AS key FROM lab), w AS (SELECT level, s, b, {_draw_sql("key", 42)} AS w FROM o, (SELECT unnest(range(0, 1000)) AS b)),
+ c AS (SELECT level, b, s, sum(w) OVER (PARTITION BY level, b ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(w) OVER (PARTITION BY level, b) AS n FROM w WHERE w > 0),
+ md AS (SELECT level, b, (min(s) FILTER (upto > (n - 1) // 2) + min(s) FILTER (upto > n // 2)) / 2 AS m FROM c GROUP BY 1, 2) SELECT level, round_even(quantile_cont(m, 0.05::DOUBLE), 6) AS low, round_even(quantile_cont(m, 0.95::DOUBLE), 6) AS high FROM md GROUP BY 1""", "features", "counts"))
 def bootstrap_ci(spark, d):
+    """Intervals of the levels' medians from a thousand resamples."""
     rows = labelled(spark, d).withColumn("score", scoring.weighted({n: F.col(n) for n in NAMES}, dict.fromkeys(NAMES, 0.25), RANGES))
-    return models.bootstrap_medians(rows, "score", "level", 200)
+    return resampling.bootstrap_medians(rows, "score", "level", ["slide_id", "fov_id"]).select("level", r6("low").alias("low"), r6("high").alias("high"))
+
+
+#: The 53 statistics of a slide's counts, as :func:`quality_queries.statistics53` names them.
+STATISTICS = ("mean", "median", "range", "stdev", "mad", "iqr", *(f"p{p}" for p in PERCENTILES), *(f"at_least_{t}" for t in range(5, 13)), *(f"top{q}" for q in SHARES))
+_SLIDES = f"sl AS (SELECT s.*, s_acctbal AS y FROM ({SQL['slide_statistics53']}) s JOIN supplier ON s_suppkey = slide_id), lg AS (UNPIVOT (SELECT slide_id, y, {', '.join(f'{s}::DOUBLE AS {s}' for s in STATISTICS)} FROM sl) ON {', '.join(STATISTICS)} INTO NAME statistic VALUE x)"
+_RHO = "CASE WHEN (sw * sxx - sx * sx) * (sw * syy - sy * sy) > 0 THEN (sw * sxy - sx * sy) / sqrt((sw * sxx - sx * sx) * (sw * syy - sy * sy)) ELSE 0 END"
+_SUMS = "sum(w)::DOUBLE AS sw, sum(w * rx)::DOUBLE AS sx, sum(w * ry)::DOUBLE AS sy, sum(w * rx * rx)::DOUBLE AS sxx, sum(w * ry * ry)::DOUBLE AS syy, sum(w * rx * ry)::DOUBLE AS sxy"
 
 
-STATISTICS = ("mean", "median", "std", "mad")
+def _rank_sql(value: str, by: str) -> str:
+    return f"sum(w) OVER (PARTITION BY {by} ORDER BY {value} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (sum(w) OVER (PARTITION BY {by}, {value}) - 1) / 2::DOUBLE"
 
 
 def _slides(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slide_id"), F.col("s_acctbal").alias("target"))
-    return robust.baseline(counts(spark, d)).join(s, "slide_id")
+    own = statistics53(counts(spark, d).withColumn("x", F.col("n_detected").cast("double")), "slide_id", "x")
+    return ordered.written(own.join(s, "slide_id"), "slides")
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", f"""WITH {_SLIDES}, dw AS (SELECT slide_id, y, b, {_draw_sql("slide_id", 42)} AS w FROM sl, (SELECT unnest(range(0, 2000)) AS b) UNION ALL SELECT slide_id, y, -1, 1 FROM sl),
+ ry AS (SELECT slide_id, b, w, {_rank_sql("y", "b")} AS ry FROM dw WHERE w > 0), rx AS (SELECT b, statistic, w, ry, {_rank_sql("x", "b, statistic")} AS rx FROM ry JOIN lg USING (slide_id)),
+ rs AS (SELECT b, statistic, {_SUMS} FROM rx GROUP BY 1, 2), rh AS (SELECT b, statistic, {_RHO} AS rho FROM rs), dl AS (SELECT a.*, abs(a.rho) - abs(m.rho) AS delta FROM rh a JOIN rh m ON a.b = m.b AND m.statistic = 'mean'),
+ q AS (SELECT statistic, max(rho) FILTER (b < 0) AS rho, quantile_cont(rho, 0.05::DOUBLE) FILTER (b >= 0) AS low, quantile_cont(rho, 0.95::DOUBLE) FILTER (b >= 0) AS high, quantile_cont(delta, 0.05::DOUBLE) FILTER (b >= 0) AS dlow, quantile_cont(delta, 0.95::DOUBLE) FILTER (b >= 0) AS dhigh FROM dl GROUP BY 1)
+ SELECT statistic, round_even(rho, 6) AS rho, round_even(low, 6) AS low, round_even(high, 6) AS high, round_even(dlow, 6) AS delta_low, round_even(dhigh, 6) AS delta_high, dlow > 0 OR dhigh < 0 AS differs FROM q""")
 def paired_bootstrap(spark, d):
-    return models.paired_bootstrap(_slides(spark, d), STATISTICS, "target", "mean", 500)
+    """All 53 statistics of a slide against its target on two thousand resamples of slides, each held against the mean."""
+    got = resampling.paired_bootstrap(_slides(spark, d), ["slide_id"], STATISTICS, "target", "mean")
+    return got.select("statistic", *(r6(c).alias(c) for c in ("rho", "low", "high", "delta_low", "delta_high")), "differs")
 
 
-@query("permutation_p")
+@query("permutation_p", f"""WITH {_SLIDES}, pl AS (SELECT slide_id, row_number() OVER (ORDER BY slide_id) AS k, (2 * rank() OVER (ORDER BY y) + count(*) OVER (PARTITION BY y) - 1) / 2::DOUBLE AS ry FROM sl),
+ sh AS (SELECT slide_id, b, row_number() OVER (PARTITION BY b ORDER BY md5(slide_id || '/' || b || '/43'), slide_id) AS k FROM sl, (SELECT unnest(range(0, 2000)) AS b)), gv AS (SELECT b, sh.slide_id, ry FROM sh JOIN pl USING (k) UNION ALL SELECT -1, slide_id, ry FROM pl),
+ rx AS (SELECT slide_id, statistic, 1 AS w, (2 * rank() OVER (PARTITION BY statistic ORDER BY x) + count(*) OVER (PARTITION BY statistic, x) - 1) / 2::DOUBLE AS rx FROM lg),
+ rs AS (SELECT b, statistic, {_SUMS} FROM gv JOIN rx USING (slide_id) GROUP BY 1, 2), tp AS (SELECT b, max(abs({_RHO})) AS top FROM rs GROUP BY 1), se AS (SELECT top AS seen FROM tp WHERE b < 0)
+ SELECT round_even(max(seen), 6) AS max_abs_rho, count(*) FILTER (b >= 0 AND top >= seen - 1e-12) AS hits, round_even((count(*) FILTER (b >= 0 AND top >= seen - 1e-12) + 1) / 2001::DOUBLE, 6) AS p FROM tp, se""")
 def permutation_p(spark, d):
-    return models.permutation_p(_slides(spark, d), STATISTICS, "target", 500)
+    """How often a shuffled target is matched as well by any of the 53 statistics."""
+    got = resampling.permutation_p(_slides(spark, d), ["slide_id"], STATISTICS, "target")
+    return got.select(r6("max_abs_rho").alias("max_abs_rho"), "hits", r6("p").alias("p"))
 
 
 @query("grouping_rollup", sql("+ j AS (SELECT slide_id % 5 AS axis, fov_id % 12 AS fold, count(*) AS n, avg(CAST(n_detected % 3 = 0 AS INT)) AS exact FROM counts GROUP BY 1, 2) SELECT axis, sum(n)::BIGINT AS n, round_even(sum(n * exact) / sum(n), 6) AS exact FROM j GROUP BY 1", "counts"))
