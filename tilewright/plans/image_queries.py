@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..kernels import images as kernels
-from ..operators import images, pixels
+from ..operators import images, mosaic, pixels
 from ..registry import query, r6
 from .standins import grids, sql, table
 from .standins import pixels as tiles
@@ -64,6 +64,20 @@ def patch_laplacian(spark, d):
     return grids(spark, d).select("vec_id", F.bround(pixels.laplacian_variance(F.col("vs"), 8, 8), 5).alias("laplacian_variance"))
 
 
+@query("scan_filters", sql("""+ g AS (SELECT vec_id, CAST((vec_id // 4) * 8 + y AS INTEGER) AS gy, CAST((vec_id % 4) * 8 + x AS INTEGER) AS gx, v FROM pixels), e AS (SELECT max(gy) AS h FROM g),
+ n AS (SELECT g.vec_id, gy, gx, v, dy, dx, abs(gy + dy) - CASE WHEN gy + dy > h THEN 2 * (gy + dy - h) ELSE 0 END AS y2, abs(gx + dx) - CASE WHEN gx + dx > 31 THEN 2 * (gx + dx - 31) ELSE 0 END AS x2 FROM g, e, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
+ s AS (SELECT n.vec_id, n.gy, n.gx, sum(b.v) AS box, sum(CASE WHEN abs(dy) + abs(dx) = 1 THEN b.v ELSE 0 END) - 4 * any_value(n.v) AS l FROM n JOIN g b ON n.y2 = b.gy AND n.x2 = b.gx GROUP BY 1, 2, 3)
+ SELECT vec_id, sum(box)::BIGINT AS box_total, max(box)::BIGINT AS box_top, sum(abs(l))::BIGINT AS edges, round_even(CAST(count(*) * sum(l * l) - sum(l) * sum(l) AS DOUBLE) / (count(*) * count(*)), 5) AS laplacian_variance FROM s GROUP BY 1""", "pixels"))
+def scan_filters(spark, d):
+    """All tiles as one scan, four tiles wide: box sums and the Laplacian of each tile with its neighbours' pixels around it."""
+    tiles = grids(spark, d).select("vec_id", F.floor(F.col("vec_id") / 4).cast("int").alias("ty"), (F.col("vec_id") % 4).cast("int").alias("tx"), "vs")
+    p = mosaic.padded(tiles, [], "vs", 8, 8, 1, ["vec_id"])
+    f = p.select("vec_id", mosaic.box_sum(F.col("padded"), 8, 8, 1).alias("box"), mosaic.laplacian(F.col("padded"), 8, 8).alias("lap"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    n, s, q = F.size("lap"), total(F.col("lap")), total(F.transform("lap", lambda x: x.cast("long") * x))
+    return f.select("vec_id", total(F.col("box")).alias("box_total"), F.array_max("box").cast("long").alias("box_top"), total(F.transform("lap", F.abs)).alias("edges"), F.bround((n * q - s * s) / (n * n), 5).alias("laplacian_variance"))
+
+
 @query("touching_pairs", sql("""+ m AS (SELECT vec_id, y, x, v // 32 AS k FROM pixels WHERE v > 96), p AS (SELECT DISTINCT a.vec_id, least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k)
  SELECT vec_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p""", "pixels"))
 def touching_pairs(spark, d):

@@ -7,10 +7,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
 from ..storage import filesystem
+from .sinks import Committed
 
 
 def retrying(call: Callable, *args, attempts: int = 3, delay: float = 1.0, transient: tuple[type[BaseException], ...] = (OSError, TimeoutError), final: tuple[type[BaseException], ...] = (PermissionError,), sleep: Callable[[float], None] = time.sleep):
@@ -60,3 +63,39 @@ def fetch(listing: DataFrame, path: str = "path", read: Callable[[str], bytes] =
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*keep, "content", "error"])
 
     return listing.mapInArrow(run, T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
+
+
+CACHED = "path string, name string, length long, modified timestamp, digest string, content binary, error string"
+
+
+class FetchCache:
+    """Contents kept by path, with the length and time that the file had and a digest of what was read.
+
+    A file is fetched where the ledger has none of its path, length and time, which is an anti-join on names
+    alone; so a second run reads no source file, a changed one is read again, and one that could not be
+    read is tried again. What a run fetched counts once all of it is in place.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.held = Committed(spark, folder, CACHED, "path")
+
+    def missing(self, listing: DataFrame) -> DataFrame:
+        """The rows of ``listing`` (path, length, modified) that are not held as they are; contents are not read for it."""
+        have = self.held.read().where("error is null").select(F.col("path").alias("_p"), F.col("length").alias("_l"), F.col("modified").alias("_m"))
+        same = (F.col("path") == F.col("_p")) & F.col("length").eqNullSafe(F.col("_l")) & F.col("modified").eqNullSafe(F.col("_m"))
+        return listing.join(have, same, "left_anti")
+
+    def fetch(self, listing: DataFrame, **how) -> int:
+        """Fetch what is missing of ``listing``; returns how many files were tried. ``how`` goes to :func:`fetch`."""
+        new = self.missing(listing.select("path", F.col("length").cast("long").alias("length"), F.col("modified").cast("timestamp").alias("modified")).dropDuplicates(["path"]))
+        got = fetch(new, **how)
+        rows = got.withColumn("name", text.cache_name(F.col("path"))).withColumn("digest", F.sha2("content", 256))
+        version = self.held.stage(rows)
+        self.held.commit(version)
+        return self.held.staged(version).count()
+
+    def read(self, listing: DataFrame) -> DataFrame:
+        """``listing`` with name, digest, content and error of each file as it was fetched last; a file that never was has none."""
+        own = self.held.read().select(F.col("path").alias("_p"), *(F.col(c).alias(f"_{c}") for c in ("name", "digest", "content", "error")))
+        rows = listing.join(own, F.col("path") == F.col("_p"), "left")
+        return rows.select(*listing.columns, *(F.col(f"_{c}").alias(c) for c in ("name", "digest", "content", "error") if c not in listing.columns))

@@ -28,6 +28,12 @@ def images(spark: SparkSession, path: str, recursive: bool | None = None) -> Dat
     return raw.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "content")
 
 
+def file_list(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, length, modified) of all files below a folder but empty ones; contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return raw.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def image_list(spark: SparkSession, path: str, recursive: bool | None = None) -> DataFrame:
     """(path, name, length) by name: the content column is not read at all."""
     return images(spark, path, recursive).drop("content").orderBy("name")

@@ -56,11 +56,18 @@ class Committed:
             n = wanted.select(self.slide).distinct().join(n, self.slide, "full")
         n.select(self.slide, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows")).hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
 
+    def versions(self) -> DataFrame:
+        """(slide, version, n_rows) of all versions that were committed, those that no longer count too."""
+        own = T.StructType([T.StructField(self.slide, self.schema[self.slide].dataType), T.StructField("n_rows", T.LongType()), T.StructField("version", T.StringType())])
+        return _read(self.spark, f"{self.path}/manifest", own)
+
+    def staged(self, version: str) -> DataFrame:
+        """The rows of one version, whether it counts or not."""
+        return self._data().where(F.col("version") == version).select(*self.schema.names)
+
     def manifest(self) -> DataFrame:
         """(slide, version, n_rows) of the version of each slide that counts."""
-        own = T.StructType([T.StructField(self.slide, self.schema[self.slide].dataType), T.StructField("n_rows", T.LongType()), T.StructField("version", T.StringType())])
-        rows = _read(self.spark, f"{self.path}/manifest", own)
-        return rows.groupBy(self.slide).agg(F.max("version").alias("version"), F.max_by("n_rows", "version").alias("n_rows"))
+        return self.versions().groupBy(self.slide).agg(F.max("version").alias("version"), F.max_by("n_rows", "version").alias("n_rows"))
 
     def read(self) -> DataFrame:
         """The rows of every slide's version that counts; files of other versions are not read."""

@@ -36,8 +36,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path of the shared folder, and the path in it."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri())
+    """The file system of a path of the shared folder, and the path in it; names are as Spark shows them, with spaces and all."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path.replace(" ", "%20"))
+    return pafs.LocalFileSystem(), str(Path(path).absolute())
 
 
 def write_files(files: DataFrame, folder: str) -> int:
