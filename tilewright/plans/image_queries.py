@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..kernels import images as kernels
-from ..operators import images, mosaic, pixels
+from ..operators import components, images, mosaic, pixels
 from ..registry import query, r6
 from .standins import grids, sql, table
 from .standins import pixels as tiles
@@ -78,6 +78,16 @@ def scan_filters(spark, d):
     return f.select("vec_id", total(F.col("box")).alias("box_total"), F.array_max("box").cast("long").alias("box_top"), total(F.transform("lap", F.abs)).alias("edges"), F.bround((n * q - s * s) / (n * n), 5).alias("laplacian_variance"))
 
 
+@query("scan_regions", sql("""+ m AS (SELECT CAST((vec_id // 4) * 8 + y AS BIGINT) AS y, CAST((vec_id % 4) * 8 + x AS BIGINT) AS x FROM pixels WHERE v > 155), n AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2 FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+ r AS (SELECT y, x, y AS ry, x AS rx FROM m UNION SELECT n.y2, n.x2, r.ry, r.rx FROM r JOIN n ON n.y = r.y AND n.x = r.x WHERE (n.y2, n.x2) > (r.ry, r.rx)),
+ c AS (SELECT y, x, min({'y': ry, 'x': rx}) AS root FROM r GROUP BY 1, 2)
+ SELECT root.y AS y, root.x AS x, count(*) AS area, min(y) AS top, min(x) AS left, max(y) AS bottom, max(x) AS right FROM c GROUP BY root""", "pixels").replace("WITH ", "WITH RECURSIVE ", 1))
+def scan_regions(spark, d):
+    """All tiles as one scan, four tiles wide: the components of its bright pixels across all borders of tiles."""
+    tiles = grids(spark, d).select(F.floor(F.col("vec_id") / 4).cast("int").alias("ty"), (F.col("vec_id") % 4).cast("int").alias("tx"), F.transform("vs", lambda v: v > 155).alias("m"))
+    return components.regions(tiles, [], F.col("m"), 8, 8)
+
+
 @query("touching_pairs", sql("""+ m AS (SELECT vec_id, y, x, v // 32 AS k FROM pixels WHERE v > 96), p AS (SELECT DISTINCT a.vec_id, least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k)
  SELECT vec_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p""", "pixels"))
 def touching_pairs(spark, d):
