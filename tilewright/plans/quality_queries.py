@@ -309,8 +309,8 @@ def joint_r2(spark, d):
     return c.withColumn("r2", r2).select("slide_id", "n", F.bround(F.expr("a * a"), 5).alias("solo_a"), F.bround(F.expr("b * b"), 5).alias("solo_b"), F.bround("r2", 5).alias("joint"), F.bround(F.expr("1 - (1 - r2) * (n - 1) / (n - 3)"), 5).alias("adjusted"))
 
 
-PERCENTILES = (5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90, 95, 100)
-SHARES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80)
+#: Percentiles, and shares of the largest values whose means are taken: with six of the whole slide and eight shares at or above a value, 53 statistics.
+PERCENTILES, SHARES = tuple(range(5, 101, 5)), tuple(range(5, 100, 5))
 
 
 @query("slide_statistics53", sql("""+ c AS (SELECT slide_id, CAST(n_detected AS DOUBLE) AS x FROM counts), md AS (SELECT slide_id, median(x) AS m FROM c GROUP BY 1), dv AS (SELECT slide_id, median(abs(x - m)) AS mad FROM c JOIN md USING (slide_id) GROUP BY 1),
