@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.plans import quality_queries
@@ -17,6 +17,14 @@ from . import common, score_slides, watch_texts
 _BASE = quality_queries._BASE
 
 
+#: Six digits, cut where no short fraction lies: scores are sums of such, and halves would be rounded by the last bits of either engine.
+_CUT = "floor({} * 1e6::DOUBLE + 0.0137::DOUBLE) / 1e6::DOUBLE"
+
+
+def _cut(name: str) -> Column:
+    return F.floor(F.col(name) * 1e6 + 0.0137) / 1e6
+
+
 def job1_score_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and slides of all sites: the whole output after a second run."""
     out = new_path(spark, "score-slides")
@@ -24,8 +32,8 @@ def job1_score_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         score_slides.run(spark, sf_dir, out, config)
     fields, slides = score_slides.read_back(spark, out)
-    fields = fields.select(F.lit("field").alias("kind"), "site", "slide_id", "fov_id", r6("score").alias("score"), "label", "gated", "n_detected", r6("z").alias("z"), "flags")
-    slides = slides.select(F.lit("slide").alias("kind"), "site", "slide_id", r6("mean").alias("score"), F.col("modal").alias("label"), "n_scored", "n_gated", "n_high", "status")
+    fields = fields.select(F.lit("field").alias("kind"), "site", "slide_id", "fov_id", _cut("score").alias("score"), "label", "gated", "n_detected", r6("z").alias("z"), "flags")
+    slides = slides.select(F.lit("slide").alias("kind"), "site", "slide_id", _cut("mean").alias("score"), F.col("modal").alias("label"), "n_scored", "n_gated", "n_high", "status")
     return fields.unionByName(slides, allowMissingColumns=True)
 
 
@@ -37,8 +45,8 @@ _JOB1 = (
  sf AS (SELECT site, s.slide_id, s.fov_id, s.score, s.gated, CASE WHEN s.gated THEN '{quality_queries.LABELS[0]}' ELSE s.raw_label END AS label, CASE WHEN s.gated THEN 1 ELSE s.pos END AS r, f.n_detected, f.z, f.flags FROM g s JOIN site ON site.slide_id = s.slide_id LEFT JOIN f ON f.slide_id = s.slide_id AND f.fov_id = s.fov_id),
  mo AS (SELECT slide_id, arg_min(label, -n * 10 + r) AS modal FROM (SELECT slide_id, label, min(r) AS r, count(*) AS n FROM sf GROUP BY 1, 2) GROUP BY 1),
  pe AS (SELECT slide_id, count(*) AS n_scored, count(CASE WHEN gated THEN 1 END) AS n_gated, avg(CASE WHEN gated THEN 0::DOUBLE ELSE score END) AS mean, count(CASE WHEN list_contains(string_split(flags, ';'), 'high_outlier') THEN 1 END) AS n_high FROM sf GROUP BY 1)
- SELECT 'field' AS kind, site, slide_id, fov_id, round_even(score, 6) AS score, label, gated, n_detected, round_even(z, 6) AS z, flags, NULL::BIGINT AS n_scored, NULL::BIGINT AS n_gated, NULL::BIGINT AS n_high, NULL::VARCHAR AS status FROM sf
- UNION ALL SELECT 'slide', site, site.slide_id, NULL, round_even(mean, 6), modal, NULL, NULL, NULL, NULL, n_scored, n_gated, n_high, CASE WHEN n_scored IS NULL THEN 'no_data' WHEN n_gated = n_scored THEN 'empty' ELSE 'ok' END FROM site LEFT JOIN pe ON pe.slide_id = site.slide_id LEFT JOIN mo ON mo.slide_id = site.slide_id"""
+ SELECT 'field' AS kind, site, slide_id, fov_id, {_CUT.format("score")} AS score, label, gated, n_detected, round_even(z, 6) AS z, flags, NULL::BIGINT AS n_scored, NULL::BIGINT AS n_gated, NULL::BIGINT AS n_high, NULL::VARCHAR AS status FROM sf
+ UNION ALL SELECT 'slide', site, site.slide_id, NULL, {_CUT.format("mean")}, modal, NULL, NULL, NULL, NULL, n_scored, n_gated, n_high, CASE WHEN n_scored IS NULL THEN 'no_data' WHEN n_gated = n_scored THEN 'empty' ELSE 'ok' END FROM site LEFT JOIN pe ON pe.slide_id = site.slide_id LEFT JOIN mo ON mo.slide_id = site.slide_id"""
 )
 
 

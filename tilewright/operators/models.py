@@ -209,6 +209,7 @@ def cuts_of(got: Mapping[int, tuple[float, int]], n_levels: int) -> tuple[list[f
 
 
 def fit_axis(rows: DataFrame, names: Sequence[str], target: str, labels: Sequence[str], alpha: float = 10.0, **knobs) -> AxisModel:
+    rows = ordered.written(rows.select(*dict.fromkeys([*names, target])), "labelled")  # read several times below
     weights, lims, dropped = fit_weights(rows, names, target, alpha)
     score = scoring.weighted({n: F.col(n) for n in weights}, weights, lims)
     cuts, _, _ = thresholds(rows, score, target, len(labels))
