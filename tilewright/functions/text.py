@@ -78,3 +78,13 @@ def uri_parts(uri: Column) -> Column:
 
 def cache_name(blob: Column) -> Column:
     return F.regexp_replace(blob, r"[^A-Za-z0-9_.-]", "_")
+
+
+def statistic_family(name: Column) -> Column:
+    """What kind of statistic a name stands for."""
+    return F.when(name.rlike("^p[0-9]+$"), "percentile").when(name.startswith("at_least"), "fraction").when(name.startswith("top"), "trimmed-mean").otherwise("whole-slide")
+
+
+def sweep(name: Column) -> Column:
+    """The number at a name's end; null where there is none."""
+    return F.nullif(F.regexp_extract(name, "([0-9]+)$", 1), F.lit("")).cast("int")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import robust, scoring, text
 from ..operators import quantiles
-from ..registry import query, r6
+from ..registry import SQL, query, r6
+from .quality_queries import statistics53
 from .standins import axes, counts, features, judged, sql, table
 
 @query("composite_v1", sql("SELECT slide_id, fov_id, round_even((coverage_n * 0.2::DOUBLE + edges_n * 0.3::DOUBLE + CASE WHEN contrast IS NOT NULL THEN contrast_n * 0.1::DOUBLE ELSE 0 END + entropy_n * 0.4::DOUBLE) / (0.2::DOUBLE + 0.3::DOUBLE + CASE WHEN contrast IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + 0.4::DOUBLE), 5) AS score FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coverage)) AS coverage_n, least(1.0::DOUBLE, greatest(0.0::DOUBLE, edges)) AS edges_n, least(1.0::DOUBLE, contrast / 2) AS contrast_n, least(1.0::DOUBLE, entropy / 2) AS entropy_n FROM features)", "features"))
@@ -58,14 +59,17 @@ def combined_scores(spark, d):
     return axes(spark, d).groupBy("site").agg(r6(F.avg(a) + F.avg(b)).alias("sum_of_means"), r6(F.avg((a + b) / 2)).alias("mean_of_two"), F.sum(a + b - 2).alias("ordinal_sum"))
 
 
-_STATS = ["mean", "median", "range", "p5", "p95", "frac_crowded", "top_10", "iqr"]
+_FAMILY = "CASE WHEN regexp_matches(statistic, '^p[0-9]+$') THEN 'percentile' WHEN statistic LIKE 'at_least%' THEN 'fraction' WHEN statistic LIKE 'top%' THEN 'trimmed-mean' ELSE 'whole-slide' END"
 
 
-@query("statistic_family", f"WITH s AS (SELECT unnest({_STATS}) AS statistic) SELECT statistic, CASE WHEN regexp_matches(statistic, '^p[0-9]+$') THEN 'percentile' WHEN statistic LIKE 'frac%' THEN 'fraction' WHEN statistic LIKE 'top%' THEN 'top_mean' WHEN statistic IN ('mean', 'median') THEN 'location' ELSE 'spread' END AS family, CAST(nullif(regexp_extract(statistic, '([0-9]+)$', 1), '') AS INTEGER) AS sweep FROM s")
+@query("statistic_family", f"WITH s AS (UNPIVOT (SELECT COLUMNS(* EXCLUDE (slide_id))::DOUBLE FROM ({SQL['slide_statistics53']})) ON COLUMNS(*) INTO NAME statistic VALUE x) SELECT statistic, {_FAMILY} AS family, CAST(nullif(regexp_extract(statistic, '([0-9]+)$', 1), '') AS INTEGER) AS sweep, count(*) AS n, round_even(avg(x), 5) AS mean FROM s GROUP BY 1, 2, 3")
 def statistic_family(spark, d):
+    """The family and sweep of each of the slides' statistics by its name, and its mean over all slides."""
+    own = statistics53(counts(spark, d).withColumn("x", F.col("n_detected").cast("double")), "slide_id", "x")
+    names = [c for c in own.columns if c != "slide_id"]
+    rows = own.select(F.explode(F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("x")) for c in names))).alias("p")).select("p.*")
     s = F.col("statistic")
-    family = F.when(s.rlike("^p[0-9]+$"), "percentile").when(s.startswith("frac"), "fraction").when(s.startswith("top"), "top_mean").when(s.isin("mean", "median"), "location").otherwise("spread")
-    return spark.createDataFrame([(x,) for x in _STATS], "statistic string").select("statistic", family.alias("family"), F.nullif(F.regexp_extract(s, "([0-9]+)$", 1), F.lit("")).cast("int").alias("sweep"))
+    return rows.groupBy("statistic", text.statistic_family(s).alias("family"), text.sweep(s).alias("sweep")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("x"), 5).alias("mean"))
 
 
 @query("short_labels", "SELECT s_name, regexp_extract(s_name, '^([A-Z])', 1) || '-' || right(s_name, 4) AS short FROM supplier")
@@ -174,11 +178,13 @@ def first_box(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("slide_id")).agg(F.min(F.concat(F.lit("box-"), (F.col("l_linenumber") % 5).cast("string"))).alias("box"))
 
 
-@query("group_map", "SELECT * FROM (VALUES ('low', 0, 's0'), ('low', 1, 's1'), ('high', 2, 's2')) t(grp, slide_id, uri)")
+@query("group_map", "SELECT r_name AS grp, n_nationkey AS slide_id, lower(r_name) || '/' || n_name AS uri FROM nation JOIN region ON n_regionkey = r_regionkey")
 def group_map(spark, d):
-    groups = {"low": {0: "s0", 1: "s1"}, "high": {2: "s2"}}
-    rows = spark.createDataFrame([(g, s) for g, s in groups.items()], "grp string, slides map<int,string>")
-    return rows.select("grp", F.explode("slides").alias("slide_id", "uri"))
+    """Groups of slides with where each slide lies, as a map for each group and as rows again."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("grp"), "n_nationkey", F.concat_ws("/", F.lower("r_name"), "n_name").alias("uri"))
+    maps = rows.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "uri"))).alias("slides"))  # a group has few slides
+    return maps.select("grp", F.explode("slides").alias("slide_id", "uri"))
 
 
 @query("quintile_labels", sql("+ q AS (SELECT slide_id, quantile_cont(n_detected::DOUBLE, 0.2::DOUBLE) AS a, quantile_cont(n_detected::DOUBLE, 0.4::DOUBLE) AS b, quantile_cont(n_detected::DOUBLE, 0.6::DOUBLE) AS c, quantile_cont(n_detected::DOUBLE, 0.8::DOUBLE) AS d FROM counts GROUP BY 1) SELECT slide_id, fov_id, CASE WHEN n_detected < a THEN 1 WHEN n_detected < b THEN 2 WHEN n_detected < c THEN 3 WHEN n_detected < d THEN 4 ELSE 5 END AS quintile FROM counts JOIN q USING (slide_id)", "counts"))
