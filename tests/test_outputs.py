@@ -81,3 +81,15 @@ def test_a_batch_that_is_logged_again_is_in_the_log_once(spark, tmp_path):
     sinks.append_log(rows, path)
     got = sinks.read_log(spark, path, ["slide_id string", "n int"])
     assert got.count() == 7 and got.where("ts > 0").count() == 7
+
+
+def test_workbooks_go_through_their_files(spark, tmp_path):
+    from tilewright.sources import files
+
+    rows = [(f"s{i}", None if i % 3 == 0 else f' a<&>"{i} ', *(str(i) if k == 27 else None for k in range(28))) for i in range(50)]
+    names = ["slide_id", "note", *(f"c{k}" for k in range(28))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    assert sinks.write_workbooks(df.repartition(3), str(tmp_path / "books"), 'A "B" & C') == 3
+    got = files.workbook(spark, str(tmp_path / "books"), 'A "B" & C', "slide_id", {"A": "slide_id", "B": "note", "AD": "last"})
+    assert rows_of(got.select("slide_id", "note", "last")) == sorted(((r[0], r[1], r[-1]) for r in rows), key=str)
+    assert got.agg(F.min("row")).head()[0] == 2

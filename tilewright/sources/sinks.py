@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import time
 import uuid
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Iterator, Sequence
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import write_files
+
 
 def write_slides(rows: DataFrame, path: str, slide: str = "slide_id", form: str = "parquet") -> None:
     """Replace the outputs of the slides in ``rows`` and no others; a slide's rows are in one place, so it has few files."""
@@ -142,3 +149,38 @@ def markdown(rows: DataFrame, title: str, most: int = 1_000) -> str:
         raise ValueError(f"a report has at most {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([f"## {title}", "", line(rows.columns), line("-" for _ in rows.columns), *map(line, got)]) + "\n"
+
+
+_BOOK = {
+    "xl/workbook.xml": '<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="{sheet}" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="{p}"><Relationship Id="rId1" Type="{r}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "_rels/.rels": '<Relationships xmlns="{p}"><Relationship Id="rId1" Type="{r}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "[Content_Types].xml": '<Types xmlns="{c}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+}
+_NAMES = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships", "c": "http://schemas.openxmlformats.org/package/2006/content-types"}
+
+
+def sheet_bytes(sheet: str, header: Sequence[str], rows: Sequence[Sequence[object]]) -> bytes:
+    """A workbook with one sheet of text cells below a header; cells without a value are left out."""
+    letter = lambda k: ("" if k < 26 else letter(k // 26 - 1)) + chr(65 + k % 26)
+    cell = lambda n, k, v: f'<c r="{letter(k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    body = "".join(f'<row r="{n}">' + "".join(cell(n, k, v) for k, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate([header, *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, form in _BOOK.items():
+            z.writestr(name, form.format(sheet=escape(sheet, {'"': "&quot;"}), **_NAMES))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NAMES["m"]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def write_workbooks(rows: DataFrame, folder: str, sheet: str) -> int:
+    """Write ``rows`` as workbooks, each of the rows that a task holds at a time; returns how many. Values are written as text."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            content = sheet_bytes(sheet, names, list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"book-{part:05d}-{k:05d}.xlsx"]), pa.array([content], pa.binary())], names=["name", "content"])
+
+    return write_files(rows.select(*(F.col(c).cast("string") for c in names)).mapInArrow(run, "name string, content binary"), folder)
