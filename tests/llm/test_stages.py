@@ -50,7 +50,7 @@ def test_stages_take_empty_tables_nulls_and_long_texts(spark, k):
 
 
 def test_shards_follow_bytes_and_split_a_repeated_row(spark, monkeypatch):
-    monkeypatch.setattr(sstable, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(sstable, "SHARD_BYTES", (4_000, 8_000))
     words = spark.range(600).select("id", F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 40)).alias("text"))
     docs = words.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text again " * 10)).otherwise(F.col("text")).alias("text"))
     docs = corpus_pipeline.materialise(docs.repartition(5), "hot")

@@ -39,8 +39,8 @@ FOOTER = struct.Struct("<QQQQQQQII8s")
 END_ID = 2
 #: Bytes of shards that a task reads back on average.
 READ_BYTES = 32 << 20
-#: Bytes of the input that a shard takes, and that a core is put to for the sake of speed alone.
-SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Bytes of the input that a shard takes: at least the first, more where there would be more than MANY shards, at most the second; and that a core is put to for the sake of speed alone.
+SHARD_BYTES, MANY, LEAST_BYTES = (16 << 20, 256 << 20), 20_000, 1 << 20
 #: Distinct words in the new generation of a worker's memory; a text may go beyond it by its own words.
 WORD_CACHE = 250_000
 
@@ -313,7 +313,7 @@ def needs_wide(definition: str, end_id: int) -> bool:
 
 
 def shard_count(docs: DataFrame, text_col: str = "text") -> int:
-    """How many shards the bytes of ``docs`` make: SHARD_BYTES of its files each, or of its texts where it is no table of files.
+    """How many shards the bytes of ``docs`` make, by SHARD_BYTES of its files each, or of its texts where it is no table of files.
 
     Of small tables every core gets one, while it has LEAST_BYTES to do.
     """
@@ -322,8 +322,9 @@ def shard_count(docs: DataFrame, text_col: str = "text") -> int:
         size = sizes.head()[0]
     except AnalysisException:  # not read from files
         size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).head()[0]
+    each = min(SHARD_BYTES[1], max(SHARD_BYTES[0], (size or 0) // MANY))
     cores = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // LEAST_BYTES))
-    return max(1, cores, -(-(size or 0) // SHARD_BYTES))
+    return max(1, cores, -(-(size or 0) // each))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, wide: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
