@@ -6,6 +6,8 @@ so pixels are neither dealt out nor joined.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,40 @@ def quadrants(px: DataFrame, tile: str, height: int = 8, width: int = 8) -> Data
     return out.withColumn("spread", F.greatest("tl", "tr", "bl", "br") - F.least("tl", "tr", "bl", "br"))
 
 
+def cuts_of(size: int, cells: int) -> list[int]:
+    """Where ``size`` places are cut into parts of which the first size % cells are one longer."""
+    return [k * (size // cells) + min(k, size % cells) for k in range(cells + 1)]
+
+
+def cell_means(values: Column, width: int, ys: Sequence[int], xs: Sequence[int]) -> Column:
+    """Mean value of each cell of a tile between the cuts, row by row, in the row itself: no pixel becomes a row."""
+
+    def mean(top: int, bottom: int, left: int, right: int) -> Column:
+        rows = F.sequence(F.lit(top), F.lit(bottom - 1))
+        add = lambda s, v: s + v
+        total = F.aggregate(rows, F.lit(0).cast("long"), lambda s, r: F.aggregate(F.slice(values, r * width + left + 1, F.lit(right - left)), s, add))
+        return total / ((bottom - top) * (right - left))
+
+    return F.array(*(mean(a, b, c, d) for a, b in zip(ys, ys[1:], strict=False) for c, d in zip(xs, xs[1:], strict=False)))
+
+
+def quarter_means(values: Column, height: int, width: int) -> Column:
+    """Struct tl, tr, bl, br, spread: mean value of each quarter and the largest less the smallest."""
+    m = cell_means(values, width, [0, height // 2, height], [0, width // 2, width])
+    named = [m[k].alias(n) for k, n in enumerate(("tl", "tr", "bl", "br"))]
+    return F.struct(*named, (F.array_max(m) - F.array_min(m)).alias("spread"))
+
+
+def spread_of(means: Column, n: int) -> Column:
+    """Struct cv, patchiness of the mean values of ``n`` cells: population deviation over mean, and (max - median) over median; 0 without signal."""
+    add = lambda s, v: s + v
+    ordered = F.array_sort(means)
+    mid = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+    mean = F.aggregate(means, F.lit(0.0), add) / n
+    sd = F.sqrt(F.aggregate(F.transform(means, lambda v: (v - mean) * (v - mean)), F.lit(0.0), add) / n)
+    return F.struct(F.when(F.abs(mean) < 1e-9, 0.0).otherwise(sd / mean).alias("cv"), F.when(F.abs(mid) < 1e-9, 0.0).otherwise((F.array_max(means) - mid) / mid).alias("patchiness"))
+
+
 def _mirrored(values: Column, height: int, width: int, i: Column, dy: int, dx: int) -> Column:
     """The value at an offset of one at most, borders mirrored without repeating the edge."""
     mirror = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * n - 2 - v).otherwise(v)

@@ -48,13 +48,15 @@ def patch_glcm(spark, d):
 @query("patch_tile_cv", sql("""+ c AS (SELECT vec_id, CASE WHEN y < 6 THEN y // 3 ELSE 2 END AS r, CASE WHEN x < 6 THEN x // 3 ELSE 2 END AS c, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM pixels GROUP BY 1, 2, 3)
  SELECT vec_id, round_even(CASE WHEN abs(avg(m)) < 1e-9 THEN 0 ELSE stddev_pop(m) / avg(m) END, 5) AS cv, round_even(CASE WHEN abs(median(m)) < 1e-9 THEN 0 ELSE (max(m) - median(m)) / median(m) END, 5) AS patchiness FROM c GROUP BY 1""", "pixels"))
 def patch_tile_cv(spark, d):
-    return pixels.tile_spread(tiles(spark, d), "vec_id").select("vec_id", F.bround("cv", 5).alias("cv"), F.bround("patchiness", 5).alias("patchiness"))
+    cuts = pixels.cuts_of(8, 3)
+    means = grids(spark, d).select("vec_id", pixels.cell_means(F.col("vs"), 8, cuts, cuts).alias("m"))
+    return means.select("vec_id", pixels.spread_of(F.col("m"), 9).alias("s")).select("vec_id", F.bround("s.cv", 5).alias("cv"), F.bround("s.patchiness", 5).alias("patchiness"))
 
 
 @query("patch_quadrants", sql("""+ q AS (SELECT vec_id, CAST(sum(v) FILTER (y < 4 AND x < 4) AS DOUBLE) / 16 AS tl, CAST(sum(v) FILTER (y < 4 AND x >= 4) AS DOUBLE) / 16 AS tr, CAST(sum(v) FILTER (y >= 4 AND x < 4) AS DOUBLE) / 16 AS bl, CAST(sum(v) FILTER (y >= 4 AND x >= 4) AS DOUBLE) / 16 AS br FROM pixels GROUP BY 1)
  SELECT *, greatest(tl, tr, bl, br) - least(tl, tr, bl, br) AS spread FROM q""", "pixels"))
 def patch_quadrants(spark, d):
-    return pixels.quadrants(tiles(spark, d), "vec_id")
+    return grids(spark, d).select("vec_id", pixels.quarter_means(F.col("vs"), 8, 8).alias("q")).select("vec_id", "q.*")
 
 
 @query("patch_laplacian", sql("""+ n AS (SELECT a.vec_id, a.y, a.x, a.v, abs(a.y + dy) - CASE WHEN a.y + dy > 7 THEN 2 * (a.y + dy - 7) ELSE 0 END AS y2, abs(a.x + dx) - CASE WHEN a.x + dx > 7 THEN 2 * (a.x + dx - 7) ELSE 0 END AS x2 FROM pixels a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)),
