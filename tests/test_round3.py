@@ -28,3 +28,17 @@ def test_bootstrap_adds_up_blocks_and_repeats_no_row(spark, monkeypatch):
             if drawn:
                 meds.append(np.median(drawn))
         assert got[level] == pytest.approx((np.quantile(meds, 0.05), np.quantile(meds, 0.95)))
+
+
+def test_hashed_bootstrap_broadcasts_no_draws(spark, monkeypatch):
+    seen = []
+    kept = resampling.weighted_medians
+    monkeypatch.setattr(resampling, "weighted_medians", lambda rows, *a, **k: seen.append(rows) or kept(rows, *a, **k))
+    r = np.random.default_rng(6)
+    rows = [(i, i % 2, float(r.integers(0, 50))) for i in range(5_000)]
+    got = {t.level: (t.low, t.high) for t in models.hashed_bootstrap_medians(spark.createDataFrame(rows, "k int, level int, s double"), "s", "level", ["k"], 4, 3).collect()}
+    assert "BroadcastExchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    for level in (0, 1):
+        own = [s for _, lv, s in rows if lv == level]
+        meds = [np.median([own[int(hashlib.md5(f"{b}/{j}/3".encode()).hexdigest()[:12], 16) % len(own)] for j in range(len(own))]) for b in range(4)]
+        assert got[level] == pytest.approx((np.quantile(meds, 0.05), np.quantile(meds, 0.95)))
