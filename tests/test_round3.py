@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tilewright.operators import models, quantiles, resampling
+from tilewright.operators import models, quantiles, relational, resampling
 
 
 def no_call(*args, **kwargs):
@@ -42,3 +42,14 @@ def test_hashed_bootstrap_broadcasts_no_draws(spark, monkeypatch):
         own = [s for _, lv, s in rows if lv == level]
         meds = [np.median([own[int(hashlib.md5(f"{b}/{j}/3".encode()).hexdigest()[:12], 16) % len(own)] for j in range(len(own))]) for b in range(4)]
         assert got[level] == pytest.approx((np.quantile(meds, 0.05), np.quantile(meds, 0.95)))
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_pieces_of_names_are_never_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(relational, "MOST_NEEDLES", most)
+    rows = [(i, f"name {i} of all") for i in range(300)]
+    got = relational.containing(spark.createDataFrame(rows, "k int, name string"), "name", spark.createDataFrame([(str(i),) for i in range(20)], "needle string"), "needle")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.index("BroadcastExchange") :] if "BroadcastExchange" in plan else ""
+    assert "Generate" not in sent and bool(sent) == (most > 0)
+    assert got.count() == sum(str(n) in name for n in range(20) for _, name in rows)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.robust import places
 from . import ordered
 
+#: Needles, and characters of them, that are sent to all tasks.
+MOST_NEEDLES, MOST_CHARACTERS = 100_000, 4_000_000
+
 
 def must_match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join that fails, naming a key, when a row of the left side has no partner."""
@@ -25,9 +28,14 @@ def containing(rows: DataFrame, name: str, needles: DataFrame, needle: str) -> D
 
     An equi-join on pieces: a needle is found by its first three characters, or all of a shorter one,
     among the distinct pieces of the name, and then compared. A name of n characters has at most 3n
-    pieces, and no row meets a needle that it shares no piece with.
+    pieces, and no row meets a needle that it shares no piece with. Up to MOST_NEEDLES needles of up to
+    MOST_CHARACTERS are broadcast; more are joined by shuffle. The pieces never are broadcast: Spark takes
+    them for as few as the names.
     """
-    whole = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct().withColumn("_piece", F.substring("_needle", 1, 3))
+    few = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
+    whole = ordered.written(few, "needles").withColumn("_piece", F.substring("_needle", 1, 3))
+    size = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_needle")), F.lit(0))).head()
+    whole = F.broadcast(whole) if size[0] <= MOST_NEEDLES and size[1] <= MOST_CHARACTERS else whole.hint("merge")
     places = F.sequence(F.lit(1), F.length(name))
     pieces = F.flatten(F.transform(places, lambda i: F.array(*(F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)))))
     cut = rows.where(F.length(name) > 0).withColumn("_piece", F.explode(F.array_distinct(pieces)))
