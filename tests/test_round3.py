@@ -67,3 +67,27 @@ def test_a_scan_without_all_tiles_of_its_last_row_has_zeros_there(spark):
     assert len(got) == 9
     for t in got:
         assert t.padded == wide[3 * t.ty : 3 * t.ty + 5, 3 * t.tx : 3 * t.tx + 5].ravel().tolist()
+
+
+def test_values_are_made_once_for_all_passes(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(3_000).selectExpr("id % 2 as g", "cast(id * 7919 % 3001 as double) as v").mapInArrow(run, "g long, v double")
+    got = {r.g: r.m for r in quantiles.exact(rows, ["g"], "v", {"m": quantiles.share(0.5)}, 50, 8).collect()}
+    want = {g: np.median([k * 7919 % 3001 for k in range(3_000) if k % 2 == g]) for g in (0, 1)}
+    assert got == want and made.value == 3_000
+
+
+def test_groups_fitted_together_are_those_fitted_alone(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 3, float(a), float(b), int(2 * a + b)) for i, (a, b) in enumerate(r.random((300, 2)))]
+    df = spark.createDataFrame(rows, "part int, a double, b double, level int")
+    got = models.fit_weights_by(df, ("a", "b"), "level", "part")
+    for part in range(3):
+        weights, lims, _ = models.fit_weights(df.where(f"part = {part}"), ("a", "b"), "level")
+        assert got[part][0] == pytest.approx(weights) and got[part][1] == {**got[part][1], **lims}
