@@ -91,3 +91,18 @@ def test_groups_fitted_together_are_those_fitted_alone(spark):
     for part in range(3):
         weights, lims, _ = models.fit_weights(df.where(f"part = {part}"), ("a", "b"), "level")
         assert got[part][0] == pytest.approx(weights) and got[part][1] == {**got[part][1], **lims}
+
+
+def test_shares_of_replicates_equal_windows_and_joins(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, *map(float, r.integers(0, 12, 3))) for i in range(60)], "k int, y double, m double, p double")
+    ask = lambda: ([tuple(t) for t in resampling.paired_bootstrap(df, ["k"], ["m", "p"], "y", "m", 50, 9).orderBy("statistic").collect()], tuple(resampling.permutation_p(df, ["k"], ["m", "p"], "y", 50, 4).head()))
+    monkeypatch.setattr(resampling, "MOST_HELD", 0)
+    windows, joins = ask()
+    monkeypatch.undo()
+    monkeypatch.setattr(resampling, "_rank", no_call)
+    monkeypatch.setattr(resampling, "weighted", no_call)
+    held, given = ask()
+    assert [t[0] for t in held] == [t[0] for t in windows] and given == pytest.approx(joins)
+    for a, b in zip(held, windows, strict=True):
+        assert a[1:] == pytest.approx(b[1:], abs=1e-9)
