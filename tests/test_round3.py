@@ -1,11 +1,14 @@
 """Work whose cost once grew faster than its input, or whose results differed on odd tables."""
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tilewright.operators import models, mosaic, quantiles, relational, resampling
+from tilewright.streaming import neighbours
 
 
 def no_call(*args, **kwargs):
@@ -106,3 +109,38 @@ def test_shares_of_replicates_equal_windows_and_joins(spark, monkeypatch):
     assert [t[0] for t in held] == [t[0] for t in windows] and given == pytest.approx(joins)
     for a, b in zip(held, windows, strict=True):
         assert a[1:] == pytest.approx(b[1:], abs=1e-9)
+
+
+def test_state_is_read_and_written_once_for_a_bucket_and_batch():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.rows is not None
+
+        def get(self):
+            calls.append("get")
+            return self.rows
+
+        def update(self, rows):
+            calls.append("update")
+            self.rows = rows
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    n = neighbours.Neighbours()
+    n.init(Handle())
+    rows = [(s, k, 1_000 * k, float(k)) for k in range(100) for s in (1, 2)]
+    n.handleInputRows(("b",), iter([pd.DataFrame(rows, columns=["slide_id", "fov_id", "us", "value"])]), None)
+    assert calls == ["exists", "update", 0]
+    out = next(n.handleExpiredTimer(("b",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 49), SimpleNamespace(getExpiryTimeInMs=lambda: 0)))
+    assert len(out) == 100 and out["before"].tolist()[:3] == ["", "0", "0,1"] and calls[-1] == 50 and len(calls) < 12

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
+from ..sources import sinks
 from ..storage import new_path
 from ..streaming import neighbours, passes
 from .standins import table
@@ -20,7 +21,9 @@ def stateful_neighbours(spark, d):
     src, out, mark = (new_path(spark, x) for x in ("arrivals", "neighbours", "mark"))
     late = 0
     neighbours.arrivals(rows, src, slices=6, spread_days=5)
-    late += neighbours.take_all(spark, src, FIELDS, "6 days", out, mark, files=2)
+    # Three batches, whatever number of files the slices have.
+    files = max(2, -(-len(sinks._read(spark, src, FIELDS).inputFiles()) // 3))
+    late += neighbours.take_all(spark, src, FIELDS, "6 days", out, mark, files=files)
     neighbours.end(spark, src)
     late += neighbours.take_all(spark, src, FIELDS, "6 days", out, mark, files=2)
     if late:
