@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from tilewright.operators import models, mosaic, quantiles, relational, resampling
+from tilewright.sources import sinks
 from tilewright.streaming import neighbours
 
 
@@ -144,3 +145,18 @@ def test_state_is_read_and_written_once_for_a_bucket_and_batch():
     assert calls == ["exists", "update", 0]
     out = next(n.handleExpiredTimer(("b",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 49), SimpleNamespace(getExpiryTimeInMs=lambda: 0)))
     assert len(out) == 100 and out["before"].tolist()[:3] == ["", "0", "0,1"] and calls[-1] == 50 and len(calls) < 12
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_folders_do_not_grow_with_the_slides(spark, tmp_path, monkeypatch, form):
+    monkeypatch.setattr(sinks, "PARTS", 4)
+    path, schema = str(tmp_path / "out"), "slide_id long, fov_id int, note string"
+    rows = [(s, f, [None, "x", 'a "b",\nc'][f]) for s in [*range(30), None] for f in range(3)]
+    sinks.write_slides(spark.createDataFrame(rows, schema), path, form=form)
+    again = [(s, 7, "new") for s in (2, 3, None, 99)]
+    sinks.write_slides(spark.createDataFrame(again, schema), path, form=form)
+    folders = [f.name for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    assert 0 < len(folders) <= 4
+    reader = spark.read.schema(f"{schema}, slide_part int").options(**({"header": "true", "multiLine": "true"} if form == "csv" else {}))
+    got = reader.format(form).load(path).select("slide_id", "fov_id", "note").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[0] not in (2, 3, None)] + again, key=str)

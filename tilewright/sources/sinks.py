@@ -16,13 +16,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import matched, written
 from ..storage import write_files
 
 
+#: Folders that slides are dealt to by hash; an output is bound to this number.
+PARTS = 128
+
+
 def write_slides(rows: DataFrame, path: str, slide: str = "slide_id", form: str = "parquet") -> None:
-    """Replace the outputs of the slides in ``rows`` and no others; a slide's rows are in one place, so it has few files."""
-    out = rows.repartition(slide).write.mode("overwrite").partitionBy(slide).option("partitionOverwriteMode", "dynamic")
-    (out.option("header", "true") if form == "csv" else out).format(form).save(path)
+    """Replace the outputs of the slides in ``rows`` and no others; a slide's rows are in one place, so it has few files.
+
+    Slides share PARTS folders (slide_part), so that folders and files do not grow with the slides. Of the
+    folders that have slides of ``rows``, the other slides' rows are written again.
+    """
+    spark = rows.sparkSession
+    new = written(rows.withColumn("slide_part", F.pmod(F.xxhash64(F.col(slide).cast("string")), F.lit(PARTS)).cast("int")), "slides")
+    how = {"header": "true", "multiLine": "true"} if form == "csv" else {}
+    try:
+        old = spark.read.schema(new.schema).format(form).options(**how).load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    if old is not None:  # written elsewhere first, as what is read is replaced
+        beside = old.join(new.select("slide_part").distinct(), "slide_part", "left_semi")
+        kept = matched(beside, new.select(slide).distinct(), [slide], "left_anti")
+        new = written(new.unionByName(kept), "slides")
+    new.repartition("slide_part").write.mode("overwrite").partitionBy("slide_part").option("partitionOverwriteMode", "dynamic").options(**how).format(form).save(path)
 
 
 class Committed:
