@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tilewright.kernels import images
 from tilewright.operators import models, mosaic, quantiles, relational, resampling
 from tilewright.sources import sinks
 from tilewright.streaming import neighbours
@@ -160,3 +161,9 @@ def test_folders_do_not_grow_with_the_slides(spark, tmp_path, monkeypatch, form)
     reader = spark.read.schema(f"{schema}, slide_part int").options(**({"header": "true", "multiLine": "true"} if form == "csv" else {}))
     got = reader.format(form).load(path).select("slide_id", "fov_id", "note").collect()
     assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[0] not in (2, 3, None)] + again, key=str)
+
+
+@pytest.mark.parametrize("shape", [(64, 64), (50, 71), (7, 9), (5, 3), (1, 1)])
+def test_contrasts_of_tiles_from_running_sums(shape):
+    g = np.random.default_rng(9).integers(0, 32, shape).astype(np.uint8)
+    assert (images.tile_contrasts(g, 7) == images.tiles(g, 7, images.glcm_contrast)).all()
