@@ -7,8 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tilewright.kernels import images
+from tilewright.kernels import contours, images
+from tilewright.operators import images as tables
 from tilewright.operators import models, mosaic, quantiles, relational, resampling
+from tilewright.plans import image_queries
 from tilewright.sources import sinks
 from tilewright.streaming import neighbours
 
@@ -167,3 +169,65 @@ def test_folders_do_not_grow_with_the_slides(spark, tmp_path, monkeypatch, form)
 def test_contrasts_of_tiles_from_running_sums(shape):
     g = np.random.default_rng(9).integers(0, 32, shape).astype(np.uint8)
     assert (images.tile_contrasts(g, 7) == images.tiles(g, 7, images.glcm_contrast)).all()
+
+
+def test_cells_of_a_tile_are_cut_out_once(spark, monkeypatch):
+    made, grid = spark.sparkContext.accumulator(0), image_queries._grid
+
+    def decode(raw):
+        made.add(1)
+        return grid(raw)
+
+    monkeypatch.setattr(image_queries, "_grid", decode)
+    got = {r.vec_id: tuple(r)[1:] for r in image_queries.cell_metrics(spark, "/root/testdata/sf0.001").collect()}
+    assert made.value == image_queries.tile_bytes(spark, "/root/testdata/sf0.001").count()
+    for r in image_queries.tile_bytes(spark, "/root/testdata/sf0.001").orderBy("vec_id").limit(40).collect():
+        found = images.parts(grid(r.content), 16)
+        if not found:
+            assert r.vec_id not in got
+            continue
+        area = np.array([c["area"] for c in found])
+        q = np.percentile(area, 75)
+        small, large = area < 0.35 * q, area > 1.6 * q
+        one = ~small & ~large
+        crenated = sum(c["solidity"] < 0.75 for c, own in zip(found, one, strict=True) if own)
+        assert got[r.vec_id] == (small.sum(), large.sum(), one.sum(), np.median(area[one]) if one.any() else None, crenated)
+
+
+@pytest.mark.parametrize("shape", [(64, 64), (90, 47), (12, 70)])
+def test_images_side_by_side_are_those_alone(shape):
+    r = np.random.default_rng(3)
+    stack = []
+    for k in range(6):
+        x = np.full(shape, 40, np.uint8)
+        for cy, cx, size in zip(r.integers(0, shape[0], 9), r.integers(0, shape[1], 9), r.integers(3, 12, 9), strict=True):
+            yy, xx = np.ogrid[: shape[0], : shape[1]]
+            x[(yy - cy) ** 2 + (xx - cx) ** 2 <= size**2] = r.integers(90, 250)
+        stack += [x, np.full(shape, 7 * k, np.uint8)]
+    stack = np.stack(stack)
+    alone = [images.split_cells(x) for x in stack]
+    assert (images.split_stack(stack) == np.stack(alone)).all() and not alone[1].any()
+    assert images.parts_of(stack, 5) == [images.parts(x, 5) for x in stack]
+    assert images.cell_signals_of(stack) == [images.cell_signals(x) for x in stack]
+    assert np.allclose(images.gaussians(stack, 40), [images.gaussian(x, sigma=40) for x in stack], rtol=0, atol=1e-9)
+    for label in alone:
+        for k in range(1, label.max() + 1):
+            y, x = np.nonzero(label == k)
+            corners = np.unique(np.concatenate([np.stack([x + i, y + j], 1) for i in (0, 1) for j in (0, 1)]), axis=0)
+            assert images.pixel_solidity(y, x) == len(y) / contours.ring_area(contours.hull(corners))
+
+
+def test_images_side_by_side_fail_alone(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 3)
+    decode = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, 2)
+
+    def kernel(x, least):
+        if x[0, 0] == 9:
+            raise ValueError("nine")
+        return [{"cell": k, "area": float(x.sum())} for k in range(x[0, 0] % 4)]
+
+    raw = [None if i % 13 == 5 else bytes([i % 11, i] * (1 + i % 17 // 9)) for i in range(60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "k int, content binary").coalesce(1)
+    alone = tables.cells(df, decode=decode, kernel=kernel).collect()
+    assert tables.cells(df, decode=decode, kernel=kernel, many=lambda stack, least: [kernel(x, least) for x in stack]).collect() == alone
+    assert [(r.k, r.error is None) for r in alone] == [(i, x is not None and x[0] != 9) for i, x in enumerate(raw) for _ in range(1 if x is None or x[0] == 9 else x[0] % 4)]
